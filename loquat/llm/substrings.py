@@ -19,9 +19,9 @@ empty table gives an empty table.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from loquat.llm import exchange as X
 from loquat.llm import storage
-from loquat.llm.text import WordHashes, encode, mix, windows
+from loquat.llm.text import Words, decode, encode, mix
 
 ROWS = 2
 #: Counters of a row for each window.
@@ -39,10 +39,12 @@ _NULL_ID = np.iinfo(np.int64).max
 _PIECE = re.compile(rb"[\x20\x09-\x0d]*[^\x20\x09-\x0d]+")
 
 
-def dedup_substrings(df: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 13, block_bytes: int = X.BLOCK_BYTES) -> DataFrame:
-    """``df``'s columns and: ``_n_words``, ``_n_removed``, ``_kept`` (kept words joined by one space),
-    ``_text`` (the text without the removed words, its other white space as it was; null if it was null)."""
-    added = [("_n_words", T.LongType()), ("_n_removed", T.LongType()), ("_kept", T.StringType()), ("_text", T.StringType())]
+def dedup_substrings(df: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 13, cleaned: bool = False, block_bytes: int = X.BLOCK_BYTES) -> DataFrame:
+    """``df``'s columns and: ``_n_words``, ``_n_removed``, ``_kept`` (kept words joined by one space).
+
+    ``cleaned``: ``_kept`` is instead the text itself without the removed words, its other white space
+    as it was (null if it was null)."""
+    added = [("_n_words", T.LongType()), ("_n_removed", T.LongType()), ("_kept", T.StringType())]
     schema = T.StructType([*df.schema.fields, *(T.StructField(n, t) for n, t in added)])
     blocks = X.Blocks(df.sparkSession, df, text, block_bytes)
     shards = blocks.shards()
@@ -51,25 +53,17 @@ def dedup_substrings(df: DataFrame, text: str = "text", doc_id: str = "doc_id",
     owned = blocks.answer(blocks.ask(_candidates(text, doc_id, size, shards, width), estimated), _owners)
     # The estimates are needed again, to number the candidates: a bit a counter.
     both = estimated.unionByName(owned.selectExpr("block", f"shard + {ROWS * shards} AS shard", "payload"))
-    return blocks.map(both, _cut(text, doc_id, size, shards, width), schema)
+    return blocks.map(both, _cut(text, doc_id, size, shards, width, cleaned), schema)
 
 
 class _Windows:
-    """Word lists, window hashes and document numbers of a block."""
+    """Window hashes and row numbers of a block."""
 
     def __init__(self, rows: pa.Table, text: str, size: int):
-        first, second = WordHashes(1), WordHashes(2)
-        self.counts, h1, h2 = [], [], []
-        for value in rows[text]:
-            words = encode(value.as_py()).split()
-            self.counts.append(len(words))
-            if len(words) >= size:
-                h1.append(windows(first.of(words), size, 11))
-                h2.append(windows(second.of(words), size, 12))
-        self.h1 = np.concatenate(h1) if h1 else np.empty(0, np.uint64)
-        self.h2 = np.concatenate(h2) if h2 else np.empty(0, np.uint64)
-        self.per_doc = np.maximum(np.array(self.counts, np.int64) - size + 1, 0)
-        self.doc = np.repeat(np.arange(len(self.counts)), self.per_doc)
+        self.words = Words.of([encode(x) for x in rows[text].to_pylist()])
+        self.start, self.per_row = self.words.window_starts(size)
+        self.h1, self.h2 = self.words.runs(self.start, size, 11), self.words.runs(self.start, size, 12)
+        self.row = np.repeat(np.arange(rows.num_rows), self.per_row)
 
     def cells(self, row: int, total: int) -> np.ndarray:
         """The counter of each window in a row of the sketch."""
@@ -145,7 +139,7 @@ class _Candidates:
         self.key[order] = np.cumsum(new) - 1
         self.h1, self.h2 = h1[new], h2[new]
         ids = np.array([_NULL_ID if x is None else x for x in rows[doc_id].to_pylist()], np.int64)
-        self.ids = ids[w.doc[self.at]]
+        self.ids = ids[w.row[self.at]]
         self.least = np.full(len(self.h1), _NULL_ID, np.int64)
         np.minimum.at(self.least, self.key, self.ids)
 
@@ -178,42 +172,36 @@ def _owners(shard: int, payloads: list[bytes]) -> list[bytes]:
     return [X.pack(np.packbits(x)) for x in np.split(smaller, np.cumsum(lengths)[:-1])]
 
 
-def _cut(text: str, doc_id: str, size: int, shards: int, width: int):
+def _cut(text: str, doc_id: str, size: int, shards: int, width: int, cleaned: bool):
     def use(rows: pa.Table, answers: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
         w = _Windows(rows, text, size)
         c = _Candidates(w, rows, doc_id, answers, shards, width)
         smaller = np.zeros(len(c.h1), bool)
         for s, at in X.slices(c.h1, shards):
             smaller[at] = np.unpackbits(X.unpack(answers[ROWS * shards + s]), count=at.stop - at.start)
-        repeat = c.at[smaller[c.key] | (c.ids > c.least[c.key])]
-        n_words = np.array(w.counts, np.int64)
-        first_word, first_window = np.cumsum(n_words) - n_words, np.cumsum(w.per_doc) - w.per_doc
-        starts = repeat + (first_word - first_window)[w.doc[repeat]]
-        edges = np.zeros(int(n_words.sum()) + 1, np.int64)
-        np.add.at(edges, starts, 1)
-        np.add.at(edges, starts + size, -1)
+        starts = w.start[c.at[smaller[c.key] | (c.ids > c.least[c.key])]]
+        edges = np.bincount(starts, minlength=len(w.words.hashes) + 1) - np.bincount(starts + size, minlength=len(w.words.hashes) + 1)
         gone = np.cumsum(edges[:-1]) > 0
-        n_removed = np.add.reduceat(np.r_[gone, False], first_word) * (n_words > 0) if len(n_words) else n_words
-        step = 256
-        for i in range(0, rows.num_rows, step):
-            part = rows.slice(i, step)
-            kept, cleaned = [], []
+        n_words, first = w.words.counts, w.words.first
+        below = np.r_[0, np.cumsum(gone)]
+        n_removed = below[first + n_words] - below[first]
+        for i in range(0, rows.num_rows, 256):
+            part = rows.slice(i, 256)
+            out = []
             for k, value in enumerate(part[text].to_pylist(), i):
-                raw = encode(value)
-                if not n_removed[k]:
-                    kept.append(b" ".join(raw.split()).decode("utf-8", "surrogatepass"))
-                    cleaned.append(value)
-                    continue
-                keep = ~gone[first_word[k] : first_word[k] + n_words[k]]
-                kept.append(b" ".join([x for x, ok in zip(raw.split(), keep.tolist(), strict=True) if ok]).decode("utf-8", "surrogatepass"))
-                cleaned.append(b"".join([x for x, ok in zip(_PIECE.findall(raw), keep.tolist(), strict=True) if ok]).lstrip(b" \n").decode("utf-8", "surrogatepass"))
+                keep = None if not n_removed[k] else ~gone[first[k] : first[k] + n_words[k]]
+                out.append(_cleaned(value, keep) if cleaned else _kept(value, keep))
             at = slice(i, i + part.num_rows)
-            columns = [*part.combine_chunks().itercolumns(), pa.array(n_words[at]), pa.array(n_removed[at].astype(np.int64)), pa.array(kept, pa.string()), pa.array(cleaned, pa.string())]
-            columns = [x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in columns]
-            yield pa.RecordBatch.from_arrays(columns, names=[*part.column_names, "_n_words", "_n_removed", "_kept", "_text"])
+            columns = [*(x.combine_chunks() for x in part.itercolumns()), pa.array(n_words[at]), pa.array(n_removed[at].astype(np.int64)), pa.array(out, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*part.column_names, "_n_words", "_n_removed", "_kept"])
 
     return use
 
 
-def sha256(text: str) -> str:
-    return hashlib.sha256(encode(text)).hexdigest()
+def _kept(value: str | None, keep: np.ndarray | None) -> str:
+    words = encode(value).split()
+    return decode(b" ".join(words if keep is None else compress(words, keep.tolist())))
+
+
+def _cleaned(value: str | None, keep: np.ndarray | None) -> str | None:
+    return value if keep is None else decode(b"".join(compress(_PIECE.findall(encode(value)), keep.tolist())).lstrip(b" \n"))

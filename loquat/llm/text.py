@@ -1,48 +1,50 @@
-"""Words and 64-bit hashes shared by the text operators.
+"""Word hashes of many texts at once, with numpy and no Python object a word.
 
-Words are maximal runs of bytes other than ASCII white space (0x20, 0x09-0x0D), which is what
-``bytes.split()`` yields. Strings travel as UTF-8 bytes; no operator cuts inside a code point.
+Words are maximal runs of the bytes of an alphabet; by default everything but ASCII white space
+(0x20, 0x09-0x0D), which is what ``bytes.split()`` yields. Strings travel as UTF-8 bytes. A word's
+64-bit hash is a polynomial of its bytes with a random odd base, finalised; a run of words hashes
+likewise over its words' hashes, so any run costs two look-ups in a prefix sum.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import xxhash
 
-_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _MASK = (1 << 64) - 1
+_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+#: Bytes hashed at a time; a longer text is taken whole.
+CHUNK = 1 << 20
 
 
-def encode(text: str | None) -> bytes:
-    return b"" if text is None else text.encode("utf-8", "surrogatepass")
+def alphabet(outside: bytes) -> np.ndarray:
+    """Look-up of the bytes that belong to words."""
+    table = np.ones(256, bool)
+    table[list(outside)] = False
+    return table
 
 
-def ascii_lower(raw: bytes) -> bytes:
-    """Lower-case A-Z only; every other byte is unchanged."""
-    return raw.translate(_LOWER)
+SPACED = alphabet(b" \t\n\v\f\r")
+
 
+def encode(text: str | None) -> bytes:
+    return b"" if text is None else text.encode("utf-8", "surrogatepass")
 
-class WordHashes(dict):
-    """word -> 64-bit hash, remembered for frequent words; cleared at ``limit`` entries to bound memory."""
 
-    def __init__(self, seed: int = 0, limit: int = 400_000):
-        super().__init__()
-        self.seed, self.limit = seed, limit
+def decode(raw: bytes) -> str:
+    return raw.decode("utf-8", "surrogatepass")
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word, self.seed)
-        return h
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def ascii_lower(raw: bytes) -> bytes:
+    """Lower-case A-Z only; every other byte is unchanged."""
+    return raw.translate(_LOWER)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """64-bit finaliser (a bijection): spreads every input bit over the output."""
     x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xFF51AFD7ED558CCD)
+    x *= np.uint64(0xFF51AFD7ED558CCD)
     x ^= x >> np.uint64(33)
     x *= np.uint64(0xC4CEB9FE1A85EC53)
     x ^= x >> np.uint64(33)
@@ -54,13 +56,89 @@ def multipliers(n: int, seed: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed & _MASK)) | np.uint64(1)
 
 
-def windows(hashes: np.ndarray, size: int, seed: int) -> np.ndarray:
-    """Hash of every run of ``size`` consecutive word hashes (multilinear, then mixed); none if too few."""
-    n = len(hashes) - size + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    ks = multipliers(size, seed)
-    out = hashes[:n] * ks[0]
-    for j in range(1, size):
-        out += hashes[j : j + n] * ks[j]
-    return mix(out)
+class _Powers:
+    """Powers of a seed's base and of its inverse modulo 2^64, grown as needed."""
+
+    def __init__(self, seed: int):
+        self.base = int(multipliers(1, seed * 7919 + 3)[0])
+        self.up = self.down = np.empty(0, np.uint64)
+
+    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            n = 1 << (n - 1).bit_length()
+            for name, r in (("up", self.base), ("down", pow(self.base, -1, 1 << 64))):
+                steps = np.full(n, r, np.uint64)
+                steps[0] = 1
+                setattr(self, name, np.cumprod(steps, dtype=np.uint64))
+        return self.up, self.down
+
+
+_powers: dict[int, _Powers] = {}
+
+
+def _table(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    return _powers.setdefault(seed, _Powers(seed))(n)
+
+
+class Words:
+    """Hash of every word of some texts, in order; ``counts`` and ``first``: words of each text, and where they begin."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
+        self.hashes, self.counts = hashes, counts
+        self.first = np.cumsum(counts) - counts
+        self._sums: dict[int, np.ndarray] = {}
+
+    @classmethod
+    def of(cls, raws: list[bytes], inside: np.ndarray = SPACED, lower: bool = False) -> Words:
+        parts = [_hash_chunk(chunk, inside, lower) for chunk in _chunks(raws)]
+        if not parts:
+            return cls(np.empty(0, np.uint64), np.empty(0, np.int64))
+        return cls(np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts]))
+
+    def runs(self, first: np.ndarray, length: np.ndarray | int, seed: int) -> np.ndarray:
+        """Hash of each run of words; equal for equal words and length."""
+        n = len(self.hashes)
+        up, down = _table(seed, n + 1)
+        if seed not in self._sums:
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(self.hashes * up[:n], out=sums[1:])
+            self._sums[seed] = sums
+        sums = self._sums[seed]
+        out = (sums[first + length] - sums[first]) * down[first]
+        out += np.asarray(length, np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return mix(out)
+
+    def window_starts(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(first word of every window, windows of each text)"""
+        per_text = np.maximum(self.counts - size + 1, 0)
+        return np.arange(per_text.sum()) + np.repeat(self.first - (np.cumsum(per_text) - per_text), per_text), per_text
+
+
+def _chunks(raws: list[bytes]) -> Iterator[list[bytes]]:
+    held, size = [], 0
+    for raw in raws:
+        held.append(raw)
+        size += len(raw) + 1
+        if size >= CHUNK:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _hash_chunk(raws: list[bytes], inside: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    blob = b"\n" + b"\n".join(raws) + b"\n"
+    if lower:
+        blob = ascii_lower(blob)
+    raw = np.frombuffer(blob, np.uint8)
+    word = inside[raw]
+    edges = np.flatnonzero(word[1:] != word[:-1])  # before each first, and at each last byte of a word
+    before, last = edges[0::2], edges[1::2]
+    up, down = _table(0, len(raw))
+    sums = raw + np.uint64(1)
+    sums *= up[: len(raw)]
+    np.cumsum(sums, out=sums)
+    hashes = (sums[last] - sums[before]) * down[before]
+    ends = np.cumsum([len(x) + 1 for x in raws])
+    counts = np.diff(np.searchsorted(before, ends), prepend=0)
+    return mix(hashes + (last - before).astype(np.uint64)), counts.astype(np.int64)
