@@ -32,5 +32,44 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS
 FROM d LEFT JOIN kept USING (doc_id)
 """
 
-QUERIES = {"op4_substring_dedup": op4_substring_dedup}
+def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from loquat.llm import records, storage
+
+    path = storage.new_path(spark, "records")
+    records.write_records(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return records.read_records(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op3_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from loquat.llm.packing import pack
+
+    pieces = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op5_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loquat.llm.neardup import near_duplicates
+
+    out = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), size=4, percent=80)
+    return out.select("doc_id", F.col("_n_shingles").alias("n_shingles"), F.col("_component").alias("component_id"), F.col("_kept").alias("kept"))
+
+
+def op6_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loquat.llm.katz import score_documents
+
+    out = score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), order=2)
+    return out.select("doc_id", *(F.col(f"_{c}").alias(c) for c in ("held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")))
+
+
+QUERIES = {
+    "op2_token_records": op2_token_records,
+    "op3_cost_packing": op3_cost_packing,
+    "op4_substring_dedup": op4_substring_dedup,
+    "op5_minhash_neardup": op5_minhash_neardup,
+    "op6_katz_scores": op6_katz_scores,
+}
 ORACLE_SQL = {"op4_substring_dedup": OP4_SQL}
