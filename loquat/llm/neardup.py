@@ -86,7 +86,7 @@ def floor_estimate(threshold: float, values: int, deviations: float = 5.0) -> fl
 
 
 def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``df``'s columns and ``_n_shingles``, ``_component`` (least id in reach), ``_kept`` (id = component).
+    """``df``'s columns, ``_n_shingles``, ``_component`` (least id in reach), ``_kept`` (id = component).
 
     ``percent``: linked if 100 * intersection >= percent * union."""
     added = [("_node", T.BinaryType()), ("_n_shingles", T.LongType())]
@@ -98,7 +98,7 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", s
     roots = storage.materialise(components(links), "components")
     ids = nodes.select("node", "id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = ids.groupBy("root").agg(F.min("id").alias("_component"))
-    component = ids.join(least, "root").select(F.col("node").alias("_node"), "_component")
+    component = ids.join(least, "root").select(F.col("node").alias("_node"), "_component", F.col("root").alias("_group"))
     # The digest is a function of the text, so rows get it anew instead of carrying their text through joins.
     with_node = df.mapInArrow(_signatures(text, size, 0, 0, keep=True), T.StructType([*df.schema.fields, *(T.StructField(n, t) for n, t in added)]))
     out = with_node.join(component, "_node", "left").drop("_node")

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loquat.llm.tokens import Encoder, encoded
+from loquat.llm.tokens import encoded, shared_encoder
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -87,7 +87,7 @@ def pack(df: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_i
 
 def _packer(tokenizer: str, end_id: int, capacity: int, linear: float, quadratic: float, pool_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, next_id = Encoder(tokenizer, end_id), TaskContext.get().partitionId() << 33
+        encoder, next_id = shared_encoder(tokenizer, end_id), TaskContext.get().partitionId() << 33
         held: list[tuple] = []  # (doc_id, ids before, ids, the document's ids)
         size = 0
 

@@ -65,11 +65,127 @@ def op6_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *(F.col(f"_{c}").alias(c) for c in ("held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")))
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loquat.llm.licenses import scan_licenses
+
+    out = scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("_n_words").alias("n_words"), F.size("_licenses").cast("long").alias("n_licenses"), F.array_join("_licenses", ",").alias("licenses"))
+
+
+def _op1_sql() -> str:
+    from loquat.llm.licenses import LEAST_STEP, PERCENT, SIZE, TEMPLATES
+
+    rows = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in sorted(TEMPLATES.items()))
+    words = r"regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    shingle = f"array_to_string(w[i:i + {SIZE - 1}], ' ') || '/' || least(len(w), {SIZE})"
+    return f"""
+WITH t AS (SELECT name, {words.format('body')} AS w FROM (VALUES {rows}) v(name, body)),
+ts AS (SELECT DISTINCT name, {shingle} AS s FROM (SELECT name, w, unnest(range(1, greatest(len(w) - {SIZE - 2}, 2))) AS i FROM t WHERE len(w) > 0)),
+tn AS (SELECT name, count(*) AS n, greatest({LEAST_STEP}, pow(2, ceil(log2(count(*))))::BIGINT) AS step FROM ts GROUP BY name),
+d AS (SELECT doc_id, {words.format('text')} AS w FROM documents),
+ds AS (SELECT doc_id, i - 1 AS i, {shingle} AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {SIZE - 2}, 2))) AS i FROM d WHERE len(w) > 0)),
+hit AS (SELECT doc_id, name, n, i // step AS block, s FROM ds JOIN ts USING (s) JOIN tn USING (name)),
+win AS (SELECT doc_id, name, n, block AS win, s FROM hit UNION ALL SELECT doc_id, name, n, block - 1, s FROM hit WHERE block > 0),
+found AS (SELECT doc_id, name FROM win GROUP BY doc_id, name, n, win HAVING 100 * count(DISTINCT s) >= {PERCENT} * n),
+names AS (SELECT doc_id, string_agg(name, ',' ORDER BY name) AS licenses, count(*) AS k FROM (SELECT DISTINCT * FROM found) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(k, 0)::BIGINT AS n_licenses, coalesce(licenses, '') AS licenses
+FROM d LEFT JOIN names USING (doc_id)
+"""
+
+
+def op7_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loquat.llm.line_rules import apply_line_rules
+
+    out = apply_line_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return out.select("doc_id", *(F.col(f"_{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
+
+
+OP7_SQL = rf"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+line AS (SELECT doc_id, source, l, regexp_extract_all(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS lw
+         FROM (SELECT doc_id, source, unnest(string_split(t, chr(10))) AS l FROM d)),
+used AS (SELECT doc_id, source, l, array_to_string(lw, ' ') AS k, len(lw) AS n FROM line WHERE len(lw) > 0),
+over AS (SELECT source, k FROM used GROUP BY source, k HAVING count(DISTINCT doc_id) > 20),
+gone AS (SELECT doc_id, sum(n) AS removed FROM used JOIN over ON used.source IS NOT DISTINCT FROM over.source AND used.k = over.k GROUP BY doc_id),
+dups AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n_dup FROM used GROUP BY doc_id),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)),
+twice AS (SELECT doc_id, s FROM win GROUP BY doc_id, s HAVING count(*) > 1),
+covered AS (SELECT doc_id, count(DISTINCT j) AS n_rep FROM (SELECT doc_id, unnest(range(i, i + 3)) AS j FROM win JOIN twice USING (doc_id, s)) GROUP BY doc_id),
+f AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+             length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup, 0)::BIGINT AS n_dup_lines,
+             coalesce(n_rep, 0)::BIGINT AS n_repeat_words, coalesce(removed, 0) AS removed
+      FROM d LEFT JOIN dups USING (doc_id) LEFT JOIN covered USING (doc_id) LEFT JOIN gone USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+       (NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - removed >= 0.3 * n_words) AS kept
+FROM f
+"""
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loquat.llm.decontaminate import find_contamination
+
+    out = find_contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    items = F.array_join(F.transform("_items", lambda x: x.cast("string")), ",")
+    return out.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_hit").alias("n_hit"), F.size("_items").cast("long").alias("n_items"), F.sha2(items.cast("binary"), 256).alias("items_sha256"), (F.col("_n_hit") > 0).alias("contaminated"))
+
+
+_NORMAL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP8_SQL = f"""
+WITH d AS (SELECT doc_id, {_NORMAL} AS w FROM documents),
+b AS (SELECT item_id, {_NORMAL} AS w FROM benchmark WHERE item_id IS NOT NULL),
+pat AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS s
+        FROM (SELECT item_id, w, least(len(w), 10) AS n, unnest(range(1, greatest(len(w) - 8, 2))) AS i FROM b WHERE len(w) > 0)),
+size AS (SELECT DISTINCT n FROM pat),
+win AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS s
+        FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, size WHERE len(w) >= n)),
+hit AS (SELECT doc_id, item_id, i, win.n AS n FROM win JOIN pat USING (n, s)),
+cover AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS list FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
+def grades(labels: DataFrame) -> DataFrame:
+    """Ratings from labels: 0 low quality, 1 good but toxic, 2 good."""
+    return labels.select("doc_id", F.when(F.col("quality") < 1, 0).when(F.col("toxic") > 0, 1).when(F.col("quality") > 0, 2).alias("grade"))
+
+
+def op9_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loquat.llm import ordinal
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = ordinal.train(docs, grades(table(spark, sf_dir, "labels")))
+    return ordinal.score(docs, model).select("doc_id", F.col("_expected_grade").alias("expected_grade"), F.col("_tail").alias("tail_probability"), F.col("_kept").alias("kept"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loquat.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
+    labels = table(spark, sf_dir, "labels").where(~held_out)
+    out = toxicity.score(docs, toxicity.train(docs, labels))
+    return out.select("doc_id", held_out.alias("held_out"), F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
+
+
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_token_records": op2_token_records,
     "op3_cost_packing": op3_cost_packing,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_minhash_neardup": op5_minhash_neardup,
     "op6_katz_scores": op6_katz_scores,
+    "op7_line_rules": op7_line_rules,
+    "op8_decontamination": op8_decontamination,
+    "op9_ordinal_quality": op9_ordinal_quality,
+    "op10_toxicity": op10_toxicity,
+}
+ORACLE_SQL = {
+    "op1_license_scan": _op1_sql(),
+    "op4_substring_dedup": OP4_SQL,
+    "op7_line_rules": OP7_SQL,
+    "op8_decontamination": OP8_SQL,
 }
-ORACLE_SQL = {"op4_substring_dedup": OP4_SQL}

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loquat.llm import storage
-from loquat.llm.tokens import Encoder, encoded
+from loquat.llm.tokens import encoded, shared_encoder
 
 MANIFEST = "shard int, file string, records long, tokens long, bytes long"
 RECORDS = "doc_id long, start long, n_tokens long, ids binary"
@@ -115,7 +115,7 @@ def _shard_writer(path: str, tokenizer: str, end_id: int):
         encoder, out, index, size, tokens = None, None, [], 0, 0
         for batch in batches:
             if batch.num_rows and out is None:
-                encoder = Encoder(tokenizer, end_id)
+                encoder = shared_encoder(tokenizer, end_id)
                 narrow = max(encoder.vocabulary(), end_id + 1) <= 1 << 16
                 fs, root = storage.filesystem(path)
                 fs.create_dir(root, recursive=True)

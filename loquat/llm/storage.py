@@ -33,7 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh, unique path below the shared folder, remembered for ``release``."""
+    """A fresh, unique path below the shared folder, remembered for ``paths``."""
     path = f"{shared_dir(spark)}/loquat/{label}-{uuid.uuid4().hex}"
     _open.append(path)
     return path
@@ -55,10 +55,9 @@ def delete(spark: SparkSession, path: str) -> None:
         _open.remove(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every intermediate path made so far. Call when the results that read them are written."""
-    for path in list(_open):
-        delete(spark, path)
+def paths() -> list[str]:
+    """Intermediate paths made by this process and not deleted yet."""
+    return list(_open)
 
 
 def filesystem(uri: str):

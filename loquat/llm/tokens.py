@@ -9,17 +9,17 @@ other use of spaces is encoded by the library as a whole.
 from __future__ import annotations
 
 import os
-import sys
 from array import array
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 
 
 class Encoder:
     """Texts to little-endian unsigned 32-bit ids. ``limit``: chunks remembered; then it starts anew."""
 
-    def __init__(self, path: str, end_id: int | None = 1, limit: int = 300_000):
+    def __init__(self, path: str, end_id: int | None = 1, limit: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -27,43 +27,93 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
         self.limit, self.heads, self.tails = limit, {}, {}
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        tokens = sorted(self.tokenizer.get_vocab().items(), key=lambda x: x[1])
+        #: By id: whether it ends a word of the model, or else its bytes.
+        self.ends = np.array([t.endswith(suffix) for t, _ in tokens]) if suffix else None
+        byte_level = self.tokenizer.normalizer is None and type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel"
+        self.sizes = np.array([len(t) for t, _ in tokens]) if not suffix and byte_level else None
+        #: Letters, then a sign, are two pre-tokens; a word's ids do not depend on a sign after it.
+        self.apart = suffix is not None or byte_level
+        self.lowers = self._library(["Az"]) == self._library(["az"])
+        self.signs = {"": b""} | {x: self._library([x])[0] for x in ".,;:!?"}
 
     def vocabulary(self) -> int:
         return self.tokenizer.get_vocab_size()
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        ids = [array("I", x.ids) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        if sys.byteorder == "big":
-            for x in ids:
-                x.byteswap()
-        return [x.tobytes() for x in ids]
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _several(self, texts: list[str]) -> list[bytes]:
+        """Ids of each chunk, a space and letters: encoded as one text if its ids can be told apart again."""
+        out = []
+        for i in range(0, len(texts), 1000):
+            group = texts[i : i + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(group)], add_special_tokens=False)[0].ids, "<u4")
+            if self.sizes is not None:
+                reach, wanted = np.cumsum(self.sizes[ids]), np.cumsum([len(x.encode()) for x in group])
+            else:
+                reach, wanted = np.cumsum(self.ends[ids]), np.arange(1, len(group) + 1)
+            cuts = np.searchsorted(reach, wanted) + 1
+            if not len(ids) or reach[-1] != wanted[-1] or cuts[-1] != len(ids) or not np.array_equal(reach[cuts - 1], wanted):
+                out += self._library(group)
+                continue
+            raw, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
+            out += [raw[a:b] for a, b in zip(at, at[1:])]
+        return out
 
     def _learn(self, known: dict[str, bytes | None], chunks: set[str], prefix: str) -> None:
-        new = [x for x in chunks if x not in known]
-        if len(known) + len(new) > self.limit:
+        new = chunks.difference(known)
+        if len(known) + 2 * len(new) > self.limit:
             known.clear()
-            new = list(chunks)
-        good = [x for x in new if x and not x[0].isspace() and not x[-1].isspace()]
-        known.update(dict.fromkeys(new))
-        known.update(zip(good, self._library([prefix + x for x in good]), strict=True))
+            new = chunks
+        bases, composed, other = set(), [], []
+        for x in new:
+            stem, sign = (x[:-1], x[-1]) if x and x[-1] in ".,;:!?" else (x, "")
+            if prefix and self.apart and stem.isalpha():
+                if self.lowers and stem.isascii():
+                    stem = stem.lower()
+                bases.add(stem)
+                composed.append((x, stem, sign))
+            elif not x or x[0].isspace() or x[-1].isspace():
+                known[x] = None
+            else:
+                other.append(x)
+        plain = list(bases.difference(known))
+        known.update(zip(plain, self._several([prefix + x for x in plain]), strict=True))
+        signs = self.signs
+        known.update([(x, known[stem] + signs[sign]) for x, stem, sign in composed if x != stem])
+        known.update(zip(other, self._library([prefix + x for x in other]), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, then the end id; null is empty."""
         cut = [(x or "").split(" ") for x in texts]
-        self._learn(self.heads, {x[0] for x in cut}, "")
-        self._learn(self.tails, set(chain.from_iterable(x[1:] for x in cut)), " ")
+        heads = [x[0] for x in cut]
+        self._learn(self.heads, set(heads), "")
+        for x in cut:
+            del x[0]
+        self._learn(self.tails, set(chain.from_iterable(cut)), " ")
         out, tail = [], self.tails.__getitem__
-        for text, chunks in zip(texts, cut, strict=True):
-            if not text:
-                out.append(self.end)
-                continue
-            head = self.heads[chunks[0]]
-            rest = list(map(tail, chunks[1:]))
-            out.append((self._library([text])[0] if head is None or None in rest else head + b"".join(rest)) + self.end)
+        for text, head, chunks in zip(texts, heads, cut, strict=True):
+            try:
+                out.append(self.heads[head] + b"".join(map(tail, chunks)) + self.end)
+            except TypeError:  # some chunk is not one
+                out.append((self._library([text])[0] if text else b"") + self.end)
         return out
 
 
-def encoded(batch: pa.RecordBatch, text: str, encoder: Encoder, step: int = 256):
+_encoders: dict[tuple, Encoder] = {}
+
+
+def shared_encoder(path: str, end_id: int | None) -> Encoder:
+    """One a Python worker, so that later tasks find what earlier ones learned."""
+    if (path, end_id) not in _encoders:
+        _encoders.clear()
+        _encoders[path, end_id] = Encoder(path, end_id)
+    return _encoders[path, end_id]
+
+
+def encoded(batch: pa.RecordBatch, text: str, encoder: Encoder, step: int = 500):
     """(row number, ids) of every row of a batch, a few rows at a time."""
     for i in range(0, batch.num_rows, step):
         yield from enumerate(encoder.encode(batch.slice(i, step).column(text).to_pylist()), i)
