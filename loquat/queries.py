@@ -1,4 +1,549 @@
-"""Registered queries of the source-string operators and their SQL."""
+"""Registered queries of the source-string operators: (spark, sf_dir) -> DataFrame, and their SQL.
+
+The driver's tables hold no source code. Candidate strings and paths are derived from their columns,
+in Spark and SQL alike; sources for the parser are generated from rows, so that SQL can state what
+the parser has to find. Every query runs over whole tables.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loquat.functions import strings as S
+from loquat.functions.paths import exclusion_regex, is_excluded
+from loquat.operators import analysis as A
+from loquat.operators import detect as D
+from loquat.operators import rules as R
+from loquat.plans import report
+from loquat.sources import extract, readers
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(function):
+        QUERIES[function.__name__] = function
+        if sql:
+            ORACLE_SQL[function.__name__] = sql
+        return function
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Derived inputs
+
+_VALUES = [("part", "p_name"), ("part", "p_brand"), ("part", "p_type"), ("customer", "c_name"), ("nation", "n_name"), ("orders", "o_orderpriority"), ("events", "event_type"), ("events", "props"), ("pages", "url")]
+VALUES_SQL = "v AS (" + " UNION ALL ".join(f"SELECT '{t}.{c}' AS src, {c} AS value FROM {t}" for t, c in _VALUES) + ")"
+
+
+def values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = None
+    for t, c in _VALUES:
+        part = table(spark, sf_dir, t).select(F.lit(f"{t}.{c}").alias("src"), F.col(c).alias("value"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+CONTEXTS = sorted(R.CONTEXTS)
+_CONTEXT_LIST = "[" + ", ".join(f"'{c}'" for c in CONTEXTS) + "]"
+PARTS_SQL = f"""p AS (SELECT p_type || '/' || replace(p_brand, '#', '') || CASE p_partkey % 3 WHEN 0 THEN 'View' WHEN 1 THEN 'Screen' ELSE '' END || '.swift' AS path,
+       p_partkey::INT AS pos, p_name || CASE WHEN p_partkey % 4 = 0 THEN ' ' || p_partkey ELSE '' END AS value, p_partkey % 11 = 0 AS has_interpolation, ({_CONTEXT_LIST})[p_partkey % {len(CONTEXTS)} + 1] AS context,
+       CASE WHEN p_partkey % 2 = 0 THEN replace(p_brand, '#', '') || 'View' END AS type_name, CASE WHEN p_partkey % 5 = 0 THEN 'body' END AS property_name FROM part)"""
+
+
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings as if detected, one a part."""
+    brand, key = F.replace("p_brand", F.lit("#"), F.lit("")), F.col("p_partkey")
+    ending = F.when(key % 3 == 0, "View").when(key % 3 == 1, "Screen").otherwise("")
+    return table(spark, sf_dir, "part").select(
+        F.concat("p_type", F.lit("/"), brand, ending, F.lit(".swift")).alias("path"),
+        key.cast("int").alias("pos"),
+        F.when(key % 4 == 0, F.concat("p_name", F.lit(" "), key.cast("string"))).otherwise(F.col("p_name")).alias("value"),
+        (key % 11 == 0).alias("has_interpolation"),
+        F.element_at(F.array(*map(F.lit, CONTEXTS)), (key % len(CONTEXTS)).cast("int") + 1).alias("context"),
+        F.when(key % 2 == 0, F.concat(brand, F.lit("View"))).alias("type_name"),
+        F.when(key % 5 == 0, "body").alias("property_name"),
+    )
+
+
+def sql_trim(v: str) -> str:
+    return rf"regexp_replace({v}, '^[\p{{Zs}}\t]+|[\p{{Zs}}\t]+$', '', 'g')"
+
+
+_NOT_UPPER = r"[\p{Ll}\p{Lo}\p{Lm}\p{Lt}]"
+
+
+def sql_reason(t: str) -> str:
+    products = ", ".join(f"'{x}'" for x in S.PRODUCT_NAMES)
+    m = lambda pattern, v=t: f"regexp_matches({v}, '{pattern}')"
+    return rf"""CASE WHEN {t} = '' THEN 'emptyString' WHEN {m(rf'^[{S.EMOJI}\s\p{{Z}}]+$')} THEN 'emojiOnly'
+ WHEN {m(r'^(https?://|ftps?://|www\.)', f'lower({t})')} THEN 'urlPattern' WHEN {m('^~?/')} THEN 'filePathPattern' WHEN contains({t}, ' ') THEN NULL
+ WHEN {m(r'^(com|org|net|io|co|app|dev)\.', f'lower({t})')} THEN 'analyticsKey' WHEN {m(r'^[.]*[\p{Ll}\p{N}]+([.]+[\p{Ll}\p{N}]+)+[.]*$')} THEN 'dotSeparatedIdentifier'
+ WHEN length_grapheme({t}) >= 3 AND contains({t}, '_') AND NOT {m(_NOT_UPPER)} THEN 'allCapsConstant' WHEN {m(r'\p{L}_\p{L}')} THEN 'snakeCaseIdentifier'
+ WHEN {m(r'(?s)^\p{Ll}.*\p{Lu}')} AND {t} NOT IN ({products}) THEN 'camelCaseIdentifier' END"""
+
+
+def sql_deltas(t: str, type_name: str = "type_name", property_name: str = "property_name") -> list[tuple[str, str]]:
+    m = lambda pattern: f"regexp_matches({t}, '{pattern}')"
+    n = f"length_grapheme({t})"
+    give = lambda when, d: f"CASE WHEN {when} THEN {d}::DOUBLE ELSE 0::DOUBLE END"
+    return [
+        (f"CASE WHEN {n} = 0 THEN 'empty string' WHEN {n} <= 2 THEN 'very short (' || {n} || ' chars)' ELSE 'short (' || {n} || ' chars)' END", f"CASE WHEN {n} = 0 THEN -0.30::DOUBLE WHEN {n} <= 2 THEN -0.12::DOUBLE WHEN {n} <= 4 THEN -0.04::DOUBLE ELSE 0::DOUBLE END"),
+        (f"CASE WHEN {n} > 200 THEN 'very long (>' || {n} || ' chars)' ELSE 'long (' || {n} || ' chars)' END", f"CASE WHEN {n} > 200 THEN -0.25::DOUBLE WHEN {n} > 100 THEN -0.08::DOUBLE ELSE 0::DOUBLE END"),
+        ("'multi-word phrase'", give(m(r"\S\s+\S"), "0.02")),
+        ("'title case'", give(m(r"\S\s+\S") + " AND NOT " + m(rf"(^|\s){_NOT_UPPER}"), "0.01")),
+        ("'starts uppercase'", give(m(r"^\p{Lu}"), "0.01")),
+        ("'contains digits'", give(m(r"\p{N}"), "-0.03")),
+        ("'all-caps'", give(f"{n} > 4 AND {m(r'\p{L}')} AND NOT {m(_NOT_UPPER)}", "-0.08")),
+        ("'unusual characters'", give(m(r"[{}\[\]<>|\\^~`@#$%*=]"), "-0.05")),
+        (f"'inside ' || {type_name} || ' (View family)'", give(f"coalesce(regexp_matches({type_name}, '({S.VIEW_ENDINGS})$'), false)", "0.02")),
+        ("'inside body property'", give(f"coalesce({property_name} = 'body', false)", "0.01")),
+    ]
+
+
+def sql_score(t: str, base: str, **scope) -> str:
+    total = "0::DOUBLE"
+    for _, d in sql_deltas(t, **scope):
+        total = f"({total} + {d})"
+    return f"greatest(0::DOUBLE, least(1::DOUBLE, {base} + {total}))"
+
+
+_BASES = [x[5] for x in R.CALL_RULES] + [R.STATIC_BASE]
+_BASE_LIST = "[" + ", ".join(f"{b}::DOUBLE" for b in _BASES) + "]"
+SCORED_SQL = f"""{PARTS_SQL}, c AS (SELECT *, ({_BASE_LIST})[pos % {len(_BASES)} + 1] AS base, {sql_trim('value')} AS t FROM p)"""
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = F.element_at(F.array(*map(F.lit, _BASES)), F.col("pos") % len(_BASES) + 1)
+    return parts(spark, sf_dir).withColumn("base", base)
+
+
+
+
+def _score():
+    return S.confidence(F.col("value"), F.col("base"), F.col("type_name"), F.col("property_name"))
+
+
+# Filters and scores
+
+
+@query(f"WITH {VALUES_SQL}, r AS (SELECT src, {sql_reason('t')} AS reason FROM (SELECT src, {sql_trim('value')} AS t FROM v)) SELECT src, coalesce(reason, 'kept') AS reason, count(*) AS n FROM r GROUP BY ALL")
+def filter_reason_counts(spark, sf_dir):
+    rows = values(spark, sf_dir).select("src", F.coalesce(S.exclusion_reason(F.col("value")), F.lit("kept")).alias("reason"))
+    return rows.groupBy("src", "reason").agg(F.count("*").alias("n"))
+
+
+EDGE_CASES = ["", "   ", "Settings", "OK", "e-mail", "iPhone", "macOS", "user name", "org.swift.package", "io.github.tool", "App.Store", "arrow.right.circle", "3.14", "loading...", "user_name", "profile_image_url", "SOME_FEATURE_FLAG", "1_2", "_", "a_", "viewModel", "featureFlag2", "https://x.y", "WWW.x", "/usr/bin", "~/x", "~x", "👍", "👍🏽 🎉", "👨‍👩‍👧", "🇫🇷", "👍 ok", "Ünï_cödé", "ÀB_C", "éCole", "a.b c"]
+
+
+@query("WITH v AS (SELECT unnest([" + ", ".join("'{}'".format(x) for x in EDGE_CASES) + f"]) AS value) SELECT value, coalesce({sql_reason('t')}, 'kept') AS reason FROM (SELECT value, {sql_trim('value')} AS t FROM v)")
+def filter_edge_cases(spark, sf_dir):
+    rows = spark.createDataFrame([(x,) for x in EDGE_CASES], "value string")
+    return rows.select("value", F.coalesce(S.exclusion_reason(F.col("value")), F.lit("kept")).alias("reason"))
+
+
+@query(f"WITH {SCORED_SQL} SELECT pos, value, {sql_reason('t')} AS reason, round({sql_score('t', 'base')}, 6) AS confidence FROM c")
+def score_candidates(spark, sf_dir):
+    return scored(spark, sf_dir).select("pos", "value", S.exclusion_reason(F.col("value")).alias("reason"), F.round(_score(), 6).alias("confidence"))
+
+
+@query(f"WITH {SCORED_SQL}, f AS (SELECT unnest([" + ", ".join(f"{{'reason': {r}, 'delta': {d}}}" for r, d in sql_deltas("t")) + "]) AS f FROM c) SELECT f.reason AS reason, f.delta AS delta, count(*) AS n FROM f WHERE f.delta <> 0 GROUP BY ALL")
+def score_factors(spark, sf_dir):
+    factors = S.score_factors(F.col("value"), F.col("type_name"), F.col("property_name"))
+    return scored(spark, sf_dir).select(F.explode(factors).alias("f")).groupBy("f.reason", "f.delta").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {SCORED_SQL}, s AS (SELECT {sql_score('t', 'base')} AS x, context FROM c) SELECT context, count(*) AS n, count(*) FILTER (x >= 0.85::DOUBLE) AS kept_85, count(*) FILTER (x >= 0.92::DOUBLE) AS kept_92 FROM s GROUP BY context")
+def score_threshold(spark, sf_dir):
+    rows = scored(spark, sf_dir).select("context", _score().alias("x"))
+    return rows.groupBy("context").agg(F.count("*").alias("n"), F.count_if(F.col("x") >= F.lit(0.85)).alias("kept_85"), F.count_if(F.col("x") >= F.lit(0.92)).alias("kept_92"))
+
+
+# Namespaces
+
+_STEM = r"regexp_replace(regexp_extract(path, '[^/]*$'), '\.[^.]*$', '')"
+SQL_RAW = rf"regexp_replace({_STEM}, '^(.+?)({S.FILE_ENDINGS})$', '\1')"
+_PARENT = "split_part(path, '/', 1)"
+_GENERIC = ", ".join(f"'{x}'" for x in ["", ".", *S.GENERIC_DIRECTORIES])
+SQL_DIRECTORY = f"CASE WHEN {_PARENT} IN ({_GENERIC}) THEN {SQL_RAW} ELSE upper({_PARENT}[1:1]) || {_PARENT}[2:] || {SQL_RAW} END"
+_COLLIDES = f"count(DISTINCT path) OVER (PARTITION BY {SQL_RAW}) > 1"
+NAMED_SQL = f"{PARTS_SQL}, s AS (SELECT *, {SQL_RAW} AS namespace FROM p)"
+
+
+def _namespaces(strategy):
+    return lambda spark, sf_dir: A.with_namespace(parts(spark, sf_dir), strategy).select("pos", "path", "namespace")
+
+
+for _name, _sql in (("file", SQL_RAW), ("directory", SQL_DIRECTORY), ("auto", f"CASE WHEN path_count > 1 THEN {SQL_DIRECTORY} ELSE {SQL_RAW} END")):
+    QUERIES[f"namespace_{_name}"] = _namespaces(_name)
+    ORACLE_SQL[f"namespace_{_name}"] = f"WITH {PARTS_SQL}, k AS (SELECT {SQL_RAW} AS raw, count(DISTINCT path) AS path_count FROM p GROUP BY raw) SELECT pos, path, {_sql} AS namespace FROM p JOIN k ON k.raw = {SQL_RAW}"
+
+
+@query(f"WITH {PARTS_SQL}, f AS (SELECT DISTINCT path, {SQL_RAW} AS namespace FROM p) SELECT namespace, count(*) AS n_files, string_agg(path, ',' ORDER BY path) AS files FROM f GROUP BY namespace HAVING count(*) > 1")
+def namespace_collisions(spark, sf_dir):
+    rows = A.namespace_collisions(parts(spark, sf_dir))
+    return rows.select("namespace", F.size("files").cast("long").alias("n_files"), F.array_join("files", ",").alias("files"))
+
+
+def named(spark, sf_dir):
+    return A.with_namespace(parts(spark, sf_dir))
+
+
+_SHARED_SQL = f"WITH {NAMED_SQL}, sh AS (SELECT value, count(DISTINCT namespace) AS n, string_agg(DISTINCT namespace, ',' ORDER BY namespace) AS namespaces FROM s WHERE NOT has_interpolation GROUP BY value HAVING count(DISTINCT namespace) >= 2)"
+
+
+@query(_SHARED_SQL + ", r AS (SELECT s.*, row_number() OVER (PARTITION BY value ORDER BY namespace, path, pos) AS k FROM s SEMI JOIN sh USING (value) WHERE NOT has_interpolation) SELECT value, namespace, path, pos, context FROM r WHERE k = 1")
+def common_strings(spark, sf_dir):
+    return A.common_strings(named(spark, sf_dir)).select("value", "namespace", "path", "pos", "context")
+
+
+@query(_SHARED_SQL + " SELECT namespace, value, pos FROM s ANTI JOIN sh USING (value)")
+def common_stripped(spark, sf_dir):
+    return A.without_common(named(spark, sf_dir)).select("namespace", "value", "pos")
+
+
+@query(_SHARED_SQL + " SELECT value, n, namespaces FROM sh")
+def common_origins(spark, sf_dir):
+    return A.shared_values(named(spark, sf_dir)).select("value", F.size("namespaces").cast("long").alias("n"), F.array_join("namespaces", ",").alias("namespaces"))
+
+
+@query(f"WITH {NAMED_SQL}, d AS (SELECT value, count(*) AS n, min(pos) AS first_pos, max(pos) AS last_pos, count(DISTINCT namespace) AS k FROM s WHERE NOT has_interpolation GROUP BY value) SELECT value, n, first_pos, last_pos FROM d WHERE k > 1")
+def namespace_duplicates(spark, sf_dir):
+    rows = A.duplicate_values(named(spark, sf_dir))
+    at = F.transform("occurrences", lambda o: o["pos"])
+    return rows.select("value", F.size("occurrences").cast("long").alias("n"), F.array_min(at).alias("first_pos"), F.array_max(at).alias("last_pos"))
+
+
+# Catalogs
+
+_CATALOG_SQL = "cat AS (SELECT DISTINCT p_name AS key FROM part WHERE p_size % 2 = 0 UNION SELECT 'Orphan ' || n_name FROM nation)"
+
+
+def catalog(spark, sf_dir):
+    even = table(spark, sf_dir, "part").where("p_size % 2 = 0").select(F.col("p_name").alias("key"))
+    return even.unionByName(table(spark, sf_dir, "nation").select(F.concat(F.lit("Orphan "), "n_name").alias("key"))).distinct()
+
+
+@query(f"WITH {NAMED_SQL}, {_CATALOG_SQL} SELECT value, count(*) AS n, count(DISTINCT namespace) AS namespaces FROM s ANTI JOIN cat ON cat.key = s.value WHERE NOT has_interpolation GROUP BY value")
+def catalog_missing(spark, sf_dir):
+    rows = A.missing_from_catalog(named(spark, sf_dir), catalog(spark, sf_dir))
+    spaces = F.array_distinct(F.transform("occurrences", lambda o: o["namespace"]))
+    return rows.select("value", F.size("occurrences").cast("long").alias("n"), F.size(spaces).cast("long").alias("namespaces"))
+
+
+@query(f"WITH {NAMED_SQL}, {_CATALOG_SQL} SELECT key FROM cat ANTI JOIN (SELECT value FROM s WHERE NOT has_interpolation) x ON x.value = cat.key")
+def catalog_orphaned(spark, sf_dir):
+    return A.orphaned_in_catalog(named(spark, sf_dir), catalog(spark, sf_dir))
+
+
+@query("WITH e AS (SELECT DISTINCT event_type || '.' || (user_id % 50) AS key, CASE WHEN user_id % 3 = 0 THEN NULL ELSE event_type END AS source_value FROM events), g AS (SELECT coalesce(source_value, key) AS value, count(*) AS n, string_agg(key, ',' ORDER BY key) AS keys FROM e GROUP BY 1) SELECT value, n, keys FROM g WHERE n > 1")
+def catalog_duplicates(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.concat("event_type", F.lit("."), (F.col("user_id") % 50).cast("string")).alias("key"), F.when(F.col("user_id") % 3 != 0, F.col("event_type")).alias("source_value")).distinct()
+    return A.duplicate_catalog_values(rows).select("value", F.size("keys").cast("long").alias("n"), F.array_join("keys", ",").alias("keys"))
+
+
+@query("WITH e AS (SELECT p_name AS key, lpad(p_partkey::VARCHAR, 9, '0') AS path, p_brand AS comment, p_type AS source_value, p_size::INT AS translation_count FROM part) SELECT key, arg_max(comment, path) AS comment, arg_max(source_value, path) AS source_value, arg_max(translation_count, path) AS translation_count FROM e GROUP BY key")
+def catalog_merge(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select(F.col("p_name").alias("key"), F.lpad(F.col("p_partkey").cast("string"), 9, "0").alias("path"), F.col("p_brand").alias("comment"), F.col("p_type").alias("source_value"), F.col("p_size").cast("int").alias("translation_count"))
+    return readers.merge_catalogs(rows)
+
+
+@query("WITH e AS (SELECT n_name, n_nationkey AS k, r_name FROM nation JOIN region ON n_regionkey = r_regionkey) SELECT r_name || '.xcstrings' AS path, n_name AS key, CASE WHEN k % 2 = 0 THEN 'about ' || n_name END AS comment, CASE k % 3 WHEN 0 THEN upper(n_name) || '!' WHEN 1 THEN n_name END AS source_value, CASE k % 3 WHEN 0 THEN 2 WHEN 1 THEN 0 ELSE 1 END::INT AS translation_count FROM e")
+def catalog_parse(spark, sf_dir):
+    """String catalogs written as JSON text from rows, then parsed."""
+    rows = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    k = F.col("n_nationkey")
+    unit = lambda v: F.struct(F.struct(F.lit("translated").alias("state"), v.alias("value")).alias("stringUnit"))
+    localizations = F.when(k % 3 == 0, F.create_map(F.lit("en"), unit(F.concat(F.upper("n_name"), F.lit("!"))), F.lit("de"), unit(F.lit("x")))).when(k % 3 == 2, F.create_map(F.lit("de"), unit(F.lit("x"))))
+    entry = F.struct(F.when(k % 2 == 0, F.concat(F.lit("about "), "n_name")).alias("comment"), localizations.alias("localizations"))
+    text = rows.groupBy("r_name").agg(F.to_json(F.struct(F.lit("en").alias("sourceLanguage"), F.map_from_entries(F.collect_list(F.struct("n_name", entry))).alias("strings"))).alias("content"))
+    return readers.parse_catalogs(text.select(F.concat("r_name", F.lit(".xcstrings")).alias("path"), "content"))
+
+
+# Assets
+
+_ASSETS_SQL = "a AS (SELECT DISTINCT CASE WHEN p_size % 2 = 0 THEN 'image' ELSE 'color' END AS type, replace(p_brand, '#', '_') AS name FROM part WHERE p_size % 3 <> 0)"
+
+
+@query(f"WITH {_ASSETS_SQL}, r AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'image' ELSE 'color' END AS type, replace(p_brand, '#', '_') AS name FROM part UNION ALL SELECT n_nationkey, 'image', n_name FROM nation) SELECT p_partkey, type, name FROM r ANTI JOIN a USING (type, name)")
+def asset_missing(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    name = F.replace("p_brand", F.lit("#"), F.lit("_"))
+    kind = lambda c: F.when(F.col(c) % 2 == 0, "image").otherwise("color")
+    known = part.where("p_size % 3 <> 0").select(kind("p_size").alias("type"), name.alias("full_name")).distinct()
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("p_partkey"), F.lit("image").alias("type"), F.col("n_name").alias("name"))
+    used = part.select("p_partkey", kind("p_partkey").alias("type"), name.alias("name")).unionByName(nations)
+    return A.missing_assets(used, known).select("p_partkey", "type", "name")
+
+
+def sql_identifier(stem: str) -> str:
+    words = rf"list_filter(regexp_split_to_array({stem}, '[_\-. ]'), lambda w: w <> '')"
+    base = f"array_to_string(list_transform({words}, lambda w, i: CASE WHEN i = 1 THEN lower(w[1:1]) ELSE upper(w[1:1]) END || w[2:]), '')"
+    return rf"CASE WHEN {base} = '' THEN '_asset' WHEN regexp_matches({base}, '^\p{{N}}') THEN '_' || {base} ELSE {base} END"
+
+
+_NAMES_SQL = "n AS (SELECT DISTINCT CASE WHEN p_size % 2 = 0 THEN 'image' ELSE 'color' END AS type, CASE p_size % 3 WHEN 0 THEN 'icons/' WHEN 1 THEN 'my_art/old/' ELSE '' END || CASE p_size % 4 WHEN 0 THEN replace(p_brand, '#', '_') WHEN 1 THEN lower(replace(p_brand, '#', '-')) WHEN 2 THEN replace(p_name, ' ', '.') ELSE p_size || 'x_' || p_type END AS full_name FROM part)"
+
+
+@query(f"WITH {_NAMES_SQL}, b AS (SELECT type, full_name, regexp_replace(full_name, '[^/]*$', '') AS dir, {sql_identifier('regexp_extract(full_name, ' + chr(39) + '[^/]*$' + chr(39) + ')')} AS base FROM n), k AS (SELECT *, row_number() OVER (PARTITION BY dir, base ORDER BY type <> 'image', full_name) AS i FROM b) SELECT type, full_name, rtrim(dir, '/') AS directory, base || CASE WHEN i = 1 THEN '' ELSE '_' || i END AS identifier FROM k")
+def asset_identifiers(spark, sf_dir):
+    size, brand = F.col("p_size"), F.col("p_brand")
+    group = F.when(size % 3 == 0, "icons/").when(size % 3 == 1, "my_art/old/").otherwise("")
+    stem = F.when(size % 4 == 0, F.replace(brand, F.lit("#"), F.lit("_"))).when(size % 4 == 1, F.lower(F.replace(brand, F.lit("#"), F.lit("-")))).when(size % 4 == 2, F.replace("p_name", F.lit(" "), F.lit("."))).otherwise(F.concat(size.cast("string"), F.lit("x_"), "p_type"))
+    rows = table(spark, sf_dir, "part").select(F.when(size % 2 == 0, "image").otherwise("color").alias("type"), F.concat(group, stem).alias("full_name")).distinct()
+    return A.unique_identifiers(rows)
+
+
+_TREE_SQL = "t AS (SELECT DISTINCT n_name, r_name, n_regionkey % 2 = 0 AS spaced, CASE WHEN n_nationkey % 2 = 0 THEN 'image' ELSE 'color' END AS type FROM nation JOIN region ON n_regionkey = r_regionkey)"
+
+
+@query(f"WITH {_TREE_SQL} SELECT type, CASE WHEN spaced THEN r_name || '/' ELSE '' END || n_name AS full_name FROM t")
+def asset_catalog(spark, sf_dir):
+    """Directory-shaped catalogs from the paths and contents of their files."""
+    rows = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    root = F.lit("App/Media.xcassets/")
+    groups = rows.select(F.concat(root, "r_name", F.lit("/Contents.json")).alias("path"), F.when(F.col("n_regionkey") % 2 == 0, '{"properties": {"provides-namespace": true}}').otherwise("{}").alias("content")).distinct()
+    ending = F.when(F.col("n_nationkey") % 2 == 0, ".imageset").otherwise(".colorset")
+    sets = rows.select(F.concat(root, "r_name", F.lit("/"), "n_name", ending, F.lit("/Contents.json")).alias("path"), F.lit("{}").alias("content"))
+    return readers.assets_of(groups.unionByName(sets))
+
+
+# Suppression and exclusion
+
+_LIT_SQL = "l AS (SELECT 'f' || (l_orderkey % 100) AS file, l_orderkey::INT AS line, l_linenumber AS col FROM lineitem), x AS (SELECT DISTINCT 'f' || (l_orderkey % 100) AS file, l_orderkey::INT AS line, l_linenumber AS col FROM lineitem WHERE l_returnflag = 'R')"
+
+
+def _suppressed(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("f"), (F.col("l_orderkey") % 100).cast("string")).alias("file"), F.col("l_orderkey").cast("int").alias("line"), F.col("l_linenumber").alias("col"), "l_returnflag")
+    return A.split_suppressed(rows, rows.where("l_returnflag = 'R'"), ["file", "line", "col"])
+
+
+@query(f"WITH {_LIT_SQL} SELECT file, count(*) AS n FROM l SEMI JOIN x USING (file, line, col) GROUP BY file")
+def suppression_semi(spark, sf_dir):
+    return _suppressed(spark, sf_dir).where("suppressed").groupBy("file").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_LIT_SQL} SELECT file, count(*) AS n FROM l ANTI JOIN x USING (file, line, col) GROUP BY file")
+def suppression_anti(spark, sf_dir):
+    return _suppressed(spark, sf_dir).where("NOT suppressed").groupBy("file").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id::VARCHAR AS path, i::INT AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE contains(s, 'License')")
+def inline_suppression(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
+    return extract.ignored_lines(docs, "License")
+
+
+PATTERNS = ["ECONOMY", "*.swift", "**/*3View.swift", "STANDARD/Brand1?.swift", "PROMO/**", "SM*/Brand2*Screen.swift", "LARGE/"]
+_GLOB_SQL = " OR ".join("regexp_matches(path, '{}')".format(exclusion_regex(x)) for x in PATTERNS)
+
+
+@query(f"WITH {PARTS_SQL}, f AS (SELECT DISTINCT path FROM p) SELECT path, ({_GLOB_SQL}) AS excluded FROM f")
+def glob_excludes(spark, sf_dir):
+    return parts(spark, sf_dir).select("path").distinct().withColumn("excluded", is_excluded(F.col("path"), PATTERNS))
+
+
+# Names and generated code
+
+_SEPARATORS = S.NAME_SEPARATORS.replace("'", "''").replace("\t", "' || chr(9) || '").replace("\n", "' || chr(10) || '")
+_WORDS = rf"list_filter(list_transform(string_split(translate(value, '{_SEPARATORS}', repeat('|', {len(S.NAME_SEPARATORS)})), '|'), lambda w: regexp_replace(w, '[^\p{{L}}]', '', 'g')), lambda w: w <> '')"
+_SUFFIXES = "CASE context " + " ".join(f"WHEN '{c}' THEN '{s}'" for c, (_, s) in R.CONTEXTS.items()) + " END"
+SQL_PROPERTY = f"CASE WHEN len({_WORDS}) = 0 THEN 'localizedString' ELSE lower({_WORDS}[1]) || array_to_string(list_transform({_WORDS}[2:], lambda w: upper(w[1:1]) || lower(w[2:])), '') || {_SUFFIXES} END"
+_KEYWORDS = ", ".join(f"'{k}'" for k in S.KEYWORDS)
+_DECORATION = r"length_grapheme(regexp_replace(value, '[\p{L}\p{N}\s\p{Z}]', '', 'g'))"
+_VARIED_SQL = f"{PARTS_SQL}, q AS (SELECT path, pos, has_interpolation, context, CASE pos % 4 WHEN 0 THEN value WHEN 1 THEN value || ' →' WHEN 2 THEN '\"' || value || '\"!' ELSE split_part(value, ' ', 1) || chr(92) END AS value FROM p)"
+
+
+def varied(spark, sf_dir):
+    v, k = F.col("value"), F.col("pos") % 4
+    new = F.when(k == 0, v).when(k == 1, F.concat(v, F.lit(" →"))).when(k == 2, F.concat(F.lit('"'), v, F.lit('"!'))).otherwise(F.concat(F.split(v, " ")[0], F.lit("\\")))
+    return parts(spark, sf_dir).withColumn("value", new)
+
+
+@query(f"WITH {_VARIED_SQL}, n AS (SELECT pos, value, {SQL_PROPERTY} AS name, {_DECORATION} AS decoration FROM q) SELECT pos, name, CASE WHEN name IN ({_KEYWORDS}) THEN '`' || name || '`' ELSE name END AS quoted, decoration, replace(replace(value, chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"') AS escaped FROM n")
+def property_names(spark, sf_dir):
+    rows = varied(spark, sf_dir).withColumn("name", S.property_name(F.col("value"), R.context_suffix(F.col("context"))))
+    return rows.select("pos", "name", S.backticked(F.col("name")).alias("quoted"), S.decorative_count(F.col("value")).cast("long").alias("decoration"), S.escaped(F.col("value")).alias("escaped"))
+
+
+@query(f"WITH {_VARIED_SQL}, n AS (SELECT *, {SQL_RAW} AS namespace, {SQL_PROPERTY} AS accessor, {_DECORATION} AS d FROM q WHERE NOT has_interpolation), r AS (SELECT *, row_number() OVER (PARTITION BY namespace, accessor ORDER BY d, path, pos) AS k FROM n) SELECT namespace, accessor, value, pos FROM r WHERE k = 1")
+def codegen_dedup(spark, sf_dir):
+    rows = A.with_namespace(varied(spark, sf_dir)).withColumn("accessor", S.property_name(F.col("value"), R.context_suffix(F.col("context"))))
+    return A.deduplicated_names(rows).select("namespace", "accessor", "value", "pos")
+
+
+@query("WITH a AS (SELECT p_brand AS namespace, replace(p_name, ' ', '') AS func_name, p_type AS escaped_value, p_partkey::VARCHAR AS escaped_comment FROM part), r AS (SELECT DISTINCT p_brand || '.' || replace(p_name, ' ', '') AS key FROM part WHERE p_size > 10), f AS (SELECT DISTINCT p_brand AS namespace, replace(p_name, ' ', '') AS func_name FROM part WHERE p_size > 40), k AS (SELECT a.*, row_number() OVER (PARTITION BY namespace, func_name ORDER BY escaped_value, escaped_comment) AS i FROM a SEMI JOIN r ON r.key = a.namespace || '.' || a.func_name) SELECT namespace, func_name, escaped_value, escaped_comment FROM k ANTI JOIN f USING (namespace, func_name) WHERE i = 1")
+def preserve_accessors(spark, sf_dir):
+    part = table(spark, sf_dir, "part").withColumn("func_name", F.replace("p_name", F.lit(" "), F.lit("")))
+    every = part.select(F.col("p_brand").alias("namespace"), "func_name", F.col("p_type").alias("escaped_value"), F.col("p_partkey").cast("string").alias("escaped_comment"))
+    used = part.where("p_size > 10").select(F.concat(F.lit("L10n."), "p_brand", F.lit("."), "func_name").alias("expression"))
+    fresh = part.where("p_size > 40").select(F.col("p_brand").alias("namespace"), F.col("func_name").alias("accessor")).distinct()
+    return A.preserved_not_fresh(A.preserved(every, A.referenced_accessors(used, "L10n")), fresh).select("namespace", "func_name", "escaped_value", "escaped_comment")
+
+
+# Cache
+
+_CACHE_SQL = "f AS (SELECT doc_id::VARCHAR AS path, sha256(text) AS hash FROM documents WHERE doc_id % 10 <> 9), c AS (SELECT doc_id::VARCHAR AS path, CASE WHEN doc_id % 4 = 0 THEN sha256('old') ELSE sha256(text) END AS hash, CASE WHEN doc_id % 7 = 0 THEN '0' ELSE '1' END AS version FROM documents WHERE doc_id % 3 <> 0)"
+
+
+def _cache(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("path"), F.sha2(F.col("text").cast("binary"), 256).alias("hash"))
+    files = docs.where("doc_id % 10 <> 9").select("path", "hash")
+    old = F.when(F.col("doc_id") % 4 == 0, F.sha2(F.lit("old").cast("binary"), 256)).otherwise(F.col("hash"))
+    cache = docs.where("doc_id % 3 <> 0").select("path", old.alias("hash"), F.when(F.col("doc_id") % 7 == 0, "0").otherwise("1").alias("version"))
+    return files, cache
+
+
+@query(f"WITH {_CACHE_SQL} SELECT c.path, c.hash FROM c SEMI JOIN f USING (path, hash) WHERE version = '1'")
+def cache_hits(spark, sf_dir):
+    files, cache = _cache(spark, sf_dir)
+    return A.cache_hits(files, cache, "1").select("path", "hash")
+
+
+@query(f"WITH {_CACHE_SQL} SELECT path FROM c ANTI JOIN f USING (path)")
+def cache_stale(spark, sf_dir):
+    return A.stale_entries(*_cache(spark, sf_dir)).select("path")
+
+
+@query(f"WITH {_CACHE_SQL}, m AS (SELECT f.path, f.hash FROM f ANTI JOIN (SELECT path, hash FROM c WHERE version = '1') h USING (path, hash)) SELECT path, hash, '1' AS version FROM m UNION ALL SELECT c.path, c.hash, c.version FROM c SEMI JOIN f USING (path) WHERE path NOT IN (SELECT path FROM m)")
+def cache_upsert(spark, sf_dir):
+    files, cache = _cache(spark, sf_dir)
+    fresh = A.cache_misses(files, cache, "1").select("path", "hash", F.lit("1").alias("version"))
+    return A.updated_cache(cache, fresh, files).select("path", "hash", "version")
+
+
+# Rules and references
+
+_RULE_ROWS = ", ".join(f"({o}, '{r}', '{k}', '{c}', '{b}')" for o, r, k, c, _, _, b in R.CALL_RULES)
+_CALLEES = sorted({(k, c) for _, _, k, c, _, _, _ in R.CALL_RULES}) + [("direct", "VStack"), ("member", "padding")]
+_CALLEE_LIST = "[" + ", ".join(f"{{'k': '{k}', 'c': '{c}'}}" for k, c in _CALLEES) + "]"
+
+
+@query(f"WITH r(ord, rule, kind, callee, context) AS (VALUES {_RULE_ROWS}), c AS (SELECT l_orderkey, l_linenumber, ({_CALLEE_LIST})[(l_orderkey * 7 + l_linenumber) % {len(_CALLEES)} + 1] AS x FROM lineitem) SELECT rule, context, ord::INT AS ord, count(*) AS n FROM c JOIN r ON r.kind = x.k AND r.callee = x.c GROUP BY ALL")
+def rule_match(spark, sf_dir):
+    which = (F.col("l_orderkey") * 7 + F.col("l_linenumber")) % len(_CALLEES)
+    names = F.array(*[F.struct(F.lit(k).alias("callee_kind"), F.lit(c).alias("callee")) for k, c in _CALLEES])
+    calls = table(spark, sf_dir, "lineitem").select(F.element_at(names, which.cast("int") + 1).alias("x")).select("x.*")
+    return R.match_calls(calls, R.call_rules(spark)).groupBy("rule", "context", "ord").agg(F.count("*").alias("n"))
+
+
+_PATTERNS = ["L10n.", "Brand.Text", "Brand"]
+
+
+@query("WITH e AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'L10n.' || p_type WHEN 1 THEN 'Brand.Text.' || p_size WHEN 2 THEN 'Brand' WHEN 3 THEN 'Branding.' || p_size END AS d FROM part), m AS (SELECT *, CASE WHEN d = 'L10n' OR starts_with(d, 'L10n.') THEN 'L10n' WHEN d = 'Brand.Text' OR starts_with(d, 'Brand.Text.') THEN 'Brand.Text' WHEN d = 'Brand' OR starts_with(d, 'Brand.') THEN 'Brand' END AS pattern FROM e) SELECT p_partkey::INT AS pos, pattern, d AS expression, CASE WHEN p_partkey % 2 = 0 THEN 'callExpression' ELSE 'memberAccess' END AS kind FROM m WHERE pattern IS NOT NULL")
+def existing_patterns(spark, sf_dir):
+    k = F.col("p_partkey") % 4
+    dotted = F.when(k == 0, F.concat(F.lit("L10n."), "p_type")).when(k == 1, F.concat(F.lit("Brand.Text."), F.col("p_size").cast("string"))).when(k == 2, "Brand").otherwise(F.concat(F.lit("Branding."), F.col("p_size").cast("string")))
+    events = table(spark, sf_dir, "part").select(F.lit("f").alias("path"), F.col("p_partkey").cast("int").alias("pos"), F.lit(1).alias("line"), F.lit(1).alias("col"), dotted.alias("dotted"), F.when(F.col("p_partkey") % 2 == 0, "call").otherwise("path").alias("kind"))
+    return D.existing_references(events, _PATTERNS).select("pos", "pattern", "expression", "kind")
+
+
+# Generated sources: rows become source text, which is parsed
+
+
+def sources(spark, sf_dir):
+    """One file a part type: a view with a line for each of its parts."""
+    k, name = F.col("p_partkey"), F.col("p_name")
+    quoted = F.concat(F.lit('"'), name, F.lit('"'))
+    line = (
+        F.when(k % 6 == 0, F.concat(F.lit("Text("), quoted, F.lit(")")))
+        .when(k % 6 == 1, F.concat(F.lit("Button("), quoted, F.lit(", role: .cancel) { go() }")))
+        .when(k % 6 == 2, F.concat(F.lit("Image("), quoted, F.lit(').accessibilityLabel("label of '), name, F.lit('")')))
+        .when(k % 6 == 3, F.concat(F.lit('label.text = "'), name, F.lit(' \\(count) left" // loquat:ignore')))
+        .when(k % 6 == 4, F.concat(F.lit("Image("), quoted, F.lit(")")))
+        .otherwise(F.concat(F.lit("Toggle(L10n."), F.replace("p_name", F.lit(" "), F.lit(".")), F.lit(", isOn: $on) /* "), quoted, F.lit(" */")))
+    )
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", line.alias("line")))), lambda x: x["line"]), "\n")
+    rows = table(spark, sf_dir, "part").groupBy("p_type").agg(body.alias("body"))
+    content = F.concat(F.lit("struct "), "p_type", F.lit("View: View { var body: some View {\n"), "body", F.lit("\n} }\n"))
+    return rows.select(F.concat("p_type", F.lit("View.swift")).alias("path"), content.alias("content"))
+
+
+_LINES_SQL = "g AS (SELECT p_type || 'View.swift' AS path, (row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) + 1)::INT AS line, p_partkey % 6 AS k, p_name FROM part)"
+
+
+def _findings(spark, sf_dir):
+    files = sources(spark, sf_dir)
+    found = D.candidates(extract.events(files), R.call_rules(spark), R.assignment_rules(spark))
+    return D.findings(found, 0.0, extract.ignored_lines(files, "loquat:ignore"))
+
+
+_TYPE = "replace(path, '.swift', '')"
+_FOUND_SQL = f"""x AS (SELECT path, line, CASE k WHEN 2 THEN 'label of ' ELSE '' END || p_name || CASE k WHEN 3 THEN ' {{…}} left' ELSE '' END AS value, CASE k WHEN 3 THEN p_name || '  left' WHEN 2 THEN 'label of ' || p_name ELSE p_name END AS t,
+ CASE k WHEN 0 THEN 'textView' WHEN 1 THEN 'buttonLabel' WHEN 2 THEN 'accessibilityLabel' WHEN 3 THEN 'uiLabel' END AS context, CASE k WHEN 0 THEN 0.98 WHEN 1 THEN 0.95 WHEN 2 THEN 0.90 ELSE 0.88 END::DOUBLE AS base, k, {_TYPE} AS type_name, 'body' AS property_name FROM g WHERE k < 4)"""
+
+
+@query(f"WITH {_LINES_SQL}, {_FOUND_SQL} SELECT path, line, value, context, k = 3 AS has_interpolation, round({sql_score(sql_trim('t'), 'base')}, 6) AS confidence, CASE WHEN k = 3 THEN 'ignored' WHEN {sql_reason('t')} IS NULL THEN 'detected' ELSE 'filtered' END AS outcome, type_name, property_name FROM x UNION ALL SELECT path, line, NULL, 'toggle', false, NULL, 'hint', {_TYPE}, 'body' FROM g WHERE k = 5")
+def scan_generated_source(spark, sf_dir):
+    rows = _findings(spark, sf_dir)
+    return rows.select("path", "line", "value", "context", "has_interpolation", F.round(F.when(F.col("value").isNotNull(), F.col("confidence")), 6).alias("confidence"), "outcome", "type_name", "property_name")
+
+
+@query(f"WITH {_LINES_SQL} SELECT path, line, p_name AS name, 'image' AS type, 'swiftUIImage' AS context FROM g WHERE k IN (2, 4)")
+def asset_scan_generated(spark, sf_dir):
+    return D.asset_references(extract.events(sources(spark, sf_dir))).select("path", "line", "name", "type", "context")
+
+
+@query(f"WITH {_LINES_SQL} SELECT path, line, 1::INT AS col, 'warning' AS severity FROM g WHERE k = 4")
+def audit_generated(spark, sf_dir):
+    return D.image_audit(extract.events(sources(spark, sf_dir))).select("path", "line", "col", "severity")
+
+
+@query(f"WITH {_LINES_SQL} SELECT path, line, 'L10n' AS pattern, 'L10n.' || replace(p_name, ' ', '.') AS expression FROM g WHERE k = 5")
+def references_generated(spark, sf_dir):
+    return D.existing_references(extract.events(sources(spark, sf_dir)), ["L10n"]).select("path", "line", "pattern", "expression")
+
+
+@query("WITH a AS (SELECT p_type, p_partkey, 'f' || p_partkey AS f, p_name FROM part) SELECT p_type || '.swift' AS path, p_type AS namespace, f AS func_name, p_name AS escaped_value, p_type || ': ' || p_name AS escaped_comment FROM a")
+def accessors_generated(spark, sf_dir):
+    """Accessors written as generated code, then parsed back."""
+    from loquat.plans.codegen import accessor_text
+
+    rows = table(spark, sf_dir, "part").select("p_type", F.col("p_type").alias("namespace"), F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("func_name"), F.col("p_name").alias("escaped_value"), F.concat("p_type", F.lit(": "), "p_name").alias("escaped_comment"))
+    bodies = rows.withColumn("text", accessor_text()).groupBy("p_type").agg(F.array_join(F.collect_list("text"), "\n").alias("body"))
+    files = bodies.select(F.concat("p_type", F.lit(".swift")).alias("path"), F.concat(F.lit("extension i18n {\n    enum "), "p_type", F.lit(" {\n"), "body", F.lit("\n    }\n}\n")).alias("content"))
+    return extract.accessors(files, "i18n")
+
+
+# Diagnostics and reports
+
+_DIAGNOSTICS_SQL = f"{_LINES_SQL}, {_FOUND_SQL}, z AS (SELECT path, line, CASE WHEN k = 3 THEN 'note' ELSE 'note' END AS severity FROM x WHERE k = 3 OR {sql_reason('t')} IS NOT NULL UNION ALL SELECT path, line, 'suggestion' FROM g WHERE k = 5 UNION ALL SELECT path, line, 'warning' FROM g WHERE k = 4)"
+
+
+def _all_diagnostics(spark, sf_dir):
+    events = extract.events(sources(spark, sf_dir))
+    return D.diagnostics(_findings(spark, sf_dir)).unionByName(D.image_audit(events).select("path", "line", "col", "pos", "kind", "severity", "message"))
+
+
+@query(f"WITH {_DIAGNOSTICS_SQL} SELECT count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, count(*) FILTER (severity = 'suggestion') AS suggestions, count(*) FILTER (severity = 'note') AS notes, count(*) FILTER (severity = 'error') > 0 AS has_errors FROM z")
+def severity_summary(spark, sf_dir):
+    return A.severity_counts(_all_diagnostics(spark, sf_dir))
+
+
+@query(f"WITH {_DIAGNOSTICS_SQL} SELECT path AS file, line, CASE severity WHEN 'warning' THEN 'SL001' ELSE 'SL000' END AS code, CASE severity WHEN 'suggestion' THEN 'note' ELSE severity END AS severity FROM z WHERE severity <> 'note'")
+def report_rows(spark, sf_dir):
+    return report.diagnostic_rows(_all_diagnostics(spark, sf_dir)).select("file", "line", "code", "severity")
+
+
+@query(f"WITH {_LINES_SQL} SELECT '::warning file=' || path || ',line=' || line || ',col=1,title=SL001::{D.IMAGE_WARNING}' AS text FROM g WHERE k = 4")
+def annotation_lines(spark, sf_dir):
+    return report.annotations(_all_diagnostics(spark, sf_dir)).select("text")
+
+
+@query(f"WITH {_LINES_SQL}, {_FOUND_SQL} SELECT (SELECT count(DISTINCT path) FROM g) AS files, count(*) AS strings, count(DISTINCT path) AS namespaces, (SELECT count(*) FROM g WHERE k = 4) AS accessibility_warnings, (SELECT count(*) FROM g WHERE k = 5) AS existing_localized FROM x WHERE k < 3 AND {sql_reason('t')} IS NULL AND {sql_score(sql_trim('t'), 'base')} >= 0.85::DOUBLE")
+def summary(spark, sf_dir):
+    """The whole analysis of generated sources, as one row of totals."""
+    from loquat.plans import scan
+    from loquat.plans.config import Config, ExistingLocalization
+
+    config = Config(accessibility_audit=True, existing_localization=ExistingLocalization(patterns=("L10n",)))
+    files = sources(spark, sf_dir)
+    done = scan.analyse(files, config)
+    row = scan.summary(files, done.detected, done.diagnostics, done, config, {})
+    return row.select("files", "strings", "namespaces", "accessibility_warnings", "existing_localized")
