@@ -6,12 +6,12 @@ a document's group is everything it can reach.
 1. One pass gives each document its set's digest, ``bands`` band keys of ``rows`` minima each, and a
    signature that keeps the low ``BITS`` bits of every minimum, packed in 64-bit words.
 2. Equal sets are one node, however many copies there are.
-3. Nodes sharing a band key meet. First each node meets only the smallest node of its buckets (a star,
-   never all pairs). The estimated similarity (share of equal low bits, corrected for chance) discards
+3. Nodes sharing a band key meet. In a few rounds each node meets one hub of its buckets at a time (stars,
+   never all pairs), in another component than its own. The estimated similarity (share of equal low bits, corrected for chance) discards
    pairs five standard deviations below the threshold; the rest is confirmed on full sets.
 4. Confirmed links give components. Buckets that still hold several components are gone through in
-   full, in tiles of bounded size, for pairs across components only, and those are confirmed too. So a
-   link is found whenever its pair shares a bucket: 1 - (1 - t^rows)^bands, over 0.999996 at t = 0.8.
+   full, in tiles of bounded size, for pairs across components only, each against full sets. So a link is
+   found whenever its pair shares a bucket: 1 - (1 - t^rows)^bands, over 0.999996 at t = 0.8.
 
 Sets travel only for pairs to confirm. Nothing of all documents comes to the driver.
 
@@ -39,6 +39,10 @@ from loquat.llm.text import Words, encode, mix, multipliers
 BANDS, ROWS, BITS = 32, 5, 4
 #: Nodes of a bucket that one task compares with as many others.
 TILE = 4096
+#: Shingles of a bucket's part, likewise.
+TILE_SHINGLES = 2_000_000
+#: Rounds of stars before what is left is gone through in full.
+STARS = 2
 
 
 def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
@@ -92,7 +96,7 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", s
     added = [("_node", T.BinaryType()), ("_n_shingles", T.LongType())]
     node_schema = T.StructType([df.schema[doc_id], *(T.StructField(n, t) for n, t in [*added, ("_bands", T.ArrayType(T.LongType())), ("_sig", T.BinaryType())])])
     marked = storage.materialise(df.select(doc_id, text).mapInArrow(_signatures(text, size, bands, rows), node_schema), "signatures")
-    nodes = marked.where("_n_shingles > 0").groupBy(F.col("_node").alias("node")).agg(F.min(doc_id).alias("id"), F.any_value("_bands").alias("bands"), F.any_value("_sig").alias("sig"))
+    nodes = marked.where("_n_shingles > 0").groupBy(F.col("_node").alias("node")).agg(F.min(doc_id).alias("id"), F.any_value("_bands").alias("bands"), F.any_value("_sig").alias("sig"), F.any_value("_n_shingles").alias("n_shingles"))
     nodes = storage.materialise(nodes, "nodes")
     links = _links(df.select(doc_id, text), nodes, text, doc_id, size, percent / 100, percent, bands * rows)
     roots = storage.materialise(components(links), "components")
@@ -108,89 +112,114 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", s
 
 def _links(docs: DataFrame, nodes: DataFrame, text: str, doc_id: str, size: int, threshold: float, percent: int, values: int) -> DataFrame:
     low = floor_estimate(threshold, values)
-    buckets = nodes.select("node", F.explode("bands").alias("band"))
-    hubs = buckets.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub <> other").select("band", "hub")
-    shared = storage.materialise(buckets.join(hubs, "band"), "buckets")
-    sigs = nodes.select("node", "sig")
-    star = shared.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    star = storage.materialise(_promising(star, sigs, low, values), "star")
-    # One link a node first: a tight group is then a star. Only pairs still across components follow.
-    first = star.groupBy("a").agg(F.min("b").alias("b"))
-    links = storage.materialise(_confirmed(first, docs, nodes, text, doc_id, size, percent), "links")
-    roots = storage.materialise(components(links), "roots")
-    rest = _across(star.join(first, ["a", "b"], "left_anti"), roots)
-    links = links.unionByName(storage.materialise(_confirmed(rest, docs, nodes, text, doc_id, size, percent), "links"))
-    roots = storage.materialise(components(links), "roots")
-    # Buckets with several components left: every pair across them.
-    member = shared.select("band", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_buckets = member.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where("x <> y").select("band", "n")
-    rest = _tiles(member.join(open_buckets, "band").join(sigs, "node"), low, values).distinct().join(star.select("a", "b"), ["a", "b"], "left_anti")
-    return links.unionByName(storage.materialise(_confirmed(rest, docs, nodes, text, doc_id, size, percent), "links"))
-
-
-def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs whose ends are in different components."""
-    a, b = roots.selectExpr("node AS a", "root AS ra"), roots.selectExpr("node AS b", "root AS rb")
-    return pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-
-
-def _promising(pairs: DataFrame, sigs: DataFrame, low: float, values: int) -> DataFrame:
-    both = pairs.join(sigs.selectExpr("node AS a", "sig AS sa"), "a").join(sigs.selectExpr("node AS b", "sig AS sb"), "b")
+    buckets = nodes.select("node", F.posexplode("bands").alias("number", "band"))
+    several = buckets.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    shared = storage.materialise(buckets.join(several, "band"), "buckets")
+    # How many others a node meets: the middle of a group of near copies meets most.
+    degree = shared.groupBy("node").agg(F.sum("n").alias("degree"))
+    shared = storage.materialise(shared.join(degree, "node"), "buckets")
+    sketches = nodes.select("node", "sig", "bands", F.col("n_shingles").alias("members"))
+    links, tried, roots = None, None, nodes.select("node", F.col("node").alias("root")).limit(0)
+    for _ in range(STARS):
+        # In every bucket the node of most meetings is the hub. A node of another component meets one hub,
+        # that of most of its buckets: a tight group becomes a star.
+        member = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        hubs = member.groupBy("band").agg(F.max(F.struct("degree", "node", "root")).alias("hub"))
+        meets = member.join(hubs, "band").where("root <> hub.root").groupBy("node", F.col("hub.node").alias("hub")).agg(F.count("*").alias("n"))
+        pairs = meets.groupBy("node").agg(F.max(F.struct("n", "hub")).alias("best")).select(F.greatest("node", "best.hub").alias("a"), F.least("node", "best.hub").alias("b")).distinct()
+        pairs = storage.materialise(_promising(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), sketches, low, percent, values), "star")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        found = storage.materialise(_confirmed(pairs, docs, nodes, text, doc_id, size, percent), "links")
+        links = found if links is None else links.unionByName(found)
+        roots = storage.materialise(components(links), "roots")
+    # Buckets with several components left: every pair across them, until the components are one.
+    member = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("n", "degree")
+    open_buckets = member.join(sketches.select("node", "members"), "node").groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.greatest(F.count("*") / TILE, F.sum("members") / TILE_SHINGLES).alias("load")).where("x <> y").select("band", "load")
+    member = storage.materialise(member.join(open_buckets, "band"), "open")
+    sets = _full_sets(member.select("node").distinct(), docs, nodes, text, doc_id, size)
+    rows = member.join(sketches, "node").join(sets, "node")
+    return links.unionByName(storage.materialise(_tiles(rows, low, percent, values), "links"))
+
+
+def _similar_size(x, y, percent: int):
+    """Sets of these sizes can reach the threshold."""
+    return 100 * np.minimum(x, y) >= percent * np.maximum(x, y)
+
+
+def _promising(pairs: DataFrame, sketches: DataFrame, low: float, percent: int, values: int) -> DataFrame:
+    side = lambda c: sketches.select(F.col("node").alias(c), F.col("sig").alias(f"s{c}"), F.col("members").alias(f"n{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x, y = (np.stack([np.frombuffer(s, np.uint64) for s in batch.column(c).to_pylist()]) for c in ("sa", "sb"))
-                yield batch.select(["a", "b"]).filter(pa.array(estimate(x, y, values) >= low))
+                near = (estimate(x, y, values) >= low) & _similar_size(batch.column("na").to_numpy(), batch.column("nb").to_numpy(), percent)
+                yield batch.select(["a", "b"]).filter(pa.array(near))
 
     return both.mapInArrow(run, "a binary, b binary")
 
 
-def _tiles(members: DataFrame, low: float, values: int) -> DataFrame:
-    """Promising pairs across components within a bucket; large buckets in tiles, so that no task holds more than two."""
-    parts = F.ceil(F.col("n") / TILE).cast("int")
-    part = members.withColumn("parts", parts).withColumn("part", F.pmod(F.hash("node"), "parts"))
+def _tiles(members: DataFrame, low: float, percent: int, values: int) -> DataFrame:
+    """Confirmed links that join the components of each bucket: every pair across components whose estimate
+    allows a link is held against full sets, best estimates first, while its components are still apart.
+
+    A pair is looked at in the first bucket it shares only. Large buckets go in tiles of bounded rows and
+    shingles, so that no task holds more than two parts of one; only links that join something come out."""
+    part = members.withColumn("parts", F.greatest(F.ceil("load"), F.lit(1)).cast("int")).withColumn("part", F.pmod(F.hash("node"), "parts"))
     tiles = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("part", j).alias("i"), F.greatest("part", j).alias("j")))
-    part = part.withColumn("tile", F.explode(tiles)).select("band", "tile.i", "tile.j", "part", "node", "root", "sig")
+    part = part.withColumn("tile", F.explode(tiles)).select("band", "tile.i", "tile.j", "number", "part", "node", "root", "sig", "bands", "members", "set")
 
     def run(table: pa.Table) -> pa.Table:
         node, root, side = table["node"].to_pylist(), np.array(table["root"].to_pylist(), object), table["part"].to_numpy()
         sig = np.stack([np.frombuffer(s, np.uint64) for s in table["sig"].to_pylist()])
+        sets = [np.frombuffer(s, np.uint64) for s in table["set"].to_pylist()]
+        keys, size = np.array(table["bands"].to_pylist(), np.int64), table["members"].to_numpy()
         _, component = np.unique(root, return_inverse=True)
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        i, j, number = (table[c][0].as_py() for c in ("i", "j", "number"))
         left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
         a, b = [], []
-        for k in left:
-            others = right[component[right] != component[k]]
-            for m in others[estimate(sig[others], sig[k], values) >= low]:
-                x, y = (node[k], node[m]) if node[k] > node[m] else (node[m], node[k])
-                a.append(x)
-                b.append(y)
+        for at, k in enumerate(left):
+            others = right[at + 1 :] if i == j else right
+            others = others[(component[others] != component[k]) & _similar_size(size[others], size[k], percent)]
+            guess = estimate(sig[others], sig[k], values)
+            near = (guess >= low) & ~(keys[others, :number] == keys[k, :number]).any(1)
+            for m in others[near][np.argsort(-guess[near], kind="stable")]:
+                if component[m] != component[k] and _linked(sets[k], sets[m], percent):
+                    component[component == component[m]] = component[k]
+                    a.append(max(node[k], node[m]))
+                    b.append(min(node[k], node[m]))
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
     return part.groupBy("band", "i", "j").applyInArrow(run, "a binary, b binary")
 
 
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
+def _full_sets(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, text: str, doc_id: str, size: int) -> DataFrame:
+    """node, set (sorted 64-bit hashes) of the wanted nodes, from the text of one document of each."""
+    wanted = nodes.select("node", "id").join(wanted, "node")
+    # Null ids equal each other here; a row of another text under the same id is told by its digest.
+    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
+    found = wanted.join(rows, F.col("id").eqNullSafe(F.col("_id"))).select("node", "_text").mapInArrow(_sets(size), "node binary, set binary")
+    return storage.materialise(found.dropDuplicates(["node"]), "sets")
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, text: str, doc_id: str, size: int, percent: int) -> DataFrame:
     """The pairs whose full sets reach the threshold."""
-    pairs = storage.materialise(pairs, "pairs")
     if pairs.isEmpty():
         return pairs
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = nodes.select("node", "id").join(ends, "node")
-    # Null ids equal each other here; a row of another text under the same id is told by its digest.
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
-    found = wanted.join(rows, F.col("id").eqNullSafe(F.col("_id"))).select("node", "_text").mapInArrow(_sets(size), "node binary, members binary").dropDuplicates(["node"])
-    found = storage.materialise(found, "sets")
-    both = pairs.join(found.selectExpr("node AS a", "members AS sa"), "a").join(found.selectExpr("node AS b", "members AS sb"), "b")
+    sets = _full_sets(ends, docs, nodes, text, doc_id, size)
+    both = pairs.join(sets.selectExpr("node AS a", "set AS sa"), "a").join(sets.selectExpr("node AS b", "set AS sb"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
+            ends = zip(batch.column("sa"), batch.column("sb"), strict=True)
+            keep = [_linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in ends]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(run, "a binary, b binary")
@@ -207,7 +236,7 @@ def _sets(size: int):
                 batch = whole.slice(i, 500)
                 sets = shingle_sets(batch.column("_text").to_pylist(), size)
                 own = [(n, x.tobytes()) for n, x in zip(batch.column("node").to_pylist(), sets, strict=True) if _digest(x) == n]
-                yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in own], pa.binary()), pa.array([x for _, x in own], pa.binary())], names=["node", "members"])
+                yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in own], pa.binary()), pa.array([x for _, x in own], pa.binary())], names=["node", "set"])
 
     return run
 
