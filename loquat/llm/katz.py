@@ -9,7 +9,8 @@ the words not seen after h exactly the mass that discounting left: (1 - sum of s
 (0, 1), absolute discounting by 1/2 is used instead; where all of h's continuations are above ``K``, so
 that none is discounted, they give up half a count in all. Probabilities always sum to one.
 
-Counts and answers travel by block exchange, one round an order: each block sends its distinct
+Words of order 1 are told by 64-bit hashes and get a number (rank and shard), by which the higher
+orders name them. Counts and answers travel by block exchange, one round an order: each block sends its distinct
 n-grams with its counts, shards by history sum them, store them (a table a order, partitioned by shard) and
 answer. The shard of a history needs the lower-order probability of each continuation, which the block
 already knows, so no table is ever joined row by row or broadcast. What is gathered grows with the input.
@@ -127,26 +128,27 @@ def _ask_words(reader: _Reader, shards: int):
 
 
 class _State:
-    """What a block knows of its tokens after the answers of orders 1..n: probability at that order."""
+    """What a block knows of its tokens after the answers of orders 1..n: count, number and probability at that order."""
 
     def __init__(self, reader: _Reader, rows: pa.Table, answers: dict[int, bytes], n: int, shards: int, model: Katz):
         self.token, self.row, self.held = reader(rows)
         keys, number = np.unique(self.token, return_inverse=True)
-        counts = np.zeros(len(keys), np.int64)
+        counts, names = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.uint64)
         for s, at in X.slices(keys, shards):
-            counts[at] = X.unpack(answers[s])
-        self.count = counts[number]
+            count, rank = X.split_parts(answers[s])
+            counts[at], names[at] = X.unpack(count), X.unpack_sorted(rank) * np.uint64(shards) + np.uint64(s)
+        self.count, self.name = counts[number], names[number]
         self.p = model.unigram(self.count)
         for m in range(2, n + 1):
             self._extend(m, answers, shards, model)
 
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(position, history hash, word hash) of the tokens that have n - 1 tokens before them in their row."""
+        """(position, history hash, word number) of the tokens that have n - 1 tokens before them in their row."""
         at = np.flatnonzero(self.row[n - 1 :] == self.row[: len(self.row) - n + 1]) + n - 1 if len(self.row) >= n else np.empty(0, np.int64)
         history = np.full(len(at), n, np.uint64)
         for j in range(n - 1, 0, -1):
             history = mix(history * np.uint64(0x9E3779B97F4A7C15) + self.token[at - j])
-        return at, history, self.token[at]
+        return at, history, self.name[at]
 
     def _extend(self, n: int, answers: dict[int, bytes], shards: int, model: Katz) -> None:
         at, history, word = self.grams(n)
@@ -209,7 +211,7 @@ def _narrow(a: np.ndarray) -> np.ndarray:
 
 def _answered(asks: DataFrame, n: int, path: str) -> DataFrame:
     """Answers, and statistics as rows of block -1. The shard's n-grams are stored below ``path`` by the same task."""
-    merge = _merge_words if n == 1 else _merge_grams
+    merge = _merge_words if n == 1 else _merge_grams  # word numbers are small, where hashes take eight bytes
 
     def per_shard(table: pa.Table) -> pa.Table:
         shard = table["shard"][0].as_py()
@@ -228,7 +230,9 @@ def _store(path: str, shard: int, table: pa.Table) -> None:
 
     fs, root = storage.filesystem(f"{path}/shard={shard}")
     fs.create_dir(root, recursive=True)
-    pq.write_table(table, temporary := f"{root}/.{uuid.uuid4().hex}", filesystem=fs, compression="zstd")
+    encoding = {c: "DELTA_BINARY_PACKED" for c in ("history", "rank") if c in table.column_names}
+    signed = table.cast(pa.schema([(c, pa.int64()) for c in table.column_names]), safe=False)
+    pq.write_table(signed, temporary := f"{root}/.{uuid.uuid4().hex}", filesystem=fs, compression="zstd", use_dictionary=["count"], column_encoding=encoding | {"word": "BYTE_STREAM_SPLIT"})
     fs.move(temporary, f"{root}/counts.parquet")
 
 
@@ -237,10 +241,11 @@ def _merge_words(payloads: list[bytes]) -> tuple[list[bytes], np.ndarray, pa.Tab
     keys = [X.unpack_sorted(a) for a, _ in parts]
     every, number = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(number, weights=np.concatenate([X.unpack(b) for _, b in parts]), minlength=len(every)).astype(np.int64)
-    out = [X.pack(_narrow(x)) for x in np.split(total[number], np.cumsum([len(k) for k in keys])[:-1])]
+    own = np.split(number, np.cumsum([len(k) for k in keys])[:-1])
+    out = [X.join_parts(X.pack(_narrow(total[k])), X.pack_sorted(k.astype(np.uint64))) for k in own]
     seen = total > 0
     stats = np.array([[-1, total.sum()], [-2, seen.sum()]], np.int64)
-    return out, stats.ravel(), pa.table({"word": every[seen], "count": total[seen]})
+    return out, stats.ravel(), pa.table({"word": every[seen], "rank": np.flatnonzero(seen), "count": total[seen]})
 
 
 def _merge_grams(payloads: list[bytes]) -> tuple[list[bytes], np.ndarray, pa.Table]:

@@ -99,7 +99,7 @@ def test_packing_places_every_token_once(spark):
 
 def test_descending_pieces_go_to_the_cheapest_sequence_with_room():
     full, left = packing.pack_pool([6, 5, 4, 3, 2], 10)
-    assert full == [[(0, 0, 6), (3, 0, 3), (4, 0, 1)], [(1, 0, 5), (2, 0, 4), (4, 1, 1)]] and left == []
+    assert full == [[(0, 0, 6), (3, 0, 3), (4, 1, 1)], [(1, 0, 5), (2, 0, 4), (4, 0, 1)]] and left == []
     assert [sum(n for _, _, n in s) for s in packing.powers([(0, 0, 7), (1, 2, 4)])] == [8, 2, 1]
 
 
