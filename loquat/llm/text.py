@@ -90,7 +90,7 @@ class Words:
 
     @classmethod
     def of(cls, raws: list[bytes], inside: np.ndarray = SPACED, lower: bool = False) -> Words:
-        parts = [_hash_chunk(chunk, inside, lower) for chunk in _chunks(raws)]
+        parts = [_hash_chunk(chunk, inside, lower) for chunk in chunks_of(raws)]
         if not parts:
             return cls(np.empty(0, np.uint64), np.empty(0, np.int64))
         return cls(np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts]))
@@ -114,7 +114,8 @@ class Words:
         return np.arange(per_text.sum()) + np.repeat(self.first - (np.cumsum(per_text) - per_text), per_text), per_text
 
 
-def _chunks(raws: list[bytes]) -> Iterator[list[bytes]]:
+def chunks_of(raws: list[bytes]) -> Iterator[list[bytes]]:
+    """Texts in groups of about ``CHUNK`` bytes, one text at least."""
     held, size = [], 0
     for raw in raws:
         held.append(raw)
@@ -126,19 +127,26 @@ def _chunks(raws: list[bytes]) -> Iterator[list[bytes]]:
         yield held
 
 
+class Places:
+    """Words of a line-separated text of texts: their hashes, and the byte before and the last byte of each."""
+
+    def __init__(self, blob: bytes, sizes: list[int], inside: np.ndarray):
+        raw = np.frombuffer(blob, np.uint8)
+        word = inside[raw]
+        edges = np.flatnonzero(word[1:] != word[:-1])
+        self.before, self.last = edges[0::2], edges[1::2]
+        up, down = _table(0, len(raw))
+        sums = raw + np.uint64(1)
+        sums *= up[: len(raw)]
+        np.cumsum(sums, out=sums)
+        hashes = (sums[self.last] - sums[self.before]) * down[self.before]
+        self.hashes = mix(hashes + (self.last - self.before).astype(np.uint64))
+        ends = np.cumsum([x + 1 for x in sizes])
+        self.counts = np.diff(np.searchsorted(self.before, ends), prepend=0).astype(np.int64)
+        self.first = np.cumsum(self.counts) - self.counts
+
+
 def _hash_chunk(raws: list[bytes], inside: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     blob = b"\n" + b"\n".join(raws) + b"\n"
-    if lower:
-        blob = ascii_lower(blob)
-    raw = np.frombuffer(blob, np.uint8)
-    word = inside[raw]
-    edges = np.flatnonzero(word[1:] != word[:-1])  # before each first, and at each last byte of a word
-    before, last = edges[0::2], edges[1::2]
-    up, down = _table(0, len(raw))
-    sums = raw + np.uint64(1)
-    sums *= up[: len(raw)]
-    np.cumsum(sums, out=sums)
-    hashes = (sums[last] - sums[before]) * down[before]
-    ends = np.cumsum([len(x) + 1 for x in raws])
-    counts = np.diff(np.searchsorted(before, ends), prepend=0)
-    return mix(hashes + (last - before).astype(np.uint64)), counts.astype(np.int64)
+    places = Places(ascii_lower(blob) if lower else blob, [len(x) for x in raws], inside)
+    return places.hashes, places.counts
