@@ -94,6 +94,7 @@ class Blocks:
         staged = df.mapInArrow(_to_blocks(text, block_bytes), "block long, n_rows long, payload binary")
         with setting(spark, "spark.sql.parquet.compression.codec", "uncompressed"):
             staged.write.option("path", path).bucketBy(self.buckets, "block").sortBy("block").saveAsTable(name)
+        storage.name_table(path, name)
         self.rows = spark.table(name)
 
     def shards(self, bytes_per_key: float = 6.0, keys: int = SHARD_KEYS) -> int:

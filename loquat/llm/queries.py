@@ -58,6 +58,19 @@ def op5_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_n_shingles").alias("n_shingles"), F.col("_component").alias("component_id"), F.col("_kept").alias("kept"))
 
 
+OP5_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS k FROM sh GROUP BY doc_id),
+pair AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT x, y FROM pair JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 80 * (nx.k + ny.k - c)),
+edge AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach(doc_id, r) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.doc_id, edge.y FROM reach JOIN edge ON reach.r = edge.x)
+SELECT d.doc_id, coalesce(any_value(k), 0)::BIGINT AS n_shingles, min(r) AS component_id, d.doc_id = min(r) AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN reach USING (doc_id) GROUP BY d.doc_id
+"""
+
+
 def op6_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loquat.llm.katz import score_documents
 
@@ -186,6 +199,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_license_scan": _op1_sql(),
     "op4_substring_dedup": OP4_SQL,
+    "op5_minhash_neardup": OP5_SQL,
     "op7_line_rules": OP7_SQL,
     "op8_decontamination": OP8_SQL,
 }

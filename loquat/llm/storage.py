@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _local_dir: str | None = None
 _open: list[str] = []
+_tables: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,7 +48,14 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def name_table(path: str, name: str) -> None:
+    """The catalog's name of the table at a path, dropped with it."""
+    _tables[path] = name
+
+
 def delete(spark: SparkSession, path: str) -> None:
+    if path in _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop(path)}")
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

@@ -3,7 +3,7 @@
 Each class has bigram counts and, below them, continuation counts (distinct contexts of a word). Both
 discounted levels back off to counts that the classes share: for a frequent word the part of its
 continuation share that both classes have, for a rare one (fewer contexts in all than
-``rare_share`` of the smaller class's documents) the sum. A rare word or bigram thus says nothing for
+a share of the smaller class's documents) the sum. A rare word or bigram thus says nothing for
 either class by itself, whatever its accidental counts. A text's score compares the two
 log-likelihoods, divided by its length, through a logistic curve fitted on sampled documents that the
 counts did not use.
@@ -33,6 +33,8 @@ from loquat.llm.text import Words, encode, mix
 DISCOUNT = 0.75
 #: Added to lengths, so that a few words are little evidence.
 PRIOR_TOKENS = 20
+#: What is rare, as a share of the smaller class's documents: the one that ranks best is taken.
+RARE_SHARES = (0.005, 0.01, 0.015, 0.02, 0.03)
 _START = np.uint64(7)
 
 
@@ -133,26 +135,40 @@ def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 10
     return float(beta[0] / scale), float(beta[1])
 
 
-def fit(texts: list[list[str]], rates: tuple[int, int], rare_share: float = 0.02) -> Model:
-    """``texts`` of class 0 and 1, in hash order; ``rates``: labelled rows of each class in all."""
+def _ranked(x: np.ndarray, y: np.ndarray) -> float:
+    """Share of pairs of a toxic and an ordinary document that the score orders rightly."""
+    order = np.argsort(np.argsort(x, kind="stable"), kind="stable")
+    ones = int(y.sum())
+    return (order[y == 1].sum() - ones * (ones - 1) / 2) / (ones * (len(y) - ones))
+
+
+def fit(texts: list[list[str]], rates: tuple[int, int], rare_shares: tuple[float, ...] = RARE_SHARES, prior_power: float = 0.5) -> Model:
+    """``texts`` of class 0 and 1, in hash order; ``rates``: labelled rows of each class in all.
+
+    Counts of three quarters of each class are tried on the rest: that chooses what is rare, and fits
+    the curve, in which a class weighs its rate to the power ``prior_power``. Then all are counted."""
     if not all(texts):
         overall = np.clip(rates[1] / max(1, sum(rates)), 1e-6, 1 - 1e-6)
         empty = np.empty(0)
         return Model(empty, np.empty((2, 0)), np.ones(2), empty, np.empty((2, 0)), empty, np.empty((2, 0)), 0.0, float(np.log(overall / (1 - overall))))
-    # A quarter of each class calibrates the counts of the rest; then all are counted.
+    words = lambda t: Words.of([encode(x) for x in t], lower=True)
     kept = [[x for k, x in enumerate(t) if k % 4] or t for t in texts]
     aside = [[x for k, x in enumerate(t) if not k % 4] for t in texts]
-    words = lambda t: Words.of([encode(x) for x in t], lower=True)
-    trial = estimate([words(t) for t in kept], max(3.0, rare_share * min(map(len, kept))))
-    xs = [(lambda like, n: (like[1] - like[0]) / (n + PRIOR_TOKENS))(*trial.log_likelihoods(t)) for t in aside]
-    y = np.repeat([0.0, 1.0], [len(x) for x in xs])
-    weight = np.repeat([r / len(x) for r, x in zip(rates, xs, strict=True)], [len(x) for x in xs])
-    model = estimate([words(t) for t in texts], max(3.0, rare_share * min(map(len, texts))))
-    model.slope, model.offset = calibrate(np.concatenate(xs), y, weight * len(y) / weight.sum())
+    y = np.repeat([0.0, 1.0], [len(x) for x in aside])
+    counted, best = [words(t) for t in kept], None
+    for share in rare_shares:
+        trial = estimate(counted, max(3.0, share * min(map(len, kept))))
+        x = np.concatenate([(lambda like, n: (like[1] - like[0]) / (n + PRIOR_TOKENS))(*trial.log_likelihoods(t)) for t in aside])
+        if best is None or _ranked(x, y) > best[0]:
+            best = (_ranked(x, y), share, x)
+    _, share, x = best
+    weight = np.repeat([r**prior_power / len(t) for r, t in zip(rates, aside, strict=True)], [len(t) for t in aside])
+    model = estimate([words(t) for t in texts], max(3.0, share * min(map(len, texts))))
+    model.slope, model.offset = calibrate(x, y, weight * len(y) / weight.sum())
     return model
 
 
-def train(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", max_rows: int = 4000, rare_share: float = 0.02) -> Model:
+def train(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", max_rows: int = 4000, rare_shares: tuple[float, ...] = RARE_SHARES) -> Model:
     """Fit on at most ``max_rows`` labelled rows of each class."""
     known = labels.select(F.col(doc_id).alias("_id"), (F.col(label) > 0).cast("int").alias("_y")).dropna()
     rates = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count("*").alias("n")).collect()}
@@ -162,7 +178,7 @@ def train(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
         sample = part if sample is None else sample.unionByName(part)
     rows = df.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(sample), "_id").select(F.xxhash64("_id").alias("h"), "_y", F.coalesce("_text", F.lit("")).alias("t")).toArrow()
     ordered = sorted(zip(*(rows[c].to_pylist() for c in ("h", "_y", "t")), strict=True))
-    return fit([[t for _, y, t in ordered if y == c] for c in (0, 1)], (rates.get(0, 0), rates.get(1, 0)), rare_share)
+    return fit([[t for _, y, t in ordered if y == c] for c in (0, 1)], (rates.get(0, 0), rates.get(1, 0)), rare_shares)
 
 
 def score(df: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
