@@ -60,6 +60,17 @@ def namespace_counts(strings: DataFrame) -> DataFrame:
     return strings.groupBy("namespace").agg(F.count("*").alias("strings")).orderBy("namespace")
 
 
+def console_report(summary: DataFrame, strings: DataFrame, verbose: bool = False) -> list[str]:
+    """Totals, then a line a namespace; every string too if verbose. The driver gets these lines only."""
+    row = summary.first()
+    lines = [f"Scanned {row.files} files: {row.strings} strings, {row.warnings} warnings, {row.errors} errors, {row.cache_hits} cached"]
+    lines += [f"  {x['namespace']}: {x['strings']}" for x in namespace_counts(strings).collect()]
+    if verbose:
+        told = strings.select("path", "pos", F.format_string('  %s:%d:%d [%s] "%s" (%.2f)', "path", "line", "col", R.context_name(F.col("context")), "value", "confidence").alias("text"))
+        lines += [x["text"] for x in told.orderBy("path", "pos").collect()]
+    return lines
+
+
 def exit_status(strings: int, warnings: int, errors: int, strict: bool = False, fail_on: str = "errors") -> int:
     """1 if strict and any string is left, or by what it shall fail on: errors, warnings (and errors), never."""
     if strict and strings:

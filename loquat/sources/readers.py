@@ -124,3 +124,35 @@ def read_cache(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame,
     except Exception as problem:  # missing is usual; anything else is told
         text = str(problem)
         return spark.createDataFrame([], schema), None if "PATH_NOT_FOUND" in text else f"Cache unreadable, scanning everything: {text.splitlines()[0]}"
+
+
+def language_count(catalog: DataFrame) -> DataFrame:
+    """Languages of a catalog: the most translations of any entry (one row)."""
+    return catalog.agg(F.coalesce(F.max("translation_count"), F.lit(0)).alias("languages"))
+
+
+def asset_counts(assets: DataFrame) -> DataFrame:
+    """Images, colors and all assets (one row)."""
+    of = lambda kind: F.count_if(F.col("type") == kind)
+    return assets.distinct().agg(of("image").alias("images"), of("color").alias("colors"), F.count("*").alias("total"))
+
+
+def nearby_catalogs(start: str, suffix: str = ".xcassets", home: str | None = None) -> list[str]:
+    """Catalogs right inside a directory or, failing that, one of its two parents; not above the home directory.
+
+    Driver-side: three directory listings."""
+    import os
+
+    current, home = os.path.realpath(start), os.path.realpath(home or os.path.expanduser("~"))
+    for _ in range(3):
+        found = sorted(os.path.join(current, x) for x in os.listdir(current) if x.endswith(suffix)) if os.path.isdir(current) else []
+        if found or current in (home, os.path.dirname(current)):
+            return found
+        current = os.path.dirname(current)
+    return []
+
+
+def single_file(spark: SparkSession, path: str) -> DataFrame:
+    """One source file, by whatever name; a missing one is an error."""
+    raw = spark.read.format("binaryFile").load(path)
+    return raw.select(_plain_path("path").alias("path"), _plain_path("path").alias("rel_path"), F.when(F.is_valid_utf8("content"), F.decode("content", "UTF-8")).alias("content"), F.sha2("content", 256).alias("hash"))

@@ -171,6 +171,8 @@ def test_reports(spark, project):
     assert all(d["severity"] != "suggestion" and d["code"] in ("SL000", "SL001", "SL002") for d in parsed["diagnostics"])
     assert any(r.text.startswith("::warning file=") for r in report.annotations(out["diagnostics"]).collect())
     assert report.console_lines(out["diagnostics"], "quiet").count() == 1
+    lines = report.console_report(out["summary"], out["detected"], verbose=True)
+    assert lines[1:3] == ["  Profile: 1", "  Settings: 5"] and len(lines) == 9
     assert [(r.namespace, r.strings) for r in report.namespace_counts(out["detected"]).collect()] == [("Profile", 1), ("Settings", 5)]
     assert [report.exit_status(1, 1, 0), report.exit_status(1, 0, 0, strict=True), report.exit_status(0, 1, 0, fail_on="warnings"), report.exit_status(0, 1, 1, fail_on="never")] == [0, 1, 1, 0]
 
@@ -189,6 +191,18 @@ def test_catalog_merge_takes_the_last_path(spark):
         readers.parse_catalogs(spark.createDataFrame([("a", "{")], "path string, content string")).collect()
 
 
+def test_catalogs_nearby_and_counts(spark, tmp_path):
+    (tmp_path / "a/b/c").mkdir(parents=True)
+    (tmp_path / "a/M.xcassets").mkdir()
+    assert readers.nearby_catalogs(str(tmp_path / "a/b/c")) == [str(tmp_path / "a/M.xcassets")]
+    assert readers.nearby_catalogs(str(tmp_path / "a/b/c"), home=str(tmp_path / "a/b")) == []
+    assert readers.asset_counts(spark.createDataFrame([("image", "x"), ("image", "x"), ("color", "y")], "type string, full_name string")).first()[:] == (1, 1, 2)
+    assert readers.language_count(spark.createDataFrame([("k", None, None, 3)], readers.CATALOG)).first()[0] == 3
+    (tmp_path / "one.swift").write_text('Text("Alone here")')
+    done = scan.analyse(readers.single_file(spark, str(tmp_path / "one.swift")), config.Config(minimum_confidence=0.0))
+    assert [r.value for r in done.detected.collect()] == ["Alone here"]
+
+
 def test_severity_order(spark):
     rows = spark.createDataFrame([(s,) for s in ("note", "suggestion", "warning", "error", "odd")], "s string")
     assert [r[0] for r in rows.select(A.severity_rank(F.col("s"))).collect()] == [0, 1, 2, 3, 0]
