@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loquat.llm import storage
-from loquat.llm.text import alphabet, decode, encode
+from loquat.llm.text import alphabet, decode, encode, lean
 
 #: Bytes between words, before lower-casing.
 OUTSIDE = bytes([*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
@@ -84,14 +84,16 @@ def item_parts(items: DataFrame, item_id: str, text: str, max_chars: int) -> Ite
 def find_contamination(df: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 10, max_chars: int = 8_000_000) -> DataFrame:
     """``df``'s columns and ``_n_words``, ``_n_hit`` (words inside matches), ``_items`` (ids of matching
     items, sorted as strings), ``_spans`` (byte offsets of the runs of hit words in the UTF-8 text)."""
-    spark = df.sparkSession
+    spark, scan = df.sparkSession, None
     out = df.withColumn("_hits", F.lit(None).cast(HITS))
-    for k, part in enumerate(item_parts(items, item_id, item_text, max_chars)):
-        out = storage.materialise(out, "hits") if k else out
-        out = out.mapInArrow(_scan(spark.sparkContext.broadcast(part), text, size), out.schema)
+    for part in item_parts(items, item_id, item_text, max_chars):
+        if scan is not None:
+            out = storage.materialise(out.mapInArrow(lean(scan), out.schema), "hits")
+        scan = _scan(spark.sparkContext.broadcast(part), text, size)
     added = [("_n_words", T.LongType()), ("_n_hit", T.LongType()), ("_items", T.ArrayType(T.LongType())), ("_spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))]
     schema = T.StructType([*df.schema.fields, *(T.StructField(n, t) for n, t in added)])
-    return out.mapInArrow(_summary(text), schema)
+    last = _summary(text) if scan is None else lambda batches, scan=scan: _summary(text)(scan(batches))
+    return out.mapInArrow(lean(last), schema)
 
 
 def _scan(broadcast, text: str, size: int):

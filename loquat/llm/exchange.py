@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loquat.llm import storage
+from loquat.llm.text import give_back, lean
 
 BLOCK_BYTES = 8 << 20
 SHARD_KEYS = 3_000_000
@@ -91,7 +92,7 @@ class Blocks:
         shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.buckets = max(shuffles, min(100_000, math.ceil(self.bytes / (2 * block_bytes))))
         path, name = storage.new_path(spark, "blocks"), f"loquat_blocks_{uuid.uuid4().hex}"
-        staged = df.mapInArrow(_to_blocks(text, block_bytes), "block long, n_rows long, payload binary")
+        staged = df.mapInArrow(lean(_to_blocks(text, block_bytes)), "block long, n_rows long, payload binary")
         with setting(spark, "spark.sql.parquet.compression.codec", "uncompressed"):
             staged.write.option("path", path).bucketBy(self.buckets, "block").sortBy("block").saveAsTable(name)
         storage.name_table(path, name)
@@ -103,7 +104,7 @@ class Blocks:
 
     def ask(self, ask: Callable[[pa.RecordBatch], Iterator[tuple[int, bytes]]], answers: DataFrame | None = None) -> DataFrame:
         """Questions of every block: ``ask(rows[, answers])`` yields (shard, payload)."""
-        return self._over(answers).mapInArrow(_asking(ask, answers is not None), ASK)
+        return self._over(answers).mapInArrow(lean(_asking(ask, answers is not None)), ASK)
 
     def answer(self, asks: DataFrame, answer: Callable[[int, list[bytes]], list[bytes]]) -> DataFrame:
         """``answer(shard, payloads)`` gives a payload for each, in order; one row a block and shard."""
@@ -111,6 +112,7 @@ class Blocks:
         def per_shard(table: pa.Table) -> pa.Table:
             shard = table["shard"][0].as_py()
             out = answer(shard, table["payload"].to_pylist())
+            give_back()
             return pa.table({"block": table["block"], "shard": table["shard"], "payload": pa.array(out, pa.binary())})
 
         return asks.groupBy("shard").applyInArrow(per_shard, ASK)
@@ -122,7 +124,7 @@ class Blocks:
             for block in _each(batches):
                 yield from use(from_payload(block["payload"]), {x["shard"]: x["payload"] for x in block["answers"] or ()})
 
-        return self._over(answers).mapInArrow(run, schema)
+        return self._over(answers).mapInArrow(lean(run), schema)
 
     def _over(self, answers: DataFrame | None) -> DataFrame:
         if answers is None:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from loquat.llm.text import Words, alphabet, encode, multipliers
+from loquat.llm.text import Words, alphabet, encode, lean, multipliers
 
 SIZE, PERCENT, BANDS, LEAST_STEP = 5, 80, 128, 4
 INSIDE = alphabet(bytes([*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
@@ -147,4 +147,4 @@ def scan_licenses(df: DataFrame, text: str = "text", templates: dict[str, str] |
                 rows = pa.array([[dict(zip(("template", "first_word", "shingles"), m, strict=True)) for m in x] for x in found], kind)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n), names, rows], names=[*batch.schema.names, "_n_words", "_licenses", "_matches"])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)

@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from loquat.llm import storage
 from loquat.llm.components import components
-from loquat.llm.text import Words, encode, mix, multipliers
+from loquat.llm.text import Words, encode, lean, mix, multipliers
 
 BANDS, ROWS, BITS = 32, 5, 4
 #: Nodes of a bucket that one task compares with as many others.
@@ -95,7 +95,7 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", s
     ``percent``: linked if 100 * intersection >= percent * union."""
     added = [("_node", T.BinaryType()), ("_n_shingles", T.LongType())]
     node_schema = T.StructType([df.schema[doc_id], *(T.StructField(n, t) for n, t in [*added, ("_bands", T.ArrayType(T.LongType())), ("_sig", T.BinaryType())])])
-    marked = storage.materialise(df.select(doc_id, text).mapInArrow(_signatures(text, size, bands, rows), node_schema), "signatures")
+    marked = storage.materialise(df.select(doc_id, text).mapInArrow(lean(_signatures(text, size, bands, rows)), node_schema), "signatures")
     nodes = marked.where("_n_shingles > 0").groupBy(F.col("_node").alias("node")).agg(F.min(doc_id).alias("id"), F.any_value("_bands").alias("bands"), F.any_value("_sig").alias("sig"), F.any_value("_n_shingles").alias("n_shingles"))
     nodes = storage.materialise(nodes, "nodes")
     links = _links(df.select(doc_id, text), nodes, text, doc_id, size, percent / 100, percent, bands * rows)
@@ -104,7 +104,7 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", s
     least = ids.groupBy("root").agg(F.min("id").alias("_component"))
     component = ids.join(least, "root").select(F.col("node").alias("_node"), "_component", F.col("root").alias("_group"))
     # The digest is a function of the text, so rows get it anew instead of carrying their text through joins.
-    with_node = df.mapInArrow(_signatures(text, size, 0, 0, keep=True), T.StructType([*df.schema.fields, *(T.StructField(n, t) for n, t in added)]))
+    with_node = df.mapInArrow(lean(_signatures(text, size, 0, 0, keep=True)), T.StructType([*df.schema.fields, *(T.StructField(n, t) for n, t in added)]))
     out = with_node.join(component, "_node", "left").drop("_node")
     component_or_self = F.when(F.col("_n_shingles") > 0, F.col("_component")).otherwise(F.col(doc_id))
     return out.withColumn("_component", component_or_self).withColumn("_kept", F.col(doc_id).eqNullSafe(F.col("_component")))
@@ -157,7 +157,7 @@ def _promising(pairs: DataFrame, sketches: DataFrame, low: float, percent: int,
                 near = (estimate(x, y, values) >= low) & _similar_size(batch.column("na").to_numpy(), batch.column("nb").to_numpy(), percent)
                 yield batch.select(["a", "b"]).filter(pa.array(near))
 
-    return both.mapInArrow(run, "a binary, b binary")
+    return both.mapInArrow(lean(run), "a binary, b binary")
 
 
 def _tiles(members: DataFrame, low: float, percent: int, values: int) -> DataFrame:
@@ -204,7 +204,7 @@ def _full_sets(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, text: str,
     wanted = nodes.select("node", "id").join(wanted, "node")
     # Null ids equal each other here; a row of another text under the same id is told by its digest.
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
-    found = wanted.join(rows, F.col("id").eqNullSafe(F.col("_id"))).select("node", "_text").mapInArrow(_sets(size), "node binary, set binary")
+    found = wanted.join(rows, F.col("id").eqNullSafe(F.col("_id"))).select("node", "_text").mapInArrow(lean(_sets(size)), "node binary, set binary")
     return storage.materialise(found.dropDuplicates(["node"]), "sets")
 
 
@@ -222,7 +222,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, text: str, d
             keep = [_linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in ends]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a binary, b binary")
+    return both.mapInArrow(lean(run), "a binary, b binary")
 
 
 def _digest(members: np.ndarray) -> bytes:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loquat.llm.text import Words, encode, mix
+from loquat.llm.text import Words, encode, lean, mix
 
 BITS = 16
 _SHAPES = bytes(65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else b for b in range(256))
@@ -139,7 +139,7 @@ def train(df: DataFrame, ratings: DataFrame, text: str = "text", doc_id: str = "
                 found = [np.unique(x, return_counts=True) for x in np.split(every, np.cumsum(n)[:-1])]
                 yield pa.RecordBatch.from_arrays([batch.column("_id").cast(pa.string()), batch.column("_grade"), pa.array([a.astype("<u4").tobytes() for a, _ in found], pa.binary()), pa.array([b.astype("<u4").tobytes() for _, b in found], pa.binary())], names=["id", "grade", "index", "count"])
 
-    rows = joined.select("_id", "_grade", "_text").mapInArrow(run, "id string, grade long, index binary, count binary").toArrow()
+    rows = joined.select("_id", "_grade", "_text").mapInArrow(lean(run), "id string, grade long, index binary, count binary").toArrow()
     rows = sorted(zip(*(rows[c].to_pylist() for c in ("id", "grade", "index", "count")), strict=True))
     return fit([np.frombuffer(x[2], "<u4").astype(np.int64) for x in rows], [np.frombuffer(x[3], "<u4").astype(np.float64) for x in rows], np.array([x[1] for x in rows], np.int64), bits, **kw)
 
@@ -159,4 +159,4 @@ def score(df: DataFrame, model: Ordinal, text: str = "text", grade: int = 1, lea
                 tail = fitted.tail(tails, grade)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fitted.expected(tails)), pa.array(tail), pa.array(tail >= least)], names=[*batch.schema.names, "_expected_grade", "_tail", "_kept"])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)

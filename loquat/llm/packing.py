@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loquat.llm.text import lean
 from loquat.llm.tokens import encoded, shared_encoder
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -82,7 +83,7 @@ def powers(pieces: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]
 def pack(df: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id", capacity: int = 2048, end_id: int = 1, linear: float = 1.0, quadratic: float = 1 / 2048, pool_tokens: int = 2_000_000) -> DataFrame:
     """A row for each piece: where it lies in its document and in its sequence, and its ids (32-bit little-endian)."""
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_packer(tokenizer, end_id, capacity, linear, quadratic, pool_tokens), PIECES)
+    return rows.mapInArrow(lean(_packer(tokenizer, end_id, capacity, linear, quadratic, pool_tokens)), PIECES)
 
 
 def _packer(tokenizer: str, end_id: int, capacity: int, linear: float, quadratic: float, pool_tokens: int):

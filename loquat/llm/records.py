@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loquat.llm import storage
+from loquat.llm.text import lean
 from loquat.llm.tokens import encoded, shared_encoder
 
 MANIFEST = "shard int, file string, records long, tokens long, bytes long"
@@ -77,7 +78,7 @@ def write_records(df: DataFrame, path: str, tokenizer: str, text: str = "text",
     """Encode every text and write records in ascending id order below ``path``; returns the manifest."""
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(_shard_writer(path, tokenizer, end_id), MANIFEST).write.parquet(f"{path}/manifest")
+    ordered.mapInArrow(lean(_shard_writer(path, tokenizer, end_id)), MANIFEST).write.parquet(f"{path}/manifest")
     return df.sparkSession.read.schema(MANIFEST).parquet(f"{path}/manifest")
 
 
@@ -90,7 +91,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     if not shards:
         return spark.createDataFrame([], RECORDS)
     listed = spark.createDataFrame([(x["file"], s) for x, s in zip(shards, starts, strict=False)], "file string, start long")
-    return listed.repartition(len(shards)).mapInArrow(_read_shards(path), RECORDS)
+    return listed.repartition(len(shards)).mapInArrow(lean(_read_shards(path)), RECORDS)
 
 
 def read_at(path: str, file: str, k: int) -> tuple[int | None, int, bytes]:

@@ -8,6 +8,7 @@ likewise over its words' hashes, so any run costs two look-ups in a prefix sum.
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,28 +57,47 @@ def multipliers(n: int, seed: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed & _MASK)) | np.uint64(1)
 
 
-class _Powers:
-    """Powers of a seed's base and of its inverse modulo 2^64, grown as needed."""
+#: Powers kept between calls: longer tables are made anew, so that idle workers hold little.
+_KEPT_POWERS = 1 << 18
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-    def __init__(self, seed: int):
-        self.base = int(multipliers(1, seed * 7919 + 3)[0])
-        self.up = self.down = np.empty(0, np.uint64)
 
-    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            n = 1 << (n - 1).bit_length()
-            for name, r in (("up", self.base), ("down", pow(self.base, -1, 1 << 64))):
-                steps = np.full(n, r, np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.cumprod(steps, dtype=np.uint64))
-        return self.up, self.down
+def _table(seed: int, n: int, most: int = _KEPT_POWERS) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers of a seed's odd base, and of its inverse, modulo 2^64."""
+    if seed in _powers and len(_powers[seed][0]) >= n:
+        return _powers[seed]
+    n = 1 << (n - 1).bit_length() if n <= most else n
+    base, tables = int(multipliers(1, seed * 7919 + 3)[0]), []
+    for r in (base, pow(base, -1, 1 << 64)):
+        steps = np.full(n, r, np.uint64)
+        steps[0] = 1
+        tables.append(np.cumprod(steps, out=steps))
+    if n <= most:
+        _powers[seed] = tuple(tables)
+    return tuple(tables)
 
 
-_powers: dict[int, _Powers] = {}
+def give_back() -> None:
+    """Return memory that is free but held by this process's allocators, at the end of a task."""
+    import ctypes
 
+    import pyarrow as pa
 
-def _table(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers.setdefault(seed, _Powers(seed))(n)
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run):
+    """A task function on batches that leaves no free memory behind in its worker."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
 
 
 class Words:
@@ -86,7 +106,6 @@ class Words:
     def __init__(self, hashes: np.ndarray, counts: np.ndarray):
         self.hashes, self.counts = hashes, counts
         self.first = np.cumsum(counts) - counts
-        self._sums: dict[int, np.ndarray] = {}
 
     @classmethod
     def of(cls, raws: list[bytes], inside: np.ndarray = SPACED, lower: bool = False) -> Words:
@@ -99,11 +118,9 @@ class Words:
         """Hash of each run of words; equal for equal words and length."""
         n = len(self.hashes)
         up, down = _table(seed, n + 1)
-        if seed not in self._sums:
-            sums = np.zeros(n + 1, np.uint64)
-            np.cumsum(self.hashes * up[:n], out=sums[1:])
-            self._sums[seed] = sums
-        sums = self._sums[seed]
+        sums = np.zeros(n + 1, np.uint64)
+        np.multiply(self.hashes, up[:n], out=sums[1:])
+        np.cumsum(sums, out=sums)
         out = (sums[first + length] - sums[first]) * down[first]
         out += np.asarray(length, np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         return mix(out)
@@ -135,7 +152,7 @@ class Places:
         word = inside[raw]
         edges = np.flatnonzero(word[1:] != word[:-1])
         self.before, self.last = edges[0::2], edges[1::2]
-        up, down = _table(0, len(raw))
+        up, down = _table(0, len(raw), 2 * CHUNK)
         sums = raw + np.uint64(1)
         sums *= up[: len(raw)]
         np.cumsum(sums, out=sums)

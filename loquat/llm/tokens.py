@@ -49,7 +49,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
-        self.heads, self.tails, self._table = _Known(limit // 8), _Known(limit // 8), _Table(limit)
+        self.heads, self.tails, self._table = _Known(limit // 16), _Known(limit // 16), _Table(limit)
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         tokens = sorted(self.tokenizer.get_vocab().items(), key=lambda x: x[1])
         #: By id: whether it ends a word of the model, or else its bytes.

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loquat.llm.text import Words, encode, mix
+from loquat.llm.text import Words, encode, lean, mix
 
 DISCOUNT = 0.75
 #: Added to lengths, so that a few words are little evidence.
@@ -195,7 +195,7 @@ def score(df: DataFrame, model: Model, text: str = "text", least: float = 0.5) -
                 p, like, _ = fitted.score(batch.column(text).to_pylist())
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= least).astype(np.int32)), pa.array(like[1]), pa.array(like[0])], names=[*batch.schema.names, "_score", "_predicted", "_ll_toxic", "_ll_ordinary"])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def in_fold(doc_id, folds: int, part: int) -> bool:
