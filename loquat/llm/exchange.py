@@ -30,7 +30,7 @@ from loquat.llm import storage
 from loquat.llm.text import give_back, lean
 
 BLOCK_BYTES = 8 << 20
-SHARD_KEYS = 3_000_000
+SHARD_KEYS = 1_500_000
 ASK = "block long, shard int, payload binary"
 
 

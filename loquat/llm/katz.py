@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from loquat.llm import exchange as X
 from loquat.llm import storage
-from loquat.llm.text import Words, encode, mix
+from loquat.llm.text import Words, encode, give_back, mix
 
 #: Counts above this are not discounted.
 K = 5
@@ -217,6 +217,7 @@ def _answered(asks: DataFrame, n: int, path: str) -> DataFrame:
         shard = table["shard"][0].as_py()
         out, stats, stored = merge(table["payload"].to_pylist())
         _store(path, shard, stored)
+        give_back()
         return pa.table({"block": pa.array([*table["block"].to_pylist(), -1], pa.int64()), "shard": pa.array([shard] * (len(out) + 1), pa.int32()), "payload": pa.array([*out, X.pack(stats)], pa.binary())})
 
     return asks.groupBy("shard").applyInArrow(per_shard, X.ASK)
