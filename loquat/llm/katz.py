@@ -5,9 +5,9 @@ Order n: for a history h seen in training, P(w | h) = d(c) c / c(h) if c = c(h w
 alpha(h) P(w | shorter h); for an unseen history, P(w | shorter h). d is the Good-Turing discount of
 counts up to ``K`` (Katz 1987), from counts of counts over the whole training corpus; alpha(h) gives
 the words not seen after h exactly the mass that discounting left: (1 - sum of seen P(. | h)) /
-(1 - sum of the seen words' shorter-history P). Where count-of-counts cannot give discounts in
-(0, 1), absolute discounting by 1/2 is used instead; where all of h's continuations are above ``K``, so
-that none is discounted, they give up half a count in all. Probabilities always sum to one.
+(1 - sum of the seen words' shorter-history P). Where uneven counts of counts give a discount outside
+(0, 1), the cut-off goes down to the largest one that gives none (see ``good_turing``). Where none of h's
+continuations is discounted, they give up half a count in all. Probabilities always sum to one.
 
 Words of order 1 are told by 64-bit hashes and get a number (rank and shard), by which the higher
 orders name them. Counts and answers travel by block exchange, one round an order: each block sends its distinct
@@ -35,25 +35,37 @@ from loquat.llm import exchange as X
 from loquat.llm import storage
 from loquat.llm.text import Words, encode, give_back, mix
 
-#: Counts above this are not discounted.
+#: Counts above this are not discounted; the cut-off may be lower.
 K = 5
 #: Stands for the hash of the end token.
 END = np.uint64(0x5BD1E995_5BD1E995)
 
 
 def good_turing(counts_of_counts: np.ndarray, k: int = K) -> np.ndarray:
-    """d(r) for r = 0..k+1 (d(0) unused; the last is 1): Katz's discounts, or absolute by 1/2 where undefined.
+    """d(r) for r = 0..k+1 (d(0) unused; the last is 1), from ``counts_of_counts[r]``, the number of n-grams seen r times, r = 0..k+1.
 
-    ``counts_of_counts[r]`` is the number of n-grams seen r times, r = 0..k+1."""
+    Katz's discounts up to the largest cut-off at which all are in (0, 1); counts above it are not
+    discounted. Where no cut-off of two or more has such discounts, counts of counts are first smoothed by
+    a log-linear fit; where that has no falling line either, absolute discounting by 1/2."""
     n = counts_of_counts.astype(np.float64)
-    r = np.arange(k + 2, dtype=np.float64)
-    d = np.ones(k + 2)
-    with np.errstate(all="ignore"):
-        tail = (k + 1) * n[k + 1] / n[1]
-        d[1 : k + 1] = ((r[1 : k + 1] + 1) * n[2 : k + 2] / (r[1 : k + 1] * n[1 : k + 1]) - tail) / (1 - tail)
-    if not np.all((d[1 : k + 1] > 0) & (d[1 : k + 1] < 1)):
-        d[1 : k + 1] = 1 - 0.5 / r[1 : k + 1]
-    return d
+    for counts in (n, _smoothed(n)):
+        for top in range(k, 1, -1):
+            if counts is not None and np.all(counts[1 : top + 1] > 0):
+                r = np.arange(1, top + 1)
+                tail = (top + 1) * counts[top + 1] / counts[1]
+                d = ((r + 1) * counts[2 : top + 2] / (r * counts[1 : top + 1]) - tail) / (1 - tail) if tail < 1 else np.zeros(top)
+                if np.all((d > 0) & (d < 1)):
+                    return np.concatenate([[1.0], d, np.ones(k + 1 - top)])
+    return np.concatenate([[1.0], 1 - 0.5 / np.arange(1, k + 1), [1.0]])
+
+
+def _smoothed(n: np.ndarray) -> np.ndarray | None:
+    """Counts of counts on the line through log n(r) by log r (Gale and Sampson 1995); None unless it falls faster than 1/r."""
+    r = np.flatnonzero(n[1:] > 0) + 1
+    if len(r) < 2:
+        return None
+    slope, at_one = np.polyfit(np.log(r), np.log(n[r]), 1)
+    return np.concatenate([[0.0], np.exp(at_one) * np.arange(1.0, len(n)) ** slope]) if slope < -1 else None
 
 
 class Katz:

@@ -2,6 +2,7 @@ import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -104,3 +105,43 @@ def test_tables_hold_the_training_counts(spark, tmp_path):
     plain = Plain(docs, 2)
     grams = spark.read.parquet(f"file://{tmp_path}/t/order=2")
     assert grams.count() == len(plain.counts[2]) and grams.agg({"count": "sum"}).first()[0] == sum(plain.counts[2].values())
+
+
+def turing_by_fractions(n, k):
+    """Katz (1987), equation by equation: {r: d(r)}, n[r] n-grams were seen r times."""
+    star = {r: Fraction((r + 1) * n[r + 1], n[r]) for r in range(1, k + 1)}
+    common = Fraction((k + 1) * n[k + 1], n[1])
+    return {r: float((star[r] / r - common) / (1 - common)) for r in star}
+
+
+@pytest.mark.parametrize(
+    "n,top",
+    [
+        ([0, 45218, 4863, 1533, 328, 336, 86], 3),  # bigrams of sf0.001, sf0.01 and sf0.1, trigrams of sf0.1
+        ([0, 193292, 25034, 6471, 2174, 2492, 616], 3),
+        ([0, 1576946, 246201, 51516, 21650, 18912, 7557], 3),
+        ([0, 2278202, 259021, 29174, 8769, 11511, 2734], 3),
+        ([0, 100, 40, 20, 12, 8, 5], 5),
+        ([0, 100, 20, 5, 0, 0, 0], 2),
+    ],
+)
+def test_uneven_counts_keep_good_turing(n, top):
+    d, expected = katz.good_turing(np.array(n)), turing_by_fractions(n, top)
+    assert len(d) == katz.K + 2 and np.all(d[top + 1 :] == 1)
+    for r, x in expected.items():
+        assert math.isclose(d[r], x) and 0 < x < 1
+    # What seen n-grams give up is what Good-Turing gives to unseen ones: n1 of all tokens.
+    assert math.isclose(sum(n[r] * r * (1 - d[r]) for r in range(1, katz.K + 1)), n[1])
+
+
+def test_counts_without_a_valid_cutoff_are_smoothed_or_absolute():
+    n = [0, 100, 60, 10, 12, 3, 4]  # d(1) above 1 at every cut-off
+    xs, ys = [math.log(r) for r in range(1, 7)], [math.log(x) for x in n[1:]]
+    mx, my = sum(xs) / 6, sum(ys) / 6
+    slope = sum((x - mx) * (y - my) for x, y in zip(xs, ys, strict=True)) / sum((x - mx) ** 2 for x in xs)
+    common = 6 ** (slope + 1)
+    d = katz.good_turing(np.array(n))
+    for r in range(1, 6):
+        assert math.isclose(d[r], (((r + 1) / r) ** (slope + 1) - common) / (1 - common))
+    for degenerate in ([0] * 7, [0, 9, 0, 0, 0, 0, 0], [0, 5, 5, 5, 5, 5, 5]):
+        assert list(katz.good_turing(np.array(degenerate))) == [1.0, 0.5, 0.75, 1 - 0.5 / 3, 0.875, 0.9, 1.0]
