@@ -1,6 +1,7 @@
 """License scan: MinHash bands over overlapping windows retrieve templates, exact containment verifies.
 
-Texts and templates become 5-word shingles (a shorter template is one shingle of its whole sequence).
+Texts and templates become 5-word shingles. A template of fewer words is looked up by the hash of its whole
+sequence among all runs of as many words of the text, so it is found anywhere and never missed.
 Templates fall into classes by size: the class's step is the power of two not below the number of
 shingles (``LEAST_STEP`` at least), and its windows are two steps long, one step apart, so a template lies
 whole in some window. A window holding 80 % of a template of over half a step has a Jaccard
@@ -11,8 +12,8 @@ A retrieved window is verified on full shingle sets, so there are no false match
 
 The templates are fixed, or given by the caller as a small dictionary; they are shipped with the code.
 
-Defined cases: null or empty text matches nothing; a text of fewer words than a shingle can match only a
-template of the same whole sequence; rows are judged one by one; other columns pass through; an empty
+Defined cases: null or empty text matches nothing; a text of fewer words than a shingle can match only
+templates of as few words; a template without words matches nothing; rows are judged one by one; other columns pass through; an empty
 table gives an empty table; no templates give no matches.
 """
 
@@ -48,23 +49,25 @@ TEMPLATES = {
 _KS = multipliers(BANDS, 51).astype(np.uint32) | np.uint32(1)
 
 
-def shingles(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each shingle, shingles of each text, words of each text)"""
-    words = Words.of(raws, INSIDE, lower=True)
-    length = np.minimum(words.counts, SIZE)
-    per_text = np.where(words.counts > 0, words.counts - length + 1, 0)
-    start = np.arange(per_text.sum()) + np.repeat(words.first - (np.cumsum(per_text) - per_text), per_text)
-    return words.runs(start, np.repeat(length, per_text), 52), per_text, words.counts
+def runs(words: Words, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each run of ``size`` words, runs of each text)"""
+    start, per_text = words.window_starts(size)
+    return words.runs(start, size, 52), per_text
 
 
 class Templates:
-    """Shingle sets by class, with tables of their minima."""
+    """Shingle sets by class, with tables of their minima; ``short``: hash and name of those under a shingle, by words."""
 
     def __init__(self, texts: dict[str, str]):
         self.by_step: dict[int, list[tuple[str, np.ndarray]]] = {}
+        self.short: dict[int, list[tuple[np.uint64, str]]] = {}
         for name, text in sorted(texts.items()):
-            members = np.unique(shingles([encode(text)])[0])
-            if len(members):
+            words = Words.of([encode(text)], INSIDE, lower=True)
+            n = int(words.counts[0])
+            if 0 < n < SIZE:
+                self.short.setdefault(n, []).append((runs(words, n)[0][0], name))
+            elif n:
+                members = np.unique(runs(words)[0])
                 step = max(LEAST_STEP, 1 << (len(members) - 1).bit_length())
                 self.by_step.setdefault(step, []).append((name, members))
         self.tables = {}
@@ -76,9 +79,20 @@ class Templates:
             self.tables[step] = table
 
     def find(self, texts: list[str | None]) -> tuple[list[list[tuple[str, int, int]]], np.ndarray]:
-        """For each text: (template, first shingle of the window, shingles of the template found in it); and its words."""
-        hashes, per_text, n_words = shingles([encode(x) for x in texts])
+        """For each text: (template, first shingle of the window, shingles of the template found in it); and its words.
+
+        A template under a shingle: (template, its first word, 1), once an occurrence."""
+        words = Words.of([encode(x) for x in texts], INSIDE, lower=True)
+        n_words = words.counts
         found: list[list[tuple[str, int, int]]] = [[] for _ in texts]
+        for size, held in self.short.items():
+            hashes, per_text = runs(words, size)
+            ends = np.cumsum(per_text)
+            for key, name in held:
+                for at in np.flatnonzero(hashes == key):
+                    text = np.searchsorted(ends, at, side="right")
+                    found[text].append((name, int(at - ends[text] + per_text[text]), 1))
+        hashes, per_text = runs(words)
         if not len(hashes) or not self.by_step:
             return found, n_words
         # Steps of the least class, aligned to each text's begin.
@@ -130,7 +144,7 @@ def _slot(least: np.ndarray) -> np.ndarray:
 
 def scan_licenses(df: DataFrame, text: str = "text", templates: dict[str, str] | None = None) -> DataFrame:
     """``df``'s columns and ``_n_words`` (words), ``_licenses`` (sorted names of matching templates) and
-    ``_matches`` (template, first word of a window holding it, shingles of it found there)."""
+    ``_matches`` (template, first word of a window holding it, shingles of it found there; 1 for a template under a shingle)."""
     match = T.StructType([T.StructField("template", T.StringType()), T.StructField("first_word", T.LongType()), T.StructField("shingles", T.LongType())])
     added = [("_n_words", T.LongType()), ("_licenses", T.ArrayType(T.StringType())), ("_matches", T.ArrayType(match))]
     schema = T.StructType([*df.schema.fields, *(T.StructField(n, t) for n, t in added)])

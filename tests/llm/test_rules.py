@@ -151,6 +151,26 @@ def test_licenses_match_brute_force(spark):
     assert any(r._licenses for r in rows)
 
 
+def test_short_notices_are_found_anywhere(spark):
+    rng = random.Random(8)
+    templates = dict(licenses.TEMPLATES) | {"one": "Copyleft", "two": "public domain", "four": "no rights reserved here", "none": "(c)!".replace("c", "")}
+    long = " ".join(f"w{k}" for k in range(400))
+    docs = [(1, f"{long} All rights reserved."), (2, f"All rights reserved {long}"), (3, f"{long} all Rights;  RESERVED {long}"), (4, f"{long} all rights"), (5, f"reserved {long}")]
+    docs += [(6, "All rights reserved"), (7, "all rights"), (8, "All rights reservedly made of words"), (9, None), (10, "")]
+    pieces = ["copyleft", "public", "domain", "no", "all", "rights", "reserved", "here", "w1"]
+    docs += [(100 + k, " ".join(rng.choices(pieces, k=rng.randrange(1, 60)))) for k in range(80)]
+
+    def clean(t):
+        return " " + " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in brute.lower(t)).split()) + " "
+
+    short = {name: clean(t) for name, t in templates.items() if 0 < len(clean(t).split()) < 5}
+    assert set(short) == {"rights-reserved", "one", "two", "four"}
+    rows = {r.doc_id: r for r in licenses.scan_licenses(frame(spark, docs), templates=templates).collect()}
+    assert {i: r._licenses for i, r in rows.items()} == {i: sorted(name for name, x in short.items() if x in clean(t)) for i, t in docs}
+    assert [tuple(m) for m in rows[1]._matches] == [("rights-reserved", 400, 1)] and [tuple(m) for m in rows[3]._matches] == [("rights-reserved", 400, 1)]
+    assert [rows[i]._licenses for i in (2, 4, 5, 6, 7, 8)] == [["rights-reserved"], [], [], ["rights-reserved"], [], []]
+
+
 def test_licenses_on_empty_tables_and_without_templates(spark):
     assert licenses.scan_licenses(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     assert licenses.scan_licenses(frame(spark, [(1, "Released under the MIT License")]), templates={}).first()._licenses == []
