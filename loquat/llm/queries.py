@@ -74,7 +74,7 @@ FROM d LEFT JOIN n USING (doc_id) JOIN reach USING (doc_id) GROUP BY d.doc_id
 def op6_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loquat.llm.katz import score_documents
 
-    out = score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), order=2)
+    out = score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), order=3)
     return out.select("doc_id", *(F.col(f"_{c}").alias(c) for c in ("held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")))
 
 

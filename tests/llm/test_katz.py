@@ -145,3 +145,13 @@ def test_counts_without_a_valid_cutoff_are_smoothed_or_absolute():
         assert math.isclose(d[r], (((r + 1) / r) ** (slope + 1) - common) / (1 - common))
     for degenerate in ([0] * 7, [0, 9, 0, 0, 0, 0, 0], [0, 5, 5, 5, 5, 5, 5]):
         assert list(katz.good_turing(np.array(degenerate))) == [1.0, 0.5, 0.75, 1 - 0.5 / 3, 0.875, 0.9, 1.0]
+
+
+def test_registered_query_scores_trigrams(spark, tmp_path):
+    from loquat.llm.queries import op6_katz_scores
+
+    docs = corpus(5, 60)
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    plain = Plain(docs, 3)
+    for r in op6_katz_scores(spark, f"file://{tmp_path}").collect():
+        assert math.isclose(r.score, plain.score(dict(docs)[r.doc_id]), rel_tol=1e-9)
