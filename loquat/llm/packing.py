@@ -80,15 +80,17 @@ def powers(pieces: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]
     return out
 
 
-def pack(df: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id", capacity: int = 2048, end_id: int = 1, linear: float = 1.0, quadratic: float = 1 / 2048, pool_tokens: int = 2_000_000) -> DataFrame:
-    """A row for each piece: where it lies in its document and in its sequence, and its ids (32-bit little-endian)."""
+def pack(df: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id", capacity: int = 2048, end_id: int = 1, linear: float = 1.0, quadratic: float = 1 / 2048, pool_tokens: int = 2_000_000, specials: bool = False) -> DataFrame:
+    """A row for each piece: where it lies in its document and in its sequence, and its ids (32-bit little-endian).
+
+    ``specials``: strings of special tokens become their ids (see ``tokens.Encoder``)."""
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(lean(_packer(tokenizer, end_id, capacity, linear, quadratic, pool_tokens)), PIECES)
+    return rows.mapInArrow(lean(_packer(tokenizer, end_id, capacity, linear, quadratic, pool_tokens, specials)), PIECES)
 
 
-def _packer(tokenizer: str, end_id: int, capacity: int, linear: float, quadratic: float, pool_tokens: int):
+def _packer(tokenizer: str, end_id: int, capacity: int, linear: float, quadratic: float, pool_tokens: int, specials: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, next_id = shared_encoder(tokenizer, end_id), TaskContext.get().partitionId() << 33
+        encoder, next_id = shared_encoder(tokenizer, end_id, specials), TaskContext.get().partitionId() << 33
         held: list[tuple] = []  # (doc_id, ids before, ids, the document's ids)
         size = 0
 

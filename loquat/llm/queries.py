@@ -38,7 +38,7 @@ def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loquat.llm import records, storage
 
     path = storage.new_path(spark, "records")
-    records.write_records(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    records.write_records(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), specials=True)
     return records.read_records(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
@@ -47,7 +47,7 @@ def op3_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from loquat.llm.packing import pack
 
-    pieces = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), specials=True)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

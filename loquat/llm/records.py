@@ -74,11 +74,13 @@ def deserialize(data: bytes) -> tuple[int | None, bytes]:
     return None if flags & 1 else doc_id, ids
 
 
-def write_records(df: DataFrame, path: str, tokenizer: str, text: str = "text", doc_id: str = "doc_id", end_id: int = 1) -> DataFrame:
-    """Encode every text and write records in ascending id order below ``path``; returns the manifest."""
+def write_records(df: DataFrame, path: str, tokenizer: str, text: str = "text", doc_id: str = "doc_id", end_id: int = 1, specials: bool = False) -> DataFrame:
+    """Encode every text and write records in ascending id order below ``path``; returns the manifest.
+
+    ``specials``: strings of special tokens become their ids (see ``tokens.Encoder``)."""
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(lean(_shard_writer(path, tokenizer, end_id)), MANIFEST).write.parquet(f"{path}/manifest")
+    ordered.mapInArrow(lean(_shard_writer(path, tokenizer, end_id, specials)), MANIFEST).write.parquet(f"{path}/manifest")
     return df.sparkSession.read.schema(MANIFEST).parquet(f"{path}/manifest")
 
 
@@ -109,14 +111,14 @@ def read_at(path: str, file: str, k: int) -> tuple[int | None, int, bytes]:
     return doc_id, start, ids
 
 
-def _shard_writer(path: str, tokenizer: str, end_id: int):
+def _shard_writer(path: str, tokenizer: str, end_id: int, specials: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
         file = f"shard-{shard:06d}-{uuid.uuid4().hex}"
         encoder, out, index, size, tokens = None, None, [], 0, 0
         for batch in batches:
             if batch.num_rows and out is None:
-                encoder = shared_encoder(tokenizer, end_id)
+                encoder = shared_encoder(tokenizer, end_id, specials)
                 narrow = max(encoder.vocabulary(), end_id + 1) <= 1 << 16
                 fs, root = storage.filesystem(path)
                 fs.create_dir(root, recursive=True)

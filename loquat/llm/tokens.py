@@ -3,9 +3,12 @@
 A text is cut at every line end, and before every single space between two non-space characters. The
 tokenizers' own pre-tokenizers never join text over such a place, so the ids of the chunks, joined, are
 the ids of the text; each distinct chunk is encoded by the tokenizers library once and remembered. Signs
-after the letters of a chunk are pre-tokens of their own, so a word is encoded once whatever follows it.
+after the letters of a chunk are pre-tokens of their own, so a word is encoded once whatever follows it;
+whether a character outside ASCII is a letter to the tokenizer, also once normalised, is asked of its own
+normalizer and pre-tokenizer.
 Chunks are found and looked up by 64-bit hashes with numpy, not one by one.
-A text with any other use of white space is encoded by the library as a whole.
+A text with any other use of white space, or with the string of a special token where those are told
+from text, is encoded by the library as a whole.
 """
 
 from __future__ import annotations
@@ -40,14 +43,21 @@ class _Known(dict):
 
 
 class Encoder:
-    """Texts to little-endian unsigned 32-bit ids. ``limit``: chunks remembered, about."""
+    """Texts to little-endian unsigned 32-bit ids. ``limit``: chunks remembered, about.
 
-    def __init__(self, path: str, end_id: int | None = 1, limit: int = 1_000_000):
+    ``specials``: the string of a special token in a text becomes its id, as the library does unless told
+    otherwise; without, it is ordinary text."""
+
+    def __init__(self, path: str, end_id: int | None = 1, limit: int = 1_000_000, specials: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not specials
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        #: Strings that make a text one for the library; an empty one is in every text.
+        self.whole = [b"" if x.normalized else ascii_lower(encode(x.content)) for x in added if specials or not x.special]
+        self.letters, self.others = set(), set()
         self.end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
         self.heads, self.tails, self._table = _Known(limit // 16), _Known(limit // 16), _Table(limit)
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
@@ -91,13 +101,25 @@ class Encoder:
             out += [raw[a:b] for a, b in zip((4 * start).tolist(), (4 * stop).tolist(), strict=True)]
         return out
 
+    def _all_letters(self, stem: str) -> bool:
+        """Whether a stem of letters stays one, and apart from a sign after it, when normalised."""
+        if stem.isascii():
+            return True
+        chars = set(stem)
+        for c in chars - self.letters - self.others:
+            text = f"a{c}b!"
+            if self.tokenizer.normalizer is not None:
+                text = self.tokenizer.normalizer.normalize_str(text)
+            (self.letters if len(self.tokenizer.pre_tokenizer.pre_tokenize_str(text)) == 2 else self.others).add(c)
+        return not chars & self.others
+
     def _learn(self, known: _Known, chunks: set[str], prefix: str) -> None:
         new = known.missing(chunks)
         bases, composed, other, signs = set(), [], [], self.signs
         lowers, apart = self.lowers, self.apart
         for x in new:
             stem = x.rstrip(_SIGNS)
-            if apart and stem.isalpha():
+            if apart and stem.isalpha() and self._all_letters(stem):
                 sign = x[len(stem) :]
                 if sign not in signs:
                     if len(signs) > 10_000:
@@ -147,6 +169,9 @@ class Encoder:
         text = np.repeat(np.arange(len(raws)), places.counts)
         odd = np.bincount(text, weights=taken == _BAD, minlength=len(raws)) > 0
         odd |= places.counts != np.array([x.count(b" ") + x.count(b"\n") + 1 for x in raws])
+        for string in self.whole:
+            if string in (blob if self.lowers else ascii_lower(blob)):
+                odd |= [string in ascii_lower(x) for x in raws]
         taken = np.maximum(taken, 0)
         reach = np.cumsum(taken)
         ids = self._table.flat[np.repeat(start[number] - (reach - taken), taken) + np.arange(reach[-1] if len(reach) else 0)]
@@ -209,12 +234,13 @@ class _Table:
 _encoders: dict[tuple, Encoder] = {}
 
 
-def shared_encoder(path: str, end_id: int | None) -> Encoder:
+def shared_encoder(path: str, end_id: int | None, specials: bool = False) -> Encoder:
     """One a Python worker, so that later tasks find what earlier ones learned."""
-    if (path, end_id) not in _encoders:
+    key = path, end_id, specials
+    if key not in _encoders:
         _encoders.clear()
-        _encoders[path, end_id] = Encoder(path, end_id)
-    return _encoders[path, end_id]
+        _encoders[key] = Encoder(path, end_id, specials=specials)
+    return _encoders[key]
 
 
 def encoded(batch: pa.RecordBatch, text: str, encoder: Encoder, step: int = 1000):

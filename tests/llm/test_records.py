@@ -106,3 +106,41 @@ def test_descending_pieces_go_to_the_cheapest_sequence_with_room():
 def test_packing_an_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), public_tokenizers.path("byte_bpe_50k.json")).collect() == []
     assert zlib.crc32(b"") == 0
+
+
+def library(name, texts):
+    """Ids by the library as it is, end id appended."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path(name))
+    return [np.array([*t.encode(x or "", add_special_tokens=False).ids, 1], "<u4").tobytes() for x in texts]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_special_strings_become_ids_where_asked(name):
+    from tokenizers import Tokenizer
+
+    from loquat.llm.tokens import Encoder
+
+    texts = ["<|endoftext|>", "a<|endoftext|>b", "x <|endoftext|> y", " <|startoftext|>A.", "<|ENDOFTEXT|> no", "<|endoftext|><|endoftext|>\n\n!", "it is <|endoftext", "İ. <|endoftext|>", *TEXTS]
+    assert Encoder(public_tokenizers.path(name), 1, specials=True).encode(texts) == library(name, texts)
+    plain = Tokenizer.from_file(public_tokenizers.path(name))
+    plain.encode_special_tokens = True
+    assert Encoder(public_tokenizers.path(name), 1).encode(texts) == [np.array([*plain.encode(x or "", add_special_tokens=False).ids, 1], "<u4").tobytes() for x in texts]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_every_code_point_with_signs_around_it(name):
+    """Each code point after, before and between letters, signs and spaces; then random mixtures of the odd ones."""
+    import sys
+    import unicodedata
+
+    from loquat.llm.tokens import Encoder
+
+    points = [chr(k) for k in range(sys.maxunicode + 1) if not 0xD800 <= k < 0xE000 and (k < 0x30000 or k % 97 == 0)]
+    texts = [f"{c}. a{c}! {c} {c}b, A{c}" for c in points]
+    assert Encoder(public_tokenizers.path(name), 1, specials=True).encode(texts) == library(name, texts)
+    odd = [c for c in points if len(c.lower()) > 1 or unicodedata.normalize("NFC", c) != c or unicodedata.category(c) in ("Mn", "Lm", "Nl", "Zs", "Zl", "Cc") or c.isspace()]
+    rng = random.Random(4)
+    mixed = ["".join(rng.choice(odd) if rng.random() < 0.4 else rng.choice("aZé .,'!-\n9ßİ") for _ in range(rng.randrange(1, 14))) for _ in range(100_000)]
+    assert Encoder(public_tokenizers.path(name), 1, limit=20_000, specials=True).encode(mixed) == library(name, mixed)
