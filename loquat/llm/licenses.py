@@ -13,7 +13,8 @@ A retrieved window is verified on full shingle sets, so there are no false match
 The templates are fixed, or given by the caller as a small dictionary; they are shipped with the code.
 
 Defined cases: null or empty text matches nothing; a text of fewer words than a shingle can match only
-templates of as few words; a template without words matches nothing; rows are judged one by one; other columns pass through; an empty
+templates of as few words; a template without words matches nothing; rows are judged one by one; other columns pass through (see
+``columns`` for names that clash); an empty
 table gives an empty table; no templates give no matches.
 """
 
@@ -26,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from loquat.llm.columns import Carried
 from loquat.llm.text import Words, alphabet, encode, lean, multipliers
 
 SIZE, PERCENT, BANDS, LEAST_STEP = 5, 80, 128, 4
@@ -145,6 +147,8 @@ def _slot(least: np.ndarray) -> np.ndarray:
 def scan_licenses(df: DataFrame, text: str = "text", templates: dict[str, str] | None = None) -> DataFrame:
     """``df``'s columns and ``_n_words`` (words), ``_licenses`` (sorted names of matching templates) and
     ``_matches`` (template, first word of a window holding it, shingles of it found there; 1 for a template under a shingle)."""
+    carried = Carried(df)
+    df, text = carried.df, carried(text)
     match = T.StructType([T.StructField("template", T.StringType()), T.StructField("first_word", T.LongType()), T.StructField("shingles", T.LongType())])
     added = [("_n_words", T.LongType()), ("_licenses", T.ArrayType(T.StringType())), ("_matches", T.ArrayType(match))]
     schema = T.StructType([*df.schema.fields, *(T.StructField(n, t) for n, t in added)])
@@ -161,4 +165,4 @@ def scan_licenses(df: DataFrame, text: str = "text", templates: dict[str, str] |
                 rows = pa.array([[dict(zip(("template", "first_word", "shingles"), m, strict=True)) for m in x] for x in found], kind)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n), names, rows], names=[*batch.schema.names, "_n_words", "_licenses", "_matches"])
 
-    return df.mapInArrow(lean(run), schema)
+    return carried.back(df.mapInArrow(lean(run), schema), *(n for n, _ in added))

@@ -5,12 +5,14 @@ are counted per host and line over the whole corpus; lines found in more than ``
 of a host are removed, and a document that keeps less than ``min_share`` of its words is rejected, as
 is one that fails the base rules (too few words, or mostly repeated 3-word windows).
 
-Lines travel by block exchange: a block sends each of its distinct lines once with its document
-count, and learns a bit a line. A line on every page of a hot host costs one entry a block.
+Lines travel by block exchange: a block sends each of its distinct lines once with the documents that
+hold it (at most ``max_docs`` + 1, which decides it already), and learns a bit a line. A line on every
+page of a hot host costs one entry a block.
 
-Defined cases: a document is a row (repeated rows are several documents); null text has no words and
+Defined cases: documents are told by their id, so rows of one id are one document; a row without an id is
+no document when lines are counted, but loses lines like others; null text has no words and
 fails the base rules; a null host is a host of its own; lines without words are neither counted nor
-removed; other columns pass through; an empty table gives an empty table.
+removed; other columns pass through (see ``columns`` for names that clash); an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -24,23 +26,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from loquat.llm import exchange as X
+from loquat.llm.columns import Carried
 from loquat.llm.text import Words, decode, encode, mix
 
 SYMBOLS = b"#*$%&|<>"
 _SPACE = b" \t\n\v\f\r"
 
 
-def apply_line_rules(df: DataFrame, text: str = "text", host: str = "source", max_docs: int = 20, min_share: float = 0.3, min_words: int = 50, max_repeat_percent: int = 50, cleaned: bool = False, block_bytes: int = X.BLOCK_BYTES) -> DataFrame:
+def apply_line_rules(df: DataFrame, text: str = "text", host: str = "source", doc_id: str = "doc_id", max_docs: int = 20, min_share: float = 0.3, min_words: int = 50, max_repeat_percent: int = 50, cleaned: bool = False, block_bytes: int = X.BLOCK_BYTES) -> DataFrame:
     """``df``'s columns and ``_n_words``, ``_word_chars``, ``_n_symbols``, ``_n_dup_lines``,
     ``_n_repeat_words``, ``_n_removed_words``, ``_base_failed``, ``_kept`` and, if ``cleaned``, ``_text``
     (the text without the removed lines; null if it was null)."""
+    carried = Carried(df)
+    df, text, host, doc_id = carried.df, carried(text), carried(host), carried(doc_id)
     added = [(f"_{x}", T.LongType()) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed_words")]
     added += [("_base_failed", T.BooleanType()), ("_kept", T.BooleanType())] + [("_text", T.StringType())] * cleaned
     schema = T.StructType([*df.schema.fields, *(T.StructField(n, t) for n, t in added)])
     blocks = X.Blocks(df.sparkSession, df, text, block_bytes)
     shards = blocks.shards()
-    frequent = blocks.answer(blocks.ask(_ask(text, host, shards)), _over(max_docs))
-    return blocks.map(frequent, _judge(text, host, shards, min_share, min_words, max_repeat_percent, cleaned), schema)
+    frequent = blocks.answer(blocks.ask(_ask(text, host, doc_id, shards, max_docs)), _over(max_docs))
+    judged = blocks.map(frequent, _judge(text, host, shards, min_share, min_words, max_repeat_percent, cleaned), schema)
+    return carried.back(judged, *(n for n, _ in added))
 
 
 class _Lines:
@@ -59,22 +65,39 @@ class _Lines:
         self.key = words.runs(words.first, words.counts, 41)
         self.key = mix(self.key + mix(host_hash)[number][self.row]) if len(self.row) else self.key
 
-    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(sorted keys of lines with words, documents of each, number of each line's key or -1)"""
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """(sorted keys of lines with words, number of each line's key or -1)"""
         used = np.flatnonzero(self.n_words > 0)
         keys, number = np.unique(self.key[used], return_inverse=True)
-        pairs = np.unique(number.astype(np.int64) * (len(self.raws) + 1) + self.row[used])
-        docs = np.bincount(pairs // (len(self.raws) + 1), minlength=len(keys))
         of_line = np.full(len(self.key), -1, np.int64)
         of_line[used] = number
-        return keys, docs.astype(np.int64), of_line
+        return keys, of_line
 
 
-def _ask(text: str, host: str, shards: int):
+def _pairs(line: np.ndarray, doc: np.ndarray, lines: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct documents of each line, ``most`` at most; which they are, line by line)"""
+    order = np.lexsort((doc, line))
+    line, doc = line[order], doc[order]
+    new = np.r_[True, (line[1:] != line[:-1]) | (doc[1:] != doc[:-1])][: len(line)]
+    line, doc = line[new], doc[new]
+    count = np.bincount(line, minlength=lines)
+    keep = np.arange(len(line)) - np.repeat(np.cumsum(count) - count, count) < most
+    return np.minimum(count, most), doc[keep]
+
+
+def _ask(text: str, host: str, doc_id: str, shards: int, max_docs: int):
     def ask(rows: pa.Table) -> Iterator[tuple[int, bytes]]:
-        keys, docs, _ = _Lines(rows, text, host).distinct()
+        lines = _Lines(rows, text, host)
+        keys, of_line = lines.distinct()
+        names = Words.of([b"" if x is None else b"." + encode(str(x)).replace(b"\n", b"\0") for x in rows[doc_id].to_pylist()], inside=np.arange(256) != 10)
+        known = names.counts > 0  # every id but null is one word, of any bytes
+        ids = np.zeros(rows.num_rows, np.uint64)
+        ids[known] = names.hashes[names.first[known]]
+        counted = np.flatnonzero((of_line >= 0) & known[lines.row])
+        docs, which = _pairs(of_line[counted], ids[lines.row[counted]], len(keys), max_docs + 1)
+        ends = np.r_[0, np.cumsum(docs)]
         for s, at in X.slices(keys, shards):
-            yield s, X.join_parts(X.pack_sorted(keys[at]), X.pack(docs[at]))
+            yield s, X.join_parts(X.pack_sorted(keys[at]), X.pack(docs[at].astype(np.uint32)), X.pack(which[ends[at.start] : ends[at.stop]]))
 
     return ask
 
@@ -82,9 +105,10 @@ def _ask(text: str, host: str, shards: int):
 def _over(max_docs: int):
     def answer(shard: int, payloads: list[bytes]) -> list[bytes]:
         parts = [X.split_parts(x) for x in payloads]
-        keys = [X.unpack_sorted(a) for a, _ in parts]
+        keys = [X.unpack_sorted(a) for a, _, _ in parts]
         every, number = np.unique(np.concatenate(keys), return_inverse=True)
-        docs = np.bincount(number, weights=np.concatenate([X.unpack(b) for _, b in parts]), minlength=len(every))
+        lines = np.repeat(number, np.concatenate([X.unpack(b) for _, b, _ in parts]))
+        docs, _ = _pairs(lines, np.concatenate([X.unpack(c) for _, _, c in parts]), len(every), max_docs + 1)
         over = (docs > max_docs)[number]
         return [X.pack(np.packbits(x)) for x in np.split(over, np.cumsum([len(k) for k in keys])[:-1])]
 
@@ -107,7 +131,7 @@ def repeated_words(words: Words, size: int = 3) -> np.ndarray:
 def _judge(text: str, host: str, shards: int, min_share: float, min_words: int, max_repeat_percent: int, cleaned: bool):
     def use(rows: pa.Table, answers: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
         lines = _Lines(rows, text, host)
-        keys, _, of_line = lines.distinct()
+        keys, of_line = lines.distinct()
         over = np.zeros(len(keys) + 1, bool)
         for s, at in X.slices(keys, shards):
             over[at] = np.unpackbits(X.unpack(answers[s]), count=at.stop - at.start)

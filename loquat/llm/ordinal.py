@@ -12,7 +12,8 @@ floats).
 Defined cases: null or empty text has no features and gets the scores of the thresholds alone; null
 grades or ids are not learned from; repeated rows count as often as they occur; grades absent from the
 sample are merged into the next lower one present; with fewer than two grades rated, every text gets
-the one grade there is (0 if none); other columns pass through; an empty table gives an empty table.
+the one grade there is (0 if none); other columns pass through (see ``columns`` for names that clash); an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loquat.llm.columns import Carried
 from loquat.llm.text import Words, encode, lean, mix
 
 BITS = 16
@@ -146,6 +148,8 @@ def train(df: DataFrame, ratings: DataFrame, text: str = "text", doc_id: str = "
 
 def score(df: DataFrame, model: Ordinal, text: str = "text", grade: int = 1, least: float = 0.5) -> DataFrame:
     """``df``'s columns and ``_expected_grade``, ``_tail`` (P(grade >= ``grade``)) and ``_kept`` (tail at least ``least``)."""
+    carried = Carried(df)
+    df, text = carried.df, carried(text)
     shared = df.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.thresholds, model.grades))
     added = [("_expected_grade", T.DoubleType()), ("_tail", T.DoubleType()), ("_kept", T.BooleanType())]
     schema = T.StructType([*df.schema.fields, *(T.StructField(n, t) for n, t in added)])
@@ -159,4 +163,4 @@ def score(df: DataFrame, model: Ordinal, text: str = "text", grade: int = 1, lea
                 tail = fitted.tail(tails, grade)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fitted.expected(tails)), pa.array(tail), pa.array(tail >= least)], names=[*batch.schema.names, "_expected_grade", "_tail", "_kept"])
 
-    return df.mapInArrow(lean(run), schema)
+    return carried.back(df.mapInArrow(lean(run), schema), *(n for n, _ in added))

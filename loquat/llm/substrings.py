@@ -13,7 +13,7 @@ starts in a document with a smaller id; windows are judged on the input, never o
 
 Defined cases: null or empty text has no words; texts under ``size`` words are kept whole; a null id
 ranks after every id, and rows of equal id (or null) do not own windows of each other; repeated rows
-come out as often as they came in; other columns pass through unchanged, whatever their names; an
+come out as often as they came in; other columns pass through (see ``columns`` for names that clash); an
 empty table gives an empty table.
 """
 
@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 
 from loquat.llm import exchange as X
 from loquat.llm import storage
+from loquat.llm.columns import Carried
 from loquat.llm.text import Words, decode, encode, mix
 
 ROWS = 2
@@ -44,6 +45,8 @@ def dedup_substrings(df: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     ``cleaned``: ``_kept`` is instead the text itself without the removed words, its other white space
     as it was (null if it was null)."""
+    carried = Carried(df)
+    df, text, doc_id = carried.df, carried(text), carried(doc_id)
     added = [("_n_words", T.LongType()), ("_n_removed", T.LongType()), ("_kept", T.StringType())]
     schema = T.StructType([*df.schema.fields, *(T.StructField(n, t) for n, t in added)])
     blocks = X.Blocks(df.sparkSession, df, text, block_bytes)
@@ -53,7 +56,7 @@ def dedup_substrings(df: DataFrame, text: str = "text", doc_id: str = "doc_id",
     owned = blocks.answer(blocks.ask(_candidates(text, doc_id, size, shards, width), estimated), _owners)
     # The estimates are needed again, to number the candidates: a bit a counter.
     both = estimated.unionByName(owned.selectExpr("block", f"shard + {ROWS * shards} AS shard", "payload"))
-    return blocks.map(both, _cut(text, doc_id, size, shards, width, cleaned), schema)
+    return carried.back(blocks.map(both, _cut(text, doc_id, size, shards, width, cleaned), schema), *(n for n, _ in added))
 
 
 class _Windows:
