@@ -9,19 +9,25 @@ the words not seen after h exactly the mass that discounting left: (1 - sum of s
 (0, 1), the cut-off goes down to the largest one that gives none (see ``good_turing``). Where none of h's
 continuations is discounted, they give up half a count in all. Probabilities always sum to one.
 
-Words of order 1 are told by 64-bit hashes and get a number (rank and shard), by which the higher
-orders name them. Counts and answers travel by block exchange, one round an order: each block sends its distinct
-n-grams with its counts, shards by history sum them, store them (a table a order, partitioned by shard) and
-answer. The shard of a history needs the lower-order probability of each continuation, which the block
-already knows, so no table is ever joined row by row or broadcast. What is gathered grows with the input.
+Words are told by 64-bit hashes and get a number (their rank in a shard, and the shard); so do n-grams, by
+which the next order names histories. Per order there are two steps, over a block exchange. Counting: each
+block sends its distinct n-grams with its counts, by history; shards sum them and store them (a table an
+order, partitioned by shard). A history whose count passes ``split`` is dealt over several shards by word, and
+the sums of its parts are added up: no history, however frequent, is one task's. Weighing, once counts of counts
+are known: each shard's table of histories gets its back-off weights, and every block is answered from the stored tables.
+The lower-order mass of a history is summed from its seen words' lower-order counts, which blocks know. Histories that no
+training text has are not asked about. ``score_by_tables`` evaluates texts from the tables alone, recursively per token.
 
 Defined cases: null or empty text is one end token; a null id counts as the text "" when folds are
 drawn; repeated rows count as often as they occur; with no training rows, N is 0 and every token has
-probability 1 / 1 under the base; other columns pass through; an empty table gives an empty table.
+probability 1 / 1 under the base; other columns pass through (see ``columns`` for names that clash); an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import contextlib
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -30,13 +36,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
 from loquat.llm import exchange as X
 from loquat.llm import storage
-from loquat.llm.text import Words, encode, give_back, mix
+from loquat.llm.columns import Carried
+from loquat.llm.text import Words, encode, give_back, lean, mix
 
 #: Counts above this are not discounted; the cut-off may be lower.
 K = 5
+#: Occurrences of a history beyond which its continuations are dealt over several shards.
+SPLIT = 1_500_000
 #: Stands for the hash of the end token.
 END = np.uint64(0x5BD1E995_5BD1E995)
 
@@ -83,32 +93,43 @@ def fold(doc_id, folds: int, part: int) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % folds == part
 
 
-def score_documents(df: DataFrame, text: str = "text", doc_id: str = "doc_id", order: int = 2, folds: int = 7, held: int = 2, block_bytes: int = X.BLOCK_BYTES, tables: str | None = None) -> DataFrame:
+_SEEN = [f"s{r}" for r in range(1, K + 1)]
+#: Sums of a part of a history; where ``h`` is null, of a shard: n-grams by count, 1 to K + 1.
+_PARTS = f"h long, shard int, total long, {' long, '.join(_SEEN)} long, above long, mass double"
+
+
+def score_documents(df: DataFrame, text: str = "text", doc_id: str = "doc_id", order: int = 2, folds: int = 7, held: int = 2, block_bytes: int = X.BLOCK_BYTES, tables: str | None = None, split: int = SPLIT) -> DataFrame:
     """``df``'s columns and ``_held_out``, ``_n_tokens``, ``_n_known``, ``_train_tokens``, ``_base_score``, ``_score``.
 
-    Learns from the rows that are not held out. ``tables``: folder for the n-gram tables; by default
+    Learns from the rows that are not held out. ``tables``: folder for the model's tables; by default
     a fresh one in the shared folder."""
+    carried = Carried(df)
+    df, text, doc_id = carried.df, carried(text), carried(doc_id)
     spark = df.sparkSession
     blocks = X.Blocks(spark, df, text, block_bytes)
     tables = tables or storage.new_path(spark, "ngrams")
     shards = blocks.shards()
     reader = _Reader(text, doc_id, folds, held)
-    model, answers = None, None
-    for n in range(1, order + 1):
-        asks = blocks.ask(_ask_words(reader, shards) if n == 1 else _ask_grams(reader, n, shards, model), answers)
-        reply = storage.materialise(_answered(asks, n, f"{tables}/order={n}"), "answers")
-        stats = reply.where(F.col("block") < 0).select("payload")
-        seen = stats.mapInArrow(_sum_stats, "r int, n long").groupBy("r").agg(F.sum("n").alias("n")).collect()
-        seen = {x["r"]: x["n"] for x in seen}
-        if n == 1:
-            model = Katz(seen.get(-1, 0), seen.get(-2, 0))
-        else:
-            model.discounts[n] = good_turing(np.array([seen.get(r, 0) for r in range(K + 2)]))
-        reply = reply.where(F.col("block") >= 0).selectExpr("block", f"shard + {(n - 1) * shards} AS shard", "payload")
-        answers = reply if answers is None else answers.unionByName(reply)
+    reply = storage.materialise(_counted_words(blocks.ask(_ask_words(reader, shards)), f"{tables}/order=1"), "answers")
+    seen = reply.where("block < 0").select("payload").mapInArrow(_sum_stats, "r int, n long").groupBy("r").agg(F.sum("n").alias("n")).collect()
+    seen = {x["r"]: x["n"] for x in seen}
+    model, answers = Katz(seen.get(-1, 0), seen.get(-2, 0)), reply.where("block >= 0")
+    for n in range(2, order + 1):
+        work = storage.new_path(spark, "work")
+        asks = blocks.ask(_ask_grams(reader, n, shards, model, split), answers)
+        parts = storage.materialise(asks.groupBy("shard").applyInArrow(_count(n, model, f"{tables}/order={n}", work), _PARTS), "parts")
+        del asks
+        storage.release(spark)
+        of = parts.where("h IS NULL").agg(*(F.sum(c).alias(c) for c in (*_SEEN, "above"))).first()
+        model.discounts[n] = good_turing(np.array([0, *(of[c] or 0 for c in (*_SEEN, "above"))]))
+        reply = storage.materialise(_weighed(parts, shards, _weigh(model.discounts[n], n < order, f"{tables}/histories/order={n}", work)), "answers")
+        storage.delete(spark, work)
+        storage.release(spark)
+        answers = answers.unionByName(reply.selectExpr("block", f"shard + {(n - 1) * shards} AS shard", "payload"))
+    _store_discounts(model, shards, tables)
     added = [("_held_out", T.BooleanType()), ("_n_tokens", T.LongType()), ("_n_known", T.LongType()), ("_train_tokens", T.LongType()), ("_base_score", T.DoubleType()), ("_score", T.DoubleType())]
     schema = T.StructType([*df.schema.fields, *(T.StructField(a, t) for a, t in added)])
-    return blocks.map(answers, _scores(reader, order, shards, model), schema)
+    return carried.back(blocks.map(answers, _scores(reader, order, shards, model, split), schema), *(n for n, _ in added))
 
 
 class _Reader:
@@ -139,39 +160,96 @@ def _ask_words(reader: _Reader, shards: int):
     return ask
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct values, a place of each, number of each occurrence's)"""
+    order = np.argsort(x)
+    ordered = x[order]
+    new = np.ones(len(x), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    number = np.empty(len(x), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], number
+
+
 class _State:
-    """What a block knows of its tokens after the answers of orders 1..n: count, number and probability at that order."""
+    """What a block knows of its tokens after the answers of orders 1..n: probability at that order, and of the n-gram
+    that ends at each token its number, count (0 if unseen, or if the text has too few tokens) and history's scale."""
 
-    def __init__(self, reader: _Reader, rows: pa.Table, answers: dict[int, bytes], n: int, shards: int, model: Katz):
+    def __init__(self, reader: _Reader, rows: pa.Table, answers: dict[int, bytes], n: int, shards: int, model: Katz, split: int):
         self.token, self.row, self.held = reader(rows)
-        keys, number = np.unique(self.token, return_inverse=True)
-        counts, names = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.uint64)
+        keys, _, number = _distinct(self.token)
+        counts, names = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
         for s, at in X.slices(keys, shards):
             count, rank = X.split_parts(answers[s])
-            counts[at], names[at] = X.unpack(count), X.unpack_sorted(rank) * np.uint64(shards) + np.uint64(s)
-        self.count, self.name = counts[number], names[number]
+            counts[at], names[at] = X.unpack(count), X.unpack_sorted(rank).astype(np.int64) * shards + s
+        by_name = np.argsort(names)
+        #: Numbers of the block's words in order, their counts, and the place there of each token.
+        self.names, self.counts = names[by_name], counts[by_name]
+        place = np.empty(len(keys), np.int64)
+        place[by_name] = np.arange(len(keys))
+        self.word = place[number]
+        self.number, self.count = self.names[self.word], self.counts[self.word]
+        self.known, self.scale = self.count > 0, np.ones(len(self.token))
         self.p = model.unigram(self.count)
         for m in range(2, n + 1):
-            self._extend(m, answers, shards, model)
-
-    def grams(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(position, history hash, word number) of the tokens that have n - 1 tokens before them in their row."""
-        at = np.flatnonzero(self.row[n - 1 :] == self.row[: len(self.row) - n + 1]) + n - 1 if len(self.row) >= n else np.empty(0, np.int64)
-        history = np.full(len(at), n, np.uint64)
-        for j in range(n - 1, 0, -1):
-            history = mix(history * np.uint64(0x9E3779B97F4A7C15) + self.token[at - j])
-        return at, history, self.name[at]
-
-    def _extend(self, n: int, answers: dict[int, bytes], shards: int, model: Katz) -> None:
-        at, history, word = self.grams(n)
-        g = _Grams(history, word)
-        d, k = model.discounts[n], K + 1
-        p, alpha = np.zeros(len(g.history)), np.ones(len(g.history))
-        for s, part in X.slices(g.history, shards):
-            count, first, total, seen, lower = map(X.unpack, X.split_parts(answers[(n - 1) * shards + s]))
-            p[part], alpha[part] = katz_terms(count, first, total, seen.reshape(-1, k), lower, d)
-        p, alpha = p[g.number], alpha[g.number]
-        self.p[at] = np.where(p > 0, p, alpha * self.p[at])
+            self._extend(_Grams(self, m, shards, split), answers, (m - 1) * shards, model.discounts[m])
+
+    def _extend(self, g: _Grams, answers: dict[int, bytes], first: int, d: np.ndarray) -> None:
+        count, rank, alpha, cut = np.zeros(len(g.word), np.int64), np.zeros(len(g.word), np.int64), np.ones(len(g.word)), np.zeros(len(g.histories), bool)
+        for s, e in g.by_shard():
+            c, r, flags, unseen = map(X.unpack, X.split_parts(answers[first + s]))
+            count[e] = c
+            if len(r):
+                rank[e] = np.cumsum(r, dtype=np.int64) * g.shards + s
+            own = g.history[e][_starts(g.history[e])]
+            cut[own] = np.unpackbits(flags, count=len(own))
+            alpha[e[c == 0]] = unseen
+        scale = (1 - np.where(cut, 0.5 / g.total, 0.0)) / g.total
+        self.number, self.count, self.scale = (np.zeros(len(self.row), t) for t in (np.int64, np.int64, np.float64))
+        self.number[g.at], self.count[g.at], self.scale[g.at] = rank[g.number], count[g.number], scale[g.history][g.number]
+        c = self.count[g.at]
+        self.p[g.at] = np.where(c > 0, d[np.minimum(c, K + 1)] * c * self.scale[g.at], alpha[g.number] * self.p[g.at])
+
+
+class _Grams:
+    """Distinct n-grams of a block whose history some training text has, by history and word; ``state`` is of order n - 1."""
+
+    def __init__(self, state: _State, n: int, shards: int, split: int):
+        row = state.row
+        at = np.flatnonzero(row[n - 1 :] == row[: len(row) - n + 1]) + n - 1 if len(row) >= n else np.empty(0, np.int64)
+        #: Places of the tokens, and their n-gram.
+        self.at = at[state.count[at - 1] > 0]
+        self.histories, one, history = _distinct(state.number[self.at - 1])
+        self.total = state.count[self.at - 1][one]
+        self.scale = state.scale[self.at][one]  # of the shorter history
+        wide = max(1, len(state.names))
+        keys, self.first, self.number = _distinct(history * wide + state.word[self.at])
+        self.history, self.word = np.divmod(keys, wide)
+        self.parts = -(-self.total // split)
+        part = (mix(state.names[self.word].astype(np.uint64)) % self.parts[self.history].astype(np.uint64)).astype(np.uint64)
+        self.shards = shards
+        self.shard = (mix(mix(self.histories.astype(np.uint64))[self.history] + part) % np.uint64(shards)).astype(np.int64)
+
+    def by_shard(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(shard, its n-grams by history and word)"""
+        small = self.shard.astype(np.uint16) if self.shards <= 1 << 16 else self.shard
+        order = np.argsort(small, kind="stable")
+        cuts = np.r_[0, np.cumsum(np.bincount(self.shard, minlength=self.shards))]
+        for s in np.flatnonzero(np.diff(cuts)).tolist():
+            yield s, order[cuts[s] : cuts[s + 1]]
+
+
+def _starts(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.r_[True, x[1:] != x[:-1]][: len(x)])
+
+
+def history_terms(total, seen, lower, d):
+    """By history: what seen words give up of it beyond their discounts, and alpha(h), as of ``katz_terms``."""
+    kept = seen[:, :K] @ (d[1 : K + 1] * np.arange(1, K + 1)) + seen[:, K]
+    with np.errstate(all="ignore"):
+        cut = np.where((kept >= total) & (total > 0), 0.5 / total, 0.0)  # nothing was discounted: half a count goes
+        return cut, np.where(total > 0, (1 - kept / total + cut) / (1 - lower), 1.0)
 
 
 def katz_terms(count, history, total, seen, lower, d):
@@ -179,40 +257,30 @@ def katz_terms(count, history, total, seen, lower, d):
 
     ``history``: number of each n-gram's history; by history: ``total`` c(h), ``seen`` continuations
     by count 1..K and (last column) the summed counts above K, ``lower`` their lower-order mass."""
-    r = np.arange(1, K + 1)
-    kept = seen[:, :K] @ (d[1 : K + 1] * r) + seen[:, K]
-    with np.errstate(all="ignore"):
-        cut = np.where((kept >= total) & (total > 0), 0.5 / total, 0.0)  # nothing was discounted: half a count goes
-        alpha = np.where(total > 0, (1 - kept / total + cut) / (1 - lower), 1.0)
+    cut, alpha = history_terms(total, seen, lower, d)
     t = total[history]
     with np.errstate(all="ignore"):
         p = np.where(count > 0, d[np.minimum(count, K + 1)] * count / t * (1 - cut[history]), 0.0)
     return p, alpha[history]
 
 
-class _Grams:
-    """Distinct (history, word) pairs, sorted; ``number``: of each occurrence."""
-
-    def __init__(self, history: np.ndarray, word: np.ndarray):
-        order = np.lexsort((word, history))
-        h, w = history[order], word[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (h[1:] != h[:-1]) | (w[1:] != w[:-1])
-        self.number = np.empty(len(order), np.int64)
-        self.number[order] = np.cumsum(new) - 1
-        self.first, self.history, self.word = order[new], h[new], w[new]
+def _ask_grams(reader: _Reader, n: int, shards: int, model: Katz, split: int):
+    """By shard: histories (number, n-grams, parts, scale of the shorter history), words (number), and of each n-gram the
+    word, the block's count, and the count of what is left without its first word (order 2: by word)."""
 
-
-def _ask_grams(reader: _Reader, n: int, shards: int, model: Katz):
     def ask(rows: pa.Table, answers: dict[int, bytes]) -> Iterator[tuple[int, bytes]]:
-        state = _State(reader, rows, answers, n - 1, shards, model)
-        at, history, word = state.grams(n)
-        g = _Grams(history, word)
-        counts = np.bincount(g.number, weights=~state.held[state.row[at]], minlength=len(g.history)).astype(np.int64)
-        lower = state.p[at][g.first]
-        for s, part in X.slices(g.history, shards):
-            values, code = np.unique(lower[part], return_inverse=True)
-            yield s, X.join_parts(X.pack_sorted(g.history[part]), X.pack(g.word[part]), X.pack(_narrow(counts[part])), X.pack(values), X.pack(_narrow(code)))
+        state = _State(reader, rows, answers, n - 1, shards, model, split)
+        g = _Grams(state, n, shards, split)
+        counts = np.bincount(g.number, weights=~state.held[state.row[g.at]], minlength=len(g.word)).astype(np.int64)
+        lower = state.count[g.at][g.first]
+        for s, e in g.by_shard():
+            start = _starts(g.history[e])
+            own = g.history[e][start]
+            words, code = np.unique(g.word[e], return_inverse=True)
+            scales, scale = np.unique(g.scale[own], return_inverse=True)
+            low = state.counts[words] if n == 2 else lower[e]
+            sent = (np.diff(start, append=len(e)), g.parts[own], scale, code, counts[e], low)
+            yield s, X.join_parts(X.pack(np.diff(g.histories[own], prepend=0)), X.pack(scales), X.pack(np.diff(state.names[words], prepend=0)), *(X.pack(_narrow(x)) for x in sent))
 
     return ask
 
@@ -221,32 +289,55 @@ def _narrow(a: np.ndarray) -> np.ndarray:
     return a.astype(np.min_scalar_type(int(a.max()) if len(a) else 0))
 
 
-def _answered(asks: DataFrame, n: int, path: str) -> DataFrame:
-    """Answers, and statistics as rows of block -1. The shard's n-grams are stored below ``path`` by the same task."""
-    merge = _merge_words if n == 1 else _merge_grams  # word numbers are small, where hashes take eight bytes
+def _counted_words(asks: DataFrame, path: str) -> DataFrame:
+    """Answers of order 1, and statistics as rows of block -1. The shard's words are stored below ``path`` by the same task."""
 
     def per_shard(table: pa.Table) -> pa.Table:
         shard = table["shard"][0].as_py()
-        out, stats, stored = merge(table["payload"].to_pylist())
-        _store(path, shard, stored)
+        out, stats, stored = _merge_words(table["payload"].to_pylist())
+        _store(f"{path}/shard={shard}/counts.parquet", stored)
         give_back()
         return pa.table({"block": pa.array([*table["block"].to_pylist(), -1], pa.int64()), "shard": pa.array([shard] * (len(out) + 1), pa.int32()), "payload": pa.array([*out, X.pack(stats)], pa.binary())})
 
     return asks.groupBy("shard").applyInArrow(per_shard, X.ASK)
 
 
-def _store(path: str, shard: int, table: pa.Table) -> None:
-    """One Parquet file a shard, written whole and then renamed: a repeated task replaces it by the same rows."""
-    import uuid
+def _store(path: str, table: pa.Table) -> None:
+    """One Parquet file, written whole and then renamed: a repeated task replaces it by the same rows."""
+    import pyarrow.parquet as pq
+
+    coded = dict.fromkeys(("history", "word", "rank"), "DELTA_BINARY_PACKED")
+    signed = table.cast(pa.schema([(f.name, f.type if pa.types.is_floating(f.type) else pa.int64()) for f in table.schema]), safe=False)
+    with _replacing(path) as out:
+        pq.write_table(signed, out, compression="zstd", use_dictionary=[c for c in ("count", "total", "scale") if c in table.column_names], column_encoding={c: e for c, e in coded.items() if c in table.column_names})
+
+
+@contextlib.contextmanager
+def _replacing(path: str):
+    """A stream to a file that takes the name only when it is whole."""
+    fs, target = storage.filesystem(path)
+    folder, name = target.rsplit("/", 1)
+    fs.create_dir(folder, recursive=True)
+    temporary = f"{folder}/.{name}-{uuid.uuid4().hex}"
+    with fs.open_output_stream(temporary) as out:
+        yield out
+    fs.move(temporary, target)
+
 
+def _read(path: str) -> bytes:
+    fs, source = storage.filesystem(path)
+    with fs.open_input_stream(source) as stream:
+        return stream.read()
+
+
+def _store_discounts(model: Katz, shards: int, tables: str) -> None:
+    """The few numbers that are not in the tables: tokens, types, shards, and discounts by order and count."""
+    facts = [{"order": 1, "r": r, "value": float(x)} for r, x in enumerate((model.tokens, model.types, shards))]
+    facts += [{"order": n, "r": r, "value": float(x)} for n, d in model.discounts.items() for r, x in enumerate(d)]
     import pyarrow.parquet as pq
 
-    fs, root = storage.filesystem(f"{path}/shard={shard}")
-    fs.create_dir(root, recursive=True)
-    encoding = {c: "DELTA_BINARY_PACKED" for c in ("history", "rank") if c in table.column_names}
-    signed = table.cast(pa.schema([(c, pa.int64()) for c in table.column_names]), safe=False)
-    pq.write_table(signed, temporary := f"{root}/.{uuid.uuid4().hex}", filesystem=fs, compression="zstd", use_dictionary=["count"], column_encoding=encoding | {"word": "BYTE_STREAM_SPLIT"})
-    fs.move(temporary, f"{root}/counts.parquet")
+    with _replacing(f"{tables}/facts/facts.parquet") as out:
+        pq.write_table(pa.Table.from_pylist(facts, pa.schema([("order", pa.int64()), ("r", pa.int64()), ("value", pa.float64())])), out)
 
 
 def _merge_words(payloads: list[bytes]) -> tuple[list[bytes], np.ndarray, pa.Table]:
@@ -261,32 +352,92 @@ def _merge_words(payloads: list[bytes]) -> tuple[list[bytes], np.ndarray, pa.Tab
     return out, stats.ravel(), pa.table({"word": every[seen], "rank": np.flatnonzero(seen), "count": total[seen]})
 
 
-def _merge_grams(payloads: list[bytes]) -> tuple[list[bytes], np.ndarray, pa.Table]:
-    lengths, history, word, count, lower = [], [], [], [], []
-    for raw in payloads:
-        h, w, c, values, code = X.split_parts(raw)
-        history.append(X.unpack_sorted(h))
-        word.append(X.unpack(w))
-        count.append(X.unpack(c).astype(np.int64))
-        lower.append(X.unpack(values)[X.unpack(code)])
-        lengths.append(len(history[-1]))
-    g = _Grams(np.concatenate(history), np.concatenate(word))
-    total = np.bincount(g.number, weights=np.concatenate(count), minlength=len(g.history)).astype(np.int64)
-    below = np.concatenate(lower)[g.first]
-    start = np.flatnonzero(np.r_[True, g.history[1:] != g.history[:-1]])
-    of_history = np.cumsum(np.r_[True, g.history[1:] != g.history[:-1]]) - 1
-    c_h = np.add.reduceat(total, start)
-    seen = np.stack([np.add.reduceat((total == r).astype(np.int64), start) for r in range(1, K + 1)] + [np.add.reduceat(np.where(total > K, total, 0), start)], 1)
-    mass = np.add.reduceat(np.where(total > 0, below, 0.0), start)
-    out, at = [], 0
-    for n in lengths:
-        number = g.number[at : at + n]
-        own, local = np.unique(of_history[number], return_inverse=True)
-        out.append(X.join_parts(X.pack(_narrow(total[number])), X.pack(_narrow(local)), X.pack(_narrow(c_h[own])), X.pack(_narrow(seen[own].ravel())), X.pack(mass[own])))
-        at += n
-    stats = np.array([[r, (total == r).sum()] for r in range(1, K + 2)], np.int64)
-    kept = total > 0
-    return out, stats.ravel(), pa.table({"history": g.history[kept], "word": g.word[kept], "count": total[kept]})
+def _count(n: int, model: Katz, path: str, work: str):
+    """Sums a shard's n-grams and stores them; what weighing needs goes to a file. Returns sums of parts of split histories."""
+
+    def per_shard(table: pa.Table) -> pa.Table:
+        shard = table["shard"][0].as_py()
+        histories, each, words, word, count, lower, parts, lengths = [], [], [], [], [], [], [], []
+        for raw in table["payload"].to_pylist():
+            h, scales, w, per, part, scale, code, c, low = map(X.unpack, X.split_parts(raw))
+            low = (low[code] if n == 2 else low).astype(np.int64)
+            if n == 2:
+                below = model.unigram(low)
+            else:
+                below = model.discounts[n - 1][np.minimum(low, K + 1)] * low * np.repeat(scales[scale], per)
+            base = sum(map(len, words))
+            histories.append(np.cumsum(h))
+            words.append(np.cumsum(w))
+            each.append(per.astype(np.int64))
+            parts.append(part.astype(np.int64))
+            word.append(code.astype(np.int64) + base)
+            count.append(c.astype(np.int64))
+            lower.append(below)
+            lengths.append(len(code))
+        known, one, number = _distinct(np.concatenate(histories))
+        parts = np.concatenate(parts)[one]
+        named, _, place = _distinct(np.concatenate(words))
+        keys, _, own = _distinct(np.repeat(number, np.concatenate(each)) * len(named) + place[np.concatenate(word)])
+        history, w = np.divmod(keys, len(named))
+        count, lower = np.concatenate(count), np.concatenate(lower)
+        total = np.bincount(own, weights=count, minlength=len(keys)).astype(np.int64)
+        below = np.zeros(len(keys))
+        below[own[count > 0]] = lower[count > 0]
+        sums = lambda x: np.bincount(history, weights=x, minlength=len(known))
+        c_h = sums(total).astype(np.int64)
+        seen = np.stack([*(sums(total == r) for r in range(1, K + 1)), sums(np.where(total > K, total, 0))], 1).astype(np.int64)
+        mass = sums(below)
+        rank = np.flatnonzero(total > 0)
+        _store(f"{path}/shard={shard}/counts.parquet", pa.table({"history": known[history[rank]], "word": named[w[rank]], "rank": rank, "count": total[rank]}))
+        blocks = [X.pack(np.diff(x, prepend=0)) for x in np.split(own, np.cumsum(lengths)[:-1])]
+        with _replacing(f"{work}/{shard}") as out:
+            facts = (np.diff(known, prepend=0), _narrow(np.diff(_starts(history), append=len(history))), _narrow(total), _narrow(c_h), _narrow(seen.ravel()), mass, parts > 1, np.array(table["block"].to_pylist(), np.int64))
+            out.write(X.join_parts(*map(X.pack, facts), *blocks))
+        give_back()
+        split = np.flatnonzero(parts > 1)
+        columns = {"h": pa.array([*known[split].tolist(), None], pa.int64()), "shard": pa.array([shard] * (len(split) + 1), pa.int32()), "total": pa.array(np.r_[c_h[split], 0])}
+        columns |= {c: pa.array(np.r_[seen[split, r], (total == r + 1).sum()]) for r, c in enumerate(_SEEN)}
+        columns |= {"above": pa.array(np.r_[seen[split, K], (total == K + 1).sum()]), "mass": pa.array(np.r_[mass[split], 0.0])}
+        return pa.table(columns)
+
+    return per_shard
+
+
+def _weighed(parts: DataFrame, shards: int, weigh) -> DataFrame:
+    """Each shard weighed, given the sums over all parts of its split histories; the least shard stores a history's weight."""
+    of_parts = [*_SEEN, "above", "mass", "total"]
+    split = parts.where("h IS NOT NULL")
+    whole = split.groupBy("h").agg(*(F.sum(c).alias(c) for c in of_parts), F.min("shard").alias("owner"))
+    given = split.select("h", "shard").join(whole, "h").unionByName(parts.where("h IS NULL").withColumn("owner", F.col("shard")))
+    return given.repartition(shards, "shard").groupBy("shard").applyInArrow(weigh, X.ASK)
+
+
+def _weigh(d: np.ndarray, numbered: bool, path: str, work: str):
+    """Stores a shard's back-off weights and answers its blocks: count, rank (if numbered) of each n-gram; whether each
+    history's seen words gave up half a count; alpha of the unseen n-grams."""
+
+    def per_shard(table: pa.Table) -> pa.Table:
+        shard = table["shard"][0].as_py()
+        known, per, total, c_h, seen, mass, parted, blocks, *own = map(X.unpack, X.split_parts(_read(f"{work}/{shard}")))
+        known, total, c_h, seen = np.cumsum(known), total.astype(np.int64), c_h.astype(np.int64), seen.reshape(-1, K + 1).astype(np.int64)
+        stored = np.ones(len(known), bool)
+        for x in (x for x in table.to_pylist() if x["h"] is not None):
+            k = np.searchsorted(known, x["h"])
+            c_h[k], seen[k], mass[k], stored[k] = x["total"], [x[c] for c in (*_SEEN, "above")], x["mass"], x["owner"] == shard
+        cut, alpha = history_terms(c_h, seen, mass, d)
+        stored &= c_h > 0
+        _store(f"{path}/shard={shard}/weights.parquet", pa.table({"history": known[stored], "total": c_h[stored], "scale": ((1 - cut) / np.maximum(c_h, 1))[stored], "alpha": alpha[stored]}))
+        history = np.repeat(np.arange(len(known)), per)
+        out = []
+        for rank in own:
+            at = np.cumsum(rank)
+            of = history[at]
+            count = total[at]
+            out.append(X.join_parts(X.pack(_narrow(count)), X.pack(_narrow(rank) if numbered else rank[:0]), X.pack(np.packbits(cut[of[_starts(of)]] > 0)), X.pack(alpha[of[count == 0]])))
+        give_back()
+        return pa.table({"block": pa.array(blocks), "shard": pa.array([shard] * len(out), pa.int32()), "payload": pa.array(out, pa.binary())})
+
+    return per_shard
 
 
 def _sum_stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,16 +447,49 @@ def _sum_stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].astype(np.int32)), pa.array(pairs[:, 1])], names=["r", "n"])
 
 
-def _scores(reader: _Reader, order: int, shards: int, model: Katz) -> Callable:
+def _scores(reader: _Reader, order: int, shards: int, model: Katz, split: int) -> Callable:
     def use(rows: pa.Table, answers: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
-        state = _State(reader, rows, answers, order, shards, model)
+        state = _State(reader, rows, answers, order, shards, model, split)
         n = rows.num_rows
         sums = lambda x: np.bincount(state.row, weights=x, minlength=n)
-        base, score = sums(np.log10(model.unigram(state.count))), sums(np.log10(state.p))
-        tokens, known = sums(np.ones(len(state.row))).astype(np.int64), sums(state.count > 0).astype(np.int64)
+        base, score = sums(np.log10(model.unigram(state.counts[state.word]))), sums(np.log10(state.p))
+        tokens, known = sums(np.ones(len(state.row))).astype(np.int64), sums(state.known).astype(np.int64)
         columns = [*rows.combine_chunks().itercolumns(), pa.array(state.held), pa.array(tokens), pa.array(known), pa.array(np.full(n, model.tokens, np.int64)), pa.array(base), pa.array(score)]
         names = [*rows.column_names, "_held_out", "_n_tokens", "_n_known", "_train_tokens", "_base_score", "_score"]
         for batch in pa.table(columns, names=names).to_batches(max_chunksize=500):
             yield batch
 
     return use
+
+
+def score_by_tables(df: DataFrame, tables: str, text: str = "text", order: int = 2) -> DataFrame:
+    """``df``'s columns and ``_n_tokens`` and ``_score``, by a model's tables alone (of ``score_documents``): plain joins.
+
+    For any texts, whether the model knows them or not; null or empty text is one end token."""
+    spark, carried = df.sparkSession, Carried(df)
+    facts = {(x["order"], x["r"]): x["value"] for x in spark.read.parquet(f"{tables}/facts").collect()}
+    tokens, types, shards = (facts[1, r] for r in range(3))
+    text = carried(text)
+    rows = storage.materialise(carried.df.withColumn("_row", F.monotonically_increasing_id()), "texts")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, 200):
+                batch = whole.slice(i, 200)
+                token, row, _ = _Reader("text", "row", 1, 1)(pa.table({"text": batch.column(0), "row": batch.column(1)}))
+                at = np.arange(len(row)) - np.r_[0, np.flatnonzero(np.diff(row)) + 1][row] if len(row) else row
+                yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(row)), pa.array(at), pa.array(token.view(np.int64))], names=["_row", "at", "token"])
+
+    number = F.col("rank") * int(shards) + F.col("shard").cast("long")
+    of_words = spark.read.parquet(f"{tables}/order=1").select(F.col("word").alias("token"), number.alias("w"), F.col("count").alias("c"))
+    now = rows.select(text, "_row").mapInArrow(lean(run), "_row long, at long, token long").join(of_words, "token", "left")
+    now = now.withColumn("p", (F.coalesce("c", F.lit(0)) + 1) / (tokens + types + 1)).withColumn("g", F.col("w")).select("_row", "at", "w", "g", "p")
+    before = W.partitionBy("_row").orderBy("at")
+    for n in range(2, order + 1):
+        seen = spark.read.parquet(f"{tables}/order={n}").select(F.col("history").alias("h"), F.col("word").alias("w"), number.alias("g"), F.col("count").alias("c"))
+        weights = spark.read.parquet(f"{tables}/histories/order={n}").select(F.col("history").alias("h"), "scale", "alpha")
+        now = now.withColumn("h", F.lag("g").over(before)).drop("g").join(seen, ["h", "w"], "left").join(weights, "h", "left")
+        kept = F.element_at(F.array(*(F.lit(facts[n, r]) for r in range(K + 2))), (F.least("c", F.lit(K + 1)) + 1).cast("int")) * F.col("c") * F.col("scale")
+        now = now.withColumn("p", F.coalesce(kept, F.col("alpha") * F.col("p"), F.col("p"))).select("_row", "at", "w", "g", "p")
+    sums = now.groupBy("_row").agg(F.count("*").alias("_n_tokens"), F.sum(F.log10("p")).alias("_score"))
+    return carried.back(rows.join(sums, "_row"), "_n_tokens", "_score")

@@ -84,6 +84,29 @@ class Ordinal:
         return (below[ends] - below[ends - n]) / np.maximum(n, 1)
 
 
+def gradient(rows: list[np.ndarray], counts: list[np.ndarray], y: np.ndarray, weights: np.ndarray, free: np.ndarray, decay: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of the mean negative log-likelihood and ``decay`` / 2 |weights|^2, by the weights and by ``free``: the first
+    threshold and the logarithms of the gaps between thresholds."""
+    n, k = len(rows), len(free)
+    index = np.concatenate(rows)
+    value = np.concatenate([c / max(1, c.sum()) for c in counts])
+    owner = np.repeat(np.arange(n), [len(r) for r in rows])
+    eta = np.bincount(owner, weights=weights[index] * value, minlength=n)
+    theta = np.cumsum(np.r_[free[0], np.exp(free[1:])])
+    cdf = 1 / (1 + np.exp(-np.clip(theta[None, :] - eta[:, None], -500, 500)))
+    full = np.hstack([np.zeros((n, 1)), cdf, np.ones((n, 1))])
+    slope, at = full * (1 - full), np.arange(n)
+    p = np.maximum(full[at, y + 1] - full[at, y], 1e-12)
+    d_upper, d_lower = -slope[at, y + 1] / p, slope[at, y] / p
+    d_eta = -(d_upper + d_lower) / n
+    d_theta = np.zeros(k + 2)
+    np.add.at(d_theta, y + 1, d_upper / n)
+    np.add.at(d_theta, y, d_lower / n)
+    d_theta = np.cumsum(d_theta[1:-1][::-1])[::-1]
+    g = np.bincount(index, weights=d_eta[owner] * value, minlength=len(weights)) + decay * weights
+    return g, np.r_[d_theta[0], d_theta[1:] * np.exp(free[1:])]
+
+
 def fit(rows: list[np.ndarray], counts: list[np.ndarray], grades: np.ndarray, bits: int = BITS, epochs: int = 30, rate: float = 0.3, decay: float = 1e-6, seed: int = 0) -> Ordinal:
     """Adam on the negative log-likelihood, in mini-batches. Rows: feature numbers and their counts."""
     levels, y = np.unique(grades, return_inverse=True)
@@ -100,25 +123,7 @@ def fit(rows: list[np.ndarray], counts: list[np.ndarray], grades: np.ndarray, bi
         order = rng.permutation(len(rows))
         for at in range(0, len(order), 256):
             batch = order[at : at + 256]
-            sizes = [len(rows[i]) for i in batch]
-            index = np.concatenate([rows[i] for i in batch])
-            value = np.concatenate([counts[i] / max(1, counts[i].sum()) for i in batch])
-            owner = np.repeat(np.arange(len(batch)), sizes)
-            eta = np.bincount(owner, weights=weights[index] * value, minlength=len(batch))
-            theta = np.cumsum(np.r_[free[0], np.exp(free[1:])])
-            cdf = 1 / (1 + np.exp(-np.clip(theta[None, :] - eta[:, None], -500, 500)))
-            full = np.hstack([np.zeros((len(batch), 1)), cdf, np.ones((len(batch), 1))])
-            slope = full * (1 - full)
-            mine = y[batch]
-            at_, p = np.arange(len(batch)), np.maximum(full[np.arange(len(batch)), mine + 1] - full[np.arange(len(batch)), mine], 1e-12)
-            d_upper, d_lower = -slope[at_, mine + 1] / p, slope[at_, mine] / p
-            d_eta = -(d_upper + d_lower) / len(batch)
-            d_theta = np.zeros(k + 2)
-            np.add.at(d_theta, mine + 1, d_upper / len(batch))
-            np.add.at(d_theta, mine, d_lower / len(batch))
-            d_theta = np.cumsum(d_theta[1:-1][::-1])[::-1]
-            g_free = np.r_[d_theta[0], d_theta[1:] * np.exp(free[1:])]
-            g = np.bincount(index, weights=d_eta[owner] * value, minlength=len(weights)) + decay * weights
+            g, g_free = gradient([rows[i] for i in batch], [counts[i] for i in batch], y[batch], weights, free, decay)
             step += 1
             for x, grad, m, v in ((weights, g, *moments[:2]), (free, g_free, *moments[2:])):
                 m += 0.1 * (grad - m)
@@ -141,7 +146,8 @@ def train(df: DataFrame, ratings: DataFrame, text: str = "text", doc_id: str = "
                 found = [np.unique(x, return_counts=True) for x in np.split(every, np.cumsum(n)[:-1])]
                 yield pa.RecordBatch.from_arrays([batch.column("_id").cast(pa.string()), batch.column("_grade"), pa.array([a.astype("<u4").tobytes() for a, _ in found], pa.binary()), pa.array([b.astype("<u4").tobytes() for _, b in found], pa.binary())], names=["id", "grade", "index", "count"])
 
-    rows = joined.select("_id", "_grade", "_text").mapInArrow(lean(run), "id string, grade long, index binary, count binary").toArrow()
+    rows = joined.select("_id", "_grade", "_text").mapInArrow(lean(run), "id string, grade long, index binary, count binary")
+    rows = rows.orderBy(F.xxhash64("id"), "id", "grade", "index", "count").limit(max_rows).toArrow()  # an id may be repeated
     rows = sorted(zip(*(rows[c].to_pylist() for c in ("id", "grade", "index", "count")), strict=True))
     return fit([np.frombuffer(x[2], "<u4").astype(np.int64) for x in rows], [np.frombuffer(x[3], "<u4").astype(np.float64) for x in rows], np.array([x[1] for x in rows], np.int64), bits, **kw)
 

@@ -48,6 +48,14 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of shuffle files that no table needs any more: the driver's cleaner follows its garbage collector."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def name_table(path: str, name: str) -> None:
     """The catalog's name of the table at a path, dropped with it."""
     _tables[path] = name

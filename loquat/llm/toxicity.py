@@ -1,19 +1,20 @@
 """Toxicity by two class-conditional Kneser-Ney bigram models.
 
-Each class has bigram counts and, below them, continuation counts (distinct contexts of a word). Both
-discounted levels back off to counts that the classes share: for a frequent word the part of its
-continuation share that both classes have, for a rare one (fewer contexts in all than
-a share of the smaller class's documents) the sum. A rare word or bigram thus says nothing for
-either class by itself, whatever its accidental counts. A text's score compares the two
-log-likelihoods, divided by its length, through a logistic curve fitted on sampled documents that the
-counts did not use.
+Each class has bigram counts and, below them, continuation counts (distinct contexts of a word), both by
+absolute discounting with interpolation: P(w | v) = max(c(v w) - D2, 0) / c(v) + left(v) P(w), where
+left(v) is exactly what discounting took, and P(w) likewise from contexts with D1. The lowest level is
+shared by the classes: of each word the part of its share of contexts that both have, so that a word of one class
+lends the other nothing, plus one. Rare expressions thus fall to the shared counts in both. The discounts
+are those of a few that rank documents best which the counts did not use. A text's score compares the two
+log-likelihoods, divided by its length, through a logistic curve fitted on those documents.
 
 Fitting uses a bounded sample of labelled rows: of each class, the ``max_rows`` smallest by a hash of
 the id. Scoring is one pass without a shuffle; the model is broadcast, its size bounded by the sample.
 
 Defined cases: null or empty text is scored at length zero; null labels or ids are not learned from;
 repeated rows count as often as they occur; where a class has no labelled rows the score is the
-label's overall rate; other columns pass through; an empty table gives an empty table.
+label's overall rate; other columns pass through (see ``columns`` for names that clash); an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -28,13 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loquat.llm.columns import Carried
 from loquat.llm.text import Words, encode, lean, mix
 
 DISCOUNT = 0.75
 #: Added to lengths, so that a few words are little evidence.
 PRIOR_TOKENS = 20
-#: What is rare, as a share of the smaller class's documents: the one that ranks best is taken.
-RARE_SHARES = (0.005, 0.01, 0.015, 0.02, 0.03)
+#: Discounts that are tried, of words and of bigrams. Above 1 they also smooth what is rare by chance.
+DISCOUNTS = ((DISCOUNT, 2.0, 5.0, 10.0, 20.0, 40.0), (DISCOUNT, 5.0, 20.0, 100.0))
 _START = np.uint64(7)
 
 
@@ -54,7 +56,9 @@ def bigrams(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return before, mix(before * np.uint64(0x9E3779B97F4A7C15) + words.hashes), text
 
 
-class _Counts:
+class Counts:
+    """Bigrams of some texts: how often, after which word; contexts of each word; tokens after each word."""
+
     def __init__(self, words: Words):
         before, pair, _ = bigrams(words)
         self.pair, first, self.count = np.unique(pair, return_index=True, return_counts=True)
@@ -62,6 +66,29 @@ class _Counts:
         self.before, self.total = np.unique(before, return_counts=True)
         self.word, self.contexts = np.unique(self.pair_word, return_counts=True)
 
+    def left(self, discount: float) -> np.ndarray:
+        """By word of ``before``: the share that discounting takes from the bigrams after it."""
+        taken = np.bincount(np.searchsorted(self.before, self.pair_before), weights=np.minimum(self.count, discount), minlength=len(self.before))
+        return taken / self.total
+
+
+class Shared:
+    """Back-off counts of both classes: of each word, the part of its contexts' share that both classes have."""
+
+    def __init__(self, counts: list[Counts]):
+        self.word = np.unique(np.concatenate([c.word for c in counts]))
+        self.contexts = np.stack([look_up(c.word, c.contexts, self.word) for c in counts])
+        self.totals = np.maximum(self.contexts.sum(1), 1)
+        common = (self.contexts / self.totals[:, None]).min(0) * self.totals.sum()
+        every = common.sum() + len(self.word) + 1
+        self.p, self.unknown = (common + 1) / every, 1 / every
+
+    def words(self, discount: float) -> tuple[np.ndarray, np.ndarray]:
+        """(P(word) by class, a row each; of any other word)"""
+        held = np.maximum(self.contexts - discount, 0) / self.totals[:, None]
+        mass = 1 - held.sum(1)
+        return held + mass[:, None] * self.p, mass * self.unknown
+
 
 @dataclass
 class Model:
@@ -95,29 +122,42 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x, -500, 500))), like, n
 
 
-def estimate(classes: list[Words], rare: float) -> Model:
-    """Kneser-Ney models of class 0 and 1 with shared back-off counts."""
-    counts = [_Counts(w) for w in classes]
-    word = np.unique(np.concatenate([c.word for c in counts]))
-    contexts = np.stack([look_up(c.word, c.contexts, word) for c in counts])
-    totals = np.maximum(contexts.sum(1), 1)
-    few = contexts.sum(0) < rare
-    common = np.where(few, contexts.sum(0), (contexts / totals[:, None]).min(0) * totals.sum())
-    shared, unknown = (common + 1) / (common.sum() + len(word) + 1), 1 / (common.sum() + len(word) + 1)
-    held = np.where(few, 0, np.maximum(contexts - DISCOUNT, 0)) / totals[:, None]
-    mass = 1 - held.sum(1)
-    model = Model(word, held + mass[:, None] * shared, mass * unknown, *[np.empty(0)] * 4)
-    every = np.unique(np.concatenate([c.pair for c in counts]))
-    often = every[sum(look_up(c.pair, c.count, every) for c in counts) >= rare]
-    model.pair = often
-    model.before = np.unique(np.concatenate([c.pair_before[np.isin(c.pair, often)] for c in counts]))
-    model.p_pair, model.left = np.zeros((2, len(often))), np.ones((2, len(model.before)))
+def estimate(classes: list[Words], word_discount: float, pair_discount: float = DISCOUNT) -> Model:
+    """Interpolated Kneser-Ney models of class 0 and 1 with shared back-off counts."""
+    counts = [Counts(w) for w in classes]
+    shared = Shared(counts)
+    p_word, p_unknown = shared.words(word_discount)
+    pair, before = (np.unique(np.concatenate([getattr(c, x) for c in counts])) for x in ("pair", "before"))
+    p_pair, left = np.zeros((2, len(pair))), np.ones((2, len(before)))
     for k, c in enumerate(counts):
-        own = np.isin(c.pair, often)
-        p = np.maximum(c.count[own] - DISCOUNT, 0) / look_up(c.before, c.total, c.pair_before[own], 1)
-        model.p_pair[k] = look_up(c.pair[own], p, often)
-        model.left[k] -= np.bincount(np.searchsorted(model.before, c.pair_before[own]), weights=p, minlength=len(model.before))
-    return model
+        p_pair[k, np.searchsorted(pair, c.pair)] = np.maximum(c.count - pair_discount, 0) / look_up(c.before, c.total, c.pair_before, 1)
+        left[k, np.searchsorted(before, c.before)] = c.left(pair_discount)
+    # A bigram that discounting leaves nothing of is the back-off alone: it needs no entry.
+    some = p_pair.any(0)
+    return Model(shared.word, p_word, p_unknown, pair[some], p_pair[:, some], before, left)
+
+
+def choose(classes: list[Words], aside: Words, y: np.ndarray, grid: tuple[tuple[float, ...], tuple[float, ...]]) -> tuple[float, float, np.ndarray]:
+    """The discounts of ``grid`` (of words, of bigrams) that rank the texts ``aside`` best, and their length-normalised log ratios."""
+    counts = [Counts(w) for w in classes]
+    shared = Shared(counts)
+    before, pair, text = bigrams(aside)
+    place = np.minimum(np.searchsorted(shared.word, aside.hashes), max(0, len(shared.word) - 1))
+    known = shared.word[place] == aside.hashes
+    seen = [(look_up(c.pair, c.count, pair), look_up(c.before, c.total, before, 1)) for c in counts]
+    best = None
+    for of_words in grid[0]:
+        p_word, p_unknown = shared.words(of_words)
+        for of_pairs in grid[1]:
+            x = np.zeros(len(aside.counts))
+            for k, c in enumerate(counts):
+                p = np.where(known, p_word[k][place], p_unknown[k])
+                p = np.maximum(seen[k][0] - of_pairs, 0) / seen[k][1] + look_up(c.before, c.left(of_pairs), before, 1.0) * p
+                x += (2 * k - 1) * np.bincount(text, weights=np.log(p), minlength=len(x))
+            x /= aside.counts + PRIOR_TOKENS
+            if best is None or _ranked(x, y) > best[0] + 1e-9:
+                best = _ranked(x, y), of_words, of_pairs, x
+    return best[1:]
 
 
 def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 100) -> tuple[float, float]:
@@ -142,47 +182,44 @@ def _ranked(x: np.ndarray, y: np.ndarray) -> float:
     return (order[y == 1].sum() - ones * (ones - 1) / 2) / (ones * (len(y) - ones))
 
 
-def fit(texts: list[list[str]], rates: tuple[int, int], rare_shares: tuple[float, ...] = RARE_SHARES, prior_power: float = 0.5) -> Model:
+def fit(texts: list[list[str]], rates: tuple[int, int], grid: tuple[tuple[float, ...], tuple[float, ...]] = DISCOUNTS, prior_power: float = 0.5) -> Model:
     """``texts`` of class 0 and 1, in hash order; ``rates``: labelled rows of each class in all.
 
-    Counts of three quarters of each class are tried on the rest: that chooses what is rare, and fits
-    the curve, in which a class weighs its rate to the power ``prior_power``. Then all are counted."""
+    As many texts of each class are used as both have. Counts of three quarters of each are tried on the
+    rest: that chooses the discounts, and fits the curve, in which a class weighs its rate to the power
+    ``prior_power``. Then all are counted."""
     if not all(texts):
         overall = np.clip(rates[1] / max(1, sum(rates)), 1e-6, 1 - 1e-6)
         empty = np.empty(0)
         return Model(empty, np.empty((2, 0)), np.ones(2), empty, np.empty((2, 0)), empty, np.empty((2, 0)), 0.0, float(np.log(overall / (1 - overall))))
     words = lambda t: Words.of([encode(x) for x in t], lower=True)
+    texts = [t[: min(map(len, texts))] for t in texts]
     kept = [[x for k, x in enumerate(t) if k % 4] or t for t in texts]
     aside = [[x for k, x in enumerate(t) if not k % 4] for t in texts]
     y = np.repeat([0.0, 1.0], [len(x) for x in aside])
-    counted, best = [words(t) for t in kept], None
-    for share in rare_shares:
-        trial = estimate(counted, max(3.0, share * min(map(len, kept))))
-        x = np.concatenate([(lambda like, n: (like[1] - like[0]) / (n + PRIOR_TOKENS))(*trial.log_likelihoods(t)) for t in aside])
-        if best is None or _ranked(x, y) > best[0]:
-            best = (_ranked(x, y), share, x)
-    _, share, x = best
+    of_words, of_pairs, x = choose([words(t) for t in kept], words(aside[0] + aside[1]), y, grid)
+    model = estimate([words(t) for t in texts], of_words, of_pairs)
     weight = np.repeat([r**prior_power / len(t) for r, t in zip(rates, aside, strict=True)], [len(t) for t in aside])
-    model = estimate([words(t) for t in texts], max(3.0, share * min(map(len, texts))))
     model.slope, model.offset = calibrate(x, y, weight * len(y) / weight.sum())
     return model
 
 
-def train(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", max_rows: int = 4000, rare_shares: tuple[float, ...] = RARE_SHARES) -> Model:
-    """Fit on at most ``max_rows`` labelled rows of each class."""
+def train(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", max_rows: int = 4000, grid: tuple[tuple[float, ...], tuple[float, ...]] = DISCOUNTS) -> Model:
+    """Fit on at most ``max_rows`` labelled rows of each class, however often an id is repeated."""
     known = labels.select(F.col(doc_id).alias("_id"), (F.col(label) > 0).cast("int").alias("_y")).dropna()
     rates = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count("*").alias("n")).collect()}
-    sample = None
+    texts = []
     for c in (0, 1):  # so many short rows may be broadcast
         part = known.where(F.col("_y") == c).orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
-        sample = part if sample is None else sample.unionByName(part)
-    rows = df.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(sample), "_id").select(F.xxhash64("_id").alias("h"), "_y", F.coalesce("_text", F.lit("")).alias("t")).toArrow()
-    ordered = sorted(zip(*(rows[c].to_pylist() for c in ("h", "_y", "t")), strict=True))
-    return fit([[t for _, y, t in ordered if y == c] for c in (0, 1)], (rates.get(0, 0), rates.get(1, 0)), rare_shares)
+        rows = df.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(part), "_id")
+        texts.append(rows.orderBy(F.xxhash64("_id"), "_id", "t").limit(max_rows).select("t").toArrow()["t"].to_pylist())
+    return fit(texts, (rates.get(0, 0), rates.get(1, 0)), grid)
 
 
 def score(df: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
     """``df``'s columns and ``_score``, ``_predicted``, ``_ll_toxic``, ``_ll_ordinary`` (natural logarithms)."""
+    carried = Carried(df)
+    df, text = carried.df, carried(text)
     shared = df.sparkSession.sparkContext.broadcast(model)
     added = [("_score", T.DoubleType()), ("_predicted", T.IntegerType()), ("_ll_toxic", T.DoubleType()), ("_ll_ordinary", T.DoubleType())]
     schema = T.StructType([*df.schema.fields, *(T.StructField(n, t) for n, t in added)])
@@ -195,7 +232,7 @@ def score(df: DataFrame, model: Model, text: str = "text", least: float = 0.5) -
                 p, like, _ = fitted.score(batch.column(text).to_pylist())
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= least).astype(np.int32)), pa.array(like[1]), pa.array(like[0])], names=[*batch.schema.names, "_score", "_predicted", "_ll_toxic", "_ll_ordinary"])
 
-    return df.mapInArrow(lean(run), schema)
+    return carried.back(df.mapInArrow(lean(run), schema), *(n for n, _ in added))
 
 
 def in_fold(doc_id, folds: int, part: int) -> bool:

@@ -155,3 +155,33 @@ def test_registered_query_scores_trigrams(spark, tmp_path):
     plain = Plain(docs, 3)
     for r in op6_katz_scores(spark, f"file://{tmp_path}").collect():
         assert math.isclose(r.score, plain.score(dict(docs)[r.doc_id]), rel_tol=1e-9)
+
+
+def test_split_histories_change_nothing(spark):
+    """Frequent histories over many shards, and with them the sums of their parts."""
+    docs = corpus(6, 120)
+    plain = Plain(docs, 3)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    for r in katz.score_documents(df, order=3, block_bytes=1500, split=7).collect():
+        assert math.isclose(r._score, plain.score(dict(docs)[r.doc_id]), rel_tol=1e-9)
+
+
+def test_tables_alone_reproduce_scores(spark, tmp_path, monkeypatch):
+    from loquat.llm import exchange
+
+    monkeypatch.setattr(exchange, "SHARD_KEYS", 300)
+    docs = corpus(7, 120)
+    plain = Plain(docs, 3)
+    tables = f"file://{tmp_path}/model"
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    katz.score_documents(df, order=3, tables=tables, split=20).count()
+    asked = [*docs[:60], *docs[-3:], (5000, "w0 w1 never w2 w3 W1 w0"), (5001, None), (5001, "w0 w0 w0")]
+    rows = katz.score_by_tables(spark.createDataFrame(asked, "doc_id long, text string"), tables, order=3).collect()
+    want = sorted((i, len(brute.words(brute.lower(t))) + 1, plain.score(t)) for i, t in asked)
+    got = sorted((r.doc_id, r._n_tokens, r._score) for r in rows)
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert all(math.isclose(a[2], b[2], rel_tol=1e-9) for a, b in zip(got, want))
+    weights = spark.read.parquet(f"{tables}/histories/order=3")
+    assert weights.count() == weights.select("history").distinct().count() == len(plain.after[3])
+    n_row = {(r.history, r.word): r.n for r in spark.read.parquet(f"{tables}/order=2").groupBy("history", "word").count().withColumnRenamed("count", "n").collect()}
+    assert set(n_row.values()) == {1}
