@@ -5,7 +5,7 @@ a document's group is everything it can reach.
 
 1. One pass gives each document its set's digest, ``bands`` band keys of ``rows`` minima each, and a
    signature that keeps the low ``BITS`` bits of every minimum, packed in 64-bit words.
-2. Equal sets are one node, however many copies there are.
+2. Equal sets are one node, however many copies there are; nodes are numbered.
 3. Nodes sharing a band key meet. In a few rounds each node meets one hub of its buckets at a time (stars,
    never all pairs), in another component than its own. The estimated similarity (share of equal low bits, corrected for chance) discards
    pairs five standard deviations below the threshold; the rest is confirmed on full sets.
@@ -18,7 +18,8 @@ Sets travel only for pairs to confirm. Nothing of all documents comes to the dri
 Defined cases: null or empty text (or white space only) has an empty set and links with nothing; with
 fewer words than ``size``, the whole sequence is the one shingle; null ids are never the smallest, and
 a group of null ids only has a null component; rows are judged one by one, so repeated rows come out
-as often as they came in and repeated ids with different texts may differ; other columns pass through.
+as often as they came in and repeated ids with different texts may differ; other columns pass through (see
+``columns`` for names that clash).
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loquat.llm import storage
+from loquat.llm.columns import Carried
 from loquat.llm.components import components
 from loquat.llm.text import Words, encode, lean, mix, multipliers
 
@@ -90,27 +92,31 @@ def floor_estimate(threshold: float, values: int, deviations: float = 5.0) -> fl
 
 
 def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``df``'s columns, ``_n_shingles``, ``_component`` (least id in reach), ``_kept`` (id = component).
+    """``df``'s columns, ``_n_shingles``, ``_component`` (least id in reach), ``_group`` (a number a group of linked
+    texts; null without words), ``_kept`` (id = component).
 
     ``percent``: linked if 100 * intersection >= percent * union."""
+    carried = Carried(df)
+    df, text, doc_id = carried.df, carried(text), carried(doc_id)
     added = [("_node", T.BinaryType()), ("_n_shingles", T.LongType())]
     node_schema = T.StructType([df.schema[doc_id], *(T.StructField(n, t) for n, t in [*added, ("_bands", T.ArrayType(T.LongType())), ("_sig", T.BinaryType())])])
     marked = storage.materialise(df.select(doc_id, text).mapInArrow(lean(_signatures(text, size, bands, rows)), node_schema), "signatures")
-    nodes = marked.where("_n_shingles > 0").groupBy(F.col("_node").alias("node")).agg(F.min(doc_id).alias("id"), F.any_value("_bands").alias("bands"), F.any_value("_sig").alias("sig"), F.any_value("_n_shingles").alias("n_shingles"))
-    nodes = storage.materialise(nodes, "nodes")
-    links = _links(df.select(doc_id, text), nodes, text, doc_id, size, percent / 100, percent, bands * rows)
-    roots = storage.materialise(components(links), "components")
-    ids = nodes.select("node", "id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    nodes = marked.where("_n_shingles > 0").groupBy(F.col("_node").alias("digest")).agg(F.min(doc_id).alias("id"), F.any_value("_bands").alias("bands"), F.any_value("_sig").alias("sig"), F.any_value("_n_shingles").alias("n_shingles"))
+    nodes = storage.materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    roots = _roots(df.select(doc_id, text), nodes, text, doc_id, size, percent / 100, percent, bands * rows)
+    ids = storage.materialise(nodes.select("node", "digest", "id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "roots")
     least = ids.groupBy("root").agg(F.min("id").alias("_component"))
-    component = ids.join(least, "root").select(F.col("node").alias("_node"), "_component", F.col("root").alias("_group"))
+    component = ids.join(least, "root").select(F.col("digest").alias("_node"), "_component", F.col("root").alias("_group"))
     # The digest is a function of the text, so rows get it anew instead of carrying their text through joins.
     with_node = df.mapInArrow(lean(_signatures(text, size, 0, 0, keep=True)), T.StructType([*df.schema.fields, *(T.StructField(n, t) for n, t in added)]))
     out = with_node.join(component, "_node", "left").drop("_node")
     component_or_self = F.when(F.col("_n_shingles") > 0, F.col("_component")).otherwise(F.col(doc_id))
-    return out.withColumn("_component", component_or_self).withColumn("_kept", F.col(doc_id).eqNullSafe(F.col("_component")))
+    out = out.withColumn("_component", component_or_self).withColumn("_kept", F.col(doc_id).eqNullSafe(F.col("_component")))
+    return carried.back(out, "_n_shingles", "_component", "_group", "_kept")
 
 
-def _links(docs: DataFrame, nodes: DataFrame, text: str, doc_id: str, size: int, threshold: float, percent: int, values: int) -> DataFrame:
+def _roots(docs: DataFrame, nodes: DataFrame, text: str, doc_id: str, size: int, threshold: float, percent: int, values: int) -> DataFrame:
+    """node, root (the same number for all nodes of a group) of the nodes with a link."""
     low = floor_estimate(threshold, values)
     buckets = nodes.select("node", F.posexplode("bands").alias("number", "band"))
     several = buckets.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
@@ -119,11 +125,11 @@ def _links(docs: DataFrame, nodes: DataFrame, text: str, doc_id: str, size: int,
     degree = shared.groupBy("node").agg(F.sum("n").alias("degree"))
     shared = storage.materialise(shared.join(degree, "node"), "buckets")
     sketches = nodes.select("node", "sig", "bands", F.col("n_shingles").alias("members"))
-    links, tried, roots = None, None, nodes.select("node", F.col("node").alias("root")).limit(0)
-    for _ in range(STARS):
+    links, tried, roots = None, None, None
+    for left in range(STARS - 1, -1, -1):
         # In every bucket the node of most meetings is the hub. A node of another component meets one hub,
         # that of most of its buckets: a tight group becomes a star.
-        member = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        member = shared.withColumn("root", F.col("node")) if roots is None else shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         hubs = member.groupBy("band").agg(F.max(F.struct("degree", "node", "root")).alias("hub"))
         meets = member.join(hubs, "band").where("root <> hub.root").groupBy("node", F.col("hub.node").alias("hub")).agg(F.count("*").alias("n"))
         pairs = meets.groupBy("node").agg(F.max(F.struct("n", "hub")).alias("best")).select(F.greatest("node", "best.hub").alias("a"), F.least("node", "best.hub").alias("b")).distinct()
@@ -131,14 +137,33 @@ def _links(docs: DataFrame, nodes: DataFrame, text: str, doc_id: str, size: int,
         tried = pairs if tried is None else tried.unionByName(pairs)
         found = storage.materialise(_confirmed(pairs, docs, nodes, text, doc_id, size, percent), "links")
         links = found if links is None else links.unionByName(found)
-        roots = storage.materialise(components(links), "roots")
+        # Until the last round, two steps of least neighbours: a star has one root then, and finer roots only cost tries.
+        roots = storage.materialise(_nearest(links, 2) if left else components(links), "roots")
     # Buckets with several components left: every pair across them, until the components are one.
     member = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("n", "degree")
     open_buckets = member.join(sketches.select("node", "members"), "node").groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.greatest(F.count("*") / TILE, F.sum("members") / TILE_SHINGLES).alias("load")).where("x <> y").select("band", "load")
     member = storage.materialise(member.join(open_buckets, "band"), "open")
     sets = _full_sets(member.select("node").distinct(), docs, nodes, text, doc_id, size)
     rows = member.join(sketches, "node").join(sets, "node")
-    return links.unionByName(storage.materialise(_tiles(rows, low, percent, values), "links"))
+    across = storage.materialise(_tiles(rows, low, percent, values), "links")
+    if across.isEmpty():
+        return roots
+    # Groups that these links join are few nodes of a graph of groups.
+    root_of = lambda c: F.coalesce(f"r{c}", c).alias(c)
+    ends = across.join(roots.selectExpr("node AS a", "root AS ra"), "a", "left").join(roots.selectExpr("node AS b", "root AS rb"), "b", "left").select(root_of("a"), root_of("b"))
+    joined = storage.materialise(components(ends), "components").selectExpr("node AS root", "root AS top")
+    alone = joined.join(roots.select("root").distinct(), "root", "left_anti").select(F.col("root").alias("node"), "top")
+    return roots.join(joined, "root", "left").select("node", F.coalesce("top", "root").alias("root")).unionByName(alone.withColumnRenamed("top", "root"))
+
+
+def _nearest(links: DataFrame, steps: int) -> DataFrame:
+    """node, root: the least node within some steps."""
+    around = links.unionByName(links.selectExpr("b AS a", "a AS b"))
+    out = around.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).select("node", F.least("node", "root").alias("root"))
+    for _ in range(steps - 1):
+        step = around.join(out.selectExpr("node AS b", "root AS r"), "b").groupBy(F.col("a").alias("node")).agg(F.min("r").alias("r"))
+        out = out.join(step, "node").select("node", F.least("root", "r").alias("root"))
+    return out
 
 
 def _similar_size(x, y, percent: int):
@@ -157,7 +182,7 @@ def _promising(pairs: DataFrame, sketches: DataFrame, low: float, percent: int,
                 near = (estimate(x, y, values) >= low) & _similar_size(batch.column("na").to_numpy(), batch.column("nb").to_numpy(), percent)
                 yield batch.select(["a", "b"]).filter(pa.array(near))
 
-    return both.mapInArrow(lean(run), "a binary, b binary")
+    return both.mapInArrow(lean(run), "a long, b long")
 
 
 def _tiles(members: DataFrame, low: float, percent: int, values: int) -> DataFrame:
@@ -171,7 +196,7 @@ def _tiles(members: DataFrame, low: float, percent: int, values: int) -> DataFra
     part = part.withColumn("tile", F.explode(tiles)).select("band", "tile.i", "tile.j", "number", "part", "node", "root", "sig", "bands", "members", "set")
 
     def run(table: pa.Table) -> pa.Table:
-        node, root, side = table["node"].to_pylist(), np.array(table["root"].to_pylist(), object), table["part"].to_numpy()
+        node, root, side = (table[c].to_numpy() for c in ("node", "root", "part"))
         sig = np.stack([np.frombuffer(s, np.uint64) for s in table["sig"].to_pylist()])
         sets = [np.frombuffer(s, np.uint64) for s in table["set"].to_pylist()]
         keys, size = np.array(table["bands"].to_pylist(), np.int64), table["members"].to_numpy()
@@ -189,9 +214,9 @@ def _tiles(members: DataFrame, low: float, percent: int, values: int) -> DataFra
                     component[component == component[m]] = component[k]
                     a.append(max(node[k], node[m]))
                     b.append(min(node[k], node[m]))
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return part.groupBy("band", "i", "j").applyInArrow(run, "a binary, b binary")
+    return part.groupBy("band", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -201,10 +226,10 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 def _full_sets(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, text: str, doc_id: str, size: int) -> DataFrame:
     """node, set (sorted 64-bit hashes) of the wanted nodes, from the text of one document of each."""
-    wanted = nodes.select("node", "id").join(wanted, "node")
+    wanted = nodes.select("node", "digest", "id").join(wanted, "node")
     # Null ids equal each other here; a row of another text under the same id is told by its digest.
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
-    found = wanted.join(rows, F.col("id").eqNullSafe(F.col("_id"))).select("node", "_text").mapInArrow(lean(_sets(size)), "node binary, set binary")
+    found = wanted.join(rows, F.col("id").eqNullSafe(F.col("_id"))).select("node", "digest", "_text").mapInArrow(lean(_sets(size)), "node long, set binary")
     return storage.materialise(found.dropDuplicates(["node"]), "sets")
 
 
@@ -222,7 +247,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, text: str, d
             keep = [_linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in ends]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(lean(run), "a binary, b binary")
+    return both.mapInArrow(lean(run), "a long, b long")
 
 
 def _digest(members: np.ndarray) -> bytes:
@@ -235,8 +260,8 @@ def _sets(size: int):
             for i in range(0, whole.num_rows, 500):
                 batch = whole.slice(i, 500)
                 sets = shingle_sets(batch.column("_text").to_pylist(), size)
-                own = [(n, x.tobytes()) for n, x in zip(batch.column("node").to_pylist(), sets, strict=True) if _digest(x) == n]
-                yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in own], pa.binary()), pa.array([x for _, x in own], pa.binary())], names=["node", "set"])
+                own = [(n, x.tobytes()) for n, d, x in zip(batch.column("node").to_pylist(), batch.column("digest").to_pylist(), sets, strict=True) if _digest(x) == d]
+                yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in own], pa.int64()), pa.array([x for _, x in own], pa.binary())], names=["node", "set"])
 
     return run
 
