@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loquat.llm import decontaminate, neardup, ordinal, packing, storage, substrings
+from loquat.llm.columns import Carried
 from loquat.llm.queries import grades, table
 
 #: Words of a repeated passage. Shorter repeats (notices, stock phrases) are ordinary text.
@@ -31,7 +32,11 @@ def stage(function):
         while _intermediate:
             storage.delete(spark, _intermediate.pop())
         before = set(storage.paths())
-        out = function(spark, docs, sf_dir)
+        # Columns that no stage uses have other names meanwhile, so that theirs clash with nothing.
+        carried = Carried(docs, *(c for c in ("doc_id", "text", "n_chars") if c in docs.columns))
+        out = function(spark, carried.df, sf_dir)
+        if out.columns == carried.own:
+            out = carried.back(out)
         _intermediate.extend(x for x in storage.paths() if x not in before)
         return out
 
