@@ -12,7 +12,6 @@ A hot key costs one entry a block, never one an occurrence. No task gathers more
 
 from __future__ import annotations
 
-import contextlib
 import io
 import math
 import uuid
@@ -93,7 +92,7 @@ class Blocks:
         self.buckets = max(shuffles, min(100_000, math.ceil(self.bytes / (2 * block_bytes))))
         path, name = storage.new_path(spark, "blocks"), f"loquat_blocks_{uuid.uuid4().hex}"
         staged = df.mapInArrow(lean(_to_blocks(text, block_bytes)), "block long, n_rows long, payload binary")
-        with setting(spark, "spark.sql.parquet.compression.codec", "uncompressed"):
+        with storage.setting(spark, "spark.sql.parquet.compression.codec", "uncompressed"):
             staged.write.option("path", path).bucketBy(self.buckets, "block").sortBy("block").saveAsTable(name)
         storage.name_table(path, name)
         self.rows = spark.table(name)
@@ -133,17 +132,6 @@ class Blocks:
         return self.rows.join(by_block, "block", "left")
 
 
-@contextlib.contextmanager
-def setting(spark: SparkSession, key: str, value: str):
-    """A session setting for the length of a ``with``."""
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
-
-
 def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for i in range(batch.num_rows):

@@ -118,13 +118,10 @@ def score_documents(df: DataFrame, text: str = "text", doc_id: str = "doc_id", o
         work = storage.new_path(spark, "work")
         asks = blocks.ask(_ask_grams(reader, n, shards, model, split), answers)
         parts = storage.materialise(asks.groupBy("shard").applyInArrow(_count(n, model, f"{tables}/order={n}", work), _PARTS), "parts")
-        del asks
-        storage.release(spark)
         of = parts.where("h IS NULL").agg(*(F.sum(c).alias(c) for c in (*_SEEN, "above"))).first()
         model.discounts[n] = good_turing(np.array([0, *(of[c] or 0 for c in (*_SEEN, "above"))]))
         reply = storage.materialise(_weighed(parts, shards, _weigh(model.discounts[n], n < order, f"{tables}/histories/order={n}", work)), "answers")
         storage.delete(spark, work)
-        storage.release(spark)
         answers = answers.unionByName(reply.selectExpr("block", f"shard + {(n - 1) * shards} AS shard", "payload"))
     _store_discounts(model, shards, tables)
     added = [("_held_out", T.BooleanType()), ("_n_tokens", T.LongType()), ("_n_known", T.LongType()), ("_train_tokens", T.LongType()), ("_base_score", T.DoubleType()), ("_score", T.DoubleType())]
@@ -152,7 +149,7 @@ class _Reader:
 def _ask_words(reader: _Reader, shards: int):
     def ask(rows: pa.Table) -> Iterator[tuple[int, bytes]]:
         token, row, held = reader(rows)
-        keys, number = np.unique(token, return_inverse=True)
+        keys, _, number = _distinct(token)
         counts = np.bincount(number, weights=~held[row], minlength=len(keys)).astype(np.int64)
         for s, at in X.slices(keys, shards):
             yield s, X.join_parts(X.pack_sorted(keys[at]), X.pack(counts[at]))
@@ -160,9 +157,28 @@ def _ask_words(reader: _Reader, shards: int):
     return ask
 
 
+def _order(x: np.ndarray) -> np.ndarray:
+    """Places in order of value: values and places sorted as one number, which is much faster, where both fit in 64 bits."""
+    n = len(x)
+    if not n:
+        return np.empty(0, np.int64)
+    low = np.uint64((1 << max(1, (n - 1).bit_length())) - 1)
+    if x.dtype == np.uint64:  # hashes: the high bits tell almost all apart
+        both = (x & ~low) | np.arange(n, dtype=np.uint64)
+    elif int(x.min()) >= 0 and int(x.max()) < (1 << 63) // (int(low) + 1):
+        both = x.astype(np.uint64) * (low + np.uint64(1)) | np.arange(n, dtype=np.uint64)
+    else:
+        return np.argsort(x)
+    both.sort()
+    both &= low
+    order = both.view(np.int64)
+    ordered = x[order]
+    return order if np.all(ordered[1:] >= ordered[:-1]) else np.argsort(x)
+
+
 def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sorted distinct values, a place of each, number of each occurrence's)"""
-    order = np.argsort(x)
+    order = _order(x)
     ordered = x[order]
     new = np.ones(len(x), bool)
     new[1:] = ordered[1:] != ordered[:-1]
@@ -185,11 +201,11 @@ class _State:
         by_name = np.argsort(names)
         #: Numbers of the block's words in order, their counts, and the place there of each token.
         self.names, self.counts = names[by_name], counts[by_name]
-        place = np.empty(len(keys), np.int64)
-        place[by_name] = np.arange(len(keys))
-        self.word = place[number]
-        self.number, self.count = self.names[self.word], self.counts[self.word]
-        self.known, self.scale = self.count > 0, np.ones(len(self.token))
+        self.word = _places(by_name)[number]
+        #: Likewise of the block's n-grams; the place of the n-gram that ends at each token, or -1.
+        self.numbers, self.totals, self.gram = self.names, self.counts, self.word
+        self.count = self.counts[self.word]
+        self.known, self.scale = self.count > 0, np.full(len(self.token), model.unigram(0.0))
         self.p = model.unigram(self.count)
         for m in range(2, n + 1):
             self._extend(_Grams(self, m, shards, split), answers, (m - 1) * shards, model.discounts[m])
@@ -197,16 +213,18 @@ class _State:
     def _extend(self, g: _Grams, answers: dict[int, bytes], first: int, d: np.ndarray) -> None:
         count, rank, alpha, cut = np.zeros(len(g.word), np.int64), np.zeros(len(g.word), np.int64), np.ones(len(g.word)), np.zeros(len(g.histories), bool)
         for s, e in g.by_shard():
-            c, r, flags, unseen = map(X.unpack, X.split_parts(answers[first + s]))
+            c, r, flags, given, mass = map(X.unpack, X.split_parts(answers[first + s]))
             count[e] = c
             if len(r):
                 rank[e] = np.cumsum(r, dtype=np.int64) * g.shards + s
             own = g.history[e][_starts(g.history[e])]
             cut[own] = np.unpackbits(flags, count=len(own))
-            alpha[e[c == 0]] = unseen
+            unseen = e[c == 0]
+            alpha[unseen] = given / (1 - g.scale[g.history[unseen]] * mass)
         scale = (1 - np.where(cut, 0.5 / g.total, 0.0)) / g.total
-        self.number, self.count, self.scale = (np.zeros(len(self.row), t) for t in (np.int64, np.int64, np.float64))
-        self.number[g.at], self.count[g.at], self.scale[g.at] = rank[g.number], count[g.number], scale[g.history][g.number]
+        self.numbers, self.totals, self.gram = rank, count, np.full(len(self.row), -1)
+        self.count, self.scale = np.zeros(len(self.row), np.int64), np.zeros(len(self.row))
+        self.gram[g.at], self.count[g.at], self.scale[g.at] = g.number, count[g.number], scale[g.history][g.number]
         c = self.count[g.at]
         self.p[g.at] = np.where(c > 0, d[np.minimum(c, K + 1)] * c * self.scale[g.at], alpha[g.number] * self.p[g.at])
 
@@ -219,9 +237,13 @@ class _Grams:
         at = np.flatnonzero(row[n - 1 :] == row[: len(row) - n + 1]) + n - 1 if len(row) >= n else np.empty(0, np.int64)
         #: Places of the tokens, and their n-gram.
         self.at = at[state.count[at - 1] > 0]
-        self.histories, one, history = _distinct(state.number[self.at - 1])
-        self.total = state.count[self.at - 1][one]
-        self.scale = state.scale[self.at][one]  # of the shorter history
+        before = state.gram[self.at - 1]
+        used = _marked(before, len(state.numbers))
+        used = used[_order(state.numbers[used])] if n > 2 else used
+        history = _places(used, len(state.numbers))[before]
+        self.histories, self.total = state.numbers[used], state.totals[used]
+        self.scale = np.zeros(len(used))  # of the shorter history
+        self.scale[history] = state.scale[self.at]
         wide = max(1, len(state.names))
         keys, self.first, self.number = _distinct(history * wide + state.word[self.at])
         self.history, self.word = np.divmod(keys, wide)
@@ -239,17 +261,31 @@ class _Grams:
             yield s, order[cuts[s] : cuts[s + 1]]
 
 
+def _marked(x: np.ndarray, n: int) -> np.ndarray:
+    """The distinct values of numbers below n, in order."""
+    mark = np.zeros(n, bool)
+    mark[x] = True
+    return np.flatnonzero(mark)
+
+
+def _places(values: np.ndarray, n: int | None = None) -> np.ndarray:
+    """Where each number below n lies among distinct values."""
+    out = np.empty(len(values) if n is None else n, np.int64)
+    out[values] = np.arange(len(values))
+    return out
+
+
 def _starts(x: np.ndarray) -> np.ndarray:
     """Where runs of equal values begin."""
     return np.flatnonzero(np.r_[True, x[1:] != x[:-1]][: len(x)])
 
 
-def history_terms(total, seen, lower, d):
-    """By history: what seen words give up of it beyond their discounts, and alpha(h), as of ``katz_terms``."""
+def history_terms(total, seen, d):
+    """By history: what its seen words give up beyond their discounts, and all that is left for unseen ones."""
     kept = seen[:, :K] @ (d[1 : K + 1] * np.arange(1, K + 1)) + seen[:, K]
     with np.errstate(all="ignore"):
         cut = np.where((kept >= total) & (total > 0), 0.5 / total, 0.0)  # nothing was discounted: half a count goes
-        return cut, np.where(total > 0, (1 - kept / total + cut) / (1 - lower), 1.0)
+        return cut, np.where(total > 0, 1 - kept / total + cut, 1.0)
 
 
 def katz_terms(count, history, total, seen, lower, d):
@@ -257,16 +293,17 @@ def katz_terms(count, history, total, seen, lower, d):
 
     ``history``: number of each n-gram's history; by history: ``total`` c(h), ``seen`` continuations
     by count 1..K and (last column) the summed counts above K, ``lower`` their lower-order mass."""
-    cut, alpha = history_terms(total, seen, lower, d)
+    cut, left = history_terms(total, seen, d)
     t = total[history]
     with np.errstate(all="ignore"):
+        alpha = np.where(total > 0, left / (1 - lower), 1.0)
         p = np.where(count > 0, d[np.minimum(count, K + 1)] * count / t * (1 - cut[history]), 0.0)
     return p, alpha[history]
 
 
 def _ask_grams(reader: _Reader, n: int, shards: int, model: Katz, split: int):
-    """By shard: histories (number, n-grams, parts, scale of the shorter history), words (number), and of each n-gram the
-    word, the block's count, and the count of what is left without its first word (order 2: by word)."""
+    """By shard: histories (number, n-grams, parts), words (number), and of each n-gram the word, the block's count, and
+    the count of what is left without its first word (order 2: by word)."""
 
     def ask(rows: pa.Table, answers: dict[int, bytes]) -> Iterator[tuple[int, bytes]]:
         state = _State(reader, rows, answers, n - 1, shards, model, split)
@@ -276,11 +313,11 @@ def _ask_grams(reader: _Reader, n: int, shards: int, model: Katz, split: int):
         for s, e in g.by_shard():
             start = _starts(g.history[e])
             own = g.history[e][start]
-            words, code = np.unique(g.word[e], return_inverse=True)
-            scales, scale = np.unique(g.scale[own], return_inverse=True)
+            words = _marked(g.word[e], len(state.names))
+            code = _places(words, len(state.names))[g.word[e]]
             low = state.counts[words] if n == 2 else lower[e]
-            sent = (np.diff(start, append=len(e)), g.parts[own], scale, code, counts[e], low)
-            yield s, X.join_parts(X.pack(np.diff(g.histories[own], prepend=0)), X.pack(scales), X.pack(np.diff(state.names[words], prepend=0)), *(X.pack(_narrow(x)) for x in sent))
+            sent = (np.diff(start, append=len(e)), g.parts[own], code, counts[e], low)
+            yield s, X.join_parts(X.pack(np.diff(g.histories[own], prepend=0)), X.pack(np.diff(state.names[words], prepend=0)), *(X.pack(_narrow(x)) for x in sent))
 
     return ask
 
@@ -309,7 +346,7 @@ def _store(path: str, table: pa.Table) -> None:
     coded = dict.fromkeys(("history", "word", "rank"), "DELTA_BINARY_PACKED")
     signed = table.cast(pa.schema([(f.name, f.type if pa.types.is_floating(f.type) else pa.int64()) for f in table.schema]), safe=False)
     with _replacing(path) as out:
-        pq.write_table(signed, out, compression="zstd", use_dictionary=[c for c in ("count", "total", "scale") if c in table.column_names], column_encoding={c: e for c, e in coded.items() if c in table.column_names})
+        pq.write_table(signed, out, compression="zstd", use_dictionary=[c for c in ("count", "total", "half", "given", "mass") if c in table.column_names], column_encoding={c: e for c, e in coded.items() if c in table.column_names})
 
 
 @contextlib.contextmanager
@@ -359,12 +396,9 @@ def _count(n: int, model: Katz, path: str, work: str):
         shard = table["shard"][0].as_py()
         histories, each, words, word, count, lower, parts, lengths = [], [], [], [], [], [], [], []
         for raw in table["payload"].to_pylist():
-            h, scales, w, per, part, scale, code, c, low = map(X.unpack, X.split_parts(raw))
+            h, w, per, part, code, c, low = map(X.unpack, X.split_parts(raw))
             low = (low[code] if n == 2 else low).astype(np.int64)
-            if n == 2:
-                below = model.unigram(low)
-            else:
-                below = model.discounts[n - 1][np.minimum(low, K + 1)] * low * np.repeat(scales[scale], per)
+            below = low + 1.0 if n == 2 else model.discounts[n - 1][np.minimum(low, K + 1)] * low
             base = sum(map(len, words))
             histories.append(np.cumsum(h))
             words.append(np.cumsum(w))
@@ -414,7 +448,11 @@ def _weighed(parts: DataFrame, shards: int, weigh) -> DataFrame:
 
 def _weigh(d: np.ndarray, numbered: bool, path: str, work: str):
     """Stores a shard's back-off weights and answers its blocks: count, rank (if numbered) of each n-gram; whether each
-    history's seen words gave up half a count; alpha of the unseen n-grams."""
+    history's seen words gave up half a count; the back-off weight of the unseen n-grams.
+
+    A weight alpha(h) = given / (1 - scale * mass) is stored as ``given``, what seen words leave, and ``mass``, the seen
+    words' discounted lower-order counts: numbers that repeat, and so take few bytes. ``scale``, of the shorter
+    history, is what turns its discounted counts into probabilities: (1 - half / (2 total)) / total there."""
 
     def per_shard(table: pa.Table) -> pa.Table:
         shard = table["shard"][0].as_py()
@@ -424,16 +462,17 @@ def _weigh(d: np.ndarray, numbered: bool, path: str, work: str):
         for x in (x for x in table.to_pylist() if x["h"] is not None):
             k = np.searchsorted(known, x["h"])
             c_h[k], seen[k], mass[k], stored[k] = x["total"], [x[c] for c in (*_SEEN, "above")], x["mass"], x["owner"] == shard
-        cut, alpha = history_terms(c_h, seen, mass, d)
+        cut, left = history_terms(c_h, seen, d)
         stored &= c_h > 0
-        _store(f"{path}/shard={shard}/weights.parquet", pa.table({"history": known[stored], "total": c_h[stored], "scale": ((1 - cut) / np.maximum(c_h, 1))[stored], "alpha": alpha[stored]}))
+        _store(f"{path}/shard={shard}/weights.parquet", pa.table({"history": known[stored], "total": c_h[stored], "half": (cut > 0).astype(np.int64)[stored], "given": left[stored], "mass": mass[stored]}))
         history = np.repeat(np.arange(len(known)), per)
         out = []
         for rank in own:
             at = np.cumsum(rank)
             of = history[at]
             count = total[at]
-            out.append(X.join_parts(X.pack(_narrow(count)), X.pack(_narrow(rank) if numbered else rank[:0]), X.pack(np.packbits(cut[of[_starts(of)]] > 0)), X.pack(alpha[of[count == 0]])))
+            unseen = of[count == 0]
+            out.append(X.join_parts(X.pack(_narrow(count)), X.pack(_narrow(rank) if numbered else rank[:0]), X.pack(np.packbits(cut[of[_starts(of)]] > 0)), X.pack(left[unseen]), X.pack(mass[unseen])))
         give_back()
         return pa.table({"block": pa.array(blocks), "shard": pa.array([shard] * len(out), pa.int32()), "payload": pa.array(out, pa.binary())})
 
@@ -483,13 +522,15 @@ def score_by_tables(df: DataFrame, tables: str, text: str = "text", order: int =
     number = F.col("rank") * int(shards) + F.col("shard").cast("long")
     of_words = spark.read.parquet(f"{tables}/order=1").select(F.col("word").alias("token"), number.alias("w"), F.col("count").alias("c"))
     now = rows.select(text, "_row").mapInArrow(lean(run), "_row long, at long, token long").join(of_words, "token", "left")
-    now = now.withColumn("p", (F.coalesce("c", F.lit(0)) + 1) / (tokens + types + 1)).withColumn("g", F.col("w")).select("_row", "at", "w", "g", "p")
+    one = 1 / (tokens + types + 1)
+    now = now.withColumns({"p": (F.coalesce("c", F.lit(0)) + 1) * one, "g": F.col("w"), "scale": F.lit(one)}).select("_row", "at", "w", "g", "p", "scale")
     before = W.partitionBy("_row").orderBy("at")
     for n in range(2, order + 1):
         seen = spark.read.parquet(f"{tables}/order={n}").select(F.col("history").alias("h"), F.col("word").alias("w"), number.alias("g"), F.col("count").alias("c"))
-        weights = spark.read.parquet(f"{tables}/histories/order={n}").select(F.col("history").alias("h"), "scale", "alpha")
+        weights = spark.read.parquet(f"{tables}/histories/order={n}").select(F.col("history").alias("h"), "given", "mass", ((1 - F.col("half") / (2 * F.col("total"))) / F.col("total")).alias("own"))
         now = now.withColumn("h", F.lag("g").over(before)).drop("g").join(seen, ["h", "w"], "left").join(weights, "h", "left")
-        kept = F.element_at(F.array(*(F.lit(facts[n, r]) for r in range(K + 2))), (F.least("c", F.lit(K + 1)) + 1).cast("int")) * F.col("c") * F.col("scale")
-        now = now.withColumn("p", F.coalesce(kept, F.col("alpha") * F.col("p"), F.col("p"))).select("_row", "at", "w", "g", "p")
+        kept = F.element_at(F.array(*(F.lit(facts[n, r]) for r in range(K + 2))), (F.least("c", F.lit(K + 1)) + 1).cast("int")) * F.col("c") * F.col("own")
+        backed = F.col("given") / (1 - F.col("scale") * F.col("mass")) * F.col("p")
+        now = now.select("_row", "at", "w", "g", F.coalesce(kept, backed, F.col("p")).alias("p"), F.col("own").alias("scale"))
     sums = now.groupBy("_row").agg(F.count("*").alias("_n_tokens"), F.sum(F.log10("p")).alias("_score"))
     return carried.back(rows.join(sums, "_row"), "_n_tokens", "_score")

@@ -7,6 +7,7 @@ Only where that setting is absent (tests, notebooks) is a local folder chosen.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -40,22 +41,28 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """A session setting for the length of a ``with``."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder as Parquet and read it back: cuts lineage, survives lost executors."""
+    """Write ``df`` to the shared folder as Parquet and read it back: cuts lineage, survives lost executors.
+
+    Shuffle files of the write are not needed afterwards, and go at its end."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let go of shuffle files that no table needs any more: the driver's cleaner follows its garbage collector."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def name_table(path: str, name: str) -> None:
     """The catalog's name of the table at a path, dropped with it."""
     _tables[path] = name
