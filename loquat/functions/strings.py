@@ -8,17 +8,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Exclusion reasons and their wording.
+#: Exclusion reasons, as they are told.
 REASON_TEXT = {
-    "emptyString": "empty string",
-    "emojiOnly": "contains only emoji — no translatable text",
-    "urlPattern": "looks like a URL",
-    "filePathPattern": "looks like a file path",
-    "analyticsKey": "looks like an analytics/reverse-DNS key",
-    "dotSeparatedIdentifier": "looks like an SF Symbol or dotted key",
-    "allCapsConstant": "looks like an ALL_CAPS constant",
-    "snakeCaseIdentifier": "looks like a snake_case identifier",
-    "camelCaseIdentifier": "looks like a camelCase identifier",
+    "emptyString": "nothing but blanks",
+    "emojiOnly": "emoji without words",
+    "urlPattern": "a web address",
+    "filePathPattern": "a path of a file",
+    "analyticsKey": "a reversed domain name, as of an event",
+    "dotSeparatedIdentifier": "words joined by dots, as of a symbol",
+    "allCapsConstant": "a constant's name in capitals",
+    "snakeCaseIdentifier": "words joined by underscores",
+    "camelCaseIdentifier": "a name in camel case",
 }
 # Product names that begin in lower case.
 PRODUCT_NAMES = ["iPhone", "iPad", "iPod", "iCloud", "iMessage", "iTunes", "iPhoto", "macOS", "iOS", "watchOS", "tvOS", "visionOS", "eBook", "eSIM"]
@@ -36,8 +36,21 @@ KEYWORDS = (
 ).split()
 # Characters that separate words of a property name.
 NAME_SEPARATORS = " \t\n-_.,;:!?()[]{}\"'→←↑↓•…"
-# Emoji by range: presentation forms, symbols, dingbats, joiners and modifiers.
-EMOJI = r"\x{203C}\x{2049}\x{2122}\x{2139}\x{2194}-\x{21AA}\x{2300}-\x{23FF}\x{24C2}\x{25AA}-\x{25FE}\x{2600}-\x{27BF}\x{2934}\x{2935}\x{2B05}-\x{2B55}\x{3030}\x{303D}\x{3297}\x{3299}\x{1F000}-\x{1FAFF}\x{FE0F}\x{200D}\x{20E3}"
+
+
+def _emoji() -> str:
+    """Ranges of the characters of emoji, by their Unicode properties: those shown as emoji, other emoji beyond
+    Latin-1, and what joins and varies them (selector 16, joiner, keycap)."""
+    import regex
+
+    one = regex.compile(r"\p{Emoji_Presentation}|[\p{Emoji}--[\x00-\xFF]]|[\uFE0F\u200D\u20E3]", regex.V1)
+    points = [k for k in range(0x1FB00) if one.match(chr(k))]
+    first = [k for k, before in zip(points, [-2, *points], strict=False) if k != before + 1]
+    last = [k for k, after in zip(points, [*points[1:], -2], strict=True) if after != k + 1]
+    return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in zip(first, last, strict=True))
+
+
+EMOJI = _emoji()
 
 _BLANKS = r"^[\p{Zs}\t]+|[\p{Zs}\t]+$"
 
@@ -59,7 +72,11 @@ def _letters_all_upper(t: Column) -> Column:
 
 def exclusion_reason(v: Column) -> Column:
     """Why a string is no user-facing text, or null. The first matching reason counts."""
-    t = trimmed(v)
+    return reason_of(trimmed(v))
+
+
+def reason_of(t: Column) -> Column:
+    """As ``exclusion_reason``, of a trimmed text."""
     low = F.lower(t)
     return (
         F.when(t == "", "emptyString")
@@ -80,10 +97,8 @@ def reason_text(reason: Column) -> Column:
     return F.element_at(table, reason)
 
 
-def _deltas(v: Column, type_name: Column, property_name: Column) -> list[tuple[Column, Column]]:
-    """(reason, delta) of every factor in order; a delta of 0.0 is absent."""
-    t = trimmed(v)
-    n = graphemes(t)
+def _deltas(t: Column, n: Column, type_name: Column, property_name: Column) -> list[tuple[Column, Column]]:
+    """(reason, delta) of every factor in order; a delta of 0.0 is absent. ``t``: trimmed, ``n``: its graphemes."""
     zero = F.lit(0.0)
     several = t.rlike(r"\S\s+\S")
     give = lambda when, d: F.when(when, F.lit(d)).otherwise(zero)
@@ -108,14 +123,25 @@ def _deltas(v: Column, type_name: Column, property_name: Column) -> list[tuple[C
 def confidence(v: Column, base: Column, type_name: Column, property_name: Column) -> Column:
     """Base and the factors' sum (added first, in order, in doubles), within 0 and 1."""
     total = F.lit(0.0)
-    for _, d in _deltas(v, type_name, property_name):
+    for _, d in _deltas(trimmed(v), graphemes(trimmed(v)), type_name, property_name):
         total = total + d
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), base + total))
 
 
+def confidence_of(base: Column, factors: Column) -> Column:
+    """As ``confidence``, from factors that are there already."""
+    total = F.aggregate(factors, F.lit(0.0), lambda sum_, f: sum_ + f["delta"])
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), base + total))
+
+
 def score_factors(v: Column, type_name: Column, property_name: Column) -> Column:
     """array<struct<reason, delta>> of the factors that apply."""
-    every = F.array(*[F.struct(r.alias("reason"), d.alias("delta")) for r, d in _deltas(v, type_name, property_name)])
+    return factors_of(trimmed(v), graphemes(trimmed(v)), type_name, property_name)
+
+
+def factors_of(t: Column, n: Column, type_name: Column, property_name: Column) -> Column:
+    """As ``score_factors``, from columns of the trimmed text and its length, so that neither is worked out for every factor."""
+    every = F.array(*[F.struct(r.alias("reason"), d.alias("delta")) for r, d in _deltas(t, n, type_name, property_name)])
     return F.filter(every, lambda f: f["delta"] != 0.0)
 
 

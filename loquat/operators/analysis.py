@@ -28,7 +28,7 @@ def namespace_collisions(paths: DataFrame, path: str = "path") -> DataFrame:
     rows = paths.select(path).distinct().select(S.namespace_of_file(F.col(path)).alias("namespace"), F.col(path).alias("file"))
     groups = rows.groupBy("namespace").agg(F.sort_array(F.collect_list("file")).alias("files")).where(F.size("files") > 1)
     names = F.array_join(F.transform("files", S.file_name), ", ")
-    return groups.withColumn("message", F.format_string('Namespace collision: %d files infer to "%s" (%s). Set namespace_strategy: auto in config to disambiguate automatically.', F.size("files"), "namespace", names))
+    return groups.withColumn("message", F.format_string('The namespace "%2$s" comes from %1$d files (%3$s); namespace_strategy: auto tells them apart', F.size("files"), "namespace", names))
 
 
 def shared_values(strings: DataFrame) -> DataFrame:
@@ -52,10 +52,17 @@ def without_common(strings: DataFrame) -> DataFrame:
 
 
 def duplicate_values(strings: DataFrame) -> DataFrame:
-    """value and occurrences (namespace, path, pos) of values in more than one namespace."""
+    """value, n (occurrences), namespaces (how many), first_pos, last_pos of values in more than one namespace.
+
+    Where they occur: ``occurrences``. Nothing grows with a value's occurrences but their number."""
     rows = strings.where(~F.col("has_interpolation"))
-    groups = rows.groupBy("value").agg(F.count_distinct("namespace").alias("n"), F.sort_array(F.collect_list(F.struct("namespace", "path", "pos"))).alias("occurrences"))
-    return groups.where("n > 1").drop("n")
+    counts = F.count("*").alias("n"), F.count_distinct("namespace").alias("namespaces"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos")
+    return rows.groupBy("value").agg(*counts).where("namespaces > 1")
+
+
+def occurrences(strings: DataFrame, values: DataFrame) -> DataFrame:
+    """The strings of some values, a row each."""
+    return strings.where(~F.col("has_interpolation")).join(values.select("value"), "value", "left_semi").select(strings.columns)
 
 
 def duplicate_catalog_values(catalog: DataFrame) -> DataFrame:
@@ -65,9 +72,24 @@ def duplicate_catalog_values(catalog: DataFrame) -> DataFrame:
 
 
 def missing_from_catalog(strings: DataFrame, catalog: DataFrame) -> DataFrame:
-    """value, occurrences of detected values that are no catalog key."""
+    """value, n (occurrences), namespaces (how many), and path, pos, line, col of the first occurrence, of detected values
+    that are no catalog key."""
     rows = strings.where(~F.col("has_interpolation")).join(catalog.select(F.col("key").alias("value")), "value", "left_anti")
-    return rows.groupBy("value").agg(F.sort_array(F.collect_list(F.struct("path", "pos", "namespace"))).alias("occurrences"))
+    first = F.min(F.struct(*(c for c in ("path", "pos", "line", "col") if c in strings.columns))).alias("first")
+    return rows.groupBy("value").agg(F.count("*").alias("n"), F.count_distinct("namespace").alias("namespaces"), first).select("value", "n", "namespaces", "first.*")
+
+
+def in_listing_order(rows: DataFrame, value: str = "value") -> DataFrame:
+    """Rows with their ``place`` (from 1) in a listing by the lower-cased value, then the value.
+
+    Places are those of a sorted table: its partitions are numbered in order, with no window over all rows."""
+    ordered = rows.withColumn("_lower", F.lower(F.col(value))).orderBy("_lower", value).withColumn("_id", F.monotonically_increasing_id())
+    numbered = ordered.withColumn("_part", F.shiftright("_id", 33))
+    sizes = numbered.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one short row a partition
+    starts = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    placed = numbered.join(F.broadcast(starts), "_part")
+    return placed.withColumn("place", (F.col("_before") + F.col("_id") - F.col("_first") + 1).cast("int")).select(*rows.columns, "place")
 
 
 def orphaned_in_catalog(strings: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -105,11 +127,12 @@ def unique_identifiers(assets: DataFrame) -> DataFrame:
 
     def number(key, part):
         part = part.sort_values(["order", "full_name"])
-        used, out = set(), []
+        used, out, tried = set(), [], {}
         for base in part["base"]:
-            name, n = base, 2
+            name, n = base, tried.get(base, 2)  # lower numbers of this base are taken already
             while name in used:
                 name, n = f"{base}_{n}", n + 1
+            tried[base] = n
             used.add(name)
             out.append(name)
         return part.assign(identifier=out)[["type", "full_name", "directory", "identifier"]]

@@ -56,9 +56,11 @@ def findings(candidates: DataFrame, minimum: float = 0.0, ignored: DataFrame | N
     else:
         out = out.join(ignored.select("path", "line", F.lit(True).alias("is_ignored")).distinct(), ["path", "line"], "left").withColumn("is_ignored", F.coalesce("is_ignored", F.lit(False)))
     skeleton = F.when(F.col("has_interpolation"), S.static_skeleton(F.col("value"))).otherwise(F.col("value"))
-    out = out.withColumn("skeleton", skeleton).withColumn("reason", S.exclusion_reason(F.col("skeleton")))
-    args = (F.col("skeleton"), F.col("type_name"), F.col("property_name"))
-    out = out.withColumn("confidence", S.confidence(args[0], F.col("base"), *args[1:])).withColumn("factors", S.score_factors(*args))
+    # Column by column, each once: inlined into one another they are more than a generated method may hold.
+    out = out.withColumn("skeleton", skeleton).withColumn("_trimmed", S.trimmed(F.col("skeleton")))
+    out = out.withColumn("_length", S.graphemes(F.col("_trimmed"))).withColumn("reason", S.reason_of(F.col("_trimmed")))
+    out = out.withColumn("factors", S.factors_of(F.col("_trimmed"), F.col("_length"), F.col("type_name"), F.col("property_name")))
+    out = out.withColumn("confidence", S.confidence_of(F.col("base"), F.col("factors"))).drop("_trimmed", "_length")
     static = F.col("context") == R.STATIC_CONTEXT
     outcome = (
         F.when(F.col("value").isNull(), F.when(F.lit(hints) & a.isNotNull() & ~a["kind"].isin(NOT_HINTED), "hint"))
@@ -69,7 +71,9 @@ def findings(candidates: DataFrame, minimum: float = 0.0, ignored: DataFrame | N
         .when(F.col("confidence") >= F.lit(float(minimum)), "detected")
         .otherwise("low")
     )
-    return out.withColumn("outcome", outcome).where("outcome IS NOT NULL").drop("is_suppressed", "is_ignored")
+    # Exploded, not filtered: a filter would be pushed down, with all of the above in it once more.
+    told = F.when(outcome.isNotNull(), F.array(outcome)).otherwise(F.array().cast("array<string>"))
+    return out.withColumn("outcome", F.explode(told)).drop("is_suppressed", "is_ignored")
 
 
 def detected(findings: DataFrame) -> DataFrame:
@@ -82,11 +86,11 @@ def diagnostics(findings: DataFrame, marker: str = "loquat:ignore") -> DataFrame
     short = S.shortened(F.col("value"))
     quoted = F.concat(F.lit('"'), short, F.lit('"'))
     kinds = {
-        "suppressed": ("note", F.concat(F.lit("Skipped "), quoted, F.lit(" — argument to excluded localization function"))),
+        "suppressed": ("note", F.concat(F.lit("Skipped "), quoted, F.lit(" — its function localizes already"))),
         "ignored": ("note", F.concat(F.lit("Suppressed "), quoted, F.lit(f" — {marker}"))),
         "filtered": ("note", F.concat(F.lit("Skipped "), quoted, F.lit(" — "), S.reason_text(F.col("reason")))),
-        "hint": ("suggestion", F.concat(R.context_name(F.col("context")), F.lit("("), F.col("argument.text"), F.lit(") — non-literal argument; may carry a localizable string"))),
-        "detected": ("warning", F.concat(F.lit("Interpolated string in localizable context — no API will be generated: "), quoted)),
+        "hint": ("suggestion", F.concat(R.context_name(F.col("context")), F.lit("("), F.col("argument.text"), F.lit(") takes a value, not a literal: text may hide in it"))),
+        "detected": ("warning", F.concat(F.lit("Text with inserted values, for which nothing is generated: "), quoted)),
     }
     rows = findings.where("outcome <> 'low' AND (outcome <> 'detected' OR has_interpolation)")
     severity = message = None
@@ -112,7 +116,7 @@ def existing_references(events: DataFrame, patterns: list[str]) -> DataFrame:
 # Members that make an image accessible; calls that refer to assets.
 ACCESSIBILITY = ["accessibilityLabel", "accessibilityHidden", "accessibilityElement", "accessibilityValue", "accessibilityIdentifier"]
 ASSET_CALLS = [("Image", "", "image", "swiftUIImage"), ("Image", "decorative", "image", "swiftUIImageDecorative"), ("Color", "", "color", "swiftUIColor"), ("UIImage", "named", "image", "uiImageNamed"), ("UIColor", "named", "color", "uiColorNamed")]
-IMAGE_WARNING = 'Image literal without accessibility modifier — add .accessibilityLabel("…") or .accessibilityHidden(true) if decorative'
+IMAGE_WARNING = "Image has neither an accessibility label nor is it hidden from readers"
 
 
 def image_audit(events: DataFrame) -> DataFrame:
@@ -123,6 +127,12 @@ def image_audit(events: DataFrame) -> DataFrame:
     return events.where(image & bare).select("path", "line", "col", "pos", F.lit("accessibility").alias("kind"), F.lit("warning").alias("severity"), F.lit(IMAGE_WARNING).alias("message"))
 
 
+def missing_asset_diagnostics(missing: DataFrame) -> DataFrame:
+    """A warning at every reference to an asset that no catalog has."""
+    message = F.format_string('No catalog has the %s "%s", which is loaded here', "type", "name")
+    return missing.select("path", "line", "col", "pos", F.lit("missing_asset").alias("kind"), F.lit("warning").alias("severity"), message.alias("message"))
+
+
 def asset_references(events: DataFrame) -> DataFrame:
     """Plain, non-empty literals passed to calls that load assets (the callee may be a member)."""
     out = None

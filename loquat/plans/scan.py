@@ -1,6 +1,7 @@
 """The scan: source tree to detected strings, diagnostics and a summary, incrementally if asked.
 
-Files are parsed once; every analysis derives from the parsed events. In incremental mode only files
+Files are read and parsed once: events and findings are written to the shared folder, and every analysis
+derives from them. In incremental mode only files
 whose hash or settings changed are parsed; results of the others are replayed from a table keyed by path.
 The table is written as a new version beside the old one, never over what is being read.
 """
@@ -18,6 +19,7 @@ from loquat.functions import strings as S
 from loquat.operators import analysis as A
 from loquat.operators import detect as D
 from loquat.operators import rules as R
+from loquat.plans import stage
 from loquat.plans.config import Config
 from loquat.sources import extract, readers
 
@@ -38,6 +40,7 @@ class Scan:
     cache: DataFrame | None = None
     cache_hits: int = 0
     stale: int = 0
+    events: DataFrame | None = None
 
 
 def fingerprint(config: Config) -> str:
@@ -49,12 +52,12 @@ def analyse(files: DataFrame, config: Config = Config(), extra_rules: list[tuple
     """Strings, diagnostics and references of files (path, content)."""
     spark = files.sparkSession
     readable = files.where("content IS NOT NULL")
-    events = extract.events(readable)
+    events = stage.written(extract.events(readable), "events")
     found = D.candidates(events, R.call_rules(spark, extra_rules), R.assignment_rules(spark, extra_assignment_rules), config.string_discovery.static_constants)
     functions = list(config.existing_localization.exclude_arguments_of)
     suppressed = D.excluded_arguments(events, functions) if functions else None
     ignored = extract.ignored_lines(readable, config.ignore_marker)
-    findings = D.findings(found, config.minimum_confidence, ignored, suppressed, config.string_discovery.indirect_argument_hints)
+    findings = stage.written(D.findings(found, config.minimum_confidence, ignored, suppressed, config.string_discovery.indirect_argument_hints), "findings")
     diagnostics = D.diagnostics(findings, config.ignore_marker)
     if config.accessibility_audit:
         audit = D.image_audit(events).join(ignored.withColumn("_i", F.lit(True)), ["path", "line"], "left")
@@ -62,12 +65,14 @@ def analyse(files: DataFrame, config: Config = Config(), extra_rules: list[tuple
         audit = audit.withColumns({"severity": F.when(note, "note").otherwise(F.col("severity")), "message": F.when(note, f"Suppressed accessibility warning — {config.ignore_marker}").otherwise(F.col("message"))})
         diagnostics = diagnostics.unionByName(audit.select(diagnostics.columns))
     unread = readers.unreadable(files).select("path", *(F.lit(None).cast("int").alias(c) for c in ("line", "col", "pos")), F.lit("unreadable").alias("kind"), "severity", "message")
-    return Scan(files, D.detected(findings), diagnostics.unionByName(unread), D.existing_references(events, list(config.existing_localization.patterns)))
+    existing = D.existing_references(events, list(config.existing_localization.patterns))
+    return Scan(files, D.detected(findings), diagnostics.unionByName(unread), existing, events=events)
 
 
 def analyse_incrementally(files: DataFrame, config: Config, cache: DataFrame) -> Scan:
     """As ``analyse``; files that the cache knows with the same hash and settings are not parsed."""
     version = fingerprint(config)
+    files = stage.written(files, "files")
     hits, misses = A.cache_hits(files, cache, version), A.cache_misses(files, cache, version)
     fresh = analyse(misses, config)
 
@@ -79,18 +84,26 @@ def analyse_incrementally(files: DataFrame, config: Config, cache: DataFrame) ->
     for name, rows, fields in (("strings", fresh.detected, names("s")), ("diagnostics", fresh.diagnostics, names("d")), ("existing", fresh.existing, names("r"))):
         entries = entries.join(nested(rows, name, fields), "path", "left")
         entries = entries.withColumn(name, F.coalesce(name, F.array().cast(next(f.dataType for f in cache.schema if f.name == name))))
-    whole = A.updated_cache(cache, entries.select(cache.columns), files)
+    entries = stage.written(entries.select(cache.columns), "entries")
+    whole = A.updated_cache(cache, entries, files)
     current = files.select("path").distinct()
-    rows = hits.unionByName(entries.select(cache.columns)).join(current, "path", "left_semi")
+    rows = stage.written(hits.unionByName(entries).join(current, "path", "left_semi"), "replayed")
 
     def flat(name: str) -> DataFrame:
         return rows.select("path", F.inline(name))
 
-    return Scan(files, flat("strings").select(fresh.detected.columns), flat("diagnostics").select(fresh.diagnostics.columns), flat("existing").select(fresh.existing.columns), whole, hits.count(), A.stale_entries(files, cache).count())
+    # References to generated accessors may be in any file, parsed again or not: only those of parsed ones are events.
+    return Scan(files, flat("strings").select(fresh.detected.columns), flat("diagnostics").select(fresh.diagnostics.columns), flat("existing").select(fresh.existing.columns), whole, hits.count(), A.stale_entries(files, cache).count(), fresh.events)
 
 
-def run(spark: SparkSession, config: Config, base: str, cache_path: str | None = None) -> dict:
-    """The whole scan of a project. Returns its DataFrames and a one-row summary under their names."""
+def run(spark: SparkSession, config: Config, base: str, cache_path: str | None = None, references_to: tuple[str, ...] = ()) -> dict:
+    """The whole scan of a project. Returns its DataFrames and a one-row summary under their names.
+
+    ``references_to``: generated roots, references to which are collected too (``referenced``). Migration
+    modes "incremental" and "strict" look for them as well: what was moved is told from what is left."""
+    if config.migration not in ("audit", "incremental", "strict"):
+        raise ValueError(f"unknown migration mode {config.migration}")
+    roots = [r for r in {*references_to, *((config.output.enum_name,) if config.migration != "audit" else ())}]
     at = lambda p: p if p.startswith(("/", "file:")) or "://" in p else f"{base.rstrip('/')}/{p}"
     files, missing = readers.source_files(spark, [at(s) for s in config.sources], list(config.exclude))
     problems = [(f"Source path not found: {m}", "error", "missing_source") for m in missing]
@@ -98,13 +111,22 @@ def run(spark: SparkSession, config: Config, base: str, cache_path: str | None =
         cache, warning = readers.read_cache(spark, _latest(spark, cache_path), CACHE)
         problems += [(warning, "warning", "cache")] if warning else []
         scan = analyse_incrementally(files, config, cache)
-        if scan.stale or scan.cache_hits < files.count():
-            _publish(spark, scan.cache, cache_path)
+        if scan.stale or scan.cache_hits < scan.files.count():
+            try:
+                _publish(spark, scan.cache, cache_path)
+            except Exception as problem:  # the results stand without it
+                problems.append((f"Cache could not be written, the next scan will not profit: {str(problem).splitlines()[0]}", "warning", "cache"))
+        files = scan.files
     else:
+        files = stage.written(files, "files")
         scan = analyse(files, config)
     detected = A.with_namespace(scan.detected, config.namespace_strategy)
+    referenced = D.existing_references(scan.events, roots)
+    if roots and config.incremental and cache_path:  # cached files have no events: their references are read anew
+        referenced = D.existing_references(extract.events(files.where("content IS NOT NULL")), roots)
     collisions = A.namespace_collisions(scan.detected)
-    extra = collisions.select(F.lit("collision").alias("kind"), F.lit("warning").alias("severity"), "message")
+    nowhere = {c: F.lit(None).cast(t) for c, t in (("path", "string"), ("line", "int"), ("col", "int"), ("pos", "int"))}
+    extra = collisions.select(F.lit("collision").alias("kind"), F.lit("warning").alias("severity"), "message").withColumns(nowhere)
     try:
         catalog = readers.string_catalogs(spark, base)
         catalog.isEmpty()
@@ -113,19 +135,19 @@ def run(spark: SparkSession, config: Config, base: str, cache_path: str | None =
         problems.append((f"String catalogs could not be read: {str(problem).splitlines()[0]}", "warning", "catalog"))
     counts = {"missing_catalog_keys": 0, "orphaned_catalog_keys": 0, "duplicate_catalog_groups": 0}
     if not catalog.isEmpty():
-        absent, orphaned, groups = A.missing_from_catalog(detected, catalog), A.orphaned_in_catalog(detected, catalog), A.duplicate_catalog_values(catalog)
+        catalog = stage.written(catalog, "catalog")
+        absent, orphaned, groups = stage.written(A.missing_from_catalog(detected, catalog), "absent"), A.orphaned_in_catalog(detected, catalog), A.duplicate_catalog_values(catalog)
         counts = {"missing_catalog_keys": absent.count(), "orphaned_catalog_keys": orphaned.count(), "duplicate_catalog_groups": groups.count()}
-        told = lambda rows, kind, severity, message: rows.select(F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), message.alias("message"))
+        told = lambda rows, kind, severity, message: rows.select(F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), message.alias("message"), *(F.col(c) if c in rows.columns else nowhere[c].alias(c) for c in nowhere))
         if config.string_catalog.validate_missing:
-            extra = extra.unionByName(told(absent, "missing_key", "warning", F.format_string('Detected string "%s" is absent from the string catalog', "value")))
+            extra = extra.unionByName(told(absent, "missing_key", "warning", F.format_string('"%s" is used, but no string catalog has it as a key', "value")))
         if config.string_catalog.validate_orphaned:
-            extra = extra.unionByName(told(orphaned, "orphaned_key", "note", F.format_string('Catalog key "%s" has no detected source usage — may be orphaned', "key")))
-        extra = extra.unionByName(told(groups, "duplicate_value", "suggestion", F.format_string('Duplicate catalog value "%s" used by %d keys: %s', "value", F.size("keys"), F.array_join("keys", ", "))))
+            extra = extra.unionByName(told(orphaned, "orphaned_key", "note", F.format_string('No source was found to use the catalog key "%s"', "key")))
+        extra = extra.unionByName(told(groups, "duplicate_value", "suggestion", F.format_string('%2$d catalog keys share the value "%1$s": %3$s', "value", F.size("keys"), F.array_join("keys", ", "))))
     if problems:
-        extra = extra.unionByName(spark.createDataFrame(problems, "message string, severity string, kind string").select("kind", "severity", "message"))
-    empty = {c: F.lit(None).cast(t) for c, t in (("path", "string"), ("line", "int"), ("col", "int"), ("pos", "int"))}
-    diagnostics = scan.diagnostics.unionByName(extra.withColumns(empty).select(scan.diagnostics.columns))
-    return {"files": files, "detected": detected, "diagnostics": diagnostics, "existing": scan.existing, "catalog": catalog, "summary": summary(files, detected, diagnostics, scan, config, counts)}
+        extra = extra.unionByName(spark.createDataFrame(problems, "message string, severity string, kind string").withColumns(nowhere))
+    diagnostics = scan.diagnostics.unionByName(extra.select(scan.diagnostics.columns))
+    return {"referenced": referenced, "files": files, "detected": detected, "diagnostics": diagnostics, "existing": scan.existing, "catalog": catalog, "summary": summary(files, detected, diagnostics, scan, config, counts)}
 
 
 def summary(files: DataFrame, detected: DataFrame, diagnostics: DataFrame, scan: Scan, config: Config, counts: dict[str, int]) -> DataFrame:
@@ -163,15 +185,22 @@ def _publish(spark: SparkSession, cache: DataFrame, path: str) -> None:
 
 
 def facade(spark: SparkSession, directory: str, minimum: float = 0.0) -> dict:
-    """Strings of a whole directory with common values promoted and assets checked; no exclusions, no cache."""
-    files = readers.files(spark, directory)
+    """Strings of a whole directory with common values promoted and assets checked; no exclusions, no cache.
+
+    ``totals``: one row of counts. An asset that no catalog has is a warning at its reference."""
+    files = stage.written(readers.files(spark, directory), "files")
     scan = analyse(files, Config(minimum_confidence=minimum))
     detected = A.with_namespace(scan.detected)
     common = A.common_strings(detected).withColumn("namespace", F.lit("Common"))
     strings = A.without_common(detected).unionByName(common)
     known = readers.assets(spark, directory)
-    references = D.asset_references(extract.events(files)).join(detected.select("path").distinct(), "path", "left_semi")
-    return {"strings": strings, "assets": known, "missing_assets": A.missing_assets(references, known), "diagnostics": scan.diagnostics}
+    references = D.asset_references(scan.events).join(detected.select("path").distinct(), "path", "left_semi")
+    missing = A.missing_assets(references, known)
+    diagnostics = scan.diagnostics.unionByName(D.missing_asset_diagnostics(missing).select(scan.diagnostics.columns))
+    totals = detected.agg(F.count("*").alias("strings"))
+    for part in (strings.agg(F.count_distinct("namespace").alias("namespaces")), scan.diagnostics.agg(F.count_if(F.col("severity") == "warning").alias("warnings")), missing.agg(F.count("*").alias("missing_assets"))):
+        totals = totals.crossJoin(part)  # one row by one row
+    return {"strings": strings, "assets": known, "missing_assets": missing, "diagnostics": diagnostics, "totals": totals}
 
 
 def accessor_names(strings: DataFrame) -> DataFrame:

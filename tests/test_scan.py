@@ -206,3 +206,42 @@ def test_catalogs_nearby_and_counts(spark, tmp_path):
 def test_severity_order(spark):
     rows = spark.createDataFrame([(s,) for s in ("note", "suggestion", "warning", "error", "odd")], "s string")
     assert [r[0] for r in rows.select(A.severity_rank(F.col("s"))).collect()] == [0, 1, 2, 3, 0]
+
+
+def test_generate_keeps_what_sources_refer_to(spark, project):
+    from loquat.plans import generate
+
+    conf = dataclasses.replace(CONFIG, exclude=("Generated",), output=config.Output(path="Sources/Generated/Strings.swift"), assets=config.Assets(enabled=True, path="Sources/Generated/Assets.swift"))
+    dry = generate.run(spark, conf, str(project), dry_run=True)
+    assert not (project / "Sources/Generated/Strings.swift").exists() and "Welcome Back" in dry["generated"][0][1]
+    first = generate.run(spark, conf, str(project))
+    assert [p for p, _ in first["generated"]] == [str(project / "Sources/Generated/Strings.swift"), str(project / "Sources/Generated/Assets.swift")]
+    assert (project / "Sources/Generated/Strings.swift").read_text() == first["generated"][0][1] and first["preserved"] == 0
+    moved = VIEW.replace('Text("Welcome Back")', "Text(i18n.Settings.welcomeBack())")
+    (project / "Sources/SettingsView.swift").write_text(moved)
+    second = generate.run(spark, conf, str(project))
+    text = (project / "Sources/Generated/Strings.swift").read_text()
+    assert second["preserved"] == 1 and 'localized: "Welcome Back"' in text
+    assert second["exit"] == 1  # an unreadable file
+    (project / "Sources/bad.swift").unlink()
+    assert generate.run(spark, dataclasses.replace(conf, migration="strict"), str(project), dry_run=True)["exit"] == 1
+    assert generate.run(spark, conf, str(project), dry_run=True, common=True)["exit"] == 0
+    with pytest.raises(ValueError):
+        scan.run(spark, dataclasses.replace(conf, migration="other"), str(project))
+
+
+def test_diagnostics_say_where(spark, project):
+    out = scan.run(spark, dataclasses.replace(CONFIG, exclude=("Generated",)), str(project))
+    missing = {r.message.split('"')[1]: r for r in out["diagnostics"].where("kind = 'missing_key'").collect()}
+    assert missing["Welcome Back"].line == 6 and missing["Welcome Back"].col > 1 and missing["Welcome Back"].path.endswith("SettingsView.swift")
+    facade = scan.facade(spark, str(project))
+    told = facade["diagnostics"].where("kind = 'missing_asset'").collect()
+    assert [(r.severity, r.line) for r in told] == [("warning", 10)]
+    assert facade["totals"].first().missing_assets == 1 and facade["totals"].first().strings >= 6
+
+
+def test_a_cache_that_cannot_be_written_is_a_warning(spark, project, tmp_path):
+    (tmp_path / "file").write_text("no folder")
+    conf = dataclasses.replace(CONFIG, exclude=("Generated",), incremental=True)
+    out = scan.run(spark, conf, str(project), f"file://{tmp_path}/file/cache")
+    assert out["detected"].count() == 6 and any(r.kind == "cache" and r.severity == "warning" for r in out["diagnostics"].collect())
