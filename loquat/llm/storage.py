@@ -20,7 +20,7 @@ _tables: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Root of shared intermediate files; a private temp folder only if the session names none."""
+    """Root of shared intermediate files; a private temp folder only if a local session names none."""
     global _local_dir
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -28,6 +28,9 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return str(current.get()).rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir names no shared folder: executors would each write to their own")
     if _local_dir is None:
         _local_dir = tempfile.mkdtemp(prefix="loquat-")
         atexit.register(shutil.rmtree, _local_dir, ignore_errors=True)

@@ -275,3 +275,48 @@ def test_toxicity_cases(spark):
     assert {r._predicted for r in toxicity.score(frame(spark, docs), ordinary).collect()} == {0}
     assert toxicity.score(spark.createDataFrame([], "doc_id long, text string"), ordinary).collect() == []
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_a_window_retrieves_only_templates_that_share_a_slot(spark, monkeypatch):
+    """With many templates of a class, those verified are the few that a band names."""
+    rng = random.Random(9)
+    templates = {f"t{k}": " ".join(rng.choices([f"w{j}" for j in range(3000)], k=40)) for k in range(400)}
+    known = licenses.Templates(templates)
+    text = " ".join(rng.choices([f"x{j}" for j in range(500)], k=300)) + " " + templates["t7"] + " " + templates["t300"]
+    asked = []
+    isin = np.isin
+    monkeypatch.setattr(licenses.np, "isin", lambda members, *a, **kw: asked.append(1) or isin(members, *a, **kw))
+    found, _ = known.find([text])
+    assert {m[0] for m in found[0]} == {"t7", "t300"} and len(asked) < 60
+
+
+def test_full_licence_texts_are_found_with_small_changes(spark):
+    body = licenses.TEMPLATES["BSD-3-Clause-full"].replace("copyright holder nor", "University nor").replace("COPYRIGHT HOLDER OR", "REGENTS OR")
+    rows = {r.doc_id: r._licenses for r in licenses.scan_licenses(frame(spark, [(1, f"Copyright (c) 1999\n\n{body}"), (2, licenses.TEMPLATES["ISC-full"]), (3, body[: len(body) // 2])])).collect()}
+    assert "BSD-3-Clause-full" in rows[1] and "ISC-full" in rows[2] and "BSD-3-Clause-full" not in rows[3]
+
+
+def test_repeated_rows_of_an_id_are_one_document_of_a_line(spark):
+    docs = [(1, "stock line\nown words", "h")] * 9 + [(k, f"other line\nmore{k}", "h") for k in range(10, 14)] + [(None, "other line", "h")] * 9
+    rows = line_rules.apply_line_rules(frame(spark, docs, ", source string"), max_docs=3, min_words=0, block_bytes=1).collect()
+    removed = {(r.doc_id, r._n_removed_words) for r in rows}
+    assert removed == {(1, 0), *((k, 2) for k in range(10, 14)), (None, 2)}
+
+
+def test_item_ids_of_any_type_and_a_bounded_automaton(spark):
+    docs = frame(spark, [(1, "alpha beta gamma delta"), (2, "one two three")])
+    named = spark.createDataFrame([("b-2", "beta gamma"), ("a-1", "alpha beta gamma"), ("a-1", "two three"), (None, "one two")], "item_id string, text string")
+    rows = {r.doc_id: (r._n_hit, r._items) for r in decontaminate.find_contamination(docs, named, size=3).collect()}
+    assert rows == {1: (3, ["a-1", "b-2"]), 2: (2, ["a-1"])}
+    with pytest.raises(ValueError):
+        decontaminate.find_contamination(docs, named, size=3, max_nodes=3)
+
+
+def test_a_large_benchmark_is_one_small_automaton():
+    """Eight million characters of items stay below 500 MB: 16 bytes a node, and few nodes a word."""
+    rng = np.random.default_rng(0)
+    words = 120_000
+    numbers = np.minimum((rng.pareto(0.6, words) * 20).astype(np.int64), 49_999).astype(np.uint64)
+    machine = decontaminate.build(decontaminate.np.asarray(numbers) * np.uint64(0x9E3779B97F4A7C15), np.full(words // 120, 120), np.arange(words // 120), 10)
+    held = sum(getattr(machine, x).nbytes for x in ("words", "keys", "fail", "ends", "first", "patterns", "lengths", "starts", "items"))
+    assert held * (8_000_000 / (4.5 * words)) < 500e6
