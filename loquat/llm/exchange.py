@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from loquat.llm import storage
 from loquat.llm.text import give_back, lean
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 SHARD_KEYS = 1_500_000
 ASK = "block long, shard int, payload binary"
 
