@@ -101,10 +101,10 @@ def assets_of(contents: DataFrame) -> DataFrame:
     parts = F.split(F.substring(F.col("path"), F.length(catalog) + 2, F.lit(1 << 30)), "/")
     rows = inside.select(catalog.alias("catalog"), F.slice(parts, F.lit(1), F.size(parts) - 1).alias("dirs"), F.get_json_object("content", "$.properties.provides-namespace").alias("ns"))
     groups = rows.where(F.col("ns") == "true").select("catalog", F.array_join("dirs", "/").alias("group"))
-    kind = F.regexp_extract(F.element_at("dirs", -1), r"\.(imageset|colorset)$", 1)
-    above = F.slice("dirs", F.lit(1), F.size("dirs") - 1)
+    kind = F.regexp_extract(F.try_element_at("dirs", F.lit(-1)), r"\.(imageset|colorset)$", 1)
+    above = F.slice("dirs", F.lit(1), F.greatest(F.size("dirs") - 1, F.lit(0)))  # a catalog describes itself, too
     sets = rows.where(F.size("dirs") > 0).withColumn("kind", kind).where((F.col("kind") != "") & ~F.exists(above, lambda d: d.rlike(r"\.(imageset|colorset|appiconset|launchimage|complicationset|dataset|symbolset|stickerpack)$")))
-    sets = sets.select("catalog", F.array_join("dirs", "/").alias("set"), F.when(F.col("kind") == "imageset", "image").otherwise("color").alias("type"), F.regexp_replace(F.element_at("dirs", -1), r"\.[^.]*$", "").alias("stem"), above.alias("above"))
+    sets = sets.select("catalog", F.array_join("dirs", "/").alias("set"), F.when(F.col("kind") == "imageset", "image").otherwise("color").alias("type"), F.regexp_replace(F.try_element_at("dirs", F.lit(-1)), r"\.[^.]*$", "").alias("stem"), above.alias("above"))
     prefix = sets.select("catalog", "set", F.posexplode("above").alias("i", "name"), F.col("above").alias("a")).select("catalog", "set", "i", "name", F.array_join(F.slice("a", F.lit(1), F.col("i") + 1), "/").alias("group"))
     named = prefix.join(groups, ["catalog", "group"], "left_semi").groupBy("catalog", "set").agg(F.array_sort(F.collect_list(F.struct("i", "name"))).alias("names"))
     full = sets.join(named, ["catalog", "set"], "left").select("type", F.concat_ws("/", F.concat_ws("/", F.transform("names", lambda x: x["name"])), "stem").alias("name"))
