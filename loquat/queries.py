@@ -445,6 +445,12 @@ def existing_patterns(spark, sf_dir):
 # Generated sources: rows become source text, which is parsed
 
 
+def parts_by_type(spark, sf_dir):
+    """Parts dealt by type into a fixed number of partitions: the files made of them are few and small, but costly to parse,
+    so they must not be merged into one task by their size."""
+    return table(spark, sf_dir, "part").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_type")
+
+
 def sources(spark, sf_dir):
     """One file a part type: a view with a line for each of its parts."""
     k, name = F.col("p_partkey"), F.col("p_name")
@@ -458,7 +464,7 @@ def sources(spark, sf_dir):
         .otherwise(F.concat(F.lit("Toggle(L10n."), F.replace("p_name", F.lit(" "), F.lit(".")), F.lit(", isOn: $on) /* "), quoted, F.lit(" */")))
     )
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", line.alias("line")))), lambda x: x["line"]), "\n")
-    rows = table(spark, sf_dir, "part").groupBy("p_type").agg(body.alias("body"))
+    rows = parts_by_type(spark, sf_dir).groupBy("p_type").agg(body.alias("body"))
     content = F.concat(F.lit("struct "), "p_type", F.lit("View: View { var body: some View {\n"), "body", F.lit("\n} }\n"))
     return rows.select(F.concat("p_type", F.lit("View.swift")).alias("path"), content.alias("content"))
 
@@ -579,7 +585,7 @@ def more_sources(spark, sf_dir):
         .otherwise(text("var w", key, ": some View { Image(", quoted, ") } // loquat:ignore"))
     )
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", line.alias("line")))), lambda x: x["line"]), "\n")
-    rows = table(spark, sf_dir, "part").groupBy("p_type").agg(body.alias("body"))
+    rows = parts_by_type(spark, sf_dir).groupBy("p_type").agg(body.alias("body"))
     return rows.select(F.concat("p_type", F.lit("View.swift")).alias("path"), text("struct ", F.col("p_type"), "View: View {\n", F.col("body"), "\n}\n").alias("content"))
 
 
