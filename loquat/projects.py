@@ -1,7 +1,7 @@
 """More registered queries of the source-string operators: every form of call, generated files, small source trees.
 
-Sources are generated from rows, one file a part type; trees of a file a nation are written to the shared folder
-and read back. What the rules are is said a second time here, for SQL, and not taken from their table.
+Sources are generated from rows, one file a part type; trees of a file a nation (25 rows at every scale) are written to the
+shared folder and read back. What the rules are is said a second time here, for SQL, and not taken from their table.
 """
 
 from __future__ import annotations
