@@ -184,6 +184,43 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loquat.llm import codes, storage
+
+    vectors = table(spark, sf_dir, "embeddings")
+    books = codes.train(vectors)
+    coded = storage.materialise(codes.encode(vectors, books).select("vec_id", "label", "_code", "_error"), "codes")
+    hexed = F.array_join(F.transform("_code", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0")), "")
+    out = codes.group_errors(coded)
+    return out.select("vec_id", hexed.alias("code"), F.col("_error").alias("error"), F.col("_label_error").alias("label_error"), F.lit(books.digest()).alias("codebooks_sha256"))
+
+
+def _op13_sql() -> str:
+    """Every distance of every round; doubles hold these integers exactly."""
+    rounds, steps = 4, []
+    distance = "list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c)"
+    for k in range(rounds + 1):
+        steps.append(f"a{k} AS MATERIALIZED (SELECT vec_id, part, min(({distance})::BIGINT * 256 + entry) AS m FROM p JOIN b{k} USING (part) GROUP BY vec_id, part)")
+        if k < rounds:
+            steps.append(f"""m{k} AS (SELECT part, entry, list(c ORDER BY place) AS c FROM (
+    SELECT part, m % 256 AS entry, place, floor(sum(v) / count(*)) AS c
+    FROM (SELECT part, m, unnest(x) AS v, generate_subscripts(x, 1) AS place FROM a{k} JOIN p USING (vec_id, part)) GROUP BY ALL) GROUP BY part, entry),
+b{k + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m{k}.c, b{k}.c) AS c FROM b{k} LEFT JOIN m{k} USING (part, entry))""")
+    steps = ",\n".join(steps)
+    return f"""
+WITH v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS z FROM embeddings
+    WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+p AS MATERIALIZED (SELECT vec_id, part, z[part * (len(z) // 4) + 1:(part + 1) * (len(z) // 4)] AS x FROM v, range(4) r(part)),
+b0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x AS c FROM p QUALIFY entry < 256),
+{steps},
+coded AS (SELECT vec_id, string_agg(lpad(to_hex(m % 256), 2, '0'), '' ORDER BY part) AS code, sum(m // 256) AS error FROM a{rounds} GROUP BY vec_id),
+book AS (SELECT sha256(string_agg(v::BIGINT::VARCHAR, ',' ORDER BY part, entry, place)) AS codebooks_sha256
+    FROM (SELECT part, entry, unnest(c) AS v, generate_subscripts(c, 1) AS place FROM b{rounds})),
+whole AS (SELECT vec_id, label, lower(code) AS code, error FROM v JOIN coded USING (vec_id))
+SELECT vec_id, code, error::BIGINT AS error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM whole, book
+"""
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_token_records": op2_token_records,
@@ -195,6 +232,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_ordinal_quality": op9_ordinal_quality,
     "op10_toxicity": op10_toxicity,
+    "op13_vector_codes": op13_vector_codes,
 }
 ORACLE_SQL = {
     "op1_license_scan": _op1_sql(),
@@ -202,4 +240,5 @@ ORACLE_SQL = {
     "op5_minhash_neardup": OP5_SQL,
     "op7_line_rules": OP7_SQL,
     "op8_decontamination": OP8_SQL,
+    "op13_vector_codes": _op13_sql(),
 }
