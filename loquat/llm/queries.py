@@ -184,6 +184,24 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
 
 
+def op11_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loquat.llm import storage, warc
+
+    path = storage.new_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    out = warc.records(warc.read_chunks(spark, path, payload=False))
+    return out.select(F.col("id").cast("long").alias("page_id"), "payload_bytes", F.col("sha1").alias("payload_digest"), "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
+OP11_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, '')))::BIGINT AS n FROM pages),
+top AS (SELECT h, max(page_id) AS m FROM p WHERE n >= 1000 GROUP BY h)
+SELECT page_id, n AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN m > page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN m > page_id THEN m END AS refers_to
+FROM p LEFT JOIN top USING (h)
+"""
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loquat.llm import codes, storage
 
@@ -232,6 +250,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_ordinal_quality": op9_ordinal_quality,
     "op10_toxicity": op10_toxicity,
+    "op11_warc_chunks": op11_warc_chunks,
     "op13_vector_codes": op13_vector_codes,
 }
 ORACLE_SQL = {
@@ -240,5 +259,6 @@ ORACLE_SQL = {
     "op5_minhash_neardup": OP5_SQL,
     "op7_line_rules": OP7_SQL,
     "op8_decontamination": OP8_SQL,
+    "op11_warc_chunks": OP11_SQL,
     "op13_vector_codes": _op13_sql(),
 }
