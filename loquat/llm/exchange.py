@@ -83,11 +83,11 @@ def slices(sorted_keys: np.ndarray, shards: int) -> Iterator[tuple[int, slice]]:
 
 
 class Blocks:
-    """A corpus staged as blocks. ``rows``: block id and packed rows; ``bytes``: text bytes in all."""
+    """A corpus staged as blocks. ``rows``: block id and packed rows; ``bytes``: text bytes in all, ``total`` where given."""
 
-    def __init__(self, spark: SparkSession, df: DataFrame, text: str, block_bytes: int = BLOCK_BYTES):
+    def __init__(self, spark: SparkSession, df: DataFrame, text: str, block_bytes: int = BLOCK_BYTES, total: int | None = None):
         self.spark, self.schema, self.text = spark, df.schema, text
-        self.bytes = int(df.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0)
+        self.bytes = int(df.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0) if total is None else total
         shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.buckets = max(shuffles, min(100_000, math.ceil(self.bytes / (2 * block_bytes))))
         path, name = storage.new_path(spark, "blocks"), f"loquat_blocks_{uuid.uuid4().hex}"

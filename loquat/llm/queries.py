@@ -202,6 +202,16 @@ FROM p LEFT JOIN top USING (h)
 """
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from loquat.llm.alignment import align
+
+    out = align(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    digest = F.when(F.col("_n_a") > 0, F.sha2(F.col("_groups").cast("binary"), 256)).otherwise("")
+    return out.select("doc_id", *(F.col(f"_{c}").alias(c) for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")), digest.alias("groups_sha256"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loquat.llm import codes, storage
 
@@ -251,6 +261,7 @@ QUERIES = {
     "op9_ordinal_quality": op9_ordinal_quality,
     "op10_toxicity": op10_toxicity,
     "op11_warc_chunks": op11_warc_chunks,
+    "op12_token_alignment": op12_token_alignment,
     "op13_vector_codes": op13_vector_codes,
 }
 ORACLE_SQL = {
