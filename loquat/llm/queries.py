@@ -86,6 +86,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op1_sql() -> str:
+    """A template of fewer words than a shingle counts wherever its words stand in a row; any other where a window holds enough of its shingles."""
     from loquat.llm.licenses import LEAST_STEP, PERCENT, SIZE, TEMPLATES
 
     rows = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in sorted(TEMPLATES.items()))
@@ -93,14 +94,16 @@ def _op1_sql() -> str:
     shingle = f"array_to_string(w[i:i + {SIZE - 1}], ' ') || '/' || least(len(w), {SIZE})"
     return f"""
 WITH t AS (SELECT name, {words.format('body')} AS w FROM (VALUES {rows}) v(name, body)),
-ts AS (SELECT DISTINCT name, {shingle} AS s FROM (SELECT name, w, unnest(range(1, greatest(len(w) - {SIZE - 2}, 2))) AS i FROM t WHERE len(w) > 0)),
+ts AS (SELECT DISTINCT name, {shingle} AS s FROM (SELECT name, w, unnest(range(1, greatest(len(w) - {SIZE - 2}, 2))) AS i FROM t WHERE len(w) >= {SIZE})),
+short AS (SELECT name, ' ' || array_to_string(w, ' ') || ' ' AS s FROM t WHERE len(w) BETWEEN 1 AND {SIZE - 1}),
 tn AS (SELECT name, count(*) AS n, greatest({LEAST_STEP}, pow(2, ceil(log2(count(*))))::BIGINT) AS step FROM ts GROUP BY name),
 d AS (SELECT doc_id, {words.format('text')} AS w FROM documents),
 ds AS (SELECT doc_id, i - 1 AS i, {shingle} AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {SIZE - 2}, 2))) AS i FROM d WHERE len(w) > 0)),
 hit AS (SELECT doc_id, name, n, i // step AS block, s FROM ds JOIN ts USING (s) JOIN tn USING (name)),
 win AS (SELECT doc_id, name, n, block AS win, s FROM hit UNION ALL SELECT doc_id, name, n, block - 1, s FROM hit WHERE block > 0),
 found AS (SELECT doc_id, name FROM win GROUP BY doc_id, name, n, win HAVING 100 * count(DISTINCT s) >= {PERCENT} * n),
-names AS (SELECT doc_id, string_agg(name, ',' ORDER BY name) AS licenses, count(*) AS k FROM (SELECT DISTINCT * FROM found) GROUP BY doc_id)
+anywhere AS (SELECT doc_id, name FROM d JOIN short ON contains(' ' || array_to_string(w, ' ') || ' ', s)),
+names AS (SELECT doc_id, string_agg(name, ',' ORDER BY name) AS licenses, count(*) AS k FROM (SELECT * FROM found UNION SELECT * FROM anywhere) GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(k, 0)::BIGINT AS n_licenses, coalesce(licenses, '') AS licenses
 FROM d LEFT JOIN names USING (doc_id)
 """

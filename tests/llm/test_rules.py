@@ -131,15 +131,23 @@ def test_licenses_match_brute_force(spark):
             words[at:at] = notice
         docs.append((i, " ".join(words)))
     docs += [(500, None), (501, ""), (502, "all RIGHTS reserved"), (503, "All rights")]
+    docs += [(504, " ".join(rng.choices(vocabulary, k=3000)) + ". All rights reserved.")]  # three words at the end of a long text
+
+    def split(t):
+        return "".join(c if c.isascii() and c.isalnum() else " " for c in brute.lower(t)).split()
 
     def shingles(t):
-        w = [x for x in "".join(c if c.isascii() and c.isalnum() else " " for c in brute.lower(t)).split()]
+        w = split(t)
         return [tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))] if w else []
 
     def find(t):
         own, found = shingles(t), set()
         for name, body in templates.items():
-            want = set(shingles(body))
+            want, whole = set(shingles(body)), split(body)
+            if len(whole) < 5:  # fewer words than a shingle: wherever they stand in a row
+                if any(split(t)[k : k + len(whole)] == whole for k in range(len(split(t)))):
+                    found.add(name)
+                continue
             step = max(4, 1 << (len(want) - 1).bit_length())
             for k in range(0, len(own), step):
                 if 100 * len(want & set(own[k : k + 2 * step])) >= 80 * len(want):
