@@ -33,16 +33,25 @@ from loquat.llm import storage
 from loquat.llm.columns import Carried
 from loquat.llm.exchange import Blocks, join_parts, pack, pack_sorted, slices, split_parts, unpack, unpack_sorted
 from loquat.llm.text import encode, lean, mix
-from loquat.llm.tokens import shared_encoder
+from loquat.llm.tokens import Encoder, PieceEncoder
 
 #: Text bytes tokenized at a time.
 CHUNK = 1 << 20
+#: Words remembered by a worker for each tokenizer, at about 50 bytes each.
+REMEMBERED = 2_000_000
 ADDED = {"_n_a": "long", "_n_b": "long", "_n_groups": "long", "_n_links": "long", "_n_best": "long", "_count_sum": "long", "_groups": "string"}
 
 
-def overlaps(a_start: np.ndarray, a_end: np.ndarray, b_start: np.ndarray, b_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First, and one behind the last, B token that overlaps each A token; B's bounds are the index."""
-    return np.searchsorted(b_end, a_start, side="right"), np.searchsorted(b_start, a_end, side="left")
+def last_overlaps(a_end: np.ndarray, b_end: np.ndarray) -> np.ndarray:
+    """The last B token that overlaps each A token, where both cover the same bytes; B's sorted ends are the index."""
+    return np.searchsorted(b_end, a_end)
+
+
+def overlaps(a_end: np.ndarray, b_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last B token that overlaps each A token. The list of an A token begins with the last of the one before,
+    unless that ends where the A token begins: then with the next."""
+    last = last_overlaps(a_end, b_end)
+    return np.r_[0, last[:-1] + (b_end[last[:-1]] == a_end[:-1])], last
 
 
 def unmix(x: np.ndarray) -> np.ndarray:
@@ -59,10 +68,7 @@ class Tokenizers:
     """Both tokenizers and the bytes of their tokens."""
 
     def __init__(self, a_path: str, b_path: str):
-        import sentencepiece
-
-        self.a = shared_encoder(a_path, None)
-        self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
+        self.a, self.b = Encoder(a_path, None, limit=REMEMBERED), PieceEncoder(b_path, limit=REMEMBERED)
         # Byte-level tokens write a byte as a character: printable Latin-1 as itself, the others from 256 on, in order.
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte = {chr(x): x for x in shown} | {chr(256 + k): x for k, x in enumerate(x for x in range(256) if x not in shown)}
@@ -70,8 +76,10 @@ class Tokenizers:
         self.a_bytes = [b""] * (names[-1][0] + 1)
         for k, t in names:
             self.a_bytes[k] = bytes(byte[c] for c in t) if all(c in byte for c in t) else t.encode()
-        pieces = range(self.b.get_piece_size())
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace("▁", " ").encode() for k in pieces for p in [self.b.id_to_piece(k)]]
+        model = self.b.model
+        pieces = [(k, model.id_to_piece(k)) for k in range(model.get_piece_size())]
+        self.b_bytes = [bytes([int(p[3:5], 16)]) if model.is_byte(k) else p.replace("▁", " ").encode() for k, p in pieces]
+        self.a_size = np.array([len(x) for x in self.a_bytes])
         self.kind = "<u2" if max(len(self.a_bytes), len(self.b_bytes)) <= 1 << 16 else "<u4"
         first = self.a.encode(["a"])[0]
         self.first = len(first)
@@ -80,16 +88,17 @@ class Tokenizers:
         """(A ids, B ids) of each text; none of both where one of them is not the text again."""
         # A letter and then the space: the letter is a token of its own, and the encoder knows such texts by their words.
         a_ids = [np.frombuffer(x, "<u4", offset=self.first) for x in self.a.encode([f"a {x}" for x in texts])]
-        b_ids = [np.array(x, "<u4") for x in self.b.encode(texts, out_type=int, num_threads=1)]
+        b_ids = [np.frombuffer(x, "<u4") for x in self.b.encode(texts)]
         out, nothing = [], np.empty(0, self.kind)
         for text, a, b in zip(texts, a_ids, b_ids, strict=True):
             raw = b" " + encode(text)
-            same = text and b"".join(map(self.a_bytes.__getitem__, a.tolist())) == raw and b"".join(map(self.b_bytes.__getitem__, b.tolist())) == raw
+            # Byte-level merges change no byte, so A can only lack some; B may write another character instead.
+            same = text and self.a_size[a].sum() == len(raw) and b"".join(map(self.b_bytes.__getitem__, b.tolist())) == raw
             out.append((a.astype(self.kind), b.astype(self.kind)) if same else (nothing, nothing))
         return out
 
     def sizes(self) -> Sizes:
-        return Sizes(np.array([len(x) for x in self.a_bytes]), np.array([len(x) for x in self.b_bytes]), self.kind)
+        return Sizes(self.a_size.astype(np.int32), np.array([len(x) for x in self.b_bytes], np.int32), self.kind)
 
 
 _loaded: dict[tuple[str, str], Tokenizers] = {}
@@ -123,38 +132,55 @@ class Aligned:
     """Ids of some texts, one behind the other (the texts that have tokens are of equal bytes for A and B), and where both end."""
 
     def __init__(self, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, sizes: Sizes):
-        self.a, self.b, self.n_a, self.n_b = a.astype(np.int64), b.astype(np.int64), n_a, n_b
-        a_size, b_size = sizes.a[self.a], sizes.b[self.b]
-        a_end, b_end = np.cumsum(a_size), np.cumsum(b_size)
-        _, behind = overlaps(a_end - a_size, a_end, b_end - b_size, b_end)
-        # A gap that the last B token of the list does not span.
-        self.a_last = np.flatnonzero(b_end[behind - 1] == a_end) if len(a) else np.empty(0, np.int64)
-        self.b_last = behind[self.a_last] - 1
-        self.text = np.repeat(np.arange(len(n_a)), n_a)[self.a_last]
-
-    def links(self) -> np.ndarray:
+        self.a, self.b, self.n_a, self.n_b = a, b, n_a, n_b
+        place = np.int32 if len(a) * int(sizes.a.max()) < 1 << 31 else np.int64
+        a_end, b_end = np.cumsum(sizes.a[a], dtype=place), np.cumsum(sizes.b[b], dtype=place)
+        last = last_overlaps(a_end, b_end)
+        # Gaps that the last B token of the list does not span.
+        self.a_last = np.flatnonzero(b_end[last] == a_end) if len(a) else np.empty(0, np.int64)
+        self.b_last = last[self.a_last]
+        #: Links of each text lie between these.
+        self.bounds = np.searchsorted(self.a_last, np.cumsum(np.r_[0, n_a]))
+
+    def pairs(self) -> np.ndarray:
         """A hash of each link's pair of ids, which ``unmix`` gives back: A's above B's."""
-        return mix((self.a[self.a_last] << 32 | self.b[self.b_last]).astype(np.uint64))
-
-    def rendered(self, pieces: list[str]) -> list[str]:
-        """The groups of each text: ``a1,a2|b1;a3|b2,b3``. ``pieces``: every id with each of the signs ``,|;`` behind it."""
-        ends_a, ends_b = np.zeros(len(self.a), np.int64), np.zeros(len(self.b), np.int64)
-        ends_a[self.a_last], ends_b[self.b_last] = 1, 1
-        group_a, group_b = np.cumsum(ends_a) - ends_a, np.cumsum(ends_b) - ends_b
-        signs = np.empty(len(self.a) + len(self.b), np.int64)
+        return mix(self.a[self.a_last].astype(np.uint64) << np.uint64(32) | self.b[self.b_last].astype(np.uint64))
+
+    def sums(self, of_links: np.ndarray) -> np.ndarray:
+        """A number a link, summed by text."""
+        upto = np.r_[0, np.cumsum(of_links, dtype=np.int64)]
+        return np.diff(upto[self.bounds])
+
+    def rendered(self, pieces: tuple[np.ndarray, np.ndarray], first: int, stop: int) -> pa.Array:
+        """The groups of some texts: ``a1,a2|b1;a3|b2,b3``; ``pieces`` from ``_pieces``."""
+        n_a, n_b = self.n_a[first:stop], self.n_b[first:stop]
+        a_at, b_at = int(self.n_a[:first].sum()), int(self.n_b[:first].sum())
+        a, b = self.a[a_at : a_at + n_a.sum()].astype(np.int32), self.b[b_at : b_at + n_b.sum()].astype(np.int32)
+        links = slice(self.bounds[first], self.bounds[stop])
+        a_last, b_last = self.a_last[links] - a_at, self.b_last[links] - b_at
         # An A token stands behind the B tokens of earlier groups, a B token behind the A tokens of its own too.
-        signs[np.arange(len(self.a)) + np.r_[0, self.b_last + 1][group_a]] = 3 * self.a + ends_a
-        signs[np.arange(len(self.b)) + (self.a_last + 1)[group_b]] = 3 * self.b + 2 * ends_b
-        stop = np.cumsum(self.n_a + self.n_b).tolist()
-        out, at = [], 0
-        for end in stop:
-            out.append("".join(map(pieces.__getitem__, signs[at:end].tolist()))[:-1])
-            at = end
-        return out
-
-
-def _pieces(sizes: Sizes) -> list[str]:
-    return [f"{k}{sign}" for k in range(max(len(sizes.a), len(sizes.b))) for sign in ",|;"]
+        before, upto = np.diff(a_last, prepend=-1), np.diff(b_last, prepend=-1)
+        a_place = np.arange(len(a)) + np.repeat(np.r_[0, b_last[:-1] + 1][: len(a_last)], before)
+        b_place = np.arange(len(b)) + np.repeat(a_last + 1, upto)
+        signs = np.empty(len(a) + len(b), np.int32)
+        signs[a_place], signs[b_place] = 3 * a, 3 * b
+        signs[a_place[a_last]] += 1
+        signs[b_place[b_last]] += 2
+        letters, held = pieces
+        mask = held[signs]
+        end = np.r_[0, np.cumsum(mask.sum(1))][np.cumsum(n_a + n_b)]
+        # The last sign of a text is left out.
+        full = n_a > 0
+        blob = np.delete(letters[signs][mask], end[full] - 1)
+        offsets = np.r_[0, end - np.cumsum(full)].astype(np.int32)
+        return pa.Array.from_buffers(pa.string(), len(n_a), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(blob.tobytes())])
+
+
+def _pieces(sizes: Sizes) -> tuple[np.ndarray, np.ndarray]:
+    """Every id with each of the signs ``,|;`` behind it, as rows of bytes, and which bytes count."""
+    every = [f"{k}{sign}".encode() for k in range(max(len(sizes.a), len(sizes.b))) for sign in ",|;"]
+    letters = np.array(every).view(np.uint8).reshape(len(every), -1)
+    return letters, letters > 0
 
 
 def _encoding(text: str, kept: list[str], a_path: str, b_path: str):
@@ -178,14 +204,9 @@ def _encoding(text: str, kept: list[str], a_path: str, b_path: str):
     return run
 
 
-def _distinct(rows: pa.Table, sizes: Sizes) -> tuple[Aligned, np.ndarray, np.ndarray, np.ndarray]:
-    found = sizes.load(rows["_ids"].to_pylist())
-    return found, *np.unique(found.links(), return_inverse=True, return_counts=True)
-
-
 def _ask(sizes: Sizes, shards: int):
     def ask(rows: pa.Table) -> Iterator[tuple[int, bytes]]:
-        _, pairs, _, count = _distinct(rows, sizes)
+        pairs, count = np.unique(sizes.load(rows["_ids"].to_pylist()).pairs(), return_counts=True)
         for shard, part in slices(pairs, shards):
             yield shard, join_parts(pack_sorted(pairs[part]), pack(count[part].astype(np.uint32)))
 
@@ -225,25 +246,22 @@ def _answer(highest: np.ndarray):
     return answer
 
 
-def _use(sizes: Sizes, kept: list[str], step: int = 500):
+def _use(sizes: Sizes, kept: list[str], step: int = 100):
     def use(rows: pa.Table, answers: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
-        found, pairs, number, _ = _distinct(rows, sizes)
+        found = sizes.load(rows["_ids"].to_pylist())
+        pairs, number = np.unique(found.pairs(), return_inverse=True)
         parts = [split_parts(answers[s]) for s in sorted(answers)]
         count = np.concatenate([unpack(x[0]) for x in parts]) if parts else np.empty(0, np.int64)
         best = np.concatenate([unpack(x[1]) for x in parts]) if parts else np.empty(0, np.int64)
         if len(count) != len(pairs):
             raise ValueError("a block has other pairs than it asked for")
-        n, texts = rows.num_rows, found.text
-        sums = np.zeros(n, np.int64)
-        np.add.at(sums, texts, count[number])
-        links = np.bincount(texts, minlength=n)
-        numbers = [found.n_a, found.n_b, links, links, np.bincount(texts, best[number], n).astype(np.int64), sums]
+        links = np.diff(found.bounds)
+        numbers = [found.n_a, found.n_b, links, links, found.sums(best[number]), found.sums(count[number])]
         pieces = _pieces(sizes)
-        stored = rows["_ids"].to_pylist()
-        for i in range(0, n, step):
+        for i in range(0, rows.num_rows, step):
+            stop = min(i + step, rows.num_rows)
             table = rows.slice(i, step).select(kept).combine_chunks()
-            groups = sizes.load(stored[i : i + step]).rendered(pieces)
-            columns = [*(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in table.columns), *(pa.array(x[i : i + step]) for x in numbers), pa.array(groups, pa.string())]
+            columns = [*(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in table.columns), *(pa.array(x[i:stop]) for x in numbers), found.rendered(pieces, i, stop)]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, *ADDED])
 
     return use
@@ -261,7 +279,7 @@ def align(df: DataFrame, a_path: str, b_path: str, text: str = "text") -> DataFr
     kept = [c for c in df.columns if c != text]
     schema = T.StructType([*(df.schema[c] for c in kept), T.StructField("_ids", T.BinaryType())])
     total = int(df.agg(F.sum(F.octet_length(text))).first()[0] or 0)
-    blocks = Blocks(spark, df.mapInArrow(lean(_encoding(text, kept, a_path, b_path)), schema), "_ids", total=total)
+    blocks = Blocks(spark, df.mapInArrow(lean(_encoding(text, kept, a_path, b_path)), schema), "_ids", block_bytes=4 << 20, total=total)
     tokenizers = _tokenizers(a_path, b_path)
     sizes = tokenizers.sizes()
     shards = blocks.shards(bytes_per_key=24)

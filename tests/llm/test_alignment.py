@@ -143,6 +143,6 @@ def test_unmix_and_overlaps():
     for _ in range(50):
         a, b = cuts(), cuts()
         a_start, b_start = np.r_[0, a[:-1]], np.r_[0, b[:-1]]
-        first, behind = alignment.overlaps(a_start, a, b_start, b)
+        first, last = alignment.overlaps(a, b)
         for k in range(len(a)):
-            assert list(range(first[k], behind[k])) == [j for j in range(len(b)) if b_start[j] < a[k] and a_start[k] < b[j]]
+            assert list(range(first[k], last[k] + 1)) == [j for j in range(len(b)) if b_start[j] < a[k] and a_start[k] < b[j]]
