@@ -32,13 +32,13 @@ from pyspark.sql import types as T
 from loquat.llm import storage
 from loquat.llm.columns import Carried
 from loquat.llm.exchange import Blocks, join_parts, pack, pack_sorted, slices, split_parts, unpack, unpack_sorted
-from loquat.llm.text import encode, lean, mix
+from loquat.llm.text import encode, mix
 from loquat.llm.tokens import Encoder, PieceEncoder
 
 #: Text bytes tokenized at a time.
 CHUNK = 1 << 20
 #: Words remembered by a worker for each tokenizer, at about 50 bytes each.
-REMEMBERED = 2_000_000
+REMEMBERED = 1_000_000
 ADDED = {"_n_a": "long", "_n_b": "long", "_n_groups": "long", "_n_links": "long", "_n_best": "long", "_count_sum": "long", "_groups": "string"}
 
 
@@ -277,9 +277,8 @@ def align(df: DataFrame, a_path: str, b_path: str, text: str = "text") -> DataFr
     carried = Carried(df)
     df, text = carried.df, carried(text)
     kept = [c for c in df.columns if c != text]
-    schema = T.StructType([*(df.schema[c] for c in kept), T.StructField("_ids", T.BinaryType())])
     total = int(df.agg(F.sum(F.octet_length(text))).first()[0] or 0)
-    blocks = Blocks(spark, df.mapInArrow(lean(_encoding(text, kept, a_path, b_path)), schema), "_ids", block_bytes=4 << 20, total=total)
+    blocks = Blocks(spark, df, "_ids", block_bytes=4 << 20, total=total, prepare=_encoding(text, kept, a_path, b_path))
     tokenizers = _tokenizers(a_path, b_path)
     sizes = tokenizers.sizes()
     shards = blocks.shards(bytes_per_key=24)

@@ -83,15 +83,19 @@ def slices(sorted_keys: np.ndarray, shards: int) -> Iterator[tuple[int, slice]]:
 
 
 class Blocks:
-    """A corpus staged as blocks. ``rows``: block id and packed rows; ``bytes``: text bytes in all, ``total`` where given."""
+    """A corpus staged as blocks. ``rows``: block id and packed rows; ``bytes``: text bytes in all, ``total`` where given.
 
-    def __init__(self, spark: SparkSession, df: DataFrame, text: str, block_bytes: int = BLOCK_BYTES, total: int | None = None):
+    ``prepare`` makes of batches of ``df`` those that are staged, in the same worker."""
+
+    def __init__(self, spark: SparkSession, df: DataFrame, text: str, block_bytes: int = BLOCK_BYTES, total: int | None = None, prepare: Callable | None = None):
         self.spark, self.schema, self.text = spark, df.schema, text
         self.bytes = int(df.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0) if total is None else total
         shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.buckets = max(shuffles, min(100_000, math.ceil(self.bytes / (2 * block_bytes))))
         path, name = storage.new_path(spark, "blocks"), f"loquat_blocks_{uuid.uuid4().hex}"
-        staged = df.mapInArrow(lean(_to_blocks(text, block_bytes)), "block long, n_rows long, payload binary")
+        to_blocks = _to_blocks(text, block_bytes)
+        run = to_blocks if prepare is None else lambda batches: to_blocks(prepare(batches))
+        staged = df.mapInArrow(lean(run), "block long, n_rows long, payload binary")
         with storage.setting(spark, "spark.sql.parquet.compression.codec", "uncompressed"):
             staged.write.option("path", path).bucketBy(self.buckets, "block").sortBy("block").saveAsTable(name)
         storage.name_table(path, name)
