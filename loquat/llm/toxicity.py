@@ -1,27 +1,35 @@
-"""Toxicity by two class-conditional Kneser-Ney bigram models.
-
-Each class has bigram counts and, below them, continuation counts (distinct contexts of a word), both by
-absolute discounting with interpolation: P(w | v) = max(c(v w) - D2, 0) / c(v) + left(v) P(w), where
-left(v) is exactly what discounting took, and P(w) likewise from contexts with D1. The lowest level is
-shared by the classes: of each word the part of its share of contexts that both have, so that a word of one class
-lends the other nothing, plus one. Rare expressions thus fall to the shared counts in both. The discounts
-are those of a few that rank documents best which the counts did not use. A text's score compares the two
-log-likelihoods, divided by its length, through a logistic curve fitted on those documents.
-
-Fitting uses a bounded sample of labelled rows: of each class, the ``max_rows`` smallest by a hash of
-the id. Scoring is one pass without a shuffle; the model is broadcast, its size bounded by the sample.
-
-Defined cases: null or empty text is scored at length zero; null labels or ids are not learned from;
-repeated rows count as often as they occur; where a class has no labelled rows the score is the
-label's overall rate; other columns pass through (see ``columns`` for names that clash); an empty table
-gives an empty table.
+"""Toxicity by two class-conditional Kneser-Ney bigram models with shared back-off counts.
+
+Words are runs of ASCII letters and digits and of all other characters beyond ASCII, lower-cased; what stands between them is not scored.
+Three models are counted: one a class, and one of both classes' counts together. Each is interpolated
+Kneser-Ney: P(w | v) = (c(v w) - D(c)) / c(v) + left(v) Q(w), with left(v) exactly what discounting took, and Q(w)
+likewise from the distinct words before w, over one further type for all unseen words. Discounts of counts one, two, and
+three or more come from counts of counts (Chen and Goodman) and lie between nothing and the count; where the counts give none such, 0.75.
+No bigram is left out. A class's probability is the shared one for the most part, with small weights
+(``OWN``) of the class's own model P and of its own back-off counts Q: an expression that is rare in both classes counts by
+the shared counts for both, and what the own counts say of it only shows where they say it much more often. That
+matters where one class is small: its own model alone is surprised by most words of any text. Bigrams are mostly
+met once, which says less than a word met often: hence the smaller weight.
+
+A text's score compares both log-likelihoods, divided by its length, through a logistic curve. The curve is fitted on scores
+of the sample's texts by models that were counted without them (``folds`` parts), each class weighing
+the root of its share of all labelled rows.
+
+The sample is bounded: of each class, the ``max_rows`` ids that are smallest by a hash, all of them up to that
+number, and one row an id. Its words are hashed on the executors, and written once; their counts
+reach the driver packed, by task. A model is broadcast, its size bounded by the sample. Scoring is one pass without a shuffle.
+
+Defined cases: null or empty text is scored at length zero; null labels or ids are not learned from; of rows that
+repeat an id one is learned from, and of labels the largest; where a class has no labelled rows the score is the
+label's overall rate; a class of too few rows for ``folds`` has its curve fitted on the model's own texts; other columns pass through (see
+``columns`` for names that clash); an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +37,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loquat.llm import storage
 from loquat.llm.columns import Carried
+from loquat.llm.exchange import join_parts, pack, pack_sorted, split_parts, unpack, unpack_sorted
+from loquat.llm.licenses import INSIDE
 from loquat.llm.text import Words, encode, lean, mix
 
+#: Where counts of counts give no discount below the count.
 DISCOUNT = 0.75
+#: Weights of a class's own bigram model, and of its own back-off counts, beside the shared model.
+OWN = (0.001, 0.01)
 #: Added to lengths, so that a few words are little evidence.
 PRIOR_TOKENS = 20
-#: Discounts that are tried, of words and of bigrams. Above 1 they also smooth what is rare by chance.
-DISCOUNTS = ((DISCOUNT, 2.0, 5.0, 10.0, 20.0, 40.0), (DISCOUNT, 5.0, 20.0, 100.0))
+FOLDS = 4
 _START = np.uint64(7)
 
 
@@ -47,117 +60,154 @@ def look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing=0.
     return np.where(keys[at] == wanted, values[at], missing)
 
 
-def bigrams(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word before, bigram, text) of each token."""
-    text = np.repeat(np.arange(len(words.counts)), words.counts)
-    before = np.full(len(text), _START, np.uint64)
-    before[1:] = words.hashes[:-1]
-    before[words.first[words.counts > 0]] = _START
-    return before, mix(before * np.uint64(0x9E3779B97F4A7C15) + words.hashes), text
+def pair_key(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix(before * np.uint64(0x9E3779B97F4A7C15) + word)
 
 
-class Counts:
-    """Bigrams of some texts: how often, after which word; contexts of each word; tokens after each word."""
-
-    def __init__(self, words: Words):
-        before, pair, _ = bigrams(words)
-        self.pair, first, self.count = np.unique(pair, return_index=True, return_counts=True)
-        self.pair_before, self.pair_word = before[first], words.hashes[first]
-        self.before, self.total = np.unique(before, return_counts=True)
-        self.word, self.contexts = np.unique(self.pair_word, return_counts=True)
+def words_before(words: Words) -> np.ndarray:
+    """The word before each word of some texts."""
+    before = np.full(len(words.hashes), _START, np.uint64)
+    before[1:] = words.hashes[:-1]
+    before[words.first[words.counts > 0]] = _START
+    return before
 
-    def left(self, discount: float) -> np.ndarray:
-        """By word of ``before``: the share that discounting takes from the bigrams after it."""
-        taken = np.bincount(np.searchsorted(self.before, self.pair_before), weights=np.minimum(self.count, discount), minlength=len(self.before))
-        return taken / self.total
 
+def hashed(texts: list[str | None]) -> Words:
+    return Words.of([encode(x) for x in texts], INSIDE, lower=True)
 
-class Shared:
-    """Back-off counts of both classes: of each word, the part of its contexts' share that both classes have."""
 
-    def __init__(self, counts: list[Counts]):
-        self.word = np.unique(np.concatenate([c.word for c in counts]))
-        self.contexts = np.stack([look_up(c.word, c.contexts, self.word) for c in counts])
-        self.totals = np.maximum(self.contexts.sum(1), 1)
-        common = (self.contexts / self.totals[:, None]).min(0) * self.totals.sum()
-        every = common.sum() + len(self.word) + 1
-        self.p, self.unknown = (common + 1) / every, 1 / every
+@dataclass
+class Counts:
+    """Distinct bigrams, sorted by their keys, and how often each occurs."""
 
-    def words(self, discount: float) -> tuple[np.ndarray, np.ndarray]:
-        """(P(word) by class, a row each; of any other word)"""
-        held = np.maximum(self.contexts - discount, 0) / self.totals[:, None]
-        mass = 1 - held.sum(1)
-        return held + mass[:, None] * self.p, mass * self.unknown
+    before: np.ndarray
+    word: np.ndarray
+    n: np.ndarray
+
+    @classmethod
+    def of(cls, words: Words) -> Counts:
+        return cls.merged([(words_before(words), words.hashes, np.ones(len(words.hashes), np.int64))])
+
+    @classmethod
+    def merged(cls, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Counts:
+        empty = (np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64))
+        before, word, n = (np.concatenate(x) for x in zip(empty, *parts, strict=True))
+        _, first, number = np.unique(pair_key(before, word), return_index=True, return_inverse=True)
+        return cls(before[first], word[first], np.bincount(number, n, len(first)).astype(np.int64))
+
+    def __add__(self, other: Counts) -> Counts:
+        return Counts.merged([(c.before, c.word, c.n) for c in (self, other)])
+
+    def packed(self) -> bytes:
+        names, number = np.unique(np.concatenate([self.before, self.word]), return_inverse=True)
+        number = number.astype(np.uint32)
+        return join_parts(pack_sorted(names), pack(number[: len(self.n)]), pack(number[len(self.n) :]), pack(self.n.astype(np.uint32)))
+
+    @classmethod
+    def unpacked(cls, raw: bytes) -> Counts:
+        names, before, word, n = split_parts(raw)
+        names = unpack_sorted(names)
+        return cls(names[unpack(before)], names[unpack(word)], unpack(n).astype(np.int64))
+
+
+def discounts(n: np.ndarray) -> np.ndarray:
+    """What is taken from each count: by counts of counts for one, two, and three or more."""
+    of = np.bincount(np.minimum(n, 5), minlength=6)[:5].astype(float)
+    taken = np.full(4, DISCOUNT)
+    if of[1] and of[2]:
+        y = of[1] / (of[1] + 2 * of[2])
+        for k in (1, 2, 3):
+            d = k - (k + 1) * y * of[k + 1] / of[k] if of[k] else 0
+            taken[k] = d if 0 < d < k else DISCOUNT
+    return taken[np.minimum(n, 3)]
+
+
+class Kneser:
+    """Interpolated Kneser-Ney of some counts over the word types ``every`` (sorted) and one unseen type."""
+
+    def __init__(self, counts: Counts, every: np.ndarray):
+        self.pair = pair_key(counts.before, counts.word)
+        self.before, number = np.unique(counts.before, return_inverse=True)
+        total, taken = np.bincount(number, counts.n), discounts(counts.n)
+        self.p_pair = (counts.n - taken) / total[number] if len(counts.n) else np.empty(0)
+        self.left = np.bincount(number, taken) / total if len(counts.n) else np.empty(0)
+        word, contexts = np.unique(counts.word, return_counts=True)
+        held = np.zeros(len(every))
+        held[np.searchsorted(every, word)] = (contexts - discounts(contexts)) / max(1, contexts.sum())
+        rest = (1 - held.sum()) / (len(every) + 1)
+        self.q, self.q_unseen = held + rest, rest
 
 
 @dataclass
 class Model:
-    """Sorted keys with, for class 0 and 1 (rows), probabilities and back-off masses; and the logistic curve."""
+    """Sorted keys with, for class 0 and 1 and both together (rows), masses of words and of what is left to them; of bigrams,
+    for class 0 and 1, own and shared parts mixed; and the logistic curve."""
 
     word: np.ndarray
-    p_word: np.ndarray
-    p_unknown: np.ndarray
-    pair: np.ndarray
-    p_pair: np.ndarray
+    q: np.ndarray
+    q_unseen: np.ndarray
     before: np.ndarray
     left: np.ndarray
+    pair: np.ndarray
+    p_pair: np.ndarray
+    own: tuple[float, float] = OWN
     slope: float = 0.0
     offset: float = 0.0
-
-    def log_likelihoods(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(log-likelihood of each text by class, a row each; tokens)"""
-        words = Words.of([encode(x) for x in texts], lower=True)
-        before, pair, text = bigrams(words)
-        out = np.zeros((2, len(texts)))
+    unit: float = 1.0
+    #: Area under the curve of the scores that the curve was fitted on, for reports.
+    ranked: float = field(default=float("nan"), compare=False)
+
+    def likelihoods(self, words: Words) -> np.ndarray:
+        """Log-likelihood of each text by class, a row each."""
+        out = np.zeros((2, len(words.counts)))
+        if not len(words.hashes) or not len(self.word):
+            return out
+        before = words_before(words)
+        text = np.repeat(np.arange(len(words.counts)), words.counts)
+        at, found = _places(self.word, words.hashes)
+        q = np.where(found, self.q[:, at], self.q_unseen[:, None])
+        at, found = _places(self.before, before)
+        backed = q * np.where(found, self.left[:, at], 1.0)
+        pairs, singles, rest = *self.own, 1 - sum(self.own)
+        at, found = _places(self.pair, pair_key(before, words.hashes))
         for c in (0, 1):
-            p = look_up(self.word, self.p_word[c], words.hashes, self.p_unknown[c])
-            p = look_up(self.pair, self.p_pair[c], pair) + look_up(self.before, self.left[c], before, 1.0) * p
-            out[c] = np.bincount(text, weights=np.log(p), minlength=len(texts))
-        return out, words.counts
+            p = np.where(found, self.p_pair[c, at], 0) + pairs * backed[c] + singles * q[c] + rest * backed[2]
+            out[c] = np.bincount(text, weights=np.log(p), minlength=len(words.counts))
+        return out
+
+    def ratios(self, words: Words) -> np.ndarray:
+        like = self.likelihoods(words)
+        return (like[1] - like[0]) / (words.counts + PRIOR_TOKENS)
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(score, log-likelihoods by class, tokens)"""
-        like, n = self.log_likelihoods(texts)
-        x = self.slope * (like[1] - like[0]) / (n + PRIOR_TOKENS) + self.offset
-        return 1 / (1 + np.exp(-np.clip(x, -500, 500))), like, n
-
-
-def estimate(classes: list[Words], word_discount: float, pair_discount: float = DISCOUNT) -> Model:
-    """Interpolated Kneser-Ney models of class 0 and 1 with shared back-off counts."""
-    counts = [Counts(w) for w in classes]
-    shared = Shared(counts)
-    p_word, p_unknown = shared.words(word_discount)
-    pair, before = (np.unique(np.concatenate([getattr(c, x) for c in counts])) for x in ("pair", "before"))
-    p_pair, left = np.zeros((2, len(pair))), np.ones((2, len(before)))
-    for k, c in enumerate(counts):
-        p_pair[k, np.searchsorted(pair, c.pair)] = np.maximum(c.count - pair_discount, 0) / look_up(c.before, c.total, c.pair_before, 1)
-        left[k, np.searchsorted(before, c.before)] = c.left(pair_discount)
-    # A bigram that discounting leaves nothing of is the back-off alone: it needs no entry.
-    some = p_pair.any(0)
-    return Model(shared.word, p_word, p_unknown, pair[some], p_pair[:, some], before, left)
-
-
-def choose(classes: list[Words], aside: Words, y: np.ndarray, grid: tuple[tuple[float, ...], tuple[float, ...]]) -> tuple[float, float, np.ndarray]:
-    """The discounts of ``grid`` (of words, of bigrams) that rank the texts ``aside`` best, and their length-normalised log ratios."""
-    counts = [Counts(w) for w in classes]
-    shared = Shared(counts)
-    before, pair, text = bigrams(aside)
-    place = np.minimum(np.searchsorted(shared.word, aside.hashes), max(0, len(shared.word) - 1))
-    known = shared.word[place] == aside.hashes
-    seen = [(look_up(c.pair, c.count, pair), look_up(c.before, c.total, before, 1)) for c in counts]
-    best = None
-    for of_words in grid[0]:
-        p_word, p_unknown = shared.words(of_words)
-        for of_pairs in grid[1]:
-            x = np.zeros(len(aside.counts))
-            for k, c in enumerate(counts):
-                p = np.where(known, p_word[k][place], p_unknown[k])
-                p = np.maximum(seen[k][0] - of_pairs, 0) / seen[k][1] + look_up(c.before, c.left(of_pairs), before, 1.0) * p
-                x += (2 * k - 1) * np.bincount(text, weights=np.log(p), minlength=len(x))
-            x /= aside.counts + PRIOR_TOKENS
-            if best is None or _ranked(x, y) > best[0] + 1e-9:
-                best = _ranked(x, y), of_words, of_pairs, x
-    return best[1:]
+        """(score, log-likelihoods by class, words)"""
+        words = hashed(texts)
+        like = self.likelihoods(words)
+        x = self.slope * np.arcsinh((like[1] - like[0]) / (words.counts + PRIOR_TOKENS) / self.unit) + self.offset
+        return 1 / (1 + np.exp(-np.clip(x, -500, 500))), like, words.counts
+
+
+def _places(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+def estimate(classes: list[Counts], own: tuple[float, float] = OWN) -> Model:
+    """The model of the counts of class 0 and 1, without a curve."""
+    both = classes[0] + classes[1]
+    every = np.unique(both.word)
+    models = [Kneser(c, every) for c in (*classes, both)]
+    shared = models[2]
+    left = np.stack([look_up(m.before, m.left, shared.before, 1.0) for m in models])
+    parts = np.stack([look_up(m.pair, m.p_pair, shared.pair) for m in models])
+    mixed = (own[0] * parts[:2] + (1 - sum(own)) * parts[2]).astype(np.float32)
+    return Model(every, np.stack([m.q for m in models]), np.array([m.q_unseen for m in models]), shared.before, left, shared.pair, mixed, own)
+
+
+def constant(rate: float) -> Model:
+    """The score of every text is a rate."""
+    rate, empty = float(np.clip(rate, 1e-6, 1 - 1e-6)), np.empty(0, np.uint64)
+    return Model(empty, np.empty((3, 0)), np.ones(3), empty, np.empty((3, 0)), empty, np.empty((2, 0)), OWN, 0.0, float(np.log(rate / (1 - rate))))
 
 
 def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 100) -> tuple[float, float]:
@@ -182,38 +232,94 @@ def _ranked(x: np.ndarray, y: np.ndarray) -> float:
     return (order[y == 1].sum() - ones * (ones - 1) / 2) / (ones * (len(y) - ones))
 
 
-def fit(texts: list[list[str]], rates: tuple[int, int], grid: tuple[tuple[float, ...], tuple[float, ...]] = DISCOUNTS, prior_power: float = 0.5) -> Model:
-    """``texts`` of class 0 and 1, in hash order; ``rates``: labelled rows of each class in all.
-
-    As many texts of each class are used as both have. Counts of three quarters of each are tried on the
-    rest: that chooses the discounts, and fits the curve, in which a class weighs its rate to the power
-    ``prior_power``. Then all are counted."""
-    if not all(texts):
-        overall = np.clip(rates[1] / max(1, sum(rates)), 1e-6, 1 - 1e-6)
-        empty = np.empty(0)
-        return Model(empty, np.empty((2, 0)), np.ones(2), empty, np.empty((2, 0)), empty, np.empty((2, 0)), 0.0, float(np.log(overall / (1 - overall))))
-    words = lambda t: Words.of([encode(x) for x in t], lower=True)
-    texts = [t[: min(map(len, texts))] for t in texts]
-    kept = [[x for k, x in enumerate(t) if k % 4] or t for t in texts]
-    aside = [[x for k, x in enumerate(t) if not k % 4] for t in texts]
-    y = np.repeat([0.0, 1.0], [len(x) for x in aside])
-    of_words, of_pairs, x = choose([words(t) for t in kept], words(aside[0] + aside[1]), y, grid)
-    model = estimate([words(t) for t in texts], of_words, of_pairs)
-    weight = np.repeat([r**prior_power / len(t) for r, t in zip(rates, aside, strict=True)], [len(t) for t in aside])
-    model.slope, model.offset = calibrate(x, y, weight * len(y) / weight.sum())
-    return model
+def curve(x: np.ndarray, y: np.ndarray, rates: tuple[int, int], prior_power: float) -> tuple[float, float, float]:
+    """Slope, offset and unit for ratios of both classes; a class weighs its labelled rows to a power, however many were scored.
+
+    Ratios go in as inverse hyperbolic sines: large ones, of very short texts, do not bend the curve."""
+    n = np.bincount(y, minlength=2)
+    weight = np.array([rates[k] ** prior_power / n[k] for k in (0, 1)])[y]
+    unit = float(np.median(np.abs(x))) or 1.0
+    return *calibrate(np.arcsinh(x / unit), y.astype(float), weight * len(y) / weight.sum()), unit
+
+
+def _sampled(df: DataFrame, known: DataFrame, max_rows: int, folds: int) -> DataFrame:
+    """(y, fold, words): hashed words of the sample's texts, a row an id, written to the shared folder."""
+    parts = [known.where(F.col("_y") == c).orderBy(F.xxhash64("_id"), "_id").limit(max_rows) for c in (0, 1)]  # narrow and few
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 200):
+                rows = batch.slice(i, 200)
+                words = hashed(rows.column("_t").to_pylist())
+                cuts = [words.hashes[a : a + n].tobytes() for a, n in zip(words.first.tolist(), words.counts.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([rows.column("_id"), rows.column("_y"), pa.array(cuts, pa.binary())], names=["_id", "_y", "_w"])
+
+    schema = T.StructType([T.StructField("_id", known.schema["_id"].dataType), T.StructField("_y", T.IntegerType()), T.StructField("_w", T.BinaryType())])
+    rows = df.join(F.broadcast(parts[0].unionByName(parts[1])), "_id").select("_id", "_y", "_t").mapInArrow(lean(run), schema)
+    one = rows.groupBy("_id", "_y").agg(F.min("_w").alias("_w"))
+    return storage.materialise(one.select("_y", F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(folds)).cast("int").alias("_fold"), "_w"), "labelled")
+
+
+def _words(column: pa.Array) -> Words:
+    parts = [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
+    return Words(np.concatenate([*parts, np.empty(0, np.uint64)]), np.array([len(x) for x in parts], np.int64))
+
 
+def _counted(sample: DataFrame) -> dict[tuple[int, int], Counts]:
+    """Counts by class and fold, made by task and merged here."""
 
-def train(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", max_rows: int = 4000, grid: tuple[tuple[float, ...], tuple[float, ...]] = DISCOUNTS) -> Model:
-    """Fit on at most ``max_rows`` labelled rows of each class, however often an id is repeated."""
-    known = labels.select(F.col(doc_id).alias("_id"), (F.col(label) > 0).cast("int").alias("_y")).dropna()
-    rates = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count("*").alias("n")).collect()}
-    texts = []
-    for c in (0, 1):  # so many short rows may be broadcast
-        part = known.where(F.col("_y") == c).orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
-        rows = df.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(part), "_id")
-        texts.append(rows.orderBy(F.xxhash64("_id"), "_id", "t").limit(max_rows).select("t").toArrow()["t"].to_pylist())
-    return fit(texts, (rates.get(0, 0), rates.get(1, 0)), grid)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], list] = {}
+        for batch in batches:
+            keys = list(zip(batch.column("_y").to_pylist(), batch.column("_fold").to_pylist(), strict=True))
+            for key in set(keys):
+                words = _words(batch.column("_w").filter(pa.array([k == key for k in keys])))
+                held.setdefault(key, []).append(Counts.of(words))
+        for (y, fold), counts in held.items():
+            one = Counts.merged([(c.before, c.word, c.n) for c in counts])
+            yield pa.RecordBatch.from_arrays([pa.array([y], pa.int32()), pa.array([fold], pa.int32()), pa.array([one.packed()], pa.binary())], names=["_y", "_fold", "_counts"])
+
+    out: dict[tuple[int, int], list[Counts]] = {}
+    for row in sample.mapInArrow(lean(run), "_y int, _fold int, _counts binary").toArrow().to_pylist():
+        out.setdefault((row["_y"], row["_fold"]), []).append(Counts.unpacked(row["_counts"]))
+    return {k: Counts.merged([(c.before, c.word, c.n) for c in v]) for k, v in out.items()}
+
+
+def _scored(sample: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """(length-normalised log ratio, class) of sampled texts."""
+    shared = sample.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(shared.value.ratios(_words(batch.column("_w")))), batch.column("_y")], names=["x", "y"])
+
+    rows = sample.mapInArrow(lean(run), "x double, y int").toArrow()
+    shared.destroy()
+    return rows["x"].to_numpy(), rows["y"].to_numpy().astype(np.int64)
+
+
+def train(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", max_rows: int = 4000, folds: int = FOLDS, own: tuple[float, float] = OWN, prior_power: float = 0.5) -> Model:
+    """Fit on at most ``max_rows`` labelled ids of each class. In the curve a class weighs its rate to the power ``prior_power``."""
+    known = labels.select(F.col(doc_id).alias("_id"), (F.col(label) > 0).cast("int").alias("_y")).dropna().groupBy("_id").agg(F.max("_y").alias("_y"))
+    counted = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count("*").alias("n")).collect()}
+    rates = counted.get(0, 0), counted.get(1, 0)
+    sample = _sampled(df.select(F.col(doc_id).alias("_id"), F.col(text).alias("_t")), known, max_rows, folds)
+    counts = _counted(sample)
+    both = lambda out=None: [Counts.merged([(c.before, c.word, c.n) for (y, f), c in counts.items() if y == k and f != out]) for k in (0, 1)]
+    if {y for y, _ in counts} != {0, 1}:
+        return constant(rates[1] / max(1, sum(rates)))
+    model = estimate(both(), own)
+    held = []
+    for fold in sorted({f for _, f in counts}):
+        rest = both(fold)
+        if all(len(c.n) for c in rest):
+            held.append(_scored(sample.where(F.col("_fold") == fold), estimate(rest, own)))
+    x, y = (np.concatenate(v) for v in zip(*held, strict=True)) if held else (np.empty(0), np.empty(0, np.int64))
+    if len(set(y.tolist())) < 2:
+        x, y = _scored(sample, model)
+    model.slope, model.offset, model.unit = curve(x, y, rates, prior_power)
+    model.ranked = _ranked(x, y)
+    return model
 
 
 def score(df: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:

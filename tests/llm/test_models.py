@@ -7,59 +7,85 @@ from collections import Counter, defaultdict
 import numpy as np
 
 from loquat.llm import ordinal, toxicity
-from loquat.llm.text import Words, encode
 
 
 class Plain:
-    """Interpolated Kneser-Ney of two classes by dictionaries."""
-
-    def __init__(self, classes, d1, d2):
-        self.d1, self.d2 = d1, d2
-        self.pairs = [Counter(p for t in texts for p in zip(["<s>", *t.split()], t.split())) for texts in classes]
-        self.after = [Counter() for _ in classes]
-        self.contexts = [Counter() for _ in classes]
-        for after, contexts, pairs in zip(self.after, self.contexts, self.pairs):
-            for (v, w), c in pairs.items():
-                after[v] += c
-                contexts[w] += 1
-        self.totals = [sum(c.values()) for c in self.contexts]
-        self.types = set(self.contexts[0]) | set(self.contexts[1])
-        self.common = {w: min(c[w] / t for c, t in zip(self.contexts, self.totals)) * sum(self.totals) for w in self.types}
-
-    def word(self, k, w):
-        every = sum(self.common.values()) + len(self.types) + 1
-        shared = (self.common.get(w, 0) + 1) / every
-        taken = sum(min(c, self.d1) for c in self.contexts[k].values()) / self.totals[k]
-        return max(self.contexts[k][w] - self.d1, 0) / self.totals[k] + taken * shared
-
-    def pair(self, k, v, w):
-        total = self.after[k][v]
+    """Interpolated Kneser-Ney of some texts by dictionaries, over given word types and one unseen type."""
+
+    def __init__(self, texts, types):
+        self.types = types
+        self.pairs = Counter(p for t in texts for p in zip(["<s>", *t.split()], t.split()))
+        self.after, self.contexts = Counter(), Counter()
+        for (v, w), c in self.pairs.items():
+            self.after[v] += c
+            self.contexts[w] += 1
+        self.of_pairs, self.of_words = self.discounts(self.pairs), self.discounts(self.contexts)
+
+    @staticmethod
+    def discounts(counts):
+        n = Counter(counts.values())
+        out = [0, 0.75, 0.75, 0.75]
+        if n[1] and n[2]:
+            y = n[1] / (n[1] + 2 * n[2])
+            for k in (1, 2, 3):
+                if n[k] and 0 < k - (k + 1) * y * n[k + 1] / n[k] < k:
+                    out[k] = k - (k + 1) * y * n[k + 1] / n[k]
+        return lambda c: out[min(c, 3)]
+
+    def word(self, w):
+        total, c = sum(self.contexts.values()), self.contexts[w]
+        taken = sum(self.of_words(x) for x in self.contexts.values()) / total
+        return (c - self.of_words(c)) / total + taken / (len(self.types) + 1)
+
+    def pair(self, v, w):
+        total = self.after[v]
         if not total:
-            return self.word(k, w)
-        taken = sum(min(c, self.d2) for (x, _), c in self.pairs[k].items() if x == v) / total
-        return max(self.pairs[k][v, w] - self.d2, 0) / total + taken * self.word(k, w)
-
-    def log_likelihood(self, k, text):
-        return sum(math.log(self.pair(k, v, w)) for v, w in zip(["<s>", *text.split()], text.split()))
+            return self.word(w)
+        taken = sum(self.of_pairs(c) for (x, _), c in self.pairs.items() if x == v) / total
+        c = self.pairs[v, w]
+        return (c - self.of_pairs(c)) / total + taken * self.word(w)
 
 
 def test_likelihoods_equal_dictionary_kneser_ney():
     rng = random.Random(1)
-    texts = [[" ".join(rng.choices([f"w{k}" for k in range(30 + 10 * c)], k=rng.randrange(1, 40))) for _ in range(25)] for c in (0, 1)]
-    asked = [*texts[0][:5], *texts[1][:5], "never seen w1 w1 w39", "", "w0"]
-    for d1, d2 in [(0.75, 0.75), (3.0, 0.75), (2.0, 5.0), (40.0, 100.0)]:
-        plain = Plain(texts, d1, d2)
-        model = toxicity.estimate([Words.of([encode(t) for t in c]) for c in texts], d1, d2)
-        like, n = model.log_likelihoods(asked)
+    for own, sizes in ((toxicity.OWN, (25, 25)), ((0.3, 0.2), (40, 5)), ((1.0, 0.0), (20, 3))):
+        texts = [[" ".join(rng.choices([f"w{k}" for k in range(30 + 10 * c)], k=rng.randrange(1, 40))) for _ in range(sizes[c])] for c in (0, 1)]
+        asked = [*texts[0][:5], *texts[1][:3], "never seen w1 w1 w39", "", "w0"]
+        types = {w for t in texts[0] + texts[1] for w in t.split()}
+        plain = [Plain(t, types) for t in (*texts, texts[0] + texts[1])]
+        model = toxicity.estimate([toxicity.Counts.of(toxicity.hashed(t)) for t in texts], own)
+        like = model.likelihoods(toxicity.hashed(asked))
         for k in (0, 1):
-            assert np.allclose(like[k], [plain.log_likelihood(k, t) for t in asked], rtol=1e-9, atol=1e-9)
+            p = lambda v, w: own[0] * plain[k].pair(v, w) + own[1] * plain[k].word(w) + (1 - sum(own)) * plain[2].pair(v, w)  # noqa: B023, E731
+            want = [sum(math.log(p(v, w)) for v, w in zip(["<s>", *t.split()], t.split())) for t in asked]
+            assert np.allclose(like[k], want, rtol=1e-6, atol=1e-6)
             for v in ("<s>", "w0", "w39", "nowhere"):
-                known = sorted(plain.types)
-                assert math.isclose(sum(plain.pair(k, v, w) for w in known) + plain.pair(k, v, "never"), 1, rel_tol=1e-9)
-        # The tried discounts rank by the same numbers.
-        y = np.array([0.0] * 5 + [1.0] * 5 + [0.0, 1.0, 0.0])
-        a, b, x = toxicity.choose([Words.of([encode(t) for t in c]) for c in texts], Words.of([encode(t) for t in asked]), y, ((d1,), (d2,)))
-        assert (a, b) == (d1, d2) and np.allclose(x, (like[1] - like[0]) / (n + toxicity.PRIOR_TOKENS), rtol=1e-9, atol=1e-12)
+                assert math.isclose(sum(p(v, w) for w in types) + p(v, "never"), 1, rel_tol=1e-9)
+
+
+def test_discounts_lie_between_nothing_and_the_count():
+    rng = np.random.default_rng(1)
+    for n in ([1] * 50 + [2] * 20 + [3] * 10 + [4] * 5, [1, 1, 2], [1], [5, 6, 7], [1] * 9 + [2], rng.geometric(0.5, 1000).tolist(), rng.integers(1, 9, 1000).tolist()):
+        n = np.array(n)
+        taken = toxicity.discounts(n)
+        assert ((taken > 0) & (taken < n)).all() and len(set(taken[n >= 3].tolist())) <= 1
+    # n1 = 50, n2 = 20, n3 = 10: y = 50 / 90, 1 - 2 y 20 / 50
+    assert math.isclose(toxicity.discounts(np.array([1] * 50 + [2] * 20 + [3] * 10 + [4] * 5))[0], 1 - 2 * 50 / 90 * 20 / 50)
+
+
+def test_no_bigram_is_left_out_and_counts_travel_packed():
+    rng = random.Random(2)
+    texts = [[" ".join(rng.choices([f"w{k}" for k in range(300)], k=50)) for _ in range(n)] for n in (60, 9)]
+    counts = [toxicity.Counts.of(toxicity.hashed(t)) for t in texts]
+    model = toxicity.estimate(counts)
+    for c, t in zip(counts, texts):
+        assert len(c.n) == len({p for x in t for p in zip(["<s>", *x.split()], x.split())})
+        assert np.isin(toxicity.pair_key(c.before, c.word), model.pair).all()
+        again = toxicity.Counts.unpacked(c.packed())
+        assert all(np.array_equal(getattr(c, x), getattr(again, x)) for x in ("before", "word", "n"))
+        half = toxicity.Counts.of(toxicity.hashed(t[:4])) + toxicity.Counts.of(toxicity.hashed(t[4:]))
+        assert all(np.array_equal(getattr(c, x), getattr(half, x)) for x in ("before", "word", "n"))
+    assert (model.p_pair > 0).all()
 
 
 def plain_loss(rows, counts, y, weights, thresholds, decay):

@@ -259,18 +259,26 @@ def test_toxicity_tells_held_out_texts(spark):
 
 
 def test_toxicity_probabilities_are_normalised():
-    from loquat.llm.text import Words, encode
-
-    texts = [["a b c a b", "a a b"] * 5, ["a b x", "x y x y"] * 5]
-    model = toxicity.estimate([Words.of([encode(t) for t in c]) for c in texts], 3)
-    known = Words.of([b"a b c x y"])
-    for c in (0, 1):
-        unigram = toxicity.look_up(model.word, model.p_word[c], known.hashes)
-        assert abs(unigram.sum() + model.p_unknown[c] - 1) < 1e-9
-        for h in known.hashes:
-            pairs = toxicity.mix(np.full(5, h) * np.uint64(0x9E3779B97F4A7C15) + known.hashes)
-            left = toxicity.look_up(model.before, model.left[c], np.array([h]), 1.0)
-            assert abs((toxicity.look_up(model.pair, model.p_pair[c], pairs) + left * unigram).sum() + left[0] * model.p_unknown[c] - 1) < 1e-9
+    texts = [["a b c a b", "a a b"] * 5, ["a b x", "x y x y"] * 2]
+    model = toxicity.estimate([toxicity.Counts.of(toxicity.hashed(t)) for t in texts])
+    known = ["a", "b", "c", "x", "y", "unseen"]
+    after = lambda v: model.likelihoods(toxicity.hashed([f"{v} {w}" for w in known])) - model.likelihoods(toxicity.hashed([v]))
+    for v in known:
+        assert np.allclose(np.exp(after(v)).sum(1), 1, atol=1e-6)
+    assert np.allclose(np.exp(model.likelihoods(toxicity.hashed(known))).sum(1), 1, atol=1e-6)
+
+
+def test_a_small_class_is_not_drowned_by_a_large_one(spark):
+    """Every labelled row is learned from: with 20 ordinary texts a toxic one, held-out texts are told as well."""
+    docs, labels = insulting(1500, 6)
+    toxic = [i for i, y in labels if y]
+    gone = set(toxic[60:])
+    docs, labels = [d for d in docs if d[0] not in gone], [x for x in labels if x[0] not in gone]
+    fresh, truth = insulting(300, 7)
+    model = toxicity.train(frame(spark, docs), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert model.ranked > 0.9
+    rows = {r.doc_id: r._score for r in toxicity.score(frame(spark, fresh), model).collect()}
+    assert np.mean([rows[i] > rows[j] for i, y in truth if y for j, z in truth if not z]) > 0.95
 
 
 def test_toxicity_cases(spark):
