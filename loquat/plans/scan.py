@@ -2,8 +2,9 @@
 
 Files are read and parsed once: events and findings are written to the shared folder, and every analysis
 derives from them. In incremental mode only files
-whose hash or settings changed are parsed; results of the others are replayed from a table keyed by path.
-The table is written as a new version beside the old one, never over what is being read.
+whose hash or settings changed are parsed; results of the others are replayed from a store keyed by path
+(``store``), of which only the buckets of changed files are rewritten. References to generated accessors are
+an inverted table of the same store (accessor, path), kept up with it: who still refers to what is known without parsing.
 """
 
 from __future__ import annotations
@@ -14,12 +15,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loquat.functions import strings as S
 from loquat.operators import analysis as A
 from loquat.operators import detect as D
 from loquat.operators import rules as R
 from loquat.plans import stage
+from loquat.plans.store import Store
 from loquat.plans.config import Config
 from loquat.sources import extract, readers
 
@@ -31,6 +34,10 @@ _REFERENCE = "pos:int,line:int,col:int,pattern:string,expression:string,kind:str
 CACHE = f"path string, hash string, version string, strings array<struct<{_STRING}>>, diagnostics array<struct<line:int,col:int,pos:int,kind:string,severity:string,message:string>>, existing array<struct<{_REFERENCE}>>"
 
 
+#: References to generated accessors, by accessor ("namespace.function").
+REFERENCES = "accessor string, root string, path string, pos int, line int, col int, pattern string, expression string, kind string"
+
+
 @dataclass
 class Scan:
     files: DataFrame
@@ -41,11 +48,15 @@ class Scan:
     cache_hits: int = 0
     stale: int = 0
     events: DataFrame | None = None
+    #: Files that were parsed, and references to generated roots; of scans that keep a store.
+    parsed: int | None = None
+    referenced: DataFrame | None = None
 
 
-def fingerprint(config: Config) -> str:
-    """Version of cached results: unlike a bare version, settings that change results change it too."""
-    return f"{VERSION}:{hashlib.sha256(repr(dataclasses.astuple(config)).encode()).hexdigest()[:16]}"
+def fingerprint(config: Config, roots: tuple[str, ...] = ()) -> str:
+    """Version of cached results: unlike a bare version, settings that change results change it too, and so do the
+    roots whose references are kept."""
+    return f"{VERSION}:{hashlib.sha256(repr((dataclasses.astuple(config), *sorted(roots))).encode()).hexdigest()[:16]}"
 
 
 def analyse(files: DataFrame, config: Config = Config(), extra_rules: list[tuple] = (), extra_assignment_rules: list[tuple] = ()) -> Scan:
@@ -69,31 +80,86 @@ def analyse(files: DataFrame, config: Config = Config(), extra_rules: list[tuple
     return Scan(files, D.detected(findings), diagnostics.unionByName(unread), existing, events=events)
 
 
+def _nested(rows: DataFrame, name: str) -> DataFrame:
+    """A row a path with its rows as the cache's array of that name."""
+    fields = next(f.dataType.elementType.fieldNames() for f in _parsed(CACHE) if f.name == name)
+    return rows.groupBy("path").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias(name))
+
+
+def _parsed(schema: str):
+    return T._parse_datatype_string(schema).fields
+
+
+def cache_entries(files: DataFrame, scan: Scan, version: str) -> DataFrame:
+    """The cache's rows of freshly analysed files."""
+    entries = files.select("path", "hash", F.lit(version).alias("version"))
+    for name, rows in (("strings", scan.detected), ("diagnostics", scan.diagnostics), ("existing", scan.existing)):
+        kind = next(f.dataType for f in _parsed(CACHE) if f.name == name)
+        entries = entries.join(_nested(rows, name), "path", "left").withColumn(name, F.coalesce(name, F.array().cast(kind)))
+    return entries.select(*(f.name for f in _parsed(CACHE)))
+
+
+def _replayed(files: DataFrame, rows: DataFrame, like: Scan, **more) -> Scan:
+    """Results from the cache's rows of a scan's files."""
+    flat = lambda name: rows.select("path", F.inline(name)).select(getattr(like, {"strings": "detected"}.get(name, name)).columns)
+    return Scan(files, flat("strings"), flat("diagnostics"), flat("existing"), **more)
+
+
 def analyse_incrementally(files: DataFrame, config: Config, cache: DataFrame) -> Scan:
     """As ``analyse``; files that the cache knows with the same hash and settings are not parsed."""
     version = fingerprint(config)
     files = stage.written(files, "files")
     hits, misses = A.cache_hits(files, cache, version), A.cache_misses(files, cache, version)
     fresh = analyse(misses, config)
+    entries = stage.written(cache_entries(misses, fresh, version), "entries")
+    whole = A.updated_cache(cache, entries, files)
+    rows = stage.written(hits.unionByName(entries).join(files.select("path").distinct(), "path", "left_semi"), "replayed")
+    # References to generated accessors may be in any file, parsed again or not: only those of parsed ones are events.
+    return _replayed(files, rows, fresh, cache=whole, cache_hits=hits.count(), stale=A.stale_entries(files, cache).count(), events=fresh.events)
 
-    def nested(rows: DataFrame, name: str, fields: list[str]) -> DataFrame:
-        return rows.groupBy("path").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias(name))
 
-    names = lambda spec: [x.split(":")[0] for x in ("pos:int,ord:int,value:,line:,col:,context:,confidence:,has_interpolation:,type_name:,property_name:,function_name:,score:" if spec == "s" else "pos:,line:,col:,pattern:,expression:,kind:" if spec == "r" else "line:,col:,pos:,kind:,severity:,message:").split(",")]
-    entries = misses.select("path", "hash", F.lit(version).alias("version"))
-    for name, rows, fields in (("strings", fresh.detected, names("s")), ("diagnostics", fresh.diagnostics, names("d")), ("existing", fresh.existing, names("r"))):
-        entries = entries.join(nested(rows, name, fields), "path", "left")
-        entries = entries.withColumn(name, F.coalesce(name, F.array().cast(next(f.dataType for f in cache.schema if f.name == name))))
-    entries = stage.written(entries.select(cache.columns), "entries")
-    whole = A.updated_cache(cache, entries, files)
-    current = files.select("path").distinct()
-    rows = stage.written(hits.unionByName(entries).join(current, "path", "left_semi"), "replayed")
+def open_store(spark: SparkSession, path: str) -> Store:
+    return Store(spark, path, {"entries": CACHE, "references": REFERENCES}, {"references": ["accessor", "path", "pos"]})
 
-    def flat(name: str) -> DataFrame:
-        return rows.select("path", F.inline(name))
 
-    # References to generated accessors may be in any file, parsed again or not: only those of parsed ones are events.
-    return Scan(files, flat("strings").select(fresh.detected.columns), flat("diagnostics").select(fresh.diagnostics.columns), flat("existing").select(fresh.existing.columns), whole, hits.count(), A.stale_entries(files, cache).count(), fresh.events)
+def references_by_accessor(references: DataFrame, roots: list[str]) -> DataFrame:
+    """References as rows of the inverted table: the accessor is what follows the root, two names at most."""
+    out = references.where(F.lit(False)).select(F.lit("").alias("accessor"), F.lit("").alias("root"), *references.columns)
+    for root in roots:
+        rest = F.substring(F.col("expression"), len(root) + 2, F.lit(1 << 30))
+        rows = references.where((F.col("expression") == root) | F.startswith("expression", F.lit(f"{root}.")))
+        out = out.unionByName(rows.select(F.array_join(F.slice(F.split(rest, r"\."), 1, 2), ".").alias("accessor"), F.lit(root).alias("root"), *references.columns))
+    return out
+
+
+def analyse_with_store(files: DataFrame, config: Config, store: Store, roots: tuple[str, ...]) -> tuple[Scan, str | None]:
+    """As ``analyse``, from the store and for it; and what went wrong in publishing, which takes nothing from the results.
+
+    Only changed files are parsed, also for references; only their buckets, and those of files that are gone, are written."""
+    spark, version = files.sparkSession, fingerprint(config, roots)
+    files = stage.written(files, "files")
+    current = files.select("path", "hash").distinct()
+    known = store.read("entries").select("path", "hash", "version")  # narrow: the results themselves stay where they are
+    same = known.where(F.col("version") == version).select("path", "hash")
+    misses = stage.written(files.join(same, ["path", "hash"], "left_anti"), "misses")
+    stale = known.join(current, "path", "left_anti").select("path")
+    fresh = analyse(misses, config)
+    entries = stage.written(cache_entries(misses.dropDuplicates(["path"]), fresh, version), "entries")
+    referenced = stage.written(references_by_accessor(D.existing_references(fresh.events, list(roots)), list(roots)), "references")
+    gone = stage.written(misses.select("path").unionByName(stale).distinct(), "gone")
+    counts = {"stale": stale.count(), "parsed": misses.count()}
+    hits = current.count() - misses.select("path").distinct().count()
+    problem, rows, index = None, store.read("entries"), store.read("references")
+    if not gone.isEmpty():
+        kept = lambda old, new: old.join(gone, "path", "left_anti").unionByName(new)
+        rows, index = kept(rows, entries), kept(index, referenced)
+        try:
+            store.update({"entries": entries, "references": referenced}, gone, current.count())
+            rows, index = store.read("entries"), store.read("references")
+        except Exception as error:  # the results stand without it
+            problem = f"Cache could not be written, the next scan will not profit: {str(error).splitlines()[0]}"
+    index = index.where(F.col("root").isin(list(roots))).select("path", "pos", "line", "col", "pattern", "expression", "kind")
+    return _replayed(files, rows, fresh, cache=rows, cache_hits=hits, referenced=index, events=fresh.events, **counts), problem
 
 
 def run(spark: SparkSession, config: Config, base: str, cache_path: str | None = None, references_to: tuple[str, ...] = ()) -> dict:
@@ -108,22 +174,23 @@ def run(spark: SparkSession, config: Config, base: str, cache_path: str | None =
     files, missing = readers.source_files(spark, [at(s) for s in config.sources], list(config.exclude))
     problems = [(f"Source path not found: {m}", "error", "missing_source") for m in missing]
     if config.incremental and cache_path:
-        cache, warning = readers.read_cache(spark, _latest(spark, cache_path), CACHE)
-        problems += [(warning, "warning", "cache")] if warning else []
-        scan = analyse_incrementally(files, config, cache)
-        if scan.stale or scan.cache_hits < scan.files.count():
-            try:
-                _publish(spark, scan.cache, cache_path)
-            except Exception as problem:  # the results stand without it
-                problems.append((f"Cache could not be written, the next scan will not profit: {str(problem).splitlines()[0]}", "warning", "cache"))
+        store = open_store(spark, cache_path)
+        try:
+            store.open()
+        except Exception as problem:  # missing is usual; anything else is told
+            problems.append((f"Cache unreadable, scanning everything: {str(problem).splitlines()[0]}", "warning", "cache"))
+        # Generating needs references to the root, so they are kept by every scan of the project.
+        scan, problem = analyse_with_store(files, config, store, tuple({config.output.enum_name, *roots}))
+        problems += [(problem, "warning", "cache")] if problem else []
         files = scan.files
     else:
         files = stage.written(files, "files")
         scan = analyse(files, config)
     detected = A.with_namespace(scan.detected, config.namespace_strategy)
-    referenced = D.existing_references(scan.events, roots)
-    if roots and config.incremental and cache_path:  # cached files have no events: their references are read anew
-        referenced = D.existing_references(extract.events(files.where("content IS NOT NULL")), roots)
+    if scan.referenced is None:
+        referenced = D.existing_references(scan.events, roots)
+    else:  # kept for the project's root at least; asked for are these
+        referenced = scan.referenced.where(F.col("pattern").isin(roots))
     collisions = A.namespace_collisions(scan.detected)
     nowhere = {c: F.lit(None).cast(t) for c, t in (("path", "string"), ("line", "int"), ("col", "int"), ("pos", "int"))}
     extra = collisions.select(F.lit("collision").alias("kind"), F.lit("warning").alias("severity"), "message").withColumns(nowhere)
@@ -147,7 +214,7 @@ def run(spark: SparkSession, config: Config, base: str, cache_path: str | None =
     if problems:
         extra = extra.unionByName(spark.createDataFrame(problems, "message string, severity string, kind string").withColumns(nowhere))
     diagnostics = scan.diagnostics.unionByName(extra.select(scan.diagnostics.columns))
-    return {"referenced": referenced, "files": files, "detected": detected, "diagnostics": diagnostics, "existing": scan.existing, "catalog": catalog, "summary": summary(files, detected, diagnostics, scan, config, counts)}
+    return {"referenced": referenced, "files": files, "detected": detected, "diagnostics": diagnostics, "existing": scan.existing, "parsed": scan.parsed, "catalog": catalog, "summary": summary(files, detected, diagnostics, scan, config, counts)}
 
 
 def summary(files: DataFrame, detected: DataFrame, diagnostics: DataFrame, scan: Scan, config: Config, counts: dict[str, int]) -> DataFrame:
@@ -160,30 +227,6 @@ def summary(files: DataFrame, detected: DataFrame, diagnostics: DataFrame, scan:
     return one.withColumns(fixed)
 
 
-def _versions(spark: SparkSession, path: str) -> list[str]:
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return sorted(x.getPath().getName() for x in fs.listStatus(root)) if fs.exists(root) else []
-
-
-def _latest(spark: SparkSession, path: str) -> str:
-    """The newest version that was written whole."""
-    return f"{path}/{(_versions(spark, path) or ['none'])[-1]}"
-
-
-def _publish(spark: SparkSession, cache: DataFrame, path: str) -> None:
-    """Write a new version beside the others; older ones but the last go."""
-    jvm = spark.sparkContext._jvm
-    old = _versions(spark, path)
-    number = int(old[-1].split("-")[-1]) + 1 if old else 0
-    cache.write.parquet(f"{path}/version-{number:08d}")
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for name in old[:-1]:
-        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/{name}"), True)
-
-
 def facade(spark: SparkSession, directory: str, minimum: float = 0.0) -> dict:
     """Strings of a whole directory with common values promoted and assets checked; no exclusions, no cache.
 
