@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loquat.functions import strings as S
+from loquat.operators import order
+from loquat.plans import stage
 
 
 def with_namespace(detected: DataFrame, strategy: str = "file", path: str = "path") -> DataFrame:
@@ -37,9 +39,15 @@ def shared_values(strings: DataFrame) -> DataFrame:
     return pairs.groupBy("value").agg(F.sort_array(F.collect_list("namespace")).alias("namespaces")).where(F.size("namespaces") >= 2)
 
 
+def _in_several(strings: DataFrame) -> DataFrame:
+    """Values of ``shared_values`` alone: two numbers a value decide it, however many namespaces have it."""
+    rows = strings.where(~F.col("has_interpolation")).groupBy("value").agg(F.min("namespace").alias("_a"), F.max("namespace").alias("_b"))
+    return rows.where("_a < _b").select("value")
+
+
 def common_strings(strings: DataFrame) -> DataFrame:
     """One representative row a shared value: the first by namespace and position. ``strings`` has namespace, path, pos."""
-    shared = shared_values(strings).select("value")
+    shared = _in_several(strings)
     rows = strings.where(~F.col("has_interpolation")).join(shared, "value", "left_semi")
     columns = [c for c in strings.columns]
     first = rows.groupBy("value").agg(F.min_by(F.struct(*[c for c in columns if c != "value"]), F.struct("namespace", "path", "pos")).alias("r"))
@@ -48,7 +56,7 @@ def common_strings(strings: DataFrame) -> DataFrame:
 
 def without_common(strings: DataFrame) -> DataFrame:
     """Strings but shared values (interpolated ones of equal text included); namespaces left empty vanish by themselves."""
-    return strings.join(shared_values(strings).select("value"), "value", "left_anti").select(strings.columns)
+    return strings.join(_in_several(strings), "value", "left_anti").select(strings.columns)
 
 
 def duplicate_values(strings: DataFrame) -> DataFrame:
@@ -80,16 +88,27 @@ def missing_from_catalog(strings: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def in_listing_order(rows: DataFrame, value: str = "value") -> DataFrame:
-    """Rows with their ``place`` (from 1) in a listing by the lower-cased value, then the value.
+    """Rows with their ``place`` (from 1) in a listing by the lower-cased value, then the value."""
+    return order.placed(rows, F.lower(F.col(value)), value).withColumn("place", F.col("place").cast("int"))
+
+
+def files_in_order(files: DataFrame) -> DataFrame:
+    """Files with their ``place`` (from 1): those that cannot be read first, then by path."""
+    return order.placed(files, F.col("content").isNotNull(), "path")
+
+
+def findings_in_order(findings: DataFrame) -> DataFrame:
+    """Strings or diagnostics with their ``place``: what has no file first, then by path, then as they stand in the file.
+
+    ``findings`` has path and pos, and ord and kind where it has them."""
+    within = [c for c in ("pos", "ord", "line", "col", "kind", "message") if c in findings.columns]
+    return order.placed(findings, F.coalesce("path", F.lit("")), *within)
+
 
-    Places are those of a sorted table: its partitions are numbered in order, with no window over all rows."""
-    ordered = rows.withColumn("_lower", F.lower(F.col(value))).orderBy("_lower", value).withColumn("_id", F.monotonically_increasing_id())
-    numbered = ordered.withColumn("_part", F.shiftright("_id", 33))
-    sizes = numbered.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one short row a partition
-    starts = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    placed = numbered.join(F.broadcast(starts), "_part")
-    return placed.withColumn("place", (F.col("_before") + F.col("_id") - F.col("_first") + 1).cast("int")).select(*rows.columns, "place")
+def by_confidence(strings: DataFrame, threshold: float = 0.0) -> DataFrame:
+    """Strings of at least a confidence, with their ``place``: the surest first, equal ones by path and position."""
+    rows = strings.where(F.col("confidence") >= F.lit(float(threshold)))
+    return order.placed(rows, F.desc("confidence"), "path", "pos")
 
 
 def orphaned_in_catalog(strings: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -111,37 +130,23 @@ def split_suppressed(literals: DataFrame, index: DataFrame, keys: list[str]) ->
 def deduplicated_names(strings: DataFrame) -> DataFrame:
     """Strings with an ``accessor`` name; of equal names in a namespace the least decorated stays, then the earliest."""
     rows = strings.where(~F.col("has_interpolation"))
-    best = Window.partitionBy("namespace", "accessor").orderBy(S.decorative_count(F.col("value")), "path", "pos")
-    return rows.withColumn("_rank", F.row_number().over(best)).where("_rank = 1").drop("_rank")
+    rest = [c for c in rows.columns if c not in ("namespace", "accessor")]
+    best = F.min_by(F.struct(*rest), F.struct(S.decorative_count(F.col("value")), "path", "pos"))
+    return rows.groupBy("namespace", "accessor").agg(best.alias("_r")).select("namespace", "accessor", "_r.*").select(rows.columns)
 
 
 def unique_identifiers(assets: DataFrame) -> DataFrame:
     """Column ``identifier`` of assets (type, full_name): unique within a directory; images go first.
 
-    A taken name gets _2, _3, ... A number may itself be the name of another asset, so a directory is
-    numbered in order, all names that share a stem in one group: of those only colliding ones matter."""
+    In order (images, then by full name) an asset takes its name, or else the first of name_2, name_3, ... that is free.
+    Names are parts put together without the underscores between them, so the only underscore in one is in front: no
+    name is another with a number, and the k-th asset of a name in a directory has number k. Ranks come from one sort of
+    all rows, which deals the assets of one name over as many tasks as they fill."""
     parts = F.split("full_name", "/")
     rows = assets.select("type", "full_name", F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "/").alias("directory"), S.asset_identifier(F.element_at(parts, -1)).alias("base"))
-    # Names that can meet: equal once trailing numbers are cut.
-    rows = rows.withColumn("family", F.regexp_replace("base", r"(_\d+)+$", ""))
-
-    def number(key, part):
-        part = part.sort_values(["order", "full_name"])
-        used, out, tried = set(), [], {}
-        for base in part["base"]:
-            name, n = base, tried.get(base, 2)  # lower numbers of this base are taken already
-            while name in used:
-                name, n = f"{base}_{n}", n + 1
-            tried[base] = n
-            used.add(name)
-            out.append(name)
-        return part.assign(identifier=out)[["type", "full_name", "directory", "identifier"]]
-
-    alone = Window.partitionBy("directory", "family")
-    rows = rows.withColumn("n", F.count("*").over(alone))
-    single = rows.where("n = 1").select("type", "full_name", "directory", F.col("base").alias("identifier"))
-    several = rows.where("n > 1").withColumn("order", (F.col("type") != "image").cast("int")).groupBy("directory", "family").applyInPandas(number, "type string, full_name string, directory string, identifier string")
-    return single.unionByName(several)
+    rows = order.ranked(rows, ["directory", "base"], [F.col("type") != "image", F.col("full_name")], name="k")
+    identifier = F.when(F.col("k") == 1, F.col("base")).otherwise(F.concat("base", F.lit("_"), F.col("k").cast("string")))
+    return rows.select("type", "full_name", "directory", identifier.alias("identifier"))
 
 
 def cache_hits(files: DataFrame, cache: DataFrame, version: str) -> DataFrame:

@@ -102,15 +102,40 @@ def diagnostics(findings: DataFrame, marker: str = "loquat:ignore") -> DataFrame
     return rows.select("path", "line", "col", "pos", kind.alias("kind"), severity.alias("severity"), message.alias("message"))
 
 
+#: Patterns that are folded into the plan as an array; more are joined as a table.
+FEW_PATTERNS = 32
+
+
 def existing_references(events: DataFrame, patterns: list[str]) -> DataFrame:
     """Calls and maximal member chains whose dotted path is a pattern or lies below it; the first pattern counts."""
     clean = [p.removesuffix(".") for p in patterns]
     rows = events.where("kind IN ('call', 'path')")
     if not clean:
         return rows.limit(0).select("path", "pos", "line", "col", F.lit("").alias("pattern"), F.col("dotted").alias("expression"), "kind")
+    if len(clean) > FEW_PATTERNS:
+        return references_to(events, events.sparkSession.createDataFrame(list(enumerate(clean)), "ord long, pattern string"))
     found = F.filter(F.array(*map(F.lit, clean)), lambda p: (F.col("dotted") == p) | F.startswith(F.col("dotted"), F.concat(p, F.lit("."))))
     rows = rows.withColumn("pattern", F.try_element_at(found, F.lit(1))).where("pattern IS NOT NULL")
-    return rows.select("path", "pos", "line", "col", "pattern", F.col("dotted").alias("expression"), F.when(F.col("kind") == "call", "callExpression").otherwise("memberAccess").alias("kind"))
+    return rows.select("path", "pos", "line", "col", "pattern", F.col("dotted").alias("expression"), _reference_kind().alias("kind"))
+
+
+def _reference_kind():
+    return F.when(F.col("kind") == "call", "callExpression").otherwise("memberAccess")
+
+
+def references_to(events: DataFrame, patterns: DataFrame) -> DataFrame:
+    """As ``existing_references``, of a table of patterns (ord, pattern): the one of least ord counts.
+
+    A dotted path lies below just its own prefixes, so these are joined to the patterns by equality, however many
+    patterns there are. Only prefixes that are patterns are grouped again, by the event they are of."""
+    wanted = patterns.select(F.regexp_replace("pattern", r"\.$", "").alias("pattern"), "ord").dropna().groupBy("pattern").agg(F.min("ord").alias("ord"))
+    rows = events.where("kind IN ('call', 'path') AND dotted IS NOT NULL").select("path", "pos", "line", "col", F.col("dotted").alias("expression"), _reference_kind().alias("kind"), F.monotonically_increasing_id().alias("_event"))
+    parts = F.split("expression", r"\.")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))
+    found = rows.withColumn("pattern", F.explode(prefixes)).join(wanted, "pattern")
+    columns = ["path", "pos", "line", "col", "expression", "kind"]
+    first = found.groupBy("_event", *columns).agg(F.min_by("pattern", "ord").alias("pattern"))
+    return first.select("path", "pos", "line", "col", "pattern", "expression", "kind")
 
 
 # Members that make an image accessible; calls that refer to assets.
@@ -134,12 +159,10 @@ def missing_asset_diagnostics(missing: DataFrame) -> DataFrame:
 
 
 def asset_references(events: DataFrame) -> DataFrame:
-    """Plain, non-empty literals passed to calls that load assets (the callee may be a member)."""
-    out = None
-    for callee, label, kind, context in ASSET_CALLS:
-        argument = R.select_argument(F.col("arguments"), F.lit(label))
-        rows = events.where((F.col("kind") == "call") & (F.col("callee") == callee)).withColumn("a", argument)
-        rows = rows.where("a.kind = 'string' AND NOT a.interpolated AND a.text <> ''")
-        rows = rows.select("path", "pos", "line", "col", F.col("a.text").alias("name"), F.lit(kind).alias("type"), F.lit(context).alias("context"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """Plain, non-empty literals passed to calls that load assets (the callee may be a member). Events are read once."""
+    calls = events.sparkSession.createDataFrame(ASSET_CALLS, "callee string, _label string, type string, context string")
+    rows = events.where(F.col("kind") == "call").select("path", "pos", "line", "col", "callee", "arguments")
+    # Calls are code: their table is a handful of rows.
+    rows = rows.join(F.broadcast(calls), "callee").withColumn("a", R.select_argument(F.col("arguments"), F.col("_label")))
+    rows = rows.where("a.kind = 'string' AND NOT a.interpolated AND a.text <> ''")
+    return rows.select("path", "pos", "line", "col", F.col("a.text").alias("name"), "type", "context")
