@@ -5,6 +5,9 @@ Everything is a Catalyst expression; none needs Python on executors. Lengths cou
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -75,25 +78,67 @@ def exclusion_reason(v: Column) -> Column:
     return reason_of(trimmed(v))
 
 
-def reason_of(t: Column) -> Column:
-    """As ``exclusion_reason``, of a trimmed text."""
-    low = F.lower(t)
-    return (
-        F.when(t == "", "emptyString")
-        .when(t.rlike(rf"^[{EMOJI}\s\p{{Z}}]+$"), "emojiOnly")
-        .when(low.rlike(r"^(https?://|ftps?://|www\.)"), "urlPattern")
-        .when(t.rlike("^~?/"), "filePathPattern")
-        .when(F.instr(t, " ") > 0, F.lit(None).cast("string"))
-        .when(low.rlike(r"^(com|org|net|io|co|app|dev)\."), "analyticsKey")
-        .when(t.rlike(r"^[.]*[\p{Ll}\p{N}]+([.]+[\p{Ll}\p{N}]+)+[.]*$"), "dotSeparatedIdentifier")
-        .when((graphemes(t) >= 3) & (F.instr(t, "_") > 0) & _letters_all_upper(t), "allCapsConstant")
-        .when(t.rlike(r"\p{L}_\p{L}"), "snakeCaseIdentifier")
-        .when(t.rlike(r"(?s)^\p{Ll}.*\p{Lu}") & ~t.isin(PRODUCT_NAMES), "camelCaseIdentifier")
-    )
-
-
-def reason_text(reason: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for pair in REASON_TEXT.items() for x in pair])
+#: Exclusion rules in order, each a predicate of the trimmed text and of it in lower case. What holds the gate is kept.
+GATE = "keepGate"
+REASONS = [
+    ("emptyString", lambda t, low: t == ""),
+    ("emojiOnly", lambda t, low: t.rlike(rf"^[{EMOJI}\s\p{{Z}}]+$")),
+    ("urlPattern", lambda t, low: low.rlike(r"^(https?://|ftps?://|www\.)")),
+    ("filePathPattern", lambda t, low: t.rlike("^~?/")),
+    (GATE, lambda t, low: F.instr(t, " ") > 0),
+    ("analyticsKey", lambda t, low: low.rlike(r"^(com|org|net|io|co|app|dev)\.")),
+    ("dotSeparatedIdentifier", lambda t, low: t.rlike(r"^[.]*[\p{Ll}\p{N}]+([.]+[\p{Ll}\p{N}]+)+[.]*$")),
+    ("allCapsConstant", lambda t, low: (graphemes(t) >= 3) & (F.instr(t, "_") > 0) & _letters_all_upper(t)),
+    ("snakeCaseIdentifier", lambda t, low: t.rlike(r"\p{L}_\p{L}")),
+    ("camelCaseIdentifier", lambda t, low: t.rlike(r"(?s)^\p{Ll}.*\p{Lu}") & ~t.isin(PRODUCT_NAMES)),
+]
+
+
+@dataclass(frozen=True)
+class Filter:
+    """A caller's exclusion rule, compiled into the cascade before the rule named ``before`` (null: behind all).
+
+    ``predicate``: a function of the trimmed text's column, or SQL over ``text``, in frames that have that column. ``told``
+    follows "Skipped ... —" in diagnostics. ``version`` stands for the predicate where results are kept, if it is a function."""
+
+    reason: str
+    predicate: Callable[[Column], Column] | str
+    told: str = ""
+    before: str | None = None
+    version: str = ""
+
+    def key(self) -> tuple:
+        return self.reason, self.predicate if isinstance(self.predicate, str) else self.version, self.told, self.before
+
+
+def cascade(filters: Sequence[Filter] = ()) -> list[tuple[str, Callable[[Column, Column], Column]]]:
+    """The rules with a caller's among them; of several before one rule, the first given comes first."""
+    known = [name for name, _ in REASONS]
+    out = []
+    for f in filters:
+        if f.before is not None and f.before not in known:
+            raise ValueError(f"no rule {f.before}: {known}")
+        if f.reason in known:
+            raise ValueError(f"a rule {f.reason} is there already")
+    own = lambda name: [(f.reason, (lambda t, low, p=f.predicate: F.expr(p) if isinstance(p, str) else p(t))) for f in filters if f.before == name]
+    for name, rule in REASONS:
+        out += [*own(name), (name, rule)]
+    return out + own(None)
+
+
+def reason_of(t: Column, filters: Sequence[Filter] = ()) -> Column:
+    """As ``exclusion_reason``, of a trimmed text, with a caller's rules."""
+    low, out = F.lower(t), None
+    for name, rule in cascade(filters):
+        told = F.lit(None).cast("string") if name == GATE else F.lit(name)
+        # A predicate that is null does not hold.
+        out = F.when(rule(t, low), told) if out is None else out.when(rule(t, low), told)
+    return out
+
+
+def reason_text(reason: Column, filters: Sequence[Filter] = ()) -> Column:
+    texts = REASON_TEXT | {f.reason: f.told or f.reason for f in filters}
+    table = F.create_map(*[F.lit(x) for pair in texts.items() for x in pair])
     return F.element_at(table, reason)
 
 

@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from loquat import queries as Q
+from loquat.functions import strings as S
 from loquat.operators import analysis as A
 from loquat.operators import detect as D
 from loquat.plans import scan, stage
@@ -155,3 +156,45 @@ def surest_strings(spark, sf_dir):
     key = F.col("o_orderkey")
     rows = Q.table(spark, sf_dir, "orders").select(key, (key % 101 / 100).alias("confidence"), F.col("o_orderpriority").alias("path"), (key % 1000003).cast("int").alias("pos"))
     return A.by_confidence(rows, 0.85).select("o_orderkey", "place")
+
+
+# A caller's rules, and every reason from derived values
+
+_CASES = [  # value as Spark and as SQL, and the reason; U, L: first word of a part's type, N: its size
+    ("repeat(' ', p_size % 5)", "repeat(' ', (p_size % 5)::INT)", "emptyString"), ("repeat('🙂', 1 + p_size % 3)", "repeat('🙂', (1 + p_size % 3)::INT)", "emojiOnly"), ("'👍 ❤️ '", "'👍 ❤️ '", "emojiOnly"),
+    ("concat('https://', L, N)", None, "urlPattern"), ("concat('WWW.', L)", None, "urlPattern"), ("concat('/', L, '/', N)", None, "filePathPattern"), ("concat('~/', L)", None, "filePathPattern"),
+    ("concat('com.', L, ' ', N)", None, None), ("concat('Com.', L, N)", None, "analyticsKey"), ("concat('App.', U)", None, "analyticsKey"), ("concat(L, '.', N)", None, "dotSeparatedIdentifier"), ("concat(N, '.', N)", None, "dotSeparatedIdentifier"),
+    ("concat(L, '...')", None, None), ("concat(U, '_', N)", None, "allCapsConstant"), ("concat('_', 10 + p_size)", None, "allCapsConstant"), ("concat(L, '_', L)", None, "snakeCaseIdentifier"), ("concat(L, U)", None, "camelCaseIdentifier"),
+    ("'iPhone'", None, None), ("concat(U, '.', L)", None, None), ("concat(L, '-', N)", None, None), ("concat(' ', U, '_', L, '\t')", "concat(chr(160), U, '_', L, chr(9))", "snakeCaseIdentifier"),
+]
+
+
+def _case_sql(text: str, spark_sql: bool) -> str:
+    word = "split_part(p_type, ' ', 1)"
+    size = "cast(p_size AS string)" if spark_sql else "p_size::VARCHAR"
+    return text.replace("L,", f"lower({word}),").replace("L)", f"lower({word}))").replace("U,", f"{word},").replace("U)", f"{word})").replace("N)", f"{size})").replace("N,", f"{size},")
+
+
+def _derived(spark_sql: bool) -> str:
+    cases = " ".join(f"WHEN {k} THEN {_case_sql(text if spark_sql or sql is None else sql, spark_sql)}" for k, (text, sql, _) in enumerate(_CASES))
+    return f"CASE CAST(p_partkey % {len(_CASES)} AS INT) {cases} END"
+
+
+_REASON_SQL = f"CASE (p_partkey % {len(_CASES)})::INT " + " ".join(f"WHEN {k} THEN '{r}'" for k, (_, _, r) in enumerate(_CASES) if r) + " END"
+
+
+@query(f"SELECT p_partkey, {_derived(False)} AS value, {_REASON_SQL} AS reason FROM part")
+def derived_reasons(spark, sf_dir):
+    """A value of every kind by part, and why it is excluded: SQL knows it by the kind, not by the rules."""
+    rows = Q.table(spark, sf_dir, "part").select("p_partkey", F.expr(_derived(True)).alias("value"))
+    return rows.select("p_partkey", "value", S.exclusion_reason(F.col("value")).alias("reason"))
+
+
+@query(
+    f"WITH v AS (SELECT p_partkey, p_size, {_derived(False)} AS value, {_REASON_SQL} AS own FROM part) SELECT p_partkey, value, CASE WHEN p_size % 2 = 0 AND (own IS NULL OR own NOT IN ('emptyString', 'emojiOnly', 'urlPattern', 'filePathPattern')) AND NOT contains(value, ' ') AND contains(value, '_') THEN 'underscored' WHEN own IS NULL AND NOT contains(value, ' ') AND contains(value, '.') THEN 'dotted' ELSE own END AS reason FROM v"
+)
+def custom_reasons(spark, sf_dir):
+    """A caller's rules in the cascade: one right behind the gate, as SQL over more columns than the text, and one behind all."""
+    rows = Q.table(spark, sf_dir, "part").select("p_partkey", "p_size", F.expr(_derived(True)).alias("value")).withColumn("text", S.trimmed(F.col("value")))
+    rules = [S.Filter("underscored", "p_size % 2 = 0 AND contains(text, '_')", before="analyticsKey"), S.Filter("dotted", lambda t: t.contains("."), told="has a dot")]
+    return rows.select("p_partkey", "value", S.reason_of(F.col("text"), rules).alias("reason"))

@@ -6,6 +6,8 @@ function), ignored (marked line), filtered (an exclusion reason), low (below the
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,8 +39,8 @@ def excluded_arguments(events: DataFrame, functions: list[str]) -> DataFrame:
     return literal.select("path", "a.line", "a.col").distinct()
 
 
-def findings(candidates: DataFrame, minimum: float = 0.0, ignored: DataFrame | None = None, suppressed: DataFrame | None = None, hints: bool = True) -> DataFrame:
-    """One row a candidate. ``ignored``: (path, line); ``suppressed``: (path, line, col) of literals."""
+def findings(candidates: DataFrame, minimum: float = 0.0, ignored: DataFrame | None = None, suppressed: DataFrame | None = None, hints: bool = True, filters: Sequence[S.Filter] = ()) -> DataFrame:
+    """One row a candidate. ``ignored``: (path, line); ``suppressed``: (path, line, col) of literals; ``filters``: a caller's exclusion rules."""
     a = F.col("argument")
     out = candidates.withColumn("value", F.when(a["kind"] == "string", a["text"])).withColumn("has_interpolation", F.coalesce(a["interpolated"], F.lit(False)))
     if suppressed is None:
@@ -58,7 +60,7 @@ def findings(candidates: DataFrame, minimum: float = 0.0, ignored: DataFrame | N
     skeleton = F.when(F.col("has_interpolation"), S.static_skeleton(F.col("value"))).otherwise(F.col("value"))
     # Column by column, each once: inlined into one another they are more than a generated method may hold.
     out = out.withColumn("skeleton", skeleton).withColumn("_trimmed", S.trimmed(F.col("skeleton")))
-    out = out.withColumn("_length", S.graphemes(F.col("_trimmed"))).withColumn("reason", S.reason_of(F.col("_trimmed")))
+    out = out.withColumn("_length", S.graphemes(F.col("_trimmed"))).withColumn("text", F.col("_trimmed")).withColumn("reason", S.reason_of(F.col("_trimmed"), filters)).drop("text")
     out = out.withColumn("factors", S.factors_of(F.col("_trimmed"), F.col("_length"), F.col("type_name"), F.col("property_name")))
     out = out.withColumn("confidence", S.confidence_of(F.col("base"), F.col("factors"))).drop("_trimmed", "_length")
     static = F.col("context") == R.STATIC_CONTEXT
@@ -81,14 +83,14 @@ def detected(findings: DataFrame) -> DataFrame:
     return rows.select("path", "pos", "ord", "value", "line", "col", "context", "confidence", "has_interpolation", "type_name", "property_name", "function_name", F.struct("base", "factors", F.col("confidence").alias("final")).alias("score"))
 
 
-def diagnostics(findings: DataFrame, marker: str = "loquat:ignore") -> DataFrame:
+def diagnostics(findings: DataFrame, marker: str = "loquat:ignore", filters: Sequence[S.Filter] = ()) -> DataFrame:
     """path, line, col, pos, kind, severity, message of what findings tell."""
     short = S.shortened(F.col("value"))
     quoted = F.concat(F.lit('"'), short, F.lit('"'))
     kinds = {
         "suppressed": ("note", F.concat(F.lit("Skipped "), quoted, F.lit(" — its function localizes already"))),
         "ignored": ("note", F.concat(F.lit("Suppressed "), quoted, F.lit(f" — {marker}"))),
-        "filtered": ("note", F.concat(F.lit("Skipped "), quoted, F.lit(" — "), S.reason_text(F.col("reason")))),
+        "filtered": ("note", F.concat(F.lit("Skipped "), quoted, F.lit(" — "), S.reason_text(F.col("reason"), filters))),
         "hint": ("suggestion", F.concat(R.context_name(F.col("context")), F.lit("("), F.col("argument.text"), F.lit(") takes a value, not a literal: text may hide in it"))),
         "detected": ("warning", F.concat(F.lit("Text with inserted values, for which nothing is generated: "), quoted)),
     }

@@ -4,10 +4,12 @@ of one file, whose size is that of a source file."""
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loquat.functions import strings as S
@@ -115,14 +117,68 @@ def region(existing: str) -> str:
     return existing
 
 
-def write_file(path: str | os.PathLike, content: str, strategy: str = "overwrite", dry_run: bool = False) -> tuple[str, Path]:
-    """Write atomically; with strategy "region" only the generated region of an existing file changes.
+def is_uri(place: str | os.PathLike) -> bool:
+    """Whether a place is written by Hadoop's file systems, as readers read it: it names a scheme."""
+    return re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", str(place)) is not None
 
-    Returns the text and where it was written: a temporary folder if the place is not writable."""
-    path = Path(path)
+
+def beside(base: str, place: str) -> str:
+    """A place below ``base``, unless it is a whole one."""
+    return place if place.startswith("/") or is_uri(place) else f"{base.rstrip('/')}/{place}"
+
+
+def read_file(place: str | os.PathLike) -> str | None:
+    """The text of a path or URI; null where there is no file."""
+    if not is_uri(place):
+        return Path(place).read_text() if Path(place).is_file() else None
+    fs, at, jvm = _hadoop(str(place))
+    if not fs.exists(at) or not fs.getFileStatus(at).isFile():
+        return None
+    stream = fs.open(at)
+    try:
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
+def _hadoop(place: str):
+    session = SparkSession.active()
+    jvm = session.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(place)
+    return at.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()), at, jvm
+
+
+def _write_uri(place: str, content: str) -> None:
+    """Written beside its place, then renamed over it where the file system can; others replace a file when it is closed."""
+    fs, at, jvm = _hadoop(place)
+    session = SparkSession.active().sparkContext
+    temporary = jvm.org.apache.hadoop.fs.Path(at.getParent(), f".{at.getName()}.{uuid.uuid4().hex}")
+    context = None
+    try:
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri() if at.toUri().getScheme() else fs.getUri(), session._jsc.hadoopConfiguration())
+    except Exception:  # no such interface to this store: it has whole files only
+        temporary = at
+    stream = fs.create(temporary, True)
+    stream.write(bytearray(content.encode()))
+    stream.close()
+    if context is not None:
+        options = session._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        context.rename(temporary, at, options)
+
+
+def write_file(path: str | os.PathLike, content: str, strategy: str = "overwrite", dry_run: bool = False) -> tuple[str, Path | str]:
+    """Write atomically, to a path or URI; with strategy "region" only the generated region of an existing file changes.
+
+    Returns the text and where it was written: a temporary folder if a local place is not writable."""
     if strategy == "region":
-        before = path.read_text() if path.exists() else None
+        before = read_file(path)
         content = (merged(before, content) if before is not None else None) or wrapped(content)
+    if is_uri(path):
+        if not dry_run:
+            _write_uri(str(path), content)
+        return content, str(path)
+    path = Path(path)
     if dry_run:
         return content, path
     try:

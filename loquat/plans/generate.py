@@ -17,11 +17,12 @@ from loquat.plans.config import Config
 from loquat.sources import extract, readers
 
 
-def preserved_accessors(spark: SparkSession, generated: Path, existing: DataFrame, root: str) -> DataFrame | None:
-    """Accessors of a generated file that references in ``existing`` name; none without such a file."""
-    if not generated.is_file():
+def preserved_accessors(spark: SparkSession, generated: str | Path, existing: DataFrame, root: str) -> DataFrame | None:
+    """Accessors of a generated file (a path or URI) that references in ``existing`` name; none without such a file."""
+    before = codegen.read_file(generated)
+    if before is None:
         return None
-    text = codegen.region(generated.read_text())
+    text = codegen.region(before)
     parsed = extract.accessors(spark.createDataFrame([(str(generated), text)], "path string, content string"), root)
     return A.preserved(parsed.select("namespace", "func_name", "escaped_value", "escaped_comment"), A.referenced_accessors(existing, root))
 
@@ -32,8 +33,7 @@ def run(spark: SparkSession, config: Config, base: str, cache_path: str | None =
     ``common``: values of several namespaces are generated once, in a namespace of their own. Migration
     mode "strict" fails as long as strings are left."""
     out = scan.run(spark, config, base, cache_path, references_to=(config.output.enum_name,))
-    place = lambda p: Path(p) if p.startswith("/") else Path(base) / p
-    target, written = place(config.output.path), []
+    target, written = codegen.beside(base, config.output.path), []
     strings = out["detected"]
     if common:
         shared = A.common_strings(strings).withColumn("namespace", F.lit("Common"))
@@ -45,7 +45,7 @@ def run(spark: SparkSession, config: Config, base: str, cache_path: str | None =
     if config.assets.enabled:
         assets = readers.assets(spark, base)
         text = codegen.assets_file(assets, config.assets.enum_name, image_resource=config.assets.use_image_resource)
-        text, where = codegen.write_file(place(config.assets.path), text, "overwrite", dry_run)
+        text, where = codegen.write_file(codegen.beside(base, config.assets.path), text, "overwrite", dry_run)
         written.append((str(where), text))
     row = out["summary"].first()
     status = report.exit_status(row.strings, row.warnings, row.errors, config.migration == "strict", fail_on)

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import dataclasses
 import hashlib
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,14 +54,14 @@ class Scan:
     referenced: DataFrame | None = None
 
 
-def fingerprint(config: Config, roots: tuple[str, ...] = ()) -> str:
+def fingerprint(config: Config, roots: tuple[str, ...] = (), filters: Sequence[S.Filter] = ()) -> str:
     """Version of cached results: unlike a bare version, settings that change results change it too, and so do the
-    roots whose references are kept."""
-    return f"{VERSION}:{hashlib.sha256(repr((dataclasses.astuple(config), *sorted(roots))).encode()).hexdigest()[:16]}"
+    roots whose references are kept, and a caller's rules."""
+    return f"{VERSION}:{hashlib.sha256(repr((dataclasses.astuple(config), *sorted(roots), *(f.key() for f in filters))).encode()).hexdigest()[:16]}"
 
 
-def analyse(files: DataFrame, config: Config = Config(), extra_rules: list[tuple] = (), extra_assignment_rules: list[tuple] = ()) -> Scan:
-    """Strings, diagnostics and references of files (path, content)."""
+def analyse(files: DataFrame, config: Config = Config(), extra_rules: list[tuple] = (), extra_assignment_rules: list[tuple] = (), filters: Sequence[S.Filter] = ()) -> Scan:
+    """Strings, diagnostics and references of files (path, content), by the rules of the package and a caller's."""
     spark = files.sparkSession
     readable = files.where("content IS NOT NULL")
     events = stage.written(extract.events(readable), "events")
@@ -68,8 +69,8 @@ def analyse(files: DataFrame, config: Config = Config(), extra_rules: list[tuple
     functions = list(config.existing_localization.exclude_arguments_of)
     suppressed = D.excluded_arguments(events, functions) if functions else None
     ignored = extract.ignored_lines(readable, config.ignore_marker)
-    findings = stage.written(D.findings(found, config.minimum_confidence, ignored, suppressed, config.string_discovery.indirect_argument_hints), "findings")
-    diagnostics = D.diagnostics(findings, config.ignore_marker)
+    findings = stage.written(D.findings(found, config.minimum_confidence, ignored, suppressed, config.string_discovery.indirect_argument_hints, filters), "findings")
+    diagnostics = D.diagnostics(findings, config.ignore_marker, filters)
     if config.accessibility_audit:
         audit = D.image_audit(events).join(ignored.withColumn("_i", F.lit(True)), ["path", "line"], "left")
         note = F.col("_i").isNotNull()
@@ -132,18 +133,22 @@ def references_by_accessor(references: DataFrame, roots: list[str]) -> DataFrame
     return out
 
 
-def analyse_with_store(files: DataFrame, config: Config, store: Store, roots: tuple[str, ...]) -> tuple[Scan, str | None]:
+def analyse_with_store(files: DataFrame, config: Config, store: Store, roots: tuple[str, ...], filters: Sequence[S.Filter] = (), removed: DataFrame | None = None) -> tuple[Scan, str | None]:
     """As ``analyse``, from the store and for it; and what went wrong in publishing, which takes nothing from the results.
 
-    Only changed files are parsed, also for references; only their buckets, and those of files that are gone, are written."""
-    spark, version = files.sparkSession, fingerprint(config, roots)
+    Only changed files are parsed, also for references; only their buckets, and those of files that are gone, are written.
+    ``files`` are all there are, and others gone; or, with ``removed`` (path), some that may have changed, and those that are gone."""
+    spark, version = files.sparkSession, fingerprint(config, roots, filters)
     files = stage.written(files, "files")
     current = files.select("path", "hash").distinct()
     known = store.read("entries").select("path", "hash", "version")  # narrow: the results themselves stay where they are
     same = known.where(F.col("version") == version).select("path", "hash")
     misses = stage.written(files.join(same, ["path", "hash"], "left_anti"), "misses")
-    stale = known.join(current, "path", "left_anti").select("path")
-    fresh = analyse(misses, config)
+    if removed is None:
+        stale = known.join(current, "path", "left_anti").select("path")
+    else:
+        stale = known.join(removed, "path", "left_semi").select("path")
+    fresh = analyse(misses, config, filters=filters)
     entries = stage.written(cache_entries(misses.dropDuplicates(["path"]), fresh, version), "entries")
     referenced = stage.written(references_by_accessor(D.existing_references(fresh.events, list(roots)), list(roots)), "references")
     gone = stage.written(misses.select("path").unionByName(stale).distinct(), "gone")
@@ -154,7 +159,8 @@ def analyse_with_store(files: DataFrame, config: Config, store: Store, roots: tu
         kept = lambda old, new: old.join(gone, "path", "left_anti").unionByName(new)
         rows, index = kept(rows, entries), kept(index, referenced)
         try:
-            store.update({"entries": entries, "references": referenced}, gone, current.count())
+            paths = current if removed is None else known.select("path").unionByName(current.select("path")).distinct()
+            store.update({"entries": entries, "references": referenced}, gone, paths.count())
             rows, index = store.read("entries"), store.read("references")
         except Exception as error:  # the results stand without it
             problem = f"Cache could not be written, the next scan will not profit: {str(error).splitlines()[0]}"
@@ -162,7 +168,7 @@ def analyse_with_store(files: DataFrame, config: Config, store: Store, roots: tu
     return _replayed(files, rows, fresh, cache=rows, cache_hits=hits, referenced=index, events=fresh.events, **counts), problem
 
 
-def run(spark: SparkSession, config: Config, base: str, cache_path: str | None = None, references_to: tuple[str, ...] = ()) -> dict:
+def run(spark: SparkSession, config: Config, base: str, cache_path: str | None = None, references_to: tuple[str, ...] = (), filters: Sequence[S.Filter] = ()) -> dict:
     """The whole scan of a project. Returns its DataFrames and a one-row summary under their names.
 
     ``references_to``: generated roots, references to which are collected too (``referenced``). Migration
@@ -180,12 +186,12 @@ def run(spark: SparkSession, config: Config, base: str, cache_path: str | None =
         except Exception as problem:  # missing is usual; anything else is told
             problems.append((f"Cache unreadable, scanning everything: {str(problem).splitlines()[0]}", "warning", "cache"))
         # Generating needs references to the root, so they are kept by every scan of the project.
-        scan, problem = analyse_with_store(files, config, store, tuple({config.output.enum_name, *roots}))
+        scan, problem = analyse_with_store(files, config, store, tuple({config.output.enum_name, *roots}), filters)
         problems += [(problem, "warning", "cache")] if problem else []
         files = scan.files
     else:
         files = stage.written(files, "files")
-        scan = analyse(files, config)
+        scan = analyse(files, config, filters=filters)
     detected = A.with_namespace(scan.detected, config.namespace_strategy)
     if scan.referenced is None:
         referenced = D.existing_references(scan.events, roots)
@@ -217,14 +223,27 @@ def run(spark: SparkSession, config: Config, base: str, cache_path: str | None =
     return {"referenced": referenced, "files": files, "detected": detected, "diagnostics": diagnostics, "existing": scan.existing, "parsed": scan.parsed, "catalog": catalog, "summary": summary(files, detected, diagnostics, scan, config, counts)}
 
 
+def _told(rows: DataFrame, what: str) -> DataFrame:
+    """Rows as those that ``totals`` counts: what they are, their path, kind and severity."""
+    column = lambda c: F.col(c) if c in rows.columns else F.lit(None).cast("string")
+    return rows.select(F.lit(what).alias("what"), column("path").alias("path"), column("kind").alias("kind"), column("severity").alias("severity"))
+
+
+def totals(files: DataFrame, detected: DataFrame, diagnostics: DataFrame, existing: DataFrame) -> DataFrame:
+    """One row of totals, by one aggregation: short rows of all inputs are counted where they are read."""
+    rows = _told(files, "file").unionByName(_told(detected, "string")).unionByName(_told(diagnostics, "diagnostic")).unionByName(_told(existing, "existing"))
+    is_, told = lambda what: F.col("what") == what, F.col("what") == "diagnostic"
+    of = lambda condition: F.count_if(told & condition)
+    severities = {f"{s}s": of(F.col("severity") == s) for s in ("error", "warning", "suggestion", "note")}
+    counts = {"files": F.count_if(is_("file")), "strings": F.count_if(is_("string")), "namespaces": F.count_distinct(F.when(is_("string"), F.col("path")))} | severities
+    counts |= {"has_errors": of(F.col("severity") == "error") > 0, "suppressed": of(F.col("kind") == "suppressed"), "accessibility_warnings": of((F.col("kind") == "accessibility") & (F.col("severity") == "warning")), "existing_localized": F.count_if(is_("existing"))}
+    return rows.agg(*(c.alias(n) for n, c in counts.items()))
+
+
 def summary(files: DataFrame, detected: DataFrame, diagnostics: DataFrame, scan: Scan, config: Config, counts: dict[str, int]) -> DataFrame:
-    """One row of totals; every input is aggregated to one row before they meet."""
-    one = files.agg(F.count("*").alias("files"))
-    parts = [detected.agg(F.count("*").alias("strings"), F.count_distinct("path").alias("namespaces")), A.severity_counts(diagnostics), diagnostics.agg(F.count_if(F.col("kind") == "suppressed").alias("suppressed"), F.count_if((F.col("kind") == "accessibility") & (F.col("severity") == "warning")).alias("accessibility_warnings")), scan.existing.agg(F.count("*").alias("existing_localized"))]
-    for part in parts:
-        one = one.crossJoin(part)
+    """One row of totals, with what was counted otherwise."""
     fixed = {"cache_hits": F.lit(scan.cache_hits), "stale_entries_removed": F.lit(scan.stale), "migration_mode": F.lit(config.migration)} | {k: F.lit(v) for k, v in counts.items()}
-    return one.withColumns(fixed)
+    return totals(files, detected, diagnostics, scan.existing).withColumns(fixed)
 
 
 def facade(spark: SparkSession, directory: str, minimum: float = 0.0) -> dict:
@@ -240,10 +259,11 @@ def facade(spark: SparkSession, directory: str, minimum: float = 0.0) -> dict:
     references = D.asset_references(scan.events).join(detected.select("path").distinct(), "path", "left_semi")
     missing = A.missing_assets(references, known)
     diagnostics = scan.diagnostics.unionByName(D.missing_asset_diagnostics(missing).select(scan.diagnostics.columns))
-    totals = detected.agg(F.count("*").alias("strings"))
-    for part in (strings.agg(F.count_distinct("namespace").alias("namespaces")), scan.diagnostics.agg(F.count_if(F.col("severity") == "warning").alias("warnings")), missing.agg(F.count("*").alias("missing_assets"))):
-        totals = totals.crossJoin(part)  # one row by one row
-    return {"strings": strings, "assets": known, "missing_assets": missing, "diagnostics": diagnostics, "totals": totals}
+    rows = _told(detected, "string").unionByName(_told(missing, "missing")).unionByName(_told(scan.diagnostics, "diagnostic"))
+    rows = rows.unionByName(strings.select(F.lit("namespace").alias("what"), F.col("namespace").alias("path"), *(F.lit(None).cast("string").alias(c) for c in ("kind", "severity"))))
+    counts = {"strings": F.count_if(F.col("what") == "string"), "namespaces": F.count_distinct(F.when(F.col("what") == "namespace", F.col("path"))), "warnings": F.count_if(F.col("severity") == "warning"), "missing_assets": F.count_if(F.col("what") == "missing")}
+    one = rows.agg(*(c.alias(n) for n, c in counts.items()))
+    return {"strings": strings, "assets": known, "missing_assets": missing, "diagnostics": diagnostics, "totals": one}
 
 
 def accessor_names(strings: DataFrame) -> DataFrame:

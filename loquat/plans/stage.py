@@ -7,6 +7,7 @@ whatever is lost. Without that setting a local folder is chosen, which only a lo
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -31,9 +32,25 @@ def folder(spark: SparkSession) -> str:
     return f"file://{_local[0]}"
 
 
+_paths: list[str] = []
+
+
+@contextlib.contextmanager
+def passing(spark: SparkSession):
+    """Tables written within a ``with`` go at its end: for results that have been used up by then."""
+    before = len(_paths)
+    try:
+        yield
+    finally:
+        while len(_paths) > before:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_paths.pop())
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df``, written as Parquet and read back."""
     spark = df.sparkSession
     path = f"{folder(spark)}/loquat/{label}-{uuid.uuid4().hex}"
+    _paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -32,10 +32,14 @@ def _visible(path):
 def files(spark: SparkSession, directory: str, suffix: str = ".swift", exclude: list[str] = ()) -> DataFrame:
     """path, rel_path, content (text or null), hash, of every visible file below a directory, exclusions applied.
 
-    Paths are filtered before contents are decoded. A file that is not UTF-8 has null content."""
+    Files that are hidden or excluded are listed, but not read: the condition is one on the files' metadata, which Spark
+    applies to its listing. A file that is not UTF-8 has null content."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}").load(directory)
-    paths = raw.withColumn("path", _plain_path("path")).withColumn("rel_path", _relative(F.col("path"), directory.removeprefix("file://")))
-    kept = paths.where(_visible(F.col("rel_path")) & ~is_excluded(F.col("rel_path"), list(exclude)))
+    base = directory.removeprefix("file://")
+    # Percent-encoded there, where a plus sign is one.
+    listed = _relative(_plain_path(F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))), base)
+    raw = raw.where(_visible(listed) & ~is_excluded(listed, list(exclude)))
+    kept = raw.withColumn("path", _plain_path("path")).withColumn("rel_path", _relative(F.col("path"), base))
     text = F.when(F.is_valid_utf8("content"), F.decode("content", "UTF-8"))
     return kept.select("path", "rel_path", text.alias("content"), F.sha2("content", 256).alias("hash"))
 

@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from loquat.operators import analysis as A
 from loquat.operators import detect as D
 from loquat.operators import order
-from loquat.plans import config, generate, scan
+from loquat.functions import strings
+from loquat.plans import codegen, config, generate, scan
 from loquat.plans.store import Store
+from loquat.sources import readers
+from loquat.streaming.watch import follow
 
 SCHEMA = {"entries": "path string, hash string", "more": "path string, n int"}
 
@@ -161,3 +164,83 @@ def test_many_patterns_equal_few(spark):
         assert sorted(map(repr, few.collect())) == sorted(map(repr, many.collect())) and few.columns == many.columns
     many = D.existing_references(df, [f"X{k}" for k in range(100)] + ["A"])
     assert sorted(map(repr, many.collect())) == sorted(map(repr, D.existing_references(df, ["A"]).collect()))
+
+
+def test_excluded_files_are_not_read(spark, tmp_path):
+    (tmp_path / "Pods/Big").mkdir(parents=True)
+    (tmp_path / ".build").mkdir()
+    (tmp_path / "a b").mkdir()
+    (tmp_path / "a b/o+n%20e é.swift").write_text("let a = 1")
+    for big in ("Pods/Big/x.swift", ".build/y.swift"):
+        (tmp_path / big).write_bytes(b"x" * 100_000)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")  # a larger file cannot be read
+    try:
+        found = readers.files(spark, str(tmp_path), exclude=["Pods/**"]).collect()
+        assert [(r.rel_path, r.content) for r in found] == [("a b/o+n%20e é.swift", "let a = 1")]
+        assert len(readers.files(spark, f"file://{tmp_path}", exclude=["Pods"]).collect()) == 1
+        with pytest.raises(Exception):
+            readers.files(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+
+
+def test_generating_below_a_uri(spark, tmp_path):
+    (tmp_path / "Sources").mkdir()
+    (tmp_path / "Sources/V1View.swift").write_text(view(1, "Text(i18n.V2.valueNumber())"))
+    (tmp_path / "Sources/V2View.swift").write_text(view(2))
+    conf = config.Config(minimum_confidence=0.5, exclude=("Generated",), assets=config.Assets(enabled=True))
+    base = f"file://{tmp_path}"
+    out = generate.run(spark, conf, base)
+    assert [w for w, _ in out["generated"]] == [f"{base}/Sources/Generated/i18n.swift", f"{base}/Sources/Generated/Assets.swift"]
+    target = tmp_path / "Sources/Generated/i18n.swift"
+    assert target.read_text() == out["generated"][0][1] and not [x for x in os.listdir(target.parent) if x.startswith(".i18n") and not x.endswith(".crc")]
+    (tmp_path / "Sources/V2View.swift").write_text("struct V2View {}")
+    again = generate.run(spark, conf, base)
+    assert again["preserved"] == 1 and target.read_text() == again["generated"][0][1] and "Value number 2" in target.read_text()
+    assert generate.run(spark, conf, str(tmp_path), dry_run=True)["generated"][0][1] == again["generated"][0][1]
+    text, where = codegen.write_file(f"{base}/region.swift", "one", "region")
+    text, where = codegen.write_file(where, "two", "region")
+    assert (tmp_path / "region.swift").read_text() == text and "two" in text and "one" not in text
+    assert codegen.read_file(f"{base}/nothing.swift") is None and codegen.read_file(base) is None
+
+
+def test_a_callers_rules(spark, tmp_path):
+    (tmp_path / "Sources").mkdir()
+    (tmp_path / "Sources/AView.swift").write_text('let a = Text("ACME_ROCKET_9")\nlet b = Text("Rocket fuel")\nlet c = Text("Acme-1")\nlet d = Text("x_y")')
+    rules = [strings.Filter("brand", "lower(text) LIKE 'acme%'", "a brand", before="analyticsKey"), strings.Filter("fuel", lambda t: t.contains("fuel"), version="1")]
+    conf = config.Config(minimum_confidence=0.0, incremental=True)
+    cache = f"file://{tmp_path}/cache"
+    for parsed in (1, 0):
+        out = scan.run(spark, conf, str(tmp_path), cache, filters=rules)
+        told = {(r.line, r.message.split("— ")[-1]) for r in out["diagnostics"].where("kind = 'filtered'").collect()}
+        assert told == {(1, "a brand"), (3, "a brand"), (4, "words joined by underscores")} and out["parsed"] == parsed
+        assert [r.value for r in out["detected"].collect()] == ["Rocket fuel"]  # the gate keeps what has blanks
+    assert scan.run(spark, conf, str(tmp_path), cache)["parsed"] == 1  # without the rules results are others
+    names = [n for n, _ in strings.cascade([strings.Filter("x", "true", before="emptyString"), strings.Filter("y", "true", before="emptyString"), strings.Filter("z", "true")])]
+    assert names[:3] == ["x", "y", "emptyString"] and names[-1] == "z"
+    for bad in (strings.Filter("x", "true", before="nothing"), strings.Filter("emptyString", "true")):
+        with pytest.raises(ValueError):
+            strings.cascade([bad])
+
+
+def test_following_changes_equals_a_scan(spark, tmp_path):
+    log = tmp_path / "log"
+    schema = "path string, content string, at long, deleted boolean"
+    batches = [
+        [("a", view(1), 1, False), ("b", view(2), 1, False), ("c", view(3), 1, None), ("c", view(4), 2, False)],
+        [("a", view(1), 3, False), ("b", view(5, "Text(i18n.A.b())"), 3, False), ("gone", view(6), 3, False), ("gone", None, 4, True)],
+        [("c", None, 5, True), ("d", view(7), 5, False), ("never", None, 5, True)],
+    ]
+    seen, conf = [], config.Config(minimum_confidence=0.5)
+    store = f"file://{tmp_path}/store"
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(log))
+        changes = spark.readStream.schema(schema).parquet(str(log))
+        follow(changes, store, str(tmp_path / "check"), conf, lambda s, n: seen.append((s.parsed, s.cache_hits, s.stale, s.detected.count())), available_now=True).awaitTermination()
+    assert seen == [(3, 0, 0, 3), (1, 1, 0, 3), (1, 0, 1, 3)]
+    files = spark.createDataFrame([("a", view(1)), ("b", view(5, "Text(i18n.A.b())")), ("d", view(7))], "path string, content string")
+    want = scan.analyse(files, conf)
+    entries = scan.open_store(spark, store).open().read("entries")
+    got = entries.select("path", F.inline("strings")).select(want.detected.columns)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.detected.collect()))
+    assert [(r.accessor, r.path) for r in scan.open_store(spark, store).open().read("references").collect()] == [("A.b", "b")]
