@@ -198,3 +198,57 @@ def custom_reasons(spark, sf_dir):
     rows = Q.table(spark, sf_dir, "part").select("p_partkey", "p_size", F.expr(_derived(True)).alias("value")).withColumn("text", S.trimmed(F.col("value")))
     rules = [S.Filter("underscored", "p_size % 2 = 0 AND contains(text, '_')", before="analyticsKey"), S.Filter("dotted", lambda t: t.contains("."), told="has a dot")]
     return rows.select("p_partkey", "value", S.reason_of(F.col("text"), rules).alias("reason"))
+
+
+# Diagnostics of catalogs and names, as they are told
+
+
+@query(
+    f"""WITH {Q.NAMED_SQL}, {Q._CATALOG_SQL}, m AS (SELECT value, min((path, pos)) AS first FROM s ANTI JOIN cat ON cat.key = s.value WHERE NOT has_interpolation GROUP BY value)
+SELECT 'missing_key' AS kind, 'warning' AS severity, '"' || value || '" is used, but no string catalog has it as a key' AS message, first[1] AS path, first[2]::INT AS pos FROM m
+UNION ALL SELECT 'orphaned_key', 'note', 'No source was found to use the catalog key "' || key || '"', NULL, NULL FROM cat ANTI JOIN (SELECT value FROM s WHERE NOT has_interpolation) x ON x.value = cat.key"""
+)
+def catalog_diagnostics(spark, sf_dir):
+    """What is told of catalogs: values that are no key, at their first place, and keys that are no value."""
+    strings, catalog = Q.named(spark, sf_dir), Q.catalog(spark, sf_dir)
+    told = A.missing_key_diagnostics(A.missing_from_catalog(strings, catalog)).unionByName(A.orphaned_key_diagnostics(A.orphaned_in_catalog(strings, catalog)))
+    return told.select("kind", "severity", "message", "path", "pos")
+
+
+@query(
+    """WITH e AS (SELECT DISTINCT event_type || '.' || (user_id % 50) AS key, CASE WHEN user_id % 3 = 0 THEN NULL ELSE event_type END AS source_value FROM events),
+g AS (SELECT coalesce(source_value, key) AS value, count(*) AS n, string_agg(key, ', ' ORDER BY key) AS keys FROM e GROUP BY 1)
+SELECT 'suggestion' AS severity, n || ' catalog keys share the value "' || value || '": ' || keys AS message FROM g WHERE n > 1"""
+)
+def duplicate_value_diagnostics(spark, sf_dir):
+    rows = Q.table(spark, sf_dir, "events").select(F.concat("event_type", F.lit("."), (F.col("user_id") % 50).cast("string")).alias("key"), F.when(F.col("user_id") % 3 != 0, F.col("event_type")).alias("source_value")).distinct()
+    return A.duplicate_value_diagnostics(A.duplicate_catalog_values(rows)).select("severity", "message")
+
+
+@query(
+    f"""WITH {Q.PARTS_SQL}, f AS (SELECT DISTINCT path, {Q.SQL_RAW} AS namespace FROM p)
+SELECT 'warning' AS severity, 'The namespace "' || namespace || '" comes from ' || count(*) || ' files (' || string_agg(regexp_extract(path, '[^/]*$'), ', ' ORDER BY path) || '); namespace_strategy: auto tells them apart' AS message FROM f GROUP BY namespace HAVING count(*) > 1"""
+)
+def collision_diagnostics(spark, sf_dir):
+    return A.collision_diagnostics(A.namespace_collisions(Q.parts(spark, sf_dir))).select("severity", "message")
+
+
+def _finding_line(F):
+    """By part: a plain text, one with an inserted value, one passed to an excluded function, an argument that is no literal, a path."""
+    k, key = F.col("p_partkey") % 5, F.col("p_partkey").cast("string")
+    text = lambda *x: F.concat(*(F.lit(y) if isinstance(y, str) else y for y in x))
+    return (
+        F.when(k == 0, text('Text("Part number ', key, '")')).when(k == 1, text('Text("Part \\(n) of ', key, '")')).when(k == 2, text('Text(tr("Inner ', key, '"))')).when(k == 3, text("Text(name", key, ")")).otherwise(text('Text("/part/', key, '")'))
+    )
+
+
+@query(
+    f"""WITH {_PARTS_SQL} SELECT path, line::INT AS line, CASE p_partkey % 5 WHEN 1 THEN 'interpolated' WHEN 3 THEN 'hint' WHEN 2 THEN 'hint' ELSE 'filtered' END AS kind,
+CASE p_partkey % 5 WHEN 1 THEN 'warning' WHEN 4 THEN 'note' ELSE 'suggestion' END AS severity,
+CASE p_partkey % 5 WHEN 1 THEN 'Text with inserted values, for which nothing is generated: "Part {{…}} of ' || p_partkey || '"' WHEN 3 THEN 'Text(name' || p_partkey || ') takes a value, not a literal: text may hide in it'
+WHEN 2 THEN 'Text(tr("Inner ' || p_partkey || '")) takes a value, not a literal: text may hide in it' ELSE 'Skipped "/part/' || p_partkey || '" — a path of a file' END AS message FROM f WHERE p_partkey % 5 <> 0"""
+)
+def finding_diagnostics(spark, sf_dir):
+    """What is told of findings, message and place: files of parts are parsed."""
+    out = scan.analyse(part_files(spark, sf_dir, _finding_line), Config(minimum_confidence=0.0))
+    return out.diagnostics.select("path", "line", "kind", "severity", "message")

@@ -168,6 +168,32 @@ def updated_cache(cache: DataFrame, fresh: DataFrame, files: DataFrame) -> DataF
     return kept.unionByName(fresh)
 
 
+def _told(rows: DataFrame, kind: str, severity: str, message) -> DataFrame:
+    """kind, severity, message, and path, line, col, pos where the rows have them."""
+    nowhere = (("path", "string"), ("line", "int"), ("col", "int"), ("pos", "int"))
+    places = (F.col(c) if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in nowhere)
+    return rows.select(F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), message.alias("message"), *places)
+
+
+def collision_diagnostics(collisions: DataFrame) -> DataFrame:
+    """A warning for every namespace that several files share."""
+    return _told(collisions, "collision", "warning", F.col("message"))
+
+
+def missing_key_diagnostics(missing: DataFrame) -> DataFrame:
+    """A warning at the first place of every value that no catalog has."""
+    return _told(missing, "missing_key", "warning", F.format_string('"%s" is used, but no string catalog has it as a key', "value"))
+
+
+def orphaned_key_diagnostics(orphaned: DataFrame) -> DataFrame:
+    return _told(orphaned, "orphaned_key", "note", F.format_string('No source was found to use the catalog key "%s"', "key"))
+
+
+def duplicate_value_diagnostics(groups: DataFrame) -> DataFrame:
+    """A suggestion for every value that several catalog keys share."""
+    return _told(groups, "duplicate_value", "suggestion", F.format_string('%2$d catalog keys share the value "%1$s": %3$s', "value", F.size("keys"), F.array_join("keys", ", ")))
+
+
 def referenced_accessors(references: DataFrame, root: str) -> DataFrame:
     """Distinct "namespace.function" keys of references to the generated root."""
     rest = F.substring(F.col("expression"), len(root) + 2, 1 << 30)

@@ -130,7 +130,7 @@ def references_to(events: DataFrame, patterns: DataFrame) -> DataFrame:
 
     A dotted path lies below just its own prefixes, so these are joined to the patterns by equality, however many
     patterns there are. Only prefixes that are patterns are grouped again, by the event they are of."""
-    wanted = patterns.select(F.regexp_replace("pattern", r"\.$", "").alias("pattern"), "ord").dropna().groupBy("pattern").agg(F.min("ord").alias("ord"))
+    wanted = patterns.select(S.normal_pattern(F.col("pattern")).alias("pattern"), "ord").dropna().groupBy("pattern").agg(F.min("ord").alias("ord"))
     rows = events.where("kind IN ('call', 'path') AND dotted IS NOT NULL").select("path", "pos", "line", "col", F.col("dotted").alias("expression"), _reference_kind().alias("kind"), F.monotonically_increasing_id().alias("_event"))
     parts = F.split("expression", r"\.")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))

@@ -198,8 +198,7 @@ def run(spark: SparkSession, config: Config, base: str, cache_path: str | None =
     else:  # kept for the project's root at least; asked for are these
         referenced = scan.referenced.where(F.col("pattern").isin(roots))
     collisions = A.namespace_collisions(scan.detected)
-    nowhere = {c: F.lit(None).cast(t) for c, t in (("path", "string"), ("line", "int"), ("col", "int"), ("pos", "int"))}
-    extra = collisions.select(F.lit("collision").alias("kind"), F.lit("warning").alias("severity"), "message").withColumns(nowhere)
+    extra = A.collision_diagnostics(collisions)
     try:
         catalog = readers.string_catalogs(spark, base)
         catalog.isEmpty()
@@ -211,14 +210,13 @@ def run(spark: SparkSession, config: Config, base: str, cache_path: str | None =
         catalog = stage.written(catalog, "catalog")
         absent, orphaned, groups = stage.written(A.missing_from_catalog(detected, catalog), "absent"), A.orphaned_in_catalog(detected, catalog), A.duplicate_catalog_values(catalog)
         counts = {"missing_catalog_keys": absent.count(), "orphaned_catalog_keys": orphaned.count(), "duplicate_catalog_groups": groups.count()}
-        told = lambda rows, kind, severity, message: rows.select(F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), message.alias("message"), *(F.col(c) if c in rows.columns else nowhere[c].alias(c) for c in nowhere))
         if config.string_catalog.validate_missing:
-            extra = extra.unionByName(told(absent, "missing_key", "warning", F.format_string('"%s" is used, but no string catalog has it as a key', "value")))
+            extra = extra.unionByName(A.missing_key_diagnostics(absent))
         if config.string_catalog.validate_orphaned:
-            extra = extra.unionByName(told(orphaned, "orphaned_key", "note", F.format_string('No source was found to use the catalog key "%s"', "key")))
-        extra = extra.unionByName(told(groups, "duplicate_value", "suggestion", F.format_string('%2$d catalog keys share the value "%1$s": %3$s', "value", F.size("keys"), F.array_join("keys", ", "))))
+            extra = extra.unionByName(A.orphaned_key_diagnostics(orphaned))
+        extra = extra.unionByName(A.duplicate_value_diagnostics(groups))
     if problems:
-        extra = extra.unionByName(spark.createDataFrame(problems, "message string, severity string, kind string").withColumns(nowhere))
+        extra = extra.unionByName(spark.createDataFrame([(*p, None, None, None, None) for p in problems], "message string, severity string, kind string, path string, line int, col int, pos int"))
     diagnostics = scan.diagnostics.unionByName(extra.select(scan.diagnostics.columns))
     return {"referenced": referenced, "files": files, "detected": detected, "diagnostics": diagnostics, "existing": scan.existing, "parsed": scan.parsed, "catalog": catalog, "summary": summary(files, detected, diagnostics, scan, config, counts)}
 
@@ -246,11 +244,22 @@ def summary(files: DataFrame, detected: DataFrame, diagnostics: DataFrame, scan:
     return totals(files, detected, diagnostics, scan.existing).withColumns(fixed)
 
 
+class UnreadableSource(OSError):
+    pass
+
+
 def facade(spark: SparkSession, directory: str, minimum: float = 0.0) -> dict:
     """Strings of a whole directory with common values promoted and assets checked; no exclusions, no cache.
 
-    ``totals``: one row of counts. An asset that no catalog has is a warning at its reference."""
-    files = stage.written(readers.files(spark, directory), "files")
+    Packages are looked into, hidden files are not. A directory that is not there, and a file that is not UTF-8, are
+    errors. ``totals``: one row of counts. An asset that no catalog has is a warning at its reference."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(directory)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        raise FileNotFoundError(directory)
+    files = stage.written(readers.files(spark, directory, packages=True), "files")
+    bad = readers.unreadable(files).orderBy("path").first()
+    if bad is not None:
+        raise UnreadableSource(bad["message"])
     scan = analyse(files, Config(minimum_confidence=minimum))
     detected = A.with_namespace(scan.detected)
     common = A.common_strings(detected).withColumn("namespace", F.lit("Common"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loquat.functions.paths import is_excluded
+from loquat.functions.strings import full_asset_name
 
 CATALOG_JSON = "sourceLanguage string, strings map<string,struct<comment:string,localizations:map<string,struct<stringUnit:struct<state:string,value:string>>>>>"
 CATALOG = "key string, comment string, source_value string, translation_count int"
@@ -24,12 +25,13 @@ def _relative(path, base: str):
     return F.when(F.startswith(path, F.lit(prefix)), F.substring(path, len(prefix) + 1, 1 << 30)).otherwise(path)
 
 
-def _visible(path):
-    """No component below the base begins with a dot, and none is a package."""
-    return ~path.rlike(r"(^|/)\.[^/]") & ~path.rlike(r"\.(app|bundle|framework|xcodeproj|xcworkspace|playground|xcassets)/")
+def _visible(path, packages: bool = False):
+    """No component below the base begins with a dot, and none is a package, unless these are wanted."""
+    shown = ~path.rlike(r"(^|/)\.[^/]")
+    return shown if packages else shown & ~path.rlike(r"\.(app|bundle|framework|xcodeproj|xcworkspace|playground|xcassets)/")
 
 
-def files(spark: SparkSession, directory: str, suffix: str = ".swift", exclude: list[str] = ()) -> DataFrame:
+def files(spark: SparkSession, directory: str, suffix: str = ".swift", exclude: list[str] = (), packages: bool = False) -> DataFrame:
     """path, rel_path, content (text or null), hash, of every visible file below a directory, exclusions applied.
 
     Files that are hidden or excluded are listed, but not read: the condition is one on the files' metadata, which Spark
@@ -38,7 +40,7 @@ def files(spark: SparkSession, directory: str, suffix: str = ".swift", exclude:
     base = directory.removeprefix("file://")
     # Percent-encoded there, where a plus sign is one.
     listed = _relative(_plain_path(F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))), base)
-    raw = raw.where(_visible(listed) & ~is_excluded(listed, list(exclude)))
+    raw = raw.where(_visible(listed, packages) & ~is_excluded(listed, list(exclude)))
     kept = raw.withColumn("path", _plain_path("path")).withColumn("rel_path", _relative(F.col("path"), base))
     text = F.when(F.is_valid_utf8("content"), F.decode("content", "UTF-8"))
     return kept.select("path", "rel_path", text.alias("content"), F.sha2("content", 256).alias("hash"))
@@ -111,8 +113,8 @@ def assets_of(contents: DataFrame) -> DataFrame:
     sets = sets.select("catalog", F.array_join("dirs", "/").alias("set"), F.when(F.col("kind") == "imageset", "image").otherwise("color").alias("type"), F.regexp_replace(F.try_element_at("dirs", F.lit(-1)), r"\.[^.]*$", "").alias("stem"), above.alias("above"))
     prefix = sets.select("catalog", "set", F.posexplode("above").alias("i", "name"), F.col("above").alias("a")).select("catalog", "set", "i", "name", F.array_join(F.slice("a", F.lit(1), F.col("i") + 1), "/").alias("group"))
     named = prefix.join(groups, ["catalog", "group"], "left_semi").groupBy("catalog", "set").agg(F.array_sort(F.collect_list(F.struct("i", "name"))).alias("names"))
-    full = sets.join(named, ["catalog", "set"], "left").select("type", F.concat_ws("/", F.concat_ws("/", F.transform("names", lambda x: x["name"])), "stem").alias("name"))
-    return full.select("type", F.regexp_replace("name", "^/", "").alias("full_name")).distinct()
+    namespace = F.concat_ws("/", F.transform("names", lambda x: x["name"]))
+    return sets.join(named, ["catalog", "set"], "left").select("type", full_asset_name(F.col("stem"), namespace).alias("full_name")).distinct()
 
 
 def _shown(path: str):

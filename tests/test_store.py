@@ -244,3 +244,17 @@ def test_following_changes_equals_a_scan(spark, tmp_path):
     got = entries.select("path", F.inline("strings")).select(want.detected.columns)
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.detected.collect()))
     assert [(r.accessor, r.path) for r in scan.open_store(spark, store).open().read("references").collect()] == [("A.b", "b")]
+
+
+def test_the_simple_scan_looks_into_packages_and_ends_at_errors(spark, tmp_path):
+    (tmp_path / "Kit.framework").mkdir()
+    (tmp_path / ".build").mkdir()
+    for name in ("AView.swift", "Kit.framework/BView.swift", ".build/CView.swift"):
+        (tmp_path / name).write_text(f'let a = Text("Hello from {name[-11:-6]}")')
+    found = scan.facade(spark, str(tmp_path))["strings"].collect()
+    assert len(found) == 2
+    (tmp_path / "bad.swift").write_bytes(b"\xff\xfe")
+    with pytest.raises(scan.UnreadableSource, match="bad.swift"):
+        scan.facade(spark, str(tmp_path))
+    with pytest.raises(FileNotFoundError):
+        scan.facade(spark, f"{tmp_path}/nowhere")
