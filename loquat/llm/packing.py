@@ -9,7 +9,7 @@ sequences whose lengths are powers of two, which need no padding: nothing is pad
 
 Tasks pack independently, so there is no shuffle; ``sequence_id`` is unique, not dense.
 
-Defined cases: null or empty text is the end id alone; null or repeated ids are packed like others
+Defined cases: ids are integers (others are an error); null or empty text is the end id alone; null or repeated ids are packed like others
 (rows of equal id are separate documents); an empty table gives no pieces; other columns are dropped.
 """
 

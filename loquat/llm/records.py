@@ -9,7 +9,7 @@ rotation by 15 plus 0xA282EAD8, so that a checksum stored in checksummed data st
 integers), after a count: any record is read alone, in any order. A manifest table names the shards
 that count, so files of lost or repeated task attempts are never read.
 
-Defined cases: null or empty text is the end id alone; null document ids come first; equal ids are
+Defined cases: ids are integers (others are an error); null or empty text is the end id alone; null document ids come first; equal ids are
 ordered by text; an empty table gives no shards and an empty result; other columns are not stored.
 """
 

@@ -11,7 +11,7 @@ starts in a document with a smaller id; windows are judged on the input, never o
    A repeated window has counters of two or more in every row, so none is lost.
 3. Each block learns, a bit a window, whether a smaller id owns it elsewhere, and cuts its texts.
 
-Defined cases: null or empty text has no words; texts under ``size`` words are kept whole; a null id
+Defined cases: ids are integers (others are an error); null or empty text has no words; texts under ``size`` words are kept whole; a null id
 ranks after every id, and rows of equal id (or null) do not own windows of each other; repeated rows
 come out as often as they came in; other columns pass through (see ``columns`` for names that clash); an
 empty table gives an empty table.
