@@ -248,16 +248,16 @@ class UnreadableSource(OSError):
     pass
 
 
-def facade(spark: SparkSession, directory: str, minimum: float = 0.0) -> dict:
+def facade(spark: SparkSession, directory: str, minimum: float = 0.0, strict: bool = False) -> dict:
     """Strings of a whole directory with common values promoted and assets checked; no exclusions, no cache.
 
-    Packages are looked into, hidden files are not. A directory that is not there, and a file that is not UTF-8, are
-    errors. ``totals``: one row of counts. An asset that no catalog has is a warning at its reference."""
+    Packages are looked into, hidden files are not. A directory that is not there is an error; so is a file that is not
+    UTF-8 if ``strict``, else it is told. ``totals``: one row of counts. An asset that no catalog has is a warning at its reference."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(directory)
     if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
         raise FileNotFoundError(directory)
     files = stage.written(readers.files(spark, directory, packages=True), "files")
-    bad = readers.unreadable(files).orderBy("path").first()
+    bad = readers.unreadable(files).orderBy("path").first() if strict else None
     if bad is not None:
         raise UnreadableSource(bad["message"])
     scan = analyse(files, Config(minimum_confidence=minimum))

@@ -255,6 +255,7 @@ def test_the_simple_scan_looks_into_packages_and_ends_at_errors(spark, tmp_path)
     assert len(found) == 2
     (tmp_path / "bad.swift").write_bytes(b"\xff\xfe")
     with pytest.raises(scan.UnreadableSource, match="bad.swift"):
-        scan.facade(spark, str(tmp_path))
+        scan.facade(spark, str(tmp_path), strict=True)
+    assert scan.facade(spark, str(tmp_path))["strings"].count() == 2
     with pytest.raises(FileNotFoundError):
         scan.facade(spark, f"{tmp_path}/nowhere")
