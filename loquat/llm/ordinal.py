@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loquat.llm.columns import Carried
-from loquat.llm.text import Words, encode, lean, mix
+from loquat.llm.text import Words, encode, give_back, lean, mix
 
 BITS = 16
 _SHAPES = bytes(65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else b for b in range(256))
@@ -149,7 +149,11 @@ def train(df: DataFrame, ratings: DataFrame, text: str = "text", doc_id: str = "
     rows = joined.select("_id", "_grade", "_text").mapInArrow(lean(run), "id string, grade long, index binary, count binary")
     rows = rows.orderBy(F.xxhash64("id"), "id", "grade", "index", "count").limit(max_rows).toArrow()  # an id may be repeated
     rows = sorted(zip(*(rows[c].to_pylist() for c in ("id", "grade", "index", "count")), strict=True))
-    return fit([np.frombuffer(x[2], "<u4").astype(np.int64) for x in rows], [np.frombuffer(x[3], "<u4").astype(np.float64) for x in rows], np.array([x[1] for x in rows], np.int64), bits, **kw)
+    try:
+        return fit([np.frombuffer(x[2], "<u4").astype(np.int64) for x in rows], [np.frombuffer(x[3], "<u4").astype(np.float64) for x in rows], np.array([x[1] for x in rows], np.int64), bits, **kw)
+    finally:
+        rows = None
+        give_back()  # the sample is large beside what the driver holds otherwise
 
 
 def score(df: DataFrame, model: Ordinal, text: str = "text", grade: int = 1, least: float = 0.5) -> DataFrame:

@@ -41,7 +41,7 @@ from loquat.llm import storage
 from loquat.llm.columns import Carried
 from loquat.llm.exchange import join_parts, pack, pack_sorted, split_parts, unpack, unpack_sorted
 from loquat.llm.licenses import INSIDE
-from loquat.llm.text import Words, encode, lean, mix
+from loquat.llm.text import Words, encode, give_back, lean, mix
 
 #: Where counts of counts give no discount below the count.
 DISCOUNT = 0.75
@@ -319,6 +319,8 @@ def train(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
         x, y = _scored(sample, model)
     model.slope, model.offset, model.unit = curve(x, y, rates, prior_power)
     model.ranked = _ranked(x, y)
+    counts.clear()
+    give_back()  # the counts are large beside what the driver holds otherwise
     return model
 
 
