@@ -60,9 +60,7 @@ def form_files(spark: SparkSession, sf_dir: str, forms: list[tuple]) -> DataFram
     """One file a part type: a line a part, with its name in the form that its key falls on."""
     form = F.element_at(F.array(*(F.lit(f[0]) for f in forms)), (F.col("p_partkey") % len(forms)).cast("int") + 1)
     line = F.concat(F.lit("  "), F.replace(form, F.lit("@"), F.concat(F.lit('"'), "p_name", F.lit('"'))))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", line.alias("line")))), lambda x: x["line"]), "\n")
-    rows = Q.parts_by_type(spark, sf_dir).groupBy("p_type").agg(body.alias("body"))
-    return rows.select(F.concat("p_type", F.lit(".swift")).alias("path"), F.concat(F.lit("func show() {\n"), "body", F.lit("\n}\n")).alias("content"))
+    return Q.type_files(spark, sf_dir, line, F.lit("func show() {\n"), F.lit("}\n"), ".swift")
 
 
 def _forms_sql(forms: list[tuple]) -> str:

@@ -2,17 +2,22 @@
 
 Parsing is the only Python stage. Each file is tokenised once and every analysis is derived from its
 events by Catalyst expressions.
+
+``files`` have path and content; with a column ``piece`` (a number) a file is several rows, its content theirs in
+order, each up to a line end. Then a file of any length is read, and only as much is kept as a statement needs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loquat.sources.syntax import Node, parse
+from loquat.sources.lexer import Source
+from loquat.sources.syntax import Node, nodes
 
 ARGUMENT = "struct<label:string,kind:string,text:string,interpolated:boolean,line:int,col:int>"
 EVENTS = f"path string, pos int, kind string, callee_kind string, callee string, dotted string, arguments array<{ARGUMENT}>, line int, col int, type_name string, property_name string, function_name string, members array<string>"
@@ -21,19 +26,36 @@ _QUIET = {"nil", "bool", "number", "closure", "array", "dictionary", "key_path",
 
 
 def events(files: DataFrame) -> DataFrame:
-    """``files``: path, content (text). A row an event; ``pos`` orders the events of a file."""
-    return files.select("path", "content").mapInArrow(_rows(_file_events, _event_schema()), EVENTS)
+    """A row an event; ``pos`` orders the events of a file."""
+    return _by_file(files).mapInArrow(_rows(_read_events, _event_schema()), EVENTS)
 
 
 def accessors(files: DataFrame, root: str) -> DataFrame:
     """Parameterless ``String`` functions of generated code: in an enum, in an extension of ``root``."""
-    return files.select("path", "content").mapInArrow(_rows(lambda text: _accessors(text, root), _accessor_schema()), ACCESSORS)
+    return _by_file(files).mapInArrow(_rows(lambda pieces: _read_accessors(pieces, root), _accessor_schema()), ACCESSORS)
+
+
+def _by_file(files: DataFrame) -> DataFrame:
+    """path, content, and whether a row begins a file, the rows of a file behind one another."""
+    if "piece" not in files.columns:
+        return files.select("path", "content", F.lit(True).alias("first"))
+    # By range: few large files do not meet in a partition while others have none.
+    dealt = files.repartitionByRange(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path").sortWithinPartitions("path", "piece")
+    return dealt.select("path", "content", F.lit(False).alias("first"))
 
 
 def ignored_lines(files: DataFrame, marker: str) -> DataFrame:
     """(path, line) of every line that holds the marker: no parsing, no Python."""
-    lines = files.select("path", F.posexplode(F.split("content", "\n")).alias("i", "text"))
-    return lines.where(F.col("text").contains(marker)).select("path", (F.col("i") + 1).alias("line"))
+    if "piece" not in files.columns:
+        lines = files.select("path", F.posexplode(F.split("content", "\n")).alias("i", "text"))
+        return lines.where(F.col("text").contains(marker)).select("path", (F.col("i") + 1).alias("line"))
+    # What goes before a piece is a number a piece.
+    sizes = files.select("path", "piece", (F.length("content") - F.length(F.replace("content", F.lit("\n")))).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("path").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("path", "piece", F.coalesce(before, F.lit(0)).cast("int").alias("_before"))
+    found = files.where(F.contains("content", F.lit(marker))).select("path", "piece", F.posexplode(F.split("content", "\n")).alias("i", "text"))
+    found = found.where(F.col("text").contains(marker)).select("path", "piece", "i")
+    return found.join(starts, ["path", "piece"]).select("path", (F.col("i") + F.col("_before") + 1).alias("line"))
 
 
 def _event_schema() -> pa.Schema:
@@ -48,21 +70,56 @@ def _accessor_schema() -> pa.Schema:
 
 def _rows(read, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                out += [{"path": path, **x} for x in read(content or "")]
+        out = []
+        for path, pieces in _files(batches):
+            for row in read(pieces):
+                row["path"] = path
+                out.append(row)
                 if len(out) >= 5000:
                     yield pa.RecordBatch.from_pylist(out, schema)
                     out = []
-            yield pa.RecordBatch.from_pylist(out, schema)
+        yield pa.RecordBatch.from_pylist(out, schema)
 
     return run
 
 
+def _files(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Iterator[str]]]:
+    """Each file with its pieces, one of which is a string at a time."""
+    rows = ((batch, i) for batch in batches for i in range(batch.num_rows))
+    number, last = -1, None
+
+    def numbered():
+        nonlocal number, last
+        for batch, i in rows:
+            path = batch.column("path")[i].as_py()
+            number, last = number + (number < 0 or path != last or batch.column("first")[i].as_py()), path
+            yield number, path, batch.column("content"), i
+
+    for (_, path), found in groupby(numbered(), lambda x: x[:2]):
+        yield path, (column[i].as_py() or "" for _, _, column, i in found)
+
+
 def _file_events(text: str) -> list[dict]:
-    source, tree = parse(text)
-    found: list[dict] = []
+    return list(_read_events([text]))
+
+
+def _inside(node: Node, scope: tuple) -> tuple | None:
+    """The scope (type, property, function) in a node's body; static variables are told by all of their bindings, so they come whole."""
+    return None if node.kind == "variable" and node.static else _scoped(node, scope)
+
+
+def _scoped(node: Node, scope: tuple) -> tuple:
+    if node.kind == "type" and node.name:
+        return (node.name, *scope[1:])
+    if node.kind == "function" and node.name:
+        return (*scope[:2], node.name)
+    if node.kind == "variable":
+        return (scope[0], node.bindings[0][0] or scope[1], scope[2])
+    return scope
+
+
+def _read_events(pieces: Iterable[str]) -> Iterator[dict]:
+    source, found, count = Source(pieces), [], 0
 
     def where(node: Node) -> dict:
         line, col = source.position(node.start)
@@ -70,13 +127,15 @@ def _file_events(text: str) -> list[dict]:
 
     def argument(label: str | None, node: Node) -> dict:
         kind = node.kind if node.kind in _QUIET else "other"
-        value = node.name if kind == "string" else text[node.start : node.end].strip()
+        value = node.name if kind == "string" else source.between(node.start, node.end).strip()
         return {"label": label, "kind": kind, "text": value, "interpolated": node.interpolated, **where(node)}
 
     def emit(kind: str, node: Node, scope: tuple, members: tuple, **more) -> None:
-        row = {"pos": len(found), "kind": kind, "callee_kind": None, "callee": None, "dotted": None, "arguments": [], **where(node)}
+        nonlocal count
+        row = {"pos": count, "kind": kind, "callee_kind": None, "callee": None, "dotted": None, "arguments": [], **where(node)}
         row |= {"type_name": scope[0], "property_name": scope[1], "function_name": scope[2], "members": list(members)}
         found.append(row | more)
+        count += 1
 
     def walk(node: Node, scope: tuple, members: tuple, parent: str) -> None:
         """``members``: names of the member accesses above, within the statement; ``parent``: what the node hangs on."""
@@ -94,15 +153,11 @@ def _file_events(text: str) -> list[dict]:
                 walk(node.base, scope, (*members, node.name), "member")
         elif node.kind == "item":
             members = ()
-        elif node.kind == "type" and node.name:
-            scope = (node.name, *scope[1:])
-        elif node.kind == "function" and node.name:
-            scope = (*scope[:2], node.name)
-        elif node.kind == "variable":
+        elif node.kind in ("type", "function", "variable"):
             for name, value in node.bindings if node.static else ():
                 if value is not None and value.kind == "string":
                     emit("static", node, scope, members, callee=name, arguments=[argument(None, value)])
-            scope = (scope[0], node.bindings[0][0] or scope[1], scope[2])
+            scope = _scoped(node, scope)
         elif node.kind == "sequence":
             parts = node.children
             if len(parts) == 3 and parts[1].kind == "operator" and parts[1].name == "=" and parts[2].kind == "string" and parts[0].kind in ("name", "member"):
@@ -110,8 +165,10 @@ def _file_events(text: str) -> list[dict]:
         for child in node.children:
             walk(child, scope, members, node.kind if node.kind != "call" else "closure")
 
-    walk(tree, (None, None, None), (), "")
-    return found
+    for node, scope in nodes(source, (None, None, None), _inside):
+        walk(node, scope, (), "block")
+        yield from found
+        found.clear()
 
 
 def dotted(node: Node) -> str:
@@ -125,15 +182,23 @@ def dotted(node: Node) -> str:
 
 
 def _accessors(text: str, root: str) -> list[dict]:
-    _, tree = parse(text)
+    return list(_read_accessors([text], root))
+
+
+def _read_accessors(pieces: Iterable[str], root: str) -> Iterator[dict]:
     found: list[dict] = []
 
-    def walk(node: Node, extended: str | None, enum: tuple[str, str] | None) -> None:
-        if node.kind == "type":
-            if node.returns == "extension":
-                extended = node.name
-            elif node.returns == "enum":
-                enum = (node.name, extended)
+    def scoped(node: Node, scope: tuple) -> tuple:
+        """What is extended, and the enum around, with what is extended there."""
+        if node.kind == "type" and node.returns == "extension":
+            return node.name, scope[1]
+        if node.kind == "type" and node.returns == "enum":
+            return scope[0], (node.name, scope[0])
+        return scope
+
+    def walk(node: Node, scope: tuple) -> None:
+        scope = scoped(node, scope)
+        enum = scope[1]
         if node.kind == "function" and enum and enum[1] == root and not node.parameters and node.returns == "String" and node.children:
             body = node.children[-1]
             first = body.children[0].children if body.kind == "block" and body.children else []
@@ -142,7 +207,10 @@ def _accessors(text: str, root: str) -> list[dict]:
                 if "localized" in literal:
                     found.append({"namespace": enum[0], "func_name": node.name.strip("`"), "escaped_value": literal["localized"], "escaped_comment": literal.get("comment", "")})
         for child in node.children:
-            walk(child, extended, enum)
+            walk(child, scope)
 
-    walk(tree, None, None)
-    return found
+    # Functions are what is looked for, so they come whole.
+    for node, scope in nodes(Source(pieces), (None, None), lambda node, scope: None if node.kind == "function" else scoped(node, scope)):
+        walk(node, scope)
+        yield from found
+        found.clear()

@@ -1,3 +1,4 @@
+from loquat.sources import extract
 from loquat.sources.extract import _accessors, _file_events
 
 
@@ -57,3 +58,47 @@ def test_broken_source_still_has_a_result():
 def test_generated_accessors():
     text = 'extension i18n {\n enum Home {\n static func `return`() -> String {\n String(localized: "Go", comment: "c") }\n static func n(x: Int) -> String { String(localized: "no") } } }\nextension Other { enum Home { static func z() -> String { String(localized: "no") } } }'
     assert _accessors(text, "i18n") == [{"namespace": "Home", "func_name": "return", "escaped_value": "Go", "escaped_comment": "c"}]
+
+
+def test_a_text_in_pieces_has_the_same_events(monkeypatch):
+    import random
+
+    from loquat.sources import lexer
+
+    rng = random.Random(3)
+    words = ["struct A {", "var b: some View {", "static let s = ", '"a"', 'Text("q \\(x("y"))")', '"""\n z\n"""', "/* c\n */", "// c", "}", "{", "(", ")", "if x {", ".m", "é", "let c = ", "func f() {", "\r\n", '"open', "👍", "="]
+    for _ in range(300):
+        lines = ["".join(rng.choice(words) + rng.choice([" ", "\n"]) for _ in range(rng.randrange(1, 9))) + "\n" for _ in range(rng.randrange(1, 30))]
+        want = _file_events("".join(lines))
+        monkeypatch.setattr(lexer, "_READ", rng.choice([1, 7, 60]))
+        assert list(extract._read_events(lines)) == want
+        monkeypatch.undo()
+
+
+def test_memory_does_not_grow_with_a_file(monkeypatch):
+    import itertools
+    import tracemalloc
+
+    from loquat.sources import lexer
+
+    monkeypatch.setattr(lexer, "_READ", 1 << 12)
+
+    def peak(lines):
+        pieces = itertools.chain(["struct A: View { var body: some View {\n"], ('Text("some text") // c\n' * 500 for _ in range(lines // 500)), ["} }\n"])
+        tracemalloc.start()
+        n = sum(1 for _ in extract._read_events(pieces))
+        top = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return n, top
+
+    (few, low), (many, high) = peak(4_000), peak(12_000)
+    assert (few, many) == (4_000, 12_000) and high < 1.2 * low
+
+
+def test_files_in_pieces(spark):
+    """Many rows of several files, dealt anyhow: events and marked lines are those of the whole files."""
+    lines = {f"f{k}": [f'let a{i} = Text("t{i}")' + (" // skip" if i % 7 == k else "") + "\n" for i in range(40 + k)] for k in range(3)}
+    whole = spark.createDataFrame([(p, "".join(x)) for p, x in lines.items()], "path string, content string")
+    pieces = spark.createDataFrame([(p, i // 3, "".join(x[i : i + 3])) for p, x in lines.items() for i in range(0, len(x), 3)], "path string, piece long, content string").orderBy("content")
+    for read in (extract.events, lambda files: extract.ignored_lines(files, "skip")):
+        assert sorted(map(repr, read(pieces).collect())) == sorted(map(repr, read(whole).collect()))
