@@ -178,7 +178,7 @@ def strings_file_text(spark, sf_dir):
     """The whole generated file of accessors, as one text."""
     size = F.col("p_size").cast("string")
     rows = Q.table(spark, sf_dir, "part").select(F.when(F.col("p_size") == 1, "Common").otherwise(F.concat(F.lit("N"), size)).alias("namespace"), F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("func_name"), F.col("p_name").alias("escaped_value"), F.lit("c").alias("escaped_comment"), F.lit(0).alias("part"), F.col("p_partkey").alias("pos"))
-    return spark.createDataFrame([(codegen.strings_file(rows),)], "text string")
+    return codegen.strings_text(rows)
 
 
 def _entry_sql(kind: str, view: str, name: str, table: str) -> str:
