@@ -81,10 +81,18 @@ def analyse(files: DataFrame, config: Config = Config(), extra_rules: list[tuple
     return Scan(files, D.detected(findings), diagnostics.unionByName(unread), existing, events=events)
 
 
+#: Positions in a file whose results are one row of the cache: a file of many events has several.
+PER_ROW = 10_000
+
+
+def _row_number():
+    return F.floor(F.coalesce("pos", F.lit(0)) / PER_ROW).alias("_row")
+
+
 def _nested(rows: DataFrame, name: str) -> DataFrame:
-    """A row a path with its rows as the cache's array of that name."""
+    """A row a path and range of positions with its rows as the cache's array of that name."""
     fields = next(f.dataType.elementType.fieldNames() for f in _parsed(CACHE) if f.name == name)
-    return rows.groupBy("path").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias(name))
+    return rows.groupBy("path", _row_number()).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias(name))
 
 
 def _parsed(schema: str):
@@ -93,10 +101,15 @@ def _parsed(schema: str):
 
 def cache_entries(files: DataFrame, scan: Scan, version: str) -> DataFrame:
     """The cache's rows of freshly analysed files."""
-    entries = files.select("path", "hash", F.lit(version).alias("version"))
-    for name, rows in (("strings", scan.detected), ("diagnostics", scan.diagnostics), ("existing", scan.existing)):
+    entries = files.select("path", "hash", F.lit(version).alias("version")).distinct()
+    results = (("strings", scan.detected), ("diagnostics", scan.diagnostics), ("existing", scan.existing))
+    numbers = entries.select("path", F.lit(0).cast("long").alias("_row"))
+    for _, rows in results:
+        numbers = numbers.unionByName(rows.select("path", _row_number()))
+    entries = entries.join(numbers.distinct(), "path")
+    for name, rows in results:
         kind = next(f.dataType for f in _parsed(CACHE) if f.name == name)
-        entries = entries.join(_nested(rows, name), "path", "left").withColumn(name, F.coalesce(name, F.array().cast(kind)))
+        entries = entries.join(_nested(rows, name), ["path", "_row"], "left").withColumn(name, F.coalesce(name, F.array().cast(kind)))
     return entries.select(*(f.name for f in _parsed(CACHE)))
 
 
@@ -116,7 +129,7 @@ def analyse_incrementally(files: DataFrame, config: Config, cache: DataFrame) ->
     whole = A.updated_cache(cache, entries, files)
     rows = stage.written(hits.unionByName(entries).join(files.select("path").distinct(), "path", "left_semi"), "replayed")
     # References to generated accessors may be in any file, parsed again or not: only those of parsed ones are events.
-    return _replayed(files, rows, fresh, cache=whole, cache_hits=hits.count(), stale=A.stale_entries(files, cache).count(), events=fresh.events)
+    return _replayed(files, rows, fresh, cache=whole, cache_hits=hits.select("path").distinct().count(), stale=A.stale_entries(files, cache).select("path").distinct().count(), events=fresh.events)
 
 
 def open_store(spark: SparkSession, path: str) -> Store:
@@ -141,7 +154,7 @@ def analyse_with_store(files: DataFrame, config: Config, store: Store, roots: tu
     spark, version = files.sparkSession, fingerprint(config, roots, filters)
     files = stage.written(files, "files")
     current = files.select("path", "hash").distinct()
-    known = store.read("entries").select("path", "hash", "version")  # narrow: the results themselves stay where they are
+    known = store.read("entries").select("path", "hash", "version").distinct()  # narrow: the results themselves stay where they are
     same = known.where(F.col("version") == version).select("path", "hash")
     misses = stage.written(files.join(same, ["path", "hash"], "left_anti"), "misses")
     if removed is None:

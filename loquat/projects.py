@@ -274,9 +274,11 @@ def string_catalog_tree(spark, sf_dir):
 @query(f"WITH {Q._LINES_SQL}, {Q._FOUND_SQL}, h AS (SELECT count(DISTINCT path) AS hits FROM g WHERE left(path, 1) < 'M') SELECT path, line, value, context, round({Q.sql_score(Q.sql_trim('t'), 'base')}, 6) AS confidence, hits, 1::BIGINT AS stale FROM x, h WHERE k < 3 AND {Q.sql_reason('t')} IS NULL")
 def replayed_strings(spark, sf_dir):
     """A scan whose cache knows some of the files, and one that is gone: the same strings as without it."""
-    files = stage.written(Q.sources(spark, sf_dir).withColumn("hash", F.sha2(F.col("content").cast("binary"), 256)), "files")
+    pieces = stage.written(Q.sources(spark, sf_dir), "pieces")
+    one = pieces.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("piece", F.sha2(F.col("content").cast("binary"), 256).alias("hash")))).alias("hashes"))
+    files = pieces.join(one.select("path", F.sha2(F.array_join("hashes.hash", "").cast("binary"), 256).alias("hash")), "path")
     settings = Config(minimum_confidence=0.0)
-    empty, gone = spark.createDataFrame([], scan.CACHE), spark.createDataFrame([("gone.swift", 'let a = Text("Gone")', "0")], "path string, content string, hash string")
+    empty, gone = spark.createDataFrame([], scan.CACHE), spark.createDataFrame([("gone.swift", 0, 'let a = Text("Gone")', "0")], "path string, piece long, content string, hash string")
     known = stage.written(scan.analyse_incrementally(files.where("path < 'M'").unionByName(gone), settings, empty).cache, "cache")
     again = scan.analyse_incrementally(files, settings, known)
     return again.detected.where("NOT has_interpolation").select("path", "line", "value", "context", F.round("confidence", 6).alias("confidence"), F.lit(again.cache_hits).cast("long").alias("hits"), F.lit(again.stale).cast("long").alias("stale"))

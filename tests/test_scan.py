@@ -245,3 +245,17 @@ def test_a_cache_that_cannot_be_written_is_a_warning(spark, project, tmp_path):
     conf = dataclasses.replace(CONFIG, exclude=("Generated",), incremental=True)
     out = scan.run(spark, conf, str(project), f"file://{tmp_path}/file/cache")
     assert out["detected"].count() == 6 and any(r.kind == "cache" and r.severity == "warning" for r in out["diagnostics"].collect())
+
+
+def test_a_file_of_many_events_has_several_rows_in_the_cache(spark, monkeypatch):
+    """replayed_strings: no row of the cache grows with a file, which comes in pieces; hits and stale files are counted once."""
+    monkeypatch.setattr(scan, "PER_ROW", 5)
+    lines = [f'let a{i} = Text("Some text {i}")\n' for i in range(23)]
+    rows = [("a.swift", i, x, "1") for i, x in enumerate(lines)] + [("b.swift", 0, 'let b = Text("Other text")\n', "2")]
+    files = spark.createDataFrame(rows, "path string, piece long, content string, hash string")
+    settings = config.Config(minimum_confidence=0.0)
+    first = scan.analyse_incrementally(files, settings, spark.createDataFrame([], scan.CACHE))
+    sizes = {(r.path, len(r.strings)) for r in first.cache.collect()}
+    assert sizes == {("a.swift", 5), ("a.swift", 3), ("b.swift", 1)} and first.cache.count() == 6
+    again = scan.analyse_incrementally(files.where("path = 'a.swift'"), settings, first.cache)
+    assert (again.cache_hits, again.stale) == (1, 1) and again.detected.count() == 23 and again.detected.select("pos").distinct().count() == 23
