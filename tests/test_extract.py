@@ -102,3 +102,24 @@ def test_files_in_pieces(spark):
     pieces = spark.createDataFrame([(p, i // 3, "".join(x[i : i + 3])) for p, x in lines.items() for i in range(0, len(x), 3)], "path string, piece long, content string").orderBy("content")
     for read in (extract.events, lambda files: extract.ignored_lines(files, "skip")):
         assert sorted(map(repr, read(pieces).collect())) == sorted(map(repr, read(whole).collect()))
+
+
+def test_what_is_skipped_takes_no_step_of_its_own():
+    from loquat.sources import lexer
+
+    text = 'a  // c\n\n  /* d */ ("b")\t+ 1\n'
+    steps = [token and token.text for token, _ in lexer._scan(text, 0, len(text), True, True, True)]
+    assert steps == ["a", "(", "b", ")", "+", "1", None]
+    # A comment's second sign behind the end: nothing is left of it.
+    assert [t and t.text for t, _ in lexer._scan("a /* b", 0, 3, True, True, True)] == ["a", None]
+
+
+def test_cycles_are_not_looked_for_while_files_are_read():
+    import gc
+
+    import pyarrow as pa
+
+    seen = []
+    run = extract._rows(lambda pieces: iter([{"path": None} for _ in pieces if seen.append(gc.isenabled()) is None]), pa.schema([("path", pa.string())]))
+    batch = pa.RecordBatch.from_pydict({"path": ["x"], "content": ["c"], "first": [True]})
+    assert [b.num_rows for b in run(iter([batch]))] == [1] and seen == [False] and gc.isenabled()
