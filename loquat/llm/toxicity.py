@@ -5,13 +5,15 @@ Three models are counted: one a class, and one of both classes' counts together.
 Kneser-Ney: P(w | v) = (c(v w) - D(c)) / c(v) + left(v) Q(w), with left(v) exactly what discounting took, and Q(w)
 likewise from the distinct words before w, over one further type for all unseen words. Discounts of counts one, two, and
 three or more come from counts of counts (Chen and Goodman) and lie between nothing and the count; where the counts give none such, 0.75.
-No bigram is left out. A class's probability is the shared one for the most part, with small weights
+No bigram is left out. A class's probability is the shared one in part, with weights
 (``OWN``) of the class's own model P and of its own back-off counts Q: an expression that is rare in both classes counts by
 the shared counts for both, and what the own counts say of it only shows where they say it much more often. That
 matters where one class is small: its own model alone is surprised by most words of any text. Bigrams are mostly
 met once, which says less than a word met often: hence the smaller weight.
 
-A text's score compares both log-likelihoods, divided by its length, through a logistic curve. The curve is fitted on scores
+A text is toxic by a few of its words, and the rest of it says nothing: over a long text, what chance makes of some thousand ordinary words
+outweighs them. So a word counts by how much likelier the toxic class makes it, less a ``MARGIN``, and not at all below that: what is
+usual in a text takes nothing back from an insult. A text's score is the sum of this, divided by its length, through a logistic curve. The curve is fitted on scores
 of the sample's texts by models that were counted without them (``folds`` parts), each class weighing
 the root of its share of all labelled rows.
 
@@ -46,7 +48,9 @@ from loquat.llm.text import Words, encode, give_back, lean, mix
 #: Where counts of counts give no discount below the count.
 DISCOUNT = 0.75
 #: Weights of a class's own bigram model, and of its own back-off counts, beside the shared model.
-OWN = (0.001, 0.01)
+OWN = (0.1, 0.5)
+#: Of a word's log-likelihood ratio, what chance may make of it.
+MARGIN = 0.5
 #: Added to lengths, so that a few words are little evidence.
 PRIOR_TOKENS = 20
 FOLDS = 4
@@ -159,7 +163,11 @@ class Model:
 
     def likelihoods(self, words: Words) -> np.ndarray:
         """Log-likelihood of each text by class, a row each."""
-        out = np.zeros((2, len(words.counts)))
+        return self.told(words)[:2]
+
+    def told(self, words: Words) -> np.ndarray:
+        """Likelihoods, and as a third row what a text's words say beyond ``MARGIN`` for class 1."""
+        out = np.zeros((3, len(words.counts)))
         if not len(words.hashes) or not len(self.word):
             return out
         before = words_before(words)
@@ -169,22 +177,25 @@ class Model:
         at, found = _places(self.before, before)
         backed = q * np.where(found, self.left[:, at], 1.0)
         pairs, singles, rest = *self.own, 1 - sum(self.own)
+        more = np.full(len(words.hashes), -MARGIN)
         at, found = _places(self.pair, pair_key(before, words.hashes))
         for c in (0, 1):
             p = np.where(found, self.p_pair[c, at], 0) + pairs * backed[c] + singles * q[c] + rest * backed[2]
-            out[c] = np.bincount(text, weights=np.log(p), minlength=len(words.counts))
+            p = np.log(p)
+            more += p if c else -p
+            out[c] = np.bincount(text, weights=p, minlength=len(words.counts))
+        out[2] = np.bincount(text, weights=np.maximum(more, 0), minlength=len(words.counts))
         return out
 
     def ratios(self, words: Words) -> np.ndarray:
-        like = self.likelihoods(words)
-        return (like[1] - like[0]) / (words.counts + PRIOR_TOKENS)
+        return self.told(words)[2] / (words.counts + PRIOR_TOKENS)
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(score, log-likelihoods by class, words)"""
         words = hashed(texts)
-        like = self.likelihoods(words)
-        x = self.slope * np.arcsinh((like[1] - like[0]) / (words.counts + PRIOR_TOKENS) / self.unit) + self.offset
-        return 1 / (1 + np.exp(-np.clip(x, -500, 500))), like, words.counts
+        like = self.told(words)
+        x = self.slope * np.arcsinh(like[2] / (words.counts + PRIOR_TOKENS) / self.unit) + self.offset
+        return 1 / (1 + np.exp(-np.clip(x, -500, 500))), like[:2], words.counts
 
 
 def _places(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -238,7 +249,7 @@ def curve(x: np.ndarray, y: np.ndarray, rates: tuple[int, int], prior_power: flo
     Ratios go in as inverse hyperbolic sines: large ones, of very short texts, do not bend the curve."""
     n = np.bincount(y, minlength=2)
     weight = np.array([rates[k] ** prior_power / n[k] for k in (0, 1)])[y]
-    unit = float(np.median(np.abs(x))) or 1.0
+    unit = float(np.median(np.abs(x[x != 0]))) if x.any() else 1.0
     return *calibrate(np.arcsinh(x / unit), y.astype(float), weight * len(y) / weight.sum()), unit
 
 
@@ -286,7 +297,7 @@ def _counted(sample: DataFrame) -> dict[tuple[int, int], Counts]:
 
 
 def _scored(sample: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """(length-normalised log ratio, class) of sampled texts."""
+    """(length-normalised evidence, class) of sampled texts."""
     shared = sample.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -168,3 +168,13 @@ def test_words_and_shapes_are_features():
         counted[k] = set(every.tolist())
     assert len(counted[0] & counted[2]) >= 4  # words and repeats are told without case
     assert counted[0] != counted[1]
+
+
+def test_many_ordinary_words_do_not_outweigh_a_toxic_one():
+    rng = np.random.default_rng(5)
+    usual = lambda n: " ".join(f"w{i}" for i in rng.zipf(1.3, n) % 3000)
+    texts = [[usual(60) for _ in range(200)], [f"{usual(30)} idiot {usual(30)}" for _ in range(20)]]
+    model = toxicity.estimate([toxicity.Counts.of(toxicity.hashed(t)) for t in texts])
+    clean, toxic = [usual(3000) for _ in range(40)], [" ".join(f"{usual(1500)} idiot" for _ in range(2)) for _ in range(40)]
+    x = model.ratios(toxicity.hashed(clean + toxic))
+    assert toxicity._ranked(x, np.repeat([0, 1], 40)) > 0.9
