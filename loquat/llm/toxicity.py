@@ -291,9 +291,16 @@ def _counted(sample: DataFrame) -> dict[tuple[int, int], Counts]:
             yield pa.RecordBatch.from_arrays([pa.array([y], pa.int32()), pa.array([fold], pa.int32()), pa.array([one.packed()], pa.binary())], names=["_y", "_fold", "_counts"])
 
     out: dict[tuple[int, int], list[Counts]] = {}
-    for row in sample.mapInArrow(lean(run), "_y int, _fold int, _counts binary").toArrow().to_pylist():
-        out.setdefault((row["_y"], row["_fold"]), []).append(Counts.unpacked(row["_counts"]))
-    return {k: Counts.merged([(c.before, c.word, c.n) for c in v]) for k, v in out.items()}
+    sums: dict[tuple[int, int], Counts] = {}
+    table = sample.mapInArrow(lean(run), "_y int, _fold int, _counts binary").toArrow()
+    for y, fold, raw in zip(*(table.column(c) for c in ("_y", "_fold", "_counts")), strict=True):
+        out.setdefault((y.as_py(), fold.as_py()), []).append(Counts.unpacked(raw.as_py()))
+    del table
+    for k, v in out.items():  # one by one, so that parts and sums are not held twice
+        sums[k] = Counts.merged([(c.before, c.word, c.n) for c in v])
+        v.clear()
+    give_back()
+    return sums
 
 
 def _scored(sample: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
@@ -319,12 +326,15 @@ def train(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     both = lambda out=None: [Counts.merged([(c.before, c.word, c.n) for (y, f), c in counts.items() if y == k and f != out]) for k in (0, 1)]
     if {y for y, _ in counts} != {0, 1}:
         return constant(rates[1] / max(1, sum(rates)))
-    model = estimate(both(), own)
     held = []
     for fold in sorted({f for _, f in counts}):
         rest = both(fold)
         if all(len(c.n) for c in rest):
             held.append(_scored(sample.where(F.col("_fold") == fold), estimate(rest, own)))
+        del rest
+        give_back()
+    # Last, so that it isn't held beside the others.
+    model = estimate(both(), own)
     x, y = (np.concatenate(v) for v in zip(*held, strict=True)) if held else (np.empty(0), np.empty(0, np.int64))
     if len(set(y.tolist())) < 2:
         x, y = _scored(sample, model)
