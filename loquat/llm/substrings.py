@@ -36,6 +36,8 @@ from loquat.llm.text import Words, decode, encode, mix
 ROWS = 2
 #: Counters of a row for each window.
 WIDTH = 16
+#: Windows whose counters are made or looked up at a time.
+_STEP = 1 << 16
 _NULL_ID = np.iinfo(np.int64).max
 _PIECE = re.compile(rb"[\x20\x09-\x0d]*[^\x20\x09-\x0d]+")
 
@@ -60,28 +62,53 @@ def dedup_substrings(df: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 
 class _Windows:
-    """Window hashes and row numbers of a block."""
+    """Window hashes and row numbers of a block. A block is held several times over in such arrays: no more is kept than is asked for."""
 
     def __init__(self, rows: pa.Table, text: str, size: int):
-        self.words = Words.of([encode(x) for x in rows[text].to_pylist()])
-        self.start, self.per_row = self.words.window_starts(size)
-        self.h1, self.h2 = self.words.runs(self.start, size, 11), self.words.runs(self.start, size, 12)
-        self.row = np.repeat(np.arange(rows.num_rows), self.per_row)
+        words = Words.of([encode(x) for x in rows[text].to_pylist()])
+        self.n_words, self.first = words.counts, words.first
+        start, self.per_row = words.window_starts(size)
+        self.h1, self.h2 = words.runs(start, size, 11), words.runs(start, size, 12)
+
+    def rows_of(self, at: np.ndarray) -> np.ndarray:
+        """The row of each window (in order)."""
+        return np.searchsorted(np.cumsum(self.per_row), at, side="right")
+
+    def starts_of(self, at: np.ndarray) -> np.ndarray:
+        """The first word of each window (in order)."""
+        row = self.rows_of(at)
+        return at + (self.first - (np.cumsum(self.per_row) - self.per_row))[row]
 
     def cells(self, row: int, total: int) -> np.ndarray:
         """The counter of each window in a row of the sketch."""
-        h = self.h1 if row == 0 else mix(self.h1 ^ self.h2)
-        return ((h >> np.uint64(32)).astype(np.float64) * (total / 2**32)).astype(np.uint64) if total < 2**31 else h % np.uint64(total)
+        out = np.empty(len(self.h1), np.uint32 if total < 2**31 else np.uint64)
+        for i in range(0, len(out), _STEP):
+            at = slice(i, i + _STEP)
+            h = self.h1[at] if row == 0 else mix(self.h1[at] ^ self.h2[at])
+            out[at] = (h >> np.uint64(32)).astype(np.float64) * (total / 2**32) if total < 2**31 else h % np.uint64(total)
+        return out
+
 
+def _sorted_cells(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct counters in order, and which of them occur several times; ``cells`` is sorted in place."""
+    cells.sort()
+    new = np.ones(len(cells), bool)
+    new[1:] = cells[1:] != cells[:-1]
+    many = ~np.r_[new[1:], np.ones(min(1, len(new)), bool)]
+    return cells[new], many[new]
 
-def _sorted_cells(w: _Windows, row: int, total: int) -> tuple[np.ndarray, np.ndarray]:
-    cells = np.sort(w.cells(row, total))
-    new = np.flatnonzero(np.diff(cells, prepend=np.uint64(2**64 - 1)))
-    return cells[new], np.diff(new, append=len(cells)) > 1
+
+def _among(values: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Whether each of ``x`` is one of the sorted values."""
+    out = np.zeros(len(x), bool)
+    for i in range(0, len(x) if len(values) else 0, _STEP):
+        some = x[i : i + _STEP]
+        out[i : i + _STEP] = values[np.minimum(np.searchsorted(values, some), len(values) - 1)] == some
+    return out
 
 
 def _ranges(cells: np.ndarray, shards: int, width: int) -> Iterator[tuple[int, slice]]:
-    cuts = np.searchsorted(cells, np.arange(shards + 1, dtype=np.uint64) * np.uint64(width))
+    cuts = np.searchsorted(cells, (np.arange(shards + 1, dtype=np.uint64) * np.uint64(width)).astype(cells.dtype))
     for s in range(shards):
         if cuts[s + 1] > cuts[s]:
             yield s, slice(cuts[s], cuts[s + 1])
@@ -93,9 +120,9 @@ def _count(text: str, size: int, shards: int, width: int):
     def ask(rows: pa.Table) -> Iterator[tuple[int, bytes]]:
         w = _Windows(rows, text, size)
         for row in range(ROWS):
-            cells, many = _sorted_cells(w, row, shards * width)
+            cells, many = _sorted_cells(w.cells(row, shards * width))
             for s, at in _ranges(cells, shards, width):
-                yield row * shards + s, X.join_parts(X.pack_sorted(cells[at] - np.uint64(s * width)), X.pack(np.packbits(many[at])))
+                yield row * shards + s, X.join_parts(X.pack_sorted(cells[at].astype(np.uint64) - np.uint64(s * width)), X.pack(np.packbits(many[at])))
 
     return ask
 
@@ -122,16 +149,12 @@ class _Candidates:
     def __init__(self, w: _Windows, rows: pa.Table, doc_id: str, answers: dict[int, bytes], shards: int, width: int):
         maybe = np.ones(len(w.h1), bool)
         for row in range(ROWS):
-            cells, _ = _sorted_cells(w, row, shards * width)
+            cells, _ = _sorted_cells(w.cells(row, shards * width))
             flags = np.zeros(len(cells), bool)
             for s, at in _ranges(cells, shards, width):
                 flags[at] = np.unpackbits(X.unpack(answers[row * shards + s]), count=at.stop - at.start)
-            repeated = cells[flags]
-            if not len(repeated):
-                maybe[:] = False
-                break
-            cells = w.cells(row, shards * width)
-            maybe &= repeated[np.minimum(np.searchsorted(repeated, cells), len(repeated) - 1)] == cells
+            cells = cells[flags]
+            maybe &= _among(cells, w.cells(row, shards * width))
         self.at = np.flatnonzero(maybe)
         h1, h2 = w.h1[self.at], w.h2[self.at]
         order = np.lexsort((h2, h1))
@@ -142,7 +165,7 @@ class _Candidates:
         self.key[order] = np.cumsum(new) - 1
         self.h1, self.h2 = h1[new], h2[new]
         ids = np.array([_NULL_ID if x is None else x for x in rows[doc_id].to_pylist()], np.int64)
-        self.ids = ids[w.row[self.at]]
+        self.ids = ids[w.rows_of(self.at)]
         self.least = np.full(len(self.h1), _NULL_ID, np.int64)
         np.minimum.at(self.least, self.key, self.ids)
 
@@ -182,12 +205,15 @@ def _cut(text: str, doc_id: str, size: int, shards: int, width: int, cleaned: bo
         smaller = np.zeros(len(c.h1), bool)
         for s, at in X.slices(c.h1, shards):
             smaller[at] = np.unpackbits(X.unpack(answers[ROWS * shards + s]), count=at.stop - at.start)
-        starts = w.start[c.at[smaller[c.key] | (c.ids > c.least[c.key])]]
-        edges = np.bincount(starts, minlength=len(w.words.hashes) + 1) - np.bincount(starts + size, minlength=len(w.words.hashes) + 1)
-        gone = np.cumsum(edges[:-1]) > 0
-        n_words, first = w.words.counts, w.words.first
-        below = np.r_[0, np.cumsum(gone)]
-        n_removed = below[first + n_words] - below[first]
+        starts = w.starts_of(c.at[smaller[c.key] | (c.ids > c.least[c.key])])
+        n_words, first = w.n_words, w.first
+        del w, c  # what follows needs the texts and a bit a word
+        gone = np.zeros(int(n_words.sum()), bool)
+        for start in _runs_of(starts, size):
+            gone[start] = True
+        below = np.r_[0, np.cumsum(gone, dtype=np.int32)]
+        n_removed = (below[first + n_words] - below[first]).astype(np.int64)
+        del below
         for i in range(0, rows.num_rows, 256):
             part = rows.slice(i, 256)
             out = []
@@ -195,12 +221,20 @@ def _cut(text: str, doc_id: str, size: int, shards: int, width: int, cleaned: bo
                 keep = None if not n_removed[k] else ~gone[first[k] : first[k] + n_words[k]]
                 out.append(_cleaned(value, keep) if cleaned else _kept(value, keep))
             at = slice(i, i + part.num_rows)
-            columns = [*(x.combine_chunks() for x in part.itercolumns()), pa.array(n_words[at]), pa.array(n_removed[at].astype(np.int64)), pa.array(out, pa.string())]
+            columns = [*(x.combine_chunks() for x in part.itercolumns()), pa.array(n_words[at]), pa.array(n_removed[at]), pa.array(out, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=[*part.column_names, "_n_words", "_n_removed", "_kept"])
 
     return use
 
 
+def _runs_of(starts: np.ndarray, size: int) -> Iterator[slice]:
+    """Words that windows (in order) cover: overlapping ones as one slice."""
+    if len(starts):
+        new = np.flatnonzero(np.r_[True, starts[1:] > starts[:-1] + size])
+        for a, b in zip(starts[new].tolist(), starts[np.r_[new[1:], len(starts)] - 1].tolist()):
+            yield slice(a, b + size)
+
+
 def _kept(value: str | None, keep: np.ndarray | None) -> str:
     words = encode(value).split()
     return decode(b" ".join(words if keep is None else compress(words, keep.tolist())))

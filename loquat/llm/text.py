@@ -15,8 +15,9 @@ import numpy as np
 
 _MASK = (1 << 64) - 1
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-#: Bytes hashed at a time; a longer text is taken whole.
+#: Bytes looked at together, and of those hashed at a time; a longer text is taken whole.
 CHUNK = 1 << 20
+_HASHED = 1 << 18
 
 
 def alphabet(outside: bytes) -> np.ndarray:
@@ -100,6 +101,10 @@ def lean(run):
     return wrapped
 
 
+#: Runs of words hashed at a time.
+_RUNS = 1 << 16
+
+
 class Words:
     """Hash of every word of some texts, in order; ``counts`` and ``first``: words of each text, and where they begin."""
 
@@ -109,20 +114,30 @@ class Words:
 
     @classmethod
     def of(cls, raws: list[bytes], inside: np.ndarray = SPACED, lower: bool = False) -> Words:
-        parts = [_hash_chunk(chunk, inside, lower) for chunk in chunks_of(raws)]
+        parts = [_hash_chunk(chunk, inside, lower) for chunk in chunks_of(raws, _HASHED)]
         if not parts:
             return cls(np.empty(0, np.uint64), np.empty(0, np.int64))
         return cls(np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts]))
 
     def runs(self, first: np.ndarray, length: np.ndarray | int, seed: int) -> np.ndarray:
-        """Hash of each run of words; equal for equal words and length."""
-        n = len(self.hashes)
+        """Hash of each run of words; equal for equal words and length. ``first`` in order: some runs at a time, which a short table serves."""
+        first, length = np.asarray(first), np.broadcast_to(length, np.shape(first))
+        out = np.empty(len(first), np.uint64)
+        step = _RUNS if np.all(first[1:] >= first[:-1]) else max(1, len(first))
+        for i in range(0, len(first), step):
+            out[i : i + step] = self._runs(first[i : i + step], length[i : i + step], seed)
+        return out
+
+    def _runs(self, first: np.ndarray, length: np.ndarray, seed: int) -> np.ndarray:
+        base = int(first.min())  # a run's hash does not depend on where counting begins
+        hashes = self.hashes[base : int((first + length).max())]
+        n, first = len(hashes), first - base
         up, down = _table(seed, n + 1)
         sums = np.zeros(n + 1, np.uint64)
-        np.multiply(self.hashes, up[:n], out=sums[1:])
+        np.multiply(hashes, up[:n], out=sums[1:])
         np.cumsum(sums, out=sums)
         out = (sums[first + length] - sums[first]) * down[first]
-        out += np.asarray(length, np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        out += length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         return mix(out)
 
     def window_starts(self, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,13 +146,13 @@ class Words:
         return np.arange(per_text.sum()) + np.repeat(self.first - (np.cumsum(per_text) - per_text), per_text), per_text
 
 
-def chunks_of(raws: list[bytes]) -> Iterator[list[bytes]]:
-    """Texts in groups of about ``CHUNK`` bytes, one text at least."""
+def chunks_of(raws: list[bytes], most: int = CHUNK) -> Iterator[list[bytes]]:
+    """Texts in groups of about ``most`` bytes, one text at least."""
     held, size = [], 0
     for raw in raws:
         held.append(raw)
         size += len(raw) + 1
-        if size >= CHUNK:
+        if size >= most:
             yield held
             held, size = [], 0
     if held:

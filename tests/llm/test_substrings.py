@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from loquat.llm import substrings
 from loquat.llm.substrings import dedup_substrings
 from tests.llm import brute
 
@@ -50,3 +51,47 @@ def test_very_long_text(spark):
     long = " ".join(f"t{k}" for k in range(120_000))
     got = run(spark, [(1, long), (2, "x " + long)], size=13)
     assert got[1][1:3] == (120_001, 120_000) and got[1][3] == "x"
+
+
+def test_a_block_takes_little_more_than_its_windows():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    vocabulary = [f"w{i}" for i in range(50_000)]
+    texts = [" ".join(vocabulary[k] for k in rng.integers(0, len(vocabulary), 500)) for _ in range(1_200)]
+    rows, words = pa.table({"doc_id": range(len(texts)), "text": texts}), 500 * len(texts)
+    total = 20 * words
+    ask = substrings._count("text", 25, 1, total)
+    list(ask(rows.slice(0, 10)))  # tables that stay
+    tracemalloc.start()
+    try:
+        asked = dict(ask(rows))
+        assert tracemalloc.get_traced_memory()[1] < 90 * words
+        answers = {s: substrings._merge(total)(s, [x])[0] for s, x in asked.items()}
+        tracemalloc.reset_peak()
+        before = tracemalloc.get_traced_memory()[0]
+        list(substrings._candidates("text", "doc_id", 25, 1, total)(rows, answers))
+        assert tracemalloc.get_traced_memory()[1] - before < 60 * words
+    finally:
+        tracemalloc.stop()
+
+
+def test_runs_hash_alike_wherever_they_are(monkeypatch):
+    import numpy as np
+
+    from loquat.llm import text
+
+    words = text.Words.of([b"a b c d e f g", b"", b"c d e", b"b"] * 9)
+    first = np.sort(np.r_[np.arange(len(words.hashes) - 3), 4, 4])
+    length = first % 4
+    whole = words.runs(first, length, 3)
+    monkeypatch.setattr(text, "_RUNS", 5)
+    assert np.array_equal(words.runs(first, length, 3), whole)
+    mixed = np.random.default_rng(1).permutation(len(first))
+    assert np.array_equal(words.runs(first[mixed], length[mixed], 3), whole[mixed])
+    monkeypatch.setattr(text, "_HASHED", 4)
+    again = text.Words.of([b"a b c d e f g", b"", b"c d e", b"b"] * 9)
+    assert np.array_equal(again.hashes, words.hashes) and np.array_equal(again.counts, words.counts)
