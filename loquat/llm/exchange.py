@@ -56,6 +56,31 @@ def unpack_sorted(raw: bytes) -> np.ndarray:
     return np.cumsum(unpack(raw), dtype=np.uint64)
 
 
+def narrow(a: np.ndarray) -> np.ndarray:
+    """Numbers from zero up, in as few bytes each as all need."""
+    return a.astype(np.min_scalar_type(int(a.max()) if len(a) else 0))
+
+
+def pack_steps(a: np.ndarray) -> bytes:
+    """Numbers from zero up, in order; for ``unpack_steps``."""
+    return pack(narrow(np.diff(a, prepend=a.dtype.type(0))))
+
+
+def unpack_steps(raw: bytes) -> np.ndarray:
+    return np.cumsum(unpack(raw), dtype=np.int64)
+
+
+def pack_repeated(a: np.ndarray) -> bytes:
+    """Numbers of which many are equal: each value once, if that is shorter; for ``unpack_repeated``."""
+    values, code = np.unique(a, return_inverse=True)
+    return join_parts(pack(values), pack(narrow(code))) if 2 * len(values) < len(a) else join_parts(pack(a))
+
+
+def unpack_repeated(raw: bytes) -> np.ndarray:
+    values, *code = map(unpack, split_parts(raw))
+    return values[code[0]] if code else values
+
+
 def join_parts(*parts: bytes) -> bytes:
     return b"".join(len(p).to_bytes(8, "little") + p for p in parts)
 
@@ -92,21 +117,28 @@ class Blocks:
         self.bytes = int(df.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0) if total is None else total
         shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.buckets = max(shuffles, min(100_000, math.ceil(self.bytes / (2 * block_bytes))))
-        path, name = storage.new_path(spark, "blocks"), f"loquat_blocks_{uuid.uuid4().hex}"
         to_blocks = _to_blocks(text, block_bytes)
         run = to_blocks if prepare is None else lambda batches: to_blocks(prepare(batches))
         staged = df.mapInArrow(lean(run), "block long, n_rows long, payload binary")
-        with storage.setting(spark, "spark.sql.parquet.compression.codec", "uncompressed"):
-            staged.write.option("path", path).bucketBy(self.buckets, "block").sortBy("block").saveAsTable(name)
+        self.rows = self._bucketed(staged, "blocks")
+
+    def _bucketed(self, df: DataFrame, label: str) -> DataFrame:
+        path, name = storage.new_path(self.spark, label), f"loquat_{label}_{uuid.uuid4().hex}"
+        with storage.setting(self.spark, "spark.sql.parquet.compression.codec", "uncompressed"), storage.setting(self.spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+            df.write.option("path", path).bucketBy(self.buckets, "block").sortBy("block").saveAsTable(name)
         storage.name_table(path, name)
-        self.rows = spark.table(name)
+        return self.spark.table(name)
+
+    def keep(self, answers: DataFrame) -> DataFrame:
+        """Answers that are read more than once, as a table beside the blocks: dealt to them once, and no shuffle holds them again."""
+        return self._bucketed(self._by_block(answers), "answers")
 
     def shards(self, bytes_per_key: float = 6.0, keys: int = SHARD_KEYS) -> int:
         """Shards for one key a word."""
         return max(1, math.ceil(self.bytes / bytes_per_key / keys))
 
-    def ask(self, ask: Callable[[pa.RecordBatch], Iterator[tuple[int, bytes]]], answers: DataFrame | None = None) -> DataFrame:
-        """Questions of every block: ``ask(rows[, answers])`` yields (shard, payload)."""
+    def ask(self, ask: Callable[[pa.RecordBatch], Iterator[tuple[int, bytes]]], answers: DataFrame | list[DataFrame] | None = None) -> DataFrame:
+        """Questions of every block: ``ask(rows[, answers])`` yields (shard, payload). ``answers``: rows, or a list of kept ones."""
         return self._over(answers).mapInArrow(lean(_asking(ask, answers is not None)), ASK)
 
     def answer(self, asks: DataFrame, answer: Callable[[int, list[bytes]], list[bytes]]) -> DataFrame:
@@ -120,20 +152,26 @@ class Blocks:
 
         return asks.groupBy("shard").applyInArrow(per_shard, ASK)
 
-    def map(self, answers: DataFrame, use: Callable[[pa.RecordBatch, dict[int, bytes]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    def map(self, answers: DataFrame | list[DataFrame], use: Callable[[pa.RecordBatch, dict[int, bytes]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
         """``use(rows, answers by shard)`` for every block."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for block in _each(batches):
-                yield from use(from_payload(block["payload"]), {x["shard"]: x["payload"] for x in block["answers"] or ()})
+                yield from use(from_payload(block["payload"]), _answers(block))
 
         return self._over(answers).mapInArrow(lean(run), schema)
 
-    def _over(self, answers: DataFrame | None) -> DataFrame:
+    def _over(self, answers: DataFrame | list[DataFrame] | None) -> DataFrame:
         if answers is None:
             return self.rows
-        by_block = answers.repartition(self.buckets, "block").groupBy("block").agg(F.collect_list(F.struct("shard", "payload")).alias("answers"))
-        return self.rows.join(by_block, "block", "left")
+        kept = answers if isinstance(answers, list) else [self._by_block(answers)]
+        out = self.rows
+        for i, one in enumerate(kept):
+            out = out.join(one.withColumnRenamed("answers", f"answers{i}"), "block", "left")
+        return out
+
+    def _by_block(self, answers: DataFrame) -> DataFrame:
+        return answers.repartition(self.buckets, "block").groupBy("block").agg(F.collect_list(F.struct("shard", "payload")).alias("answers"))
 
 
 def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -142,13 +180,17 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield batch.slice(i, 1).to_pylist()[0]
 
 
+def _answers(block: dict) -> dict[int, bytes]:
+    return {x["shard"]: x["payload"] for name, given in block.items() if name.startswith("answers") for x in given or ()}
+
+
 def _asking(ask, with_answers: bool):
     schema = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _each(batches):
             rows = from_payload(block["payload"])
-            asked = ask(rows, {x["shard"]: x["payload"] for x in block["answers"] or ()}) if with_answers else ask(rows)
+            asked = ask(rows, _answers(block)) if with_answers else ask(rows)
             for shard, payload in asked:
                 yield pa.RecordBatch.from_arrays([pa.array([block["block"]], pa.int64()), pa.array([shard], pa.int32()), pa.array([payload], pa.binary())], schema=schema)
 

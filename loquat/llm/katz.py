@@ -41,12 +41,16 @@ from pyspark.sql.window import Window as W
 from loquat.llm import exchange as X
 from loquat.llm import storage
 from loquat.llm.columns import Carried
-from loquat.llm.text import Words, encode, give_back, lean, mix
+from loquat.llm.text import Words, encode, give_back, hold, lean, mix
 
 #: Counts above this are not discounted; the cut-off may be lower.
 K = 5
 #: Occurrences of a history beyond which its continuations are dealt over several shards.
 SPLIT = 1_500_000
+#: The number of an n-gram of two words or more is its shard, and its rank there in so many bits. Such numbers that lie
+#: within the same ``2 ** RUN`` (fewer where a shard would have under ``RUNS`` of these) go to one shard as histories, so
+#: that what is sent of them is small steps.
+RANK, RUN, RUNS = 28, 10, 64
 #: Stands for the hash of the end token.
 END = np.uint64(0x5BD1E995_5BD1E995)
 
@@ -83,6 +87,8 @@ class Katz:
 
     def __init__(self, tokens: int, types: int):
         self.tokens, self.types, self.discounts = tokens, types, {}
+        #: By order of histories: the bits of their numbers that do not decide on a shard.
+        self.run = {1: 0}
 
     def unigram(self, c: np.ndarray) -> np.ndarray:
         return (c + 1.0) / (self.tokens + self.types + 1.0)
@@ -94,7 +100,7 @@ def fold(doc_id, folds: int, part: int) -> bool:
 
 
 _SEEN = [f"s{r}" for r in range(1, K + 1)]
-#: Sums of a part of a history; where ``h`` is null, of a shard: n-grams by count, 1 to K + 1.
+#: Sums of a part of a history; where ``h`` is null, of a shard: n-grams by count, 1 to K + 1, and in all.
 _PARTS = f"h long, shard int, total long, {' long, '.join(_SEEN)} long, above long, mass double"
 
 
@@ -110,19 +116,22 @@ def score_documents(df: DataFrame, text: str = "text", doc_id: str = "doc_id", o
     tables = tables or storage.new_path(spark, "ngrams")
     shards = blocks.shards()
     reader = _Reader(text, doc_id, folds, held)
-    reply = storage.materialise(_counted_words(blocks.ask(_ask_words(reader, shards)), f"{tables}/order=1"), "answers")
+    reply = storage.materialise(_counted_words(blocks.ask(_ask_words(reader, shards)), f"{tables}/order=1"), "replies")
+    replies = storage.paths()[-1]
     seen = reply.where("block < 0").select("payload").mapInArrow(_sum_stats, "r int, n long").groupBy("r").agg(F.sum("n").alias("n")).collect()
     seen = {x["r"]: x["n"] for x in seen}
-    model, answers = Katz(seen.get(-1, 0), seen.get(-2, 0)), reply.where("block >= 0")
+    model, answers = Katz(seen.get(-1, 0), seen.get(-2, 0)), [blocks.keep(reply.where("block >= 0"))]
+    storage.delete(spark, replies)
     for n in range(2, order + 1):
         work = storage.new_path(spark, "work")
         asks = blocks.ask(_ask_grams(reader, n, shards, model, split), answers)
         parts = storage.materialise(asks.groupBy("shard").applyInArrow(_count(n, model, f"{tables}/order={n}", work), _PARTS), "parts")
-        of = parts.where("h IS NULL").agg(*(F.sum(c).alias(c) for c in (*_SEEN, "above"))).first()
+        of = parts.where("h IS NULL").agg(*(F.sum(c).alias(c) for c in (*_SEEN, "above", "total"))).first()
+        model.run[n] = min(RUN, max(1, (of["total"] or 0) // (RUNS * shards)).bit_length() - 1)
         model.discounts[n] = good_turing(np.array([0, *(of[c] or 0 for c in (*_SEEN, "above"))]))
-        reply = storage.materialise(_weighed(parts, shards, _weigh(model.discounts[n], n < order, f"{tables}/histories/order={n}", work)), "answers")
+        reply = _weighed(parts, shards, _weigh(model.discounts[n], n < order, f"{tables}/histories/order={n}", work))
+        answers.append(blocks.keep(reply.selectExpr("block", f"shard + {(n - 1) * shards} AS shard", "payload")))
         storage.delete(spark, work)
-        answers = answers.unionByName(reply.selectExpr("block", f"shard + {(n - 1) * shards} AS shard", "payload"))
     _store_discounts(model, shards, tables)
     added = [("_held_out", T.BooleanType()), ("_n_tokens", T.LongType()), ("_n_known", T.LongType()), ("_train_tokens", T.LongType()), ("_base_score", T.DoubleType()), ("_score", T.DoubleType())]
     schema = T.StructType([*df.schema.fields, *(T.StructField(a, t) for a, t in added)])
@@ -137,6 +146,7 @@ class _Reader:
 
     def __call__(self, rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(hash of each token, row of each token, whether each row is held out)"""
+        hold()
         words = Words.of([encode(x) for x in rows[self.text].to_pylist()], lower=True)
         counts = words.counts + 1
         row = np.repeat(np.arange(len(counts)), counts)
@@ -197,7 +207,7 @@ class _State:
         counts, names = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
         for s, at in X.slices(keys, shards):
             count, rank = X.split_parts(answers[s])
-            counts[at], names[at] = X.unpack(count), X.unpack_sorted(rank).astype(np.int64) * shards + s
+            counts[at], names[at] = X.unpack(count), X.unpack(rank).astype(np.int64) * shards + s
         by_name = np.argsort(names)
         #: Numbers of the block's words in order, their counts, and the place there of each token.
         self.names, self.counts = names[by_name], counts[by_name]
@@ -208,19 +218,20 @@ class _State:
         self.known, self.scale = self.count > 0, np.full(len(self.token), model.unigram(0.0))
         self.p = model.unigram(self.count)
         for m in range(2, n + 1):
-            self._extend(_Grams(self, m, shards, split), answers, (m - 1) * shards, model.discounts[m])
+            self._extend(_Grams(self, m, shards, model, split), answers, (m - 1) * shards, model.discounts[m])
 
     def _extend(self, g: _Grams, answers: dict[int, bytes], first: int, d: np.ndarray) -> None:
         count, rank, alpha, cut = np.zeros(len(g.word), np.int64), np.zeros(len(g.word), np.int64), np.ones(len(g.word)), np.zeros(len(g.histories), bool)
         for s, e in g.by_shard():
-            c, r, flags, given, mass = map(X.unpack, X.split_parts(answers[first + s]))
+            *known, given, mass = X.split_parts(answers[first + s])
+            c, r, flags = map(X.unpack, known)
             count[e] = c
             if len(r):
-                rank[e] = np.cumsum(r, dtype=np.int64) * g.shards + s
+                rank[e] = np.cumsum(r, dtype=np.int64) | s << RANK
             own = g.history[e][_starts(g.history[e])]
             cut[own] = np.unpackbits(flags, count=len(own))
             unseen = e[c == 0]
-            alpha[unseen] = given / (1 - g.scale[g.history[unseen]] * mass)
+            alpha[unseen] = X.unpack_repeated(given) / (1 - g.scale[g.history[unseen]] * X.unpack_repeated(mass))
         scale = (1 - np.where(cut, 0.5 / g.total, 0.0)) / g.total
         self.numbers, self.totals, self.gram = rank, count, np.full(len(self.row), -1)
         self.count, self.scale = np.zeros(len(self.row), np.int64), np.zeros(len(self.row))
@@ -232,7 +243,7 @@ class _State:
 class _Grams:
     """Distinct n-grams of a block whose history some training text has, by history and word; ``state`` is of order n - 1."""
 
-    def __init__(self, state: _State, n: int, shards: int, split: int):
+    def __init__(self, state: _State, n: int, shards: int, model: Katz, split: int):
         row = state.row
         at = np.flatnonzero(row[n - 1 :] == row[: len(row) - n + 1]) + n - 1 if len(row) >= n else np.empty(0, np.int64)
         #: Places of the tokens, and their n-gram.
@@ -248,9 +259,13 @@ class _Grams:
         keys, self.first, self.number = _distinct(history * wide + state.word[self.at])
         self.history, self.word = np.divmod(keys, wide)
         self.parts = -(-self.total // split)
-        part = (mix(state.names[self.word].astype(np.uint64)) % self.parts[self.history].astype(np.uint64)).astype(np.uint64)
         self.shards = shards
-        self.shard = (mix(mix(self.histories.astype(np.uint64))[self.history] + part) % np.uint64(shards)).astype(np.int64)
+        run = mix((self.histories >> model.run[n - 1]).astype(np.uint64))
+        self.shard = (mix(run) % np.uint64(shards)).astype(np.int64)[self.history]
+        dealt = np.flatnonzero((self.parts > 1)[self.history])
+        of = self.history[dealt]
+        part = mix(state.names[self.word[dealt]].astype(np.uint64)) % self.parts[of].astype(np.uint64)
+        self.shard[dealt] = (mix(run[of] + part) % np.uint64(shards)).astype(np.int64)
 
     def by_shard(self) -> Iterator[tuple[int, np.ndarray]]:
         """(shard, its n-grams by history and word)"""
@@ -302,32 +317,30 @@ def katz_terms(count, history, total, seen, lower, d):
 
 
 def _ask_grams(reader: _Reader, n: int, shards: int, model: Katz, split: int):
-    """By shard: histories (number, n-grams, parts), words (number), and of each n-gram the word, the block's count, and
-    the count of what is left without its first word (order 2: by word)."""
+    """By shard: histories (number, n-grams, parts), and of each n-gram the word, the block's count, and the count of what
+    is left without its first word. Order 2: words are told once, with that count."""
 
     def ask(rows: pa.Table, answers: dict[int, bytes]) -> Iterator[tuple[int, bytes]]:
         state = _State(reader, rows, answers, n - 1, shards, model, split)
-        g = _Grams(state, n, shards, split)
+        g = _Grams(state, n, shards, model, split)
         counts = np.bincount(g.number, weights=~state.held[state.row[g.at]], minlength=len(g.word)).astype(np.int64)
         lower = state.count[g.at][g.first]
         for s, e in g.by_shard():
             start = _starts(g.history[e])
             own = g.history[e][start]
-            words = _marked(g.word[e], len(state.names))
-            code = _places(words, len(state.names))[g.word[e]]
-            low = state.counts[words] if n == 2 else lower[e]
+            if n == 2:
+                words = _marked(g.word[e], len(state.names))
+                names, code, low = state.names[words], _places(words, len(state.names))[g.word[e]], state.counts[words]
+            else:  # frequent words have low numbers, so that a number takes fewer bytes than a list and places there
+                names, code, low = state.names[:0], state.names[g.word[e]], lower[e]
             sent = (np.diff(start, append=len(e)), g.parts[own], code, counts[e], low)
-            yield s, X.join_parts(X.pack(np.diff(g.histories[own], prepend=0)), X.pack(np.diff(state.names[words], prepend=0)), *(X.pack(_narrow(x)) for x in sent))
+            yield s, X.join_parts(X.pack_steps(g.histories[own]), X.pack_steps(names), *(X.pack(X.narrow(x)) for x in sent))
 
     return ask
 
 
-def _narrow(a: np.ndarray) -> np.ndarray:
-    return a.astype(np.min_scalar_type(int(a.max()) if len(a) else 0))
-
-
 def _counted_words(asks: DataFrame, path: str) -> DataFrame:
-    """Answers of order 1, and statistics as rows of block -1. The shard's words are stored below ``path`` by the same task."""
+    """Answers of order 1 (count and rank: frequent words first), and statistics as rows of block -1. The shard's words are stored below ``path`` by the same task."""
 
     def per_shard(table: pa.Table) -> pa.Table:
         shard = table["shard"][0].as_py()
@@ -383,10 +396,11 @@ def _merge_words(payloads: list[bytes]) -> tuple[list[bytes], np.ndarray, pa.Tab
     every, number = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(number, weights=np.concatenate([X.unpack(b) for _, b in parts]), minlength=len(every)).astype(np.int64)
     own = np.split(number, np.cumsum([len(k) for k in keys])[:-1])
-    out = [X.join_parts(X.pack(_narrow(total[k])), X.pack_sorted(k.astype(np.uint64))) for k in own]
+    rank = _places(np.argsort(-total, kind="stable"))
+    out = [X.join_parts(X.pack(X.narrow(total[k])), X.pack(X.narrow(rank[k]))) for k in own]
     seen = total > 0
     stats = np.array([[-1, total.sum()], [-2, seen.sum()]], np.int64)
-    return out, stats.ravel(), pa.table({"word": every[seen], "rank": np.flatnonzero(seen), "count": total[seen]})
+    return out, stats.ravel(), pa.table({"word": every[seen], "rank": rank[seen], "count": total[seen]})
 
 
 def _count(n: int, model: Katz, path: str, work: str):
@@ -394,24 +408,25 @@ def _count(n: int, model: Katz, path: str, work: str):
 
     def per_shard(table: pa.Table) -> pa.Table:
         shard = table["shard"][0].as_py()
-        histories, each, words, word, count, lower, parts, lengths = [], [], [], [], [], [], [], []
+        hold()
+        histories, each, word, count, lower, parts, lengths = [], [], [], [], [], [], []
         for raw in table["payload"].to_pylist():
             h, w, per, part, code, c, low = map(X.unpack, X.split_parts(raw))
             low = (low[code] if n == 2 else low).astype(np.int64)
             below = low + 1.0 if n == 2 else model.discounts[n - 1][np.minimum(low, K + 1)] * low
-            base = sum(map(len, words))
-            histories.append(np.cumsum(h))
-            words.append(np.cumsum(w))
+            histories.append(np.cumsum(h, dtype=np.int64))
             each.append(per.astype(np.int64))
             parts.append(part.astype(np.int64))
-            word.append(code.astype(np.int64) + base)
+            word.append((np.cumsum(w, dtype=np.int64)[code] if n == 2 else code).astype(np.int64))
             count.append(c.astype(np.int64))
             lower.append(below)
             lengths.append(len(code))
         known, one, number = _distinct(np.concatenate(histories))
         parts = np.concatenate(parts)[one]
-        named, _, place = _distinct(np.concatenate(words))
-        keys, _, own = _distinct(np.repeat(number, np.concatenate(each)) * len(named) + place[np.concatenate(word)])
+        named, _, place = _distinct(np.concatenate(word))
+        keys, _, own = _distinct(np.repeat(number, np.concatenate(each)) * len(named) + place)
+        if len(keys) >> RANK:
+            raise ValueError(f"a shard has more than 2 ** {RANK} n-grams")
         history, w = np.divmod(keys, len(named))
         count, lower = np.concatenate(count), np.concatenate(lower)
         total = np.bincount(own, weights=count, minlength=len(keys)).astype(np.int64)
@@ -423,13 +438,13 @@ def _count(n: int, model: Katz, path: str, work: str):
         mass = sums(below)
         rank = np.flatnonzero(total > 0)
         _store(f"{path}/shard={shard}/counts.parquet", pa.table({"history": known[history[rank]], "word": named[w[rank]], "rank": rank, "count": total[rank]}))
-        blocks = [X.pack(np.diff(x, prepend=0)) for x in np.split(own, np.cumsum(lengths)[:-1])]
+        blocks = [X.pack_steps(x) for x in np.split(own, np.cumsum(lengths)[:-1])]
         with _replacing(f"{work}/{shard}") as out:
-            facts = (np.diff(known, prepend=0), _narrow(np.diff(_starts(history), append=len(history))), _narrow(total), _narrow(c_h), _narrow(seen.ravel()), mass, parts > 1, np.array(table["block"].to_pylist(), np.int64))
-            out.write(X.join_parts(*map(X.pack, facts), *blocks))
+            facts = (np.diff(_starts(history), append=len(history)), total, c_h, *seen.T)
+            out.write(X.join_parts(X.pack_steps(known), X.pack_repeated(mass), X.pack(np.array(table["block"].to_pylist(), np.int64)), *(X.pack(X.narrow(x)) for x in facts), *blocks))
         give_back()
         split = np.flatnonzero(parts > 1)
-        columns = {"h": pa.array([*known[split].tolist(), None], pa.int64()), "shard": pa.array([shard] * (len(split) + 1), pa.int32()), "total": pa.array(np.r_[c_h[split], 0])}
+        columns = {"h": pa.array([*known[split].tolist(), None], pa.int64()), "shard": pa.array([shard] * (len(split) + 1), pa.int32()), "total": pa.array(np.r_[c_h[split], len(rank)])}
         columns |= {c: pa.array(np.r_[seen[split, r], (total == r + 1).sum()]) for r, c in enumerate(_SEEN)}
         columns |= {"above": pa.array(np.r_[seen[split, K], (total == K + 1).sum()]), "mass": pa.array(np.r_[mass[split], 0.0])}
         return pa.table(columns)
@@ -456,8 +471,11 @@ def _weigh(d: np.ndarray, numbered: bool, path: str, work: str):
 
     def per_shard(table: pa.Table) -> pa.Table:
         shard = table["shard"][0].as_py()
-        known, per, total, c_h, seen, mass, parted, blocks, *own = map(X.unpack, X.split_parts(_read(f"{work}/{shard}")))
-        known, total, c_h, seen = np.cumsum(known), total.astype(np.int64), c_h.astype(np.int64), seen.reshape(-1, K + 1).astype(np.int64)
+        hold()
+        known, mass, blocks, *facts = X.split_parts(_read(f"{work}/{shard}"))
+        known, mass, blocks, own = X.unpack_steps(known), X.unpack_repeated(mass), X.unpack(blocks), facts[K + 4 :]
+        per, total, c_h, *seen = (X.unpack(x).astype(np.int64) for x in facts[: K + 4])
+        seen = np.stack(seen, 1)
         stored = np.ones(len(known), bool)
         for x in (x for x in table.to_pylist() if x["h"] is not None):
             k = np.searchsorted(known, x["h"])
@@ -467,12 +485,13 @@ def _weigh(d: np.ndarray, numbered: bool, path: str, work: str):
         _store(f"{path}/shard={shard}/weights.parquet", pa.table({"history": known[stored], "total": c_h[stored], "half": (cut > 0).astype(np.int64)[stored], "given": left[stored], "mass": mass[stored]}))
         history = np.repeat(np.arange(len(known)), per)
         out = []
-        for rank in own:
-            at = np.cumsum(rank)
+        for raw in own:
+            rank = X.unpack(raw)
+            at = np.cumsum(rank, dtype=np.int64)
             of = history[at]
             count = total[at]
             unseen = of[count == 0]
-            out.append(X.join_parts(X.pack(_narrow(count)), X.pack(_narrow(rank) if numbered else rank[:0]), X.pack(np.packbits(cut[of[_starts(of)]] > 0)), X.pack(left[unseen]), X.pack(mass[unseen])))
+            out.append(X.join_parts(X.pack(X.narrow(count)), X.pack(rank if numbered else rank[:0]), X.pack(np.packbits(cut[of[_starts(of)]] > 0)), X.pack_repeated(left[unseen]), X.pack_repeated(mass[unseen])))
         give_back()
         return pa.table({"block": pa.array(blocks), "shard": pa.array([shard] * len(out), pa.int32()), "payload": pa.array(out, pa.binary())})
 
@@ -519,8 +538,8 @@ def score_by_tables(df: DataFrame, tables: str, text: str = "text", order: int =
                 at = np.arange(len(row)) - np.r_[0, np.flatnonzero(np.diff(row)) + 1][row] if len(row) else row
                 yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(row)), pa.array(at), pa.array(token.view(np.int64))], names=["_row", "at", "token"])
 
-    number = F.col("rank") * int(shards) + F.col("shard").cast("long")
-    of_words = spark.read.parquet(f"{tables}/order=1").select(F.col("word").alias("token"), number.alias("w"), F.col("count").alias("c"))
+    number = F.shiftleft(F.col("shard").cast("long"), RANK) + F.col("rank")
+    of_words = spark.read.parquet(f"{tables}/order=1").select(F.col("word").alias("token"), (F.col("rank") * int(shards) + F.col("shard").cast("long")).alias("w"), F.col("count").alias("c"))
     now = rows.select(text, "_row").mapInArrow(lean(run), "_row long, at long, token long").join(of_words, "token", "left")
     one = 1 / (tokens + types + 1)
     now = now.withColumns({"p": (F.coalesce("c", F.lit(0)) + 1) * one, "g": F.col("w"), "scale": F.lit(one)}).select("_row", "at", "w", "g", "p", "scale")

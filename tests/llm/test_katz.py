@@ -185,3 +185,39 @@ def test_tables_alone_reproduce_scores(spark, tmp_path, monkeypatch):
     assert weights.count() == weights.select("history").distinct().count() == len(plain.after[3])
     n_row = {(r.history, r.word): r.n for r in spark.read.parquet(f"{tables}/order=2").groupBy("history", "word").count().withColumnRenamed("count", "n").collect()}
     assert set(n_row.values()) == {1}
+
+
+def test_order_three_sends_few_bytes_and_answers_are_dealt_to_blocks_once(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from loquat.llm import exchange
+
+    sizes, plans, ask = [], [], exchange.Blocks.ask
+
+    def spied(self, *given):
+        out = ask(self, *given)
+        sizes.append(out.agg(F.sum(F.octet_length("payload"))).first()[0])
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(exchange.Blocks, "ask", spied)
+    rng = np.random.default_rng(1)
+    docs = [(i, " ".join(f"w{k}" for k in np.minimum(rng.zipf(1.2, 2000), 50_000).tolist())) for i in range(100)]
+    katz.score_documents(spark.createDataFrame(docs, "doc_id long, text string").repartition(2), order=3, block_bytes=1 << 18)
+    assert sizes[2] < 380_000
+    assert "Exchange hashpartitioning(block" not in plans[2]
+
+
+def test_histories_by_runs_of_numbers_change_nothing(spark, tmp_path, monkeypatch):
+    from loquat.llm import exchange
+
+    monkeypatch.setattr(exchange, "SHARD_KEYS", 300)
+    monkeypatch.setattr(katz, "RUNS", 2)
+    docs = corpus(8, 120)
+    plain = Plain(docs, 3)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    for r in katz.score_documents(df, order=3, block_bytes=1500, split=7, tables=f"file://{tmp_path}/model").collect():
+        assert math.isclose(r._score, plain.score(dict(docs)[r.doc_id]), rel_tol=1e-9)
+    words = spark.read.parquet(f"file://{tmp_path}/model/order=1").orderBy("shard", "rank").collect()
+    assert all(a["count"] >= b["count"] for a, b in zip(words, words[1:]) if a["shard"] == b["shard"])
+    assert katz.score_by_tables(df, f"file://{tmp_path}/model", order=3).count() == len(docs)
